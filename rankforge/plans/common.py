@@ -1,0 +1,37 @@
+"""Inputs shared by the registered queries, in Spark and as SQL fragments."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankforge.session import table
+
+# The dimension ranges searched as separate systems.
+SLICES = {"d01_16": (0, 16), "d17_32": (16, 32), "d33_48": (32, 48), "d49_64": (48, 64), "full": (0, 64)}
+
+
+def vectors(spark, sf_dir, id_name="doc_id"):
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias(id_name), F.col("embedding").alias("vector"), "label"
+    )
+
+
+DENSE_SQL = """
+vec AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+),
+unit AS (
+  SELECT vec_id, label,
+    list_transform(v, lambda x: x / coalesce(nullif(sqrt(list_dot_product(v, v)), 0), 1)) AS v
+  FROM vec
+),
+scored AS (
+  SELECT a.vec_id AS qid, a.label AS q_label, b.vec_id AS doc_id, b.label AS d_label,
+    round(list_dot_product(a.v, b.v), 9) AS score
+  FROM unit a JOIN unit b ON a.vec_id <> b.vec_id
+),
+hits AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
+  FROM scored QUALIFY rank <= 10
+)
+"""
