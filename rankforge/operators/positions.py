@@ -1,0 +1,55 @@
+"""Places in a global order, counted without sorting any group in one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from rankforge.session import materialize
+
+
+def positions(ids: DataFrame, id_col: str) -> DataFrame:
+    """``(id_col, pos)``: how many rows have a smaller id.
+
+    Ids are ranged into partitions; the partition number is written down so
+    both the counts and the rows see the same split.
+    """
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(ids.select(id_col).repartitionByRange(parts, id_col).withColumn("part", F.spark_partition_id()))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy("part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    )
+    inside = F.row_number().over(W.partitionBy("part").orderBy(id_col))
+    return ranged.join(F.broadcast(offsets), "part").select(id_col, (F.col("offset") + inside - 1).alias("pos"))
+
+
+def count_ahead(scored: DataFrame, wanted: DataFrame, keys, id_col: str, order_of) -> DataFrame:
+    """``(*keys, id_col, ahead)``: rows of ``scored`` that come before each wanted row.
+
+    ``order_of(row)`` gives the sort value of a row of either side. Every
+    scored row falls between two wanted rows of its key; only the number of
+    rows in each gap is shuffled, then summed along the wanted order.
+    """
+    lists = (
+        wanted.select(*keys, order_of().alias("o"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list("o")).alias("wanted"))
+    )
+    gaps = (
+        scored.select(*keys, order_of().alias("o"))
+        .join(lists, list(keys))
+        .select(*keys, F.size(F.filter("wanted", lambda x: x <= F.col("o"))).alias("at"))
+        .groupBy(*keys, "at")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    marks = lists.select(*keys, F.posexplode("wanted").alias("at", "o"))
+    id_type = wanted.schema[id_col].dataType.simpleString()
+    both = gaps.select(*keys, "at", "n", F.lit(0).alias("mark"), F.lit(None).cast(id_type).alias(id_col)).unionByName(
+        marks.select(*keys, "at", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("mark"), F.col(f"o.{id_col}").alias(id_col))
+    )
+    running = W.partitionBy(*keys).orderBy("at", "mark").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("ahead", F.sum("n").over(running)).where("mark = 1").select(*keys, id_col, "ahead")

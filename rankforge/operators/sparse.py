@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rankforge.functions.text import tokenize_words
-from rankforge.session import broadcast_if_small
+from rankforge.session import has_at_most
 
 # Okapi defaults.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
+BROADCAST_TERMS = 200_000
+
 
 def vocabulary(docs: DataFrame, tokenize=tokenize_words, id_col="doc_id", text_col="text") -> DataFrame:
     """``(term, df)``: the number of documents that hold each term."""
@@ -53,7 +55,9 @@ def bm25_scores(
     count is combined on the map side.
     """
     terms = query_terms(queries, tokenize, keys, query_text)
-    wanted = broadcast_if_small(terms.select("term").distinct())
+    small = has_at_most(terms, BROADCAST_TERMS)
+    hint = F.broadcast if small else (lambda df: df)
+    wanted = hint(terms.select("term").distinct())
     tokens = docs.select(F.col(id_col), tokenize(F.col(text_col)).alias("tokens"))
     totals = tokens.agg(
         F.struct(
@@ -62,8 +66,15 @@ def bm25_scores(
         ).alias("t")
     ).scalar()
     raw_idf = F.log(totals["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    vocab = vocabulary(docs, tokenize, id_col, text_col).withColumn("raw", raw_idf)
-    floor = vocab.agg((F.avg("raw") * epsilon).alias("floor")).scalar()
+    vocab = vocabulary(docs, tokenize, id_col, text_col)
+    # the weight depends on df alone, so the mean adds one value per distinct df
+    floor = (
+        vocab.groupBy("df")
+        .agg(F.count(F.lit(1)).alias("n_terms"))
+        .agg((F.sum(F.col("n_terms") * raw_idf) / F.sum("n_terms") * epsilon).alias("floor"))
+        .scalar()
+    )
+    vocab = vocab.withColumn("raw", raw_idf)
     weighted = terms.join(vocab, "term").select(
         *keys, "term", (F.col("qtf") * F.when(F.col("raw") < 0, floor).otherwise(F.col("raw"))).alias("w")
     )
@@ -77,7 +88,7 @@ def bm25_scores(
         F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / totals["avgdl"]))
     )
     return (
-        postings.join(broadcast_if_small(weighted), "term")
+        postings.join(hint(weighted), "term")
         .groupBy(*keys, id_col)
         .agg(F.round(F.sum(gain), 9).alias("score"))
     )
@@ -112,3 +123,32 @@ def fill_with_unmatched(top: DataFrame, queries: DataFrame, docs: DataFrame, k:
         .withColumn("score", F.lit(0.0))
     )
     return top_k(top.select(*keys, id_col, "score").unionByName(short.select(*keys, id_col, "score")), k, keys, id_col)
+
+
+def bm25_ranks(pairs: DataFrame, scores: DataFrame, docs: DataFrame, keys=("qid",), id_col="doc_id") -> DataFrame:
+    """Exact full-corpus rank of given ``(*keys, id_col)`` pairs.
+
+    Matched documents are counted from ``scores``; the zero-score tail follows
+    in id order, so a tail document's place is its id's place among all
+    documents less the matched ones before it.
+    """
+    from rankforge.operators.positions import count_ahead, positions
+
+    on = [*keys, id_col]
+    scored = pairs.join(scores, on, "left")
+    ahead = count_ahead(
+        scores,
+        scored.withColumn("score", F.coalesce("score", F.lit(0.0))),
+        keys,
+        id_col,
+        lambda: F.struct((-F.col("score")).alias("fall"), F.col(id_col)),
+    )
+    tail = scored.where(F.col("score").isNull()).select(*on)
+    before = count_ahead(scores, tail, keys, id_col, lambda: F.struct(F.col(id_col))).withColumnRenamed(
+        "ahead", "matched_before"
+    )
+    places = positions(docs, id_col)
+    tail = tail.join(before, on).join(places, id_col).select(*on, (F.col("pos") - F.col("matched_before")).alias("tail_ahead"))
+    return ahead.join(tail, on, "left").select(
+        *on, (F.col("ahead") + F.coalesce("tail_ahead", F.lit(0)) + 1).alias("rank")
+    )
