@@ -100,13 +100,18 @@ def top_domain_rank(cells: DataFrame, questions: DataFrame, n=3) -> DataFrame:
     return ranked(acc, "top_domain_rank")
 
 
+def correlation(x, y):
+    """Pearson correlation, NULL where a side is constant."""
+    return F.round(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 9)
+
+
 def trend(points: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares line and Pearson correlation."""
     return points.agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.regr_slope(y, x), 9).alias("slope"),
         F.round(F.regr_intercept(y, x), 9).alias("intercept"),
-        F.round(F.corr(x, y), 9).alias("pearson"),
+        correlation(x, y).alias("pearson"),
     )
 
 
@@ -122,11 +127,7 @@ def spearman(acc: DataFrame) -> DataFrame:
         return F.rank().over(W.partitionBy(*key).orderBy(c)) + (ties - 1) / F.lit(2.0)
 
     ranks = pairs.select(*key, mean_rank("a").alias("ra"), mean_rank("b").alias("rb"))
-    # constant ranks have no correlation
-    deviates = (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0)
-    return ranks.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.when(deviates, F.round(F.corr("ra", "rb"), 9)).alias("rho")
-    )
+    return ranks.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), correlation("ra", "rb").alias("rho"))
 
 
 def off_diagonal(matrix: DataFrame) -> DataFrame:
