@@ -1,4 +1,4 @@
 """Registered queries; importing the modules fills the registry."""
 
 from rankforge.plans.registry import ORACLE, QUERIES
-from rankforge.plans import dense_search, diagnosing, judging, lexical_search, parsing, statistics  # noqa: F401
+from rankforge.plans import chunks, dense_search, diagnosing, judging, lexical_search, parsing, statistics  # noqa: F401
