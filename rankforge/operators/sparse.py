@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -17,12 +17,53 @@ EPSILON = 0.25
 BROADCAST_TERMS = 200_000
 
 
+def term_counts(tokens: Column) -> Column:
+    """``array<struct<term, tf>>`` of a token list, counted inside the row.
+
+    Equal tokens stand together once sorted, so a count is the distance
+    between the places where the token changes; nothing is shuffled.
+    """
+    ordered = F.sort_array(tokens)
+    with_starts = F.transform(
+        F.array(F.struct(ordered.alias("t"))),
+        lambda o: F.struct(
+            o["t"].alias("t"),
+            F.filter(
+                F.when(F.size(o["t"]) > 0, F.sequence(F.lit(0), F.size(o["t"]) - 1)).otherwise(F.array().cast("array<int>")),
+                lambda i: (i == 0) | (F.get(o["t"], i) != F.get(o["t"], i - 1)),
+            ).alias("at"),
+        ),
+    )
+    counted = F.transform(
+        with_starts,
+        lambda o: F.transform(
+            o["at"],
+            lambda start, j: F.struct(
+                F.get(o["t"], start).alias("term"),
+                (F.coalesce(F.get(o["at"], j + 1), F.size(o["t"])) - start).alias("tf"),
+            ),
+        ),
+    )
+    return F.get(counted, 0)
+
+
+def document_terms(docs: DataFrame, tokenize=tokenize_words, id_col="doc_id", text_col="text") -> DataFrame:
+    """``(id_col, dl, term, tf)``; made where the document was read."""
+    # the outer form keeps Spark from testing the token list in a filter first
+    return (
+        docs.select(F.col(id_col), tokenize(F.col(text_col)).alias("tokens"))
+        .select(id_col, F.size("tokens").alias("dl"), F.explode_outer(term_counts(F.col("tokens"))).alias("p"))
+        .select(id_col, "dl", "p.term", "p.tf")
+    )
+
+
 def vocabulary(docs: DataFrame, tokenize=tokenize_words, id_col="doc_id", text_col="text") -> DataFrame:
     """``(term, df)``: the number of documents that hold each term."""
     return (
-        docs.select(F.explode(F.array_distinct(tokenize(F.col(text_col)))).alias("term"))
+        docs.select(F.explode_outer(F.array_distinct(tokenize(F.col(text_col)))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
+        .where("term IS NOT NULL")
     )
 
 
@@ -47,24 +88,23 @@ def bm25_scores(
     k1=K1,
     b=B,
     epsilon=EPSILON,
+    fill: int = 0,
 ) -> DataFrame:
     """``(*keys, id_col, score)`` for every pair that shares a term.
 
-    Pairs that share none score 0 and are left out. Document terms are cut to
-    the query vocabulary before the first shuffle, and each (document, term)
-    count is combined on the map side.
+    Pairs that share none score 0 and are left out, but for the ``fill``
+    smallest ids, which are enough to complete lists of that length. A
+    document's terms are counted and weighted in the task that reads it; only
+    one row per (query, document) is shuffled.
     """
     terms = query_terms(queries, tokenize, keys, query_text)
-    small = has_at_most(terms, BROADCAST_TERMS)
-    hint = F.broadcast if small else (lambda df: df)
-    wanted = hint(terms.select("term").distinct())
-    tokens = docs.select(F.col(id_col), tokenize(F.col(text_col)).alias("tokens"))
-    totals = tokens.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            (F.sum(F.size("tokens").cast("bigint")) / F.count(F.lit(1))).alias("avgdl"),
-        ).alias("t")
-    ).scalar()
+    totals = (
+        docs.select(F.size(tokenize(F.col(text_col))).cast("bigint").alias("dl"))
+        .agg(
+            F.struct(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl")).alias("t")
+        )
+        .scalar()
+    )
     raw_idf = F.log(totals["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     vocab = vocabulary(docs, tokenize, id_col, text_col)
     # the weight depends on df alone, so the mean adds one value per distinct df
@@ -74,24 +114,22 @@ def bm25_scores(
         .agg((F.sum(F.col("n_terms") * raw_idf) / F.sum("n_terms") * epsilon).alias("floor"))
         .scalar()
     )
-    vocab = vocab.withColumn("raw", raw_idf)
-    weighted = terms.join(vocab, "term").select(
-        *keys, "term", (F.col("qtf") * F.when(F.col("raw") < 0, floor).otherwise(F.col("raw"))).alias("w")
-    )
-    postings = (
-        tokens.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .join(wanted, "term")
-        .groupBy(id_col, "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    raw = F.col("raw")
+    weighted = (
+        terms.join(vocab.withColumn("raw", raw_idf), "term")
+        .select(*keys, "term", (F.col("qtf") * F.when(raw < 0, floor).otherwise(raw)).alias("w"))
     )
+    if has_at_most(terms, BROADCAST_TERMS):
+        weighted = F.broadcast(weighted)
     gain = (
         F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / totals["avgdl"]))
     )
-    return (
-        postings.join(hint(weighted), "term")
-        .groupBy(*keys, id_col)
-        .agg(F.round(F.sum(gain), 9).alias("score"))
-    )
+    parts = document_terms(docs, tokenize, id_col, text_col).join(weighted, "term").select(*keys, id_col, gain.alias("gain"))
+    if fill:
+        smallest = docs.select(id_col).orderBy(id_col).limit(fill).agg(F.collect_list(id_col)).scalar()
+        zeros = queries.select(*keys, F.explode(smallest).alias(id_col), F.lit(0.0).alias("gain"))
+        parts = parts.unionByName(zeros)
+    return parts.groupBy(*keys, id_col).agg(F.round(F.sum("gain"), 9).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, keys=("qid",), id_col="doc_id") -> DataFrame:

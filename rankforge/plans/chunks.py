@@ -19,7 +19,7 @@ def out(df):
 
 
 def chunked(spark, sf_dir, chunks, text=None):
-    docs = documents(spark, sf_dir).select("doc_id", (F.col("text") if text is None else text).alias("body"))
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", (F.col("text") if text is None else text).alias("body"))
     return out(C.exploded(docs, chunks(F.col("body")), ["doc_id"]))
 
 
@@ -145,7 +145,7 @@ ch AS (SELECT doc_id, chunk, string_agg(sentence, ' ' ORDER BY pos) AS text FROM
 def chunk_semantic(spark, sf_dir):
     """Sentences with one neighbour each side, cut at the 95th percentile distance."""
     pieces = F.filter(F.transform(F.split("text", C.SENTENCE_END), X.strip), lambda x: x != "")
-    docs = documents(spark, sf_dir).select("doc_id", pieces.alias("s"))
+    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", pieces.alias("s"))
     around = lambda i: F.array_join(F.slice("s", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ")
     items = F.transform(F.col("s"), lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), around(i).alias("context")))
     sentences = docs.select("doc_id", F.explode(items).alias("i")).select("doc_id", "i.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankforge.session import table
+from rankforge.session import spread, table
 
 # The dimension ranges searched as separate systems.
 SLICES = {"d01_16": (0, 16), "d17_32": (16, 32), "d33_48": (32, 48), "d49_64": (48, 64), "full": (0, 64)}
@@ -40,8 +40,9 @@ hits AS (
 QUERY_WORDS = {"bm25_q2": 2, "bm25_q3": 3, "bm25_q5": 5, "bm25_full": None}
 
 
-def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+def documents(spark, sf_dir, *cols):
+    docs = table(spark, sf_dir, "documents")
+    return spread(docs.select(*cols) if cols else docs)
 
 
 def questions(spark, sf_dir):
@@ -110,7 +111,7 @@ METRIC_NAMES = ["similarity", "correctness", "completeness", "faithfulness"]
 
 
 def question_attributes(spark, sf_dir):
-    return documents(spark, sf_dir).select(
+    return documents(spark, sf_dir, "doc_id", "source", "lang").select(
         F.col("doc_id").alias("ix"),
         F.format_string("q%04d", "doc_id").alias("qid"),
         F.col("source").alias("domain"),

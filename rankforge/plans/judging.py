@@ -73,7 +73,7 @@ def accuracy_scored(spark, sf_dir):
 )
 def accuracy_total(spark, sf_dir):
     """Over all questions, a missing one counted wrong."""
-    total = documents(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
+    total = documents(spark, sf_dir, "doc_id").agg(F.count(F.lit(1))).scalar()
     return V.accuracy(cells(spark, sf_dir), total=total)
 
 

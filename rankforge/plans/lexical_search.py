@@ -17,14 +17,12 @@ BIG = "bigint"
     FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY term""",
 )
 def tokenize_ws_vocab(spark, sf_dir):
-    """Term and document frequency; counts combine per document first."""
+    """Term and document frequency; counts are made per document, then combined."""
     return (
-        documents(spark, sf_dir)
-        .select("doc_id", F.explode(X.tokenize_words(F.col("text"))).alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
+        sparse.document_terms(documents(spark, sf_dir, "doc_id", "text"))
+        .where("term IS NOT NULL")
         .groupBy("term")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
+        .agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
     )
 
 
@@ -43,7 +41,7 @@ def bigrams_sql(col):
 def tokenize_bigram_vocab(spark, sf_dir):
     """Character pairs: the stand-in for a morphological analyser."""
     return (
-        documents(spark, sf_dir)
+        documents(spark, sf_dir, "text")
         .select(F.explode(X.tokenize_bigrams(F.col("text"))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -76,15 +74,13 @@ def bm25_bigram_topk(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, tokenize):
-    docs, texts = documents(spark, sf_dir), questions(spark, sf_dir)
-    top = sparse.top_k(sparse.bm25_scores(docs, texts, tokenize=tokenize), 10)
-    return sparse.fill_with_unmatched(top, texts, docs, 10).select(
-        "qid", "doc_id", "score", F.col("rank").cast(BIG).alias("rank")
-    )
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    scores = sparse.bm25_scores(docs, questions(spark, sf_dir), tokenize=tokenize, fill=10)
+    return sparse.top_k(scores, 10).select("qid", "doc_id", "score", F.col("rank").cast(BIG).alias("rank"))
 
 
 def corpus_vectors(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", hash_embedder(F.col("text")).alias("vector"))
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", hash_embedder(F.col("text")).alias("vector"))
 
 
 def text_vectors(texts):
@@ -105,7 +101,7 @@ def dense_text_topk(spark, sf_dir):
 
 
 def rankers(spark, sf_dir, texts, names=("dense", "sparse")):
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     made = {}
     if "dense" in names:
         made["dense"] = fusion.DenseRanker(text_vectors(texts), corpus_vectors(spark, sf_dir))

@@ -10,6 +10,7 @@ from rankforge.functions import text as X
 from rankforge.models import hash_embedder
 from rankforge.operators import dense, sparse
 from rankforge.operators.containment import containing
+from rankforge.session import table
 from rankforge.plans.common import QUERY_WORDS, bm25_sql, documents, hash_dense_sql, questions, tokens_sql
 
 DENSE = "dense_hash"
@@ -45,10 +46,9 @@ def query_texts(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    docs, texts = documents(spark, sf_dir), query_texts(spark, sf_dir)
+    docs, texts = documents(spark, sf_dir, "doc_id", "text"), query_texts(spark, sf_dir)
     keys = ("system", "qid")
-    best = sparse.top_k(sparse.bm25_scores(docs, texts, keys=keys), DEPTH, keys)
-    lexical = sparse.fill_with_unmatched(best, texts, docs, DEPTH, keys)
+    lexical = sparse.top_k(sparse.bm25_scores(docs, texts, keys=keys, fill=DEPTH), DEPTH, keys)
     near = dense.dense_topk(
         questions(spark, sf_dir).select("qid", hash_embedder(F.col("text")).alias("vector")),
         docs.select("doc_id", hash_embedder(F.col("text")).alias("vector")),
@@ -56,7 +56,8 @@ def _runs(spark, sf_dir):
     ).withColumn("system", F.lit(DENSE))
     cols = ["system", "qid", "doc_id", "score", "rank"]
     hits = lexical.select(cols).unionByName(near.select(cols))
-    return hits.join(docs.select("doc_id", F.col("source").alias("file")), "doc_id").select(
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"))
+    return hits.join(files, "doc_id").select(
         "system", "qid", F.col("rank").cast("bigint").alias("rank"), "file", F.col("doc_id").alias("page"), "score"
     )
 
@@ -66,12 +67,12 @@ def runs(spark, sf_dir):
 
 
 def qrels(spark, sf_dir):
-    return containing(documents(spark, sf_dir), questions(spark, sf_dir))
+    return containing(documents(spark, sf_dir, "doc_id", "text"), questions(spark, sf_dir))
 
 
 def _gold(spark, sf_dir):
     first = qrels(spark, sf_dir).groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
-    docs = documents(spark, sf_dir).select("doc_id", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     named = first.join(docs, "doc_id").select(
         "qid",
         F.col("source").alias("target_file"),

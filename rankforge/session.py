@@ -69,5 +69,15 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a table that arrives in fewer splits than there are cores.
+
+    A table of a few large splits would run its first stage on a few cores;
+    one that already has enough splits is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
