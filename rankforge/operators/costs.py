@@ -1,0 +1,87 @@
+"""Tokens, money, latency and memory budgets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Characters per token of the three estimates, prices per million
+# tokens (input, output) and the price of an unlisted model.
+CHARS_PER_TOKEN = 3.2
+PRICES = {
+    "gpt-5.4": (2.5, 15.0),
+    "gpt-5.4-mini": (0.75, 4.5),
+    "gpt-5.4-nano": (0.2, 1.25),
+    "gemini-3.1-pro-preview": (2.0, 12.0),
+    "kimi-k2.5": (0.38, 1.72),
+    "mistral-small-2603": (0.15, 0.6),
+}
+DEFAULT_PRICE = (1.0, 5.0)
+
+
+def tokens_average(text: Column) -> Column:
+    return F.length(text) / F.lit(CHARS_PER_TOKEN)
+
+
+def tokens_upper(text: Column) -> Column:
+    """Whole tokens at 3.3 characters each, one added; none for no text."""
+    return F.when(F.length(text) > 0, F.floor(F.length(text) / F.lit(3.3)) + 1).otherwise(0)
+
+
+def tokens_quarter(text: Column) -> Column:
+    return F.floor(F.length(text) / 4)
+
+
+def priced(usage: DataFrame, prices: DataFrame, default=DEFAULT_PRICE) -> DataFrame:
+    """``usage (model, tokens_in, tokens_out)`` with ``cost_usd``; unlisted models at the default."""
+    known = usage.join(prices, "model", "left")
+    cost = F.col("tokens_in") / 1e6 * F.coalesce("usd_in", F.lit(default[0])) + F.col("tokens_out") / 1e6 * F.coalesce(
+        "usd_out", F.lit(default[1])
+    )
+    return known.withColumn("cost_usd", F.round(cost, 9)).drop("usd_in", "usd_out")
+
+
+def usage_totals(rows: DataFrame, by) -> DataFrame:
+    """Token sums, answered rows, and mean latency with and without zeros."""
+    latency = F.col("latency_sec")
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.coalesce(F.col("answer"), F.lit("")) != "").alias("answered"),
+        F.sum(F.coalesce("tokens_in", F.lit(0))).cast("bigint").alias("tokens_in"),
+        F.sum(F.coalesce("tokens_out", F.lit(0))).cast("bigint").alias("tokens_out"),
+        F.round(F.avg(F.nullif(latency, F.lit(0.0))), 9).alias("avg_latency_nonzero"),
+        F.round(F.avg(F.coalesce(latency, F.lit(0.0))), 9).alias("avg_latency_all"),
+    )
+
+
+def latency_stats(rows: DataFrame, ms: str, by) -> DataFrame:
+    """Mean, exact 95th percentile and queries per second of summed time."""
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg(ms), 9).alias("mean_ms"),
+        F.round(F.percentile(ms, F.lit(0.95)), 9).alias("p95_ms"),
+        F.round(F.try_divide(F.count(F.lit(1)), F.sum(ms) / 1000), 6).alias("qps"),
+    )
+
+
+def next_fit(models: DataFrame, budget: float, most: int = 12) -> DataFrame:
+    """``(name, size, batch)``: models by size, packed until the next does not fit.
+
+    The model list fits in one row: it names models, not data.
+    """
+    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("held"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+
+    def step(s, m):
+        room = (s["used"] + m["size"] <= budget) & (s["held"] < most)
+        fresh = ~room & (s["held"] > 0)
+        batch = s["batch"] + F.when(fresh, 1).otherwise(0)
+        return F.struct(
+            F.when(room, s["used"] + m["size"]).otherwise(m["size"]).alias("used"),
+            F.when(room, s["held"] + 1).otherwise(1).alias("held"),
+            batch.alias("batch"),
+            F.concat(s["out"], F.array(batch)).alias("out"),
+        )
+
+    ordered = models.agg(F.array_sort(F.collect_list(F.struct(F.col("size").cast("double").alias("size"), "name"))).alias("m"))
+    packed = ordered.select("m", F.aggregate("m", start, step, lambda s: s["out"]).alias("batch"))
+    return packed.select(F.explode(F.arrays_zip("m", "batch")).alias("z")).select("z.m.name", "z.m.size", "z.batch")

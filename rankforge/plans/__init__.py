@@ -1,4 +1,15 @@
 """Registered queries; importing the modules fills the registry."""
 
 from rankforge.plans.registry import ORACLE, QUERIES
-from rankforge.plans import chunks, dense_search, diagnosing, experiments, judging, lexical_search, parsing, statistics  # noqa: F401
+from rankforge.plans import (  # noqa: F401
+    chunks,
+    dense_search,
+    diagnosing,
+    experiments,
+    incremental,
+    judging,
+    lexical_search,
+    parsing,
+    records,
+    statistics,
+)

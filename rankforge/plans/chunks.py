@@ -9,6 +9,7 @@ from rankforge.plans.common import documents, tokens_sql
 from rankforge.plans.registry import query
 from rankforge.session import table
 from rankforge.sources.html import html_text
+from rankforge.sources.loaders import split_pages
 
 
 def out(df):
@@ -173,15 +174,10 @@ def html_to_text_pages(spark, sf_dir):
 
 @query(
     "page_separator_split",
-    """WITH s AS (SELECT conv_id, string_agg(text, chr(12) ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
-    p AS (SELECT conv_id, unnest(string_split(t, chr(12))) AS text, generate_subscripts(string_split(t, chr(12)), 1) AS page FROM s)
-    SELECT conv_id, page, md5(trim(text)) AS digest FROM p WHERE trim(text) <> ''""",
+    f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)
+    SELECT doc_id, page, md5({STRIP.format('text')}) AS digest FROM p WHERE {STRIP.format('text')} <> ''""",
 )
 def page_separator_split(spark, sf_dir):
     """One extracted text per file, cut into numbered pages at a separator."""
-    from rankforge.sources.loaders import split_pages
-
-    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        X.joined_by_rank(F.col("turn"), F.col("text"), "\f").alias("text")
-    )
-    return split_pages(whole, "\f", ["conv_id"]).select("conv_id", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("digest"))
+    whole = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("text"))
+    return split_pages(whole, "\f", ["doc_id"]).select("doc_id", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("digest"))

@@ -7,6 +7,7 @@ from rankforge.models import hash_embedder
 from rankforge.operators import fusion, sparse
 from rankforge.plans.common import bm25_sql, documents, hash_dense_sql, questions, tokens_sql
 from rankforge.plans.registry import query
+from rankforge.session import materialize
 
 BIG = "bigint"
 
@@ -104,7 +105,8 @@ def rankers(spark, sf_dir, texts, names=("dense", "sparse")):
     docs = documents(spark, sf_dir, "doc_id", "text")
     made = {}
     if "dense" in names:
-        made["dense"] = fusion.DenseRanker(text_vectors(texts), corpus_vectors(spark, sf_dir))
+        # embedding is the dear step: do it once and keep the vectors
+        made["dense"] = fusion.DenseRanker(materialize(text_vectors(texts)), materialize(corpus_vectors(spark, sf_dir)))
     if "sparse" in names:
         made["sparse"] = fusion.LexicalRanker(texts, docs, X.tokenize_bigrams)
     if "words" in names:
