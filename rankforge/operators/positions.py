@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,29 +27,49 @@ def positions(ids: DataFrame, id_col: str) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "part").select(id_col, (F.col("offset") + inside - 1).alias("pos"))
 
 
-def count_ahead(scored: DataFrame, wanted: DataFrame, keys, id_col: str, order_of) -> DataFrame:
+BINS = 256
+
+
+def count_ahead(scored: DataFrame, wanted: DataFrame, keys, id_col: str, place: Column) -> DataFrame:
     """``(*keys, id_col, ahead)``: rows of ``scored`` that come before each wanted row.
 
-    ``order_of(row)`` gives the sort value of a row of either side. Every
-    scored row falls between two wanted rows of its key; only the number of
-    rows in each gap is shuffled, then summed along the wanted order.
+    Rows are ordered by ``place`` and then by id. Whole bins of places are
+    counted first; only rows that share a bin with a wanted row are compared,
+    and only the number of rows in each gap between wanted rows is shuffled.
     """
-    lists = (
-        wanted.select(*keys, order_of().alias("o"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("o")).alias("wanted"))
+    at = place.cast("double").alias("x")
+    rows, marks = scored.select(*keys, id_col, at), wanted.select(*keys, id_col, at)
+    span = rows.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("s")).scalar()
+    share = F.coalesce(F.try_divide(F.col("x") - span["lo"], span["hi"] - span["lo"]), F.lit(0.0))
+    bin_of = F.floor(F.greatest(F.lit(-1.0), F.least(share * BINS, F.lit(BINS + 1.0)))).cast("int")
+    rows, marks = rows.withColumn("bin", bin_of), marks.withColumn("bin", bin_of)
+    cell = [*keys, "bin"]
+    order = F.struct("x", id_col)
+
+    counted = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    asked = marks.select(*cell, F.lit(0).cast("bigint").alias("n")).distinct()
+    before = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = (
+        counted.unionByName(asked)
+        .groupBy(*cell)
+        .agg(F.sum("n").alias("n"))
+        .withColumn("whole", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .select(*cell, "whole")
     )
+    lists = marks.groupBy(*cell).agg(F.array_sort(F.collect_list(order)).alias("wanted"))
     gaps = (
-        scored.select(*keys, order_of().alias("o"))
-        .join(lists, list(keys))
-        .select(*keys, F.size(F.filter("wanted", lambda x: x <= F.col("o"))).alias("at"))
-        .groupBy(*keys, "at")
+        rows.join(lists, cell)
+        .select(*cell, F.size(F.filter("wanted", lambda m: m <= order)).alias("gap"))
+        .groupBy(*cell, "gap")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    marks = lists.select(*keys, F.posexplode("wanted").alias("at", "o"))
+    ends = lists.select(*cell, F.posexplode("wanted").alias("gap", "o"))
     id_type = wanted.schema[id_col].dataType.simpleString()
-    both = gaps.select(*keys, "at", "n", F.lit(0).alias("mark"), F.lit(None).cast(id_type).alias(id_col)).unionByName(
-        marks.select(*keys, "at", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("mark"), F.col(f"o.{id_col}").alias(id_col))
+    both = gaps.select(*cell, "gap", "n", F.lit(0).alias("mark"), F.lit(None).cast(id_type).alias(id_col)).unionByName(
+        ends.select(
+            *cell, "gap", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("mark"), F.col(f"o.{id_col}").alias(id_col)
+        )
     )
-    running = W.partitionBy(*keys).orderBy("at", "mark").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("ahead", F.sum("n").over(running)).where("mark = 1").select(*keys, id_col, "ahead")
+    running = W.partitionBy(*cell).orderBy("gap", "mark").rowsBetween(W.unboundedPreceding, 0)
+    inside = both.withColumn("part", F.sum("n").over(running)).where("mark = 1").select(*cell, id_col, "part")
+    return inside.join(bins, cell).select(*keys, id_col, (F.col("part") + F.col("whole")).alias("ahead"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rankforge.functions.text import tokenize_words
-from rankforge.session import has_at_most
+from rankforge.session import has_at_most, materialize
 
 # Okapi defaults.
 K1 = 1.5
@@ -173,18 +173,18 @@ def bm25_ranks(pairs: DataFrame, scores: DataFrame, docs: DataFrame, keys=("qid"
     from rankforge.operators.positions import count_ahead, positions
 
     on = [*keys, id_col]
-    scored = pairs.join(scores, on, "left")
+    scored = materialize(pairs.select(*on).join(scores, on, "left"))
     ahead = count_ahead(
         scores,
         scored.withColumn("score", F.coalesce("score", F.lit(0.0))),
         keys,
         id_col,
-        lambda: F.struct((-F.col("score")).alias("fall"), F.col(id_col)),
+        -F.col("score"),
     )
     tail = scored.where(F.col("score").isNull()).select(*on)
-    before = count_ahead(scores, tail, keys, id_col, lambda: F.struct(F.col(id_col))).withColumnRenamed(
-        "ahead", "matched_before"
-    )
+    if tail.isEmpty():
+        return ahead.select(*on, (F.col("ahead") + 1).alias("rank"))
+    before = count_ahead(scores, tail, keys, id_col, F.col(id_col)).withColumnRenamed("ahead", "matched_before")
     places = positions(docs, id_col)
     tail = tail.join(before, on).join(places, id_col).select(*on, (F.col("pos") - F.col("matched_before")).alias("tail_ahead"))
     return ahead.join(tail, on, "left").select(

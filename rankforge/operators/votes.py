@@ -99,34 +99,39 @@ def leave_one_out(cells: DataFrame) -> DataFrame:
     """Majority accuracy ``(cand, removed_judge, acc)`` without each judge.
 
     A question's total minus the judge's own vote gives the rest, so cells are
-    not copied once per removed judge. Of the judges that saw the candidate
-    all remaining ones count, an unjudged cell as not O.
+    not copied once per removed judge: questions are counted by total and own
+    vote, and the rule is applied to those few counts. Of the judges that saw
+    the candidate all remaining ones count, an unjudged cell as not O.
     """
     own = cells.groupBy("qid", "cand", "judge").agg(F.count_if(F.col("ox") == "O").alias("own"))
-    totals = own.groupBy("qid", "cand").agg(F.sum("own").alias("o"))
-    seen = cells.groupBy("cand").agg(F.count_distinct("judge").alias("seen"))
-    wins = lambda votes, voters: F.count_if(votes * 2 > voters)
-    # no judge removed: the figure for judges that never saw the candidate
+    questions = own.groupBy("qid", "cand").agg(
+        F.sum("own").alias("o"), F.collect_list(F.struct("judge", "own")).alias("votes")
+    )
+    # the entry without a judge counts the question itself
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("judge"), F.lit(0).cast("bigint").alias("own")))
+    counts = (
+        questions.select("cand", "o", F.explode(F.concat(whole, "votes")).alias("v"))
+        .groupBy("cand", F.col("v.judge").alias("judge"), F.col("v.own").alias("own"), "o")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    seen = counts.groupBy("cand").agg(F.count_distinct("judge").alias("seen"))
+    counts = counts.join(seen, "cand")
+    wins = lambda votes, voters: F.coalesce(F.sum(F.when(votes * 2 > voters, F.col("n"))), F.lit(0))
+    o, fewer = F.col("o"), F.col("seen") - 1
     base = (
-        totals.join(F.broadcast(seen), "cand")
+        counts.where("judge IS NULL")
         .groupBy("cand")
-        .agg(wins(F.col("o"), F.col("seen")).alias("all_wins"), F.count(F.lit(1)).alias("n"))
+        .agg(wins(o, F.col("seen")).alias("all_wins"), wins(o, fewer).alias("kept_wins"), F.sum("n").alias("n"))
     )
-    fewer = F.col("seen") - 1
+    # questions where the judge has no cell keep their whole total
     swing = (
-        own.join(totals, ["qid", "cand"])
-        .join(F.broadcast(seen), "cand")
+        counts.where("judge IS NOT NULL")
         .groupBy("cand", "judge")
-        .agg((wins(F.col("o") - F.col("own"), fewer) - wins(F.col("o"), fewer)).alias("change"))
-    )
-    # questions where the judge has no cell keep their whole total
-    kept = (
-        totals.join(F.broadcast(seen), "cand").groupBy("cand").agg(wins(F.col("o"), fewer).alias("kept_wins"))
+        .agg((wins(o - F.col("own"), fewer) - wins(o, fewer)).alias("change"))
     )
-    judges = cells.agg(F.collect_set("judge")).scalar()
+    judges = counts.agg(F.collect_set("judge")).scalar()
     return (
-        base.join(kept, "cand")
-        .withColumn("judge", F.explode(judges))
+        base.withColumn("judge", F.explode(judges))
         .join(swing, ["cand", "judge"], "left")
         .select(
             "cand",

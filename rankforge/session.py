@@ -50,9 +50,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder once and go on from the written table.
+
+    That cuts the lineage, survives a lost executor, and tells the planner
+    how large the table is.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:

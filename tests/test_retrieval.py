@@ -182,8 +182,7 @@ def test_count_ahead_with_ties(spark):
     rows = [(k, d, float(d % 4)) for k in range(3) for d in range(40)]
     scored = spark.createDataFrame(rows, "k int, doc_id int, score double")
     wanted = scored.where("doc_id % 5 = 0")
-    order = lambda: F.struct((-F.col("score")).alias("f"), F.col("doc_id"))
-    for r in count_ahead(scored, wanted, ["k"], "doc_id", order).collect():
+    for r in count_ahead(scored, wanted, ["k"], "doc_id", -F.col("score")).collect():
         mine = (-(r.doc_id % 4), r.doc_id)
         assert r.ahead == sum((-(d % 4), d) < mine for d in range(40))
 
