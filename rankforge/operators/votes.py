@@ -154,3 +154,52 @@ def pool_accuracy(cells: DataFrame, pool="pool") -> DataFrame:
     )
     lo, hi = wilson(F.col("o"), F.col("n"))
     return merged.withColumn("ci_low", F.round(lo, 9)).withColumn("ci_high", F.round(hi, 9))
+
+
+def missing_pairs(cells: DataFrame, cands: list[str], judges: list[str]) -> DataFrame:
+    """Expected ``(cand, judge)`` pairs without any cell."""
+    one = cells.sparkSession.range(1)
+    names = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    expected = one.select(names(cands).alias("cand")).withColumn("judge", names(judges))
+    return expected.join(cells.select("cand", "judge").distinct(), ["cand", "judge"], "left_anti")
+
+
+def judged_items(scores: DataFrame, questions: DataFrame, metrics=METRICS, threshold=THRESHOLD, needed=NEEDED) -> DataFrame:
+    """Every question of every judged pair, votes as a map.
+
+    A missing metric is 0; a question without any vote is X with all zeros.
+    """
+    pairs = scores.agg(F.collect_set(F.struct("cand", "judge"))).scalar()
+    given = scores.groupBy("qid", "cand", "judge").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "score"))).alias("given")
+    )
+    every = questions.select("qid", F.explode(pairs).alias("p")).select("qid", "p.cand", "p.judge")
+    names = F.array(*[F.lit(m) for m in metrics])
+    votes = F.map_from_arrays(names, F.transform(names, lambda m: F.coalesce(F.col("given")[m], F.lit(0))))
+    o = F.size(F.map_filter("votes", lambda _, s: s >= threshold))
+    return (
+        every.join(given, ["qid", "cand", "judge"], "left")
+        .select("qid", "cand", "judge", votes.alias("votes"), F.col("given").isNull().alias("missing"))
+        .withColumn("o_count", o)
+        .withColumn("result", F.when(o >= needed, "O").otherwise("X"))
+    )
+
+
+def judge_file_summary(items: DataFrame) -> DataFrame:
+    """Header of a judge file: totals, scored questions, O and X, accuracy over all."""
+    return items.groupBy("cand", "judge").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(~F.col("missing")).alias("scored"),
+        F.count_if(F.col("result") == "O").alias("o_count"),
+        F.count_if(F.col("result") == "X").alias("x_count"),
+        (F.count_if(F.col("result") == "O") / F.count(F.lit(1))).alias("accuracy"),
+    )
+
+
+def work_order(jobs: DataFrame, *prefix: str) -> DataFrame:
+    """Jobs with an equal prompt prefix side by side, so its cache is hit.
+
+    Ranges over all columns split a frequent prefix over several tasks.
+    """
+    parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return jobs.repartitionByRange(parts, *prefix, *[c for c in jobs.columns if c not in prefix]).sortWithinPartitions(*prefix)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rankforge.operators import metrics as M
-from rankforge.operators.dense import dense_topk
+from rankforge.operators.dense import dense_topk, usable
 from rankforge.plans.common import DENSE_SQL, SLICES, vectors
 from rankforge.plans.registry import query
 
@@ -93,6 +93,27 @@ def restricted_topk(spark, sf_dir):
     )
 
 
+@query(
+    "usable_query_metrics",
+    f"""WITH {FIRSTS_SQL} SELECT {metrics_sql()} FROM firsts
+    WHERE qid % 13 <> 0 AND qid % 17 <> 0 AND qid % 19 <> 0""",
+)
+def usable_query_metrics(spark, sf_dir):
+    """Queries whose embedding failed leave the search and the denominator."""
+    corpus = vectors(spark, sf_dir)
+    i, v = F.col("doc_id"), F.col("vector")
+    failed = (
+        F.when(i % 13 == 0, F.transform(v, lambda x: (x * 0).cast("float")))
+        .when(i % 19 == 0, F.transform(v, lambda x, n: F.when(n < 5, F.lit(0.0)).otherwise(x).cast("float")))
+        .when(i % 17 != 0, v)
+    )
+    asked = usable(corpus.select(i.alias("qid"), failed.alias("vector"), F.col("label").alias("target")))
+    hits = dense_topk(asked, corpus, 10, exclude_self=True)
+    labelled = hits.join(corpus.select("doc_id", "label"), "doc_id").join(asked.select("qid", "target"), "qid")
+    rank = F.min(F.when(F.col("label") == F.col("target"), F.col("rank")))
+    return labelled.groupBy("qid").agg(rank.alias("first_page"), rank.alias("first_file")).agg(*M.metric_columns())
+
+
 SLICE_VALUES = ", ".join(f"('{s}', {a}, {b})" for s, (a, b) in SLICES.items())
 
 

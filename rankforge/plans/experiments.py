@@ -4,12 +4,15 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import text as X
 from rankforge.functions.ids import qid as make_qid
-from rankforge.models import overlap_scorer
+from rankforge.functions.scores import extract_score
+from rankforge.models import first_sentence_generator, overlap_judge, overlap_scorer
 from rankforge.operators import fusion, grid, metrics, query_variants, rerank
+from rankforge.operators import votes as V
 from rankforge.plans.common import TOKENS, documents, questions, tokens_sql
 from rankforge.plans.lexical_search import LISTS_SQL, fused_sql, plan_of, rankers
 from rankforge.plans.registry import query
-from rankforge.plans.runs import GOLD_SQL, gold, once
+from rankforge.plans.runs import GOLD_SQL, RUNS_SQL, gold, once, runs
+from rankforge.session import table
 
 BIG = "bigint"
 # Fixed value: strategies of the registered grid, one per shape of variant list.
@@ -238,3 +241,38 @@ def config_grid_384(spark, sf_dir):
 )
 def axis_sweep(spark, sf_dir):
     return grid.axis_sweep(jobs(spark, sf_dir)).select("qid", "config")
+
+
+@query(
+    "generate_and_judge",
+    rf"""WITH {RUNS_SQL},
+    ctx AS (SELECT system, qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS c FROM runs JOIN documents ON doc_id = page WHERE rank <= 5 GROUP BY ALL),
+    ans AS (SELECT system, qid, regexp_extract(c, '(?s)^\s*(.*?[.!?]|.*)', 1) AS a FROM ctx),
+    ov AS (SELECT system, qid, list_distinct({tokens_sql('b.text')}) AS tw, list_distinct({tokens_sql("split_part(b.text, '.', 1)")}) AS qw, list_distinct({tokens_sql('a')}) AS aw
+      FROM ans JOIN benchmark b ON item_id = qid),
+    sc AS (SELECT system, qid, 1 + floor(coalesce(len(list_intersect(tw, aw))::DOUBLE / nullif(len(tw), 0), 0) * 4) AS t,
+      1 + floor(coalesce(len(list_intersect(qw, aw))::DOUBLE / nullif(len(qw), 0), 0) * 4) AS q FROM ov)
+    SELECT system, count(*) AS total, count(*) FILTER (WHERE ((t >= 4)::INT + (q >= 4)::INT) * 2 >= 2) AS o, round(avg((2 * t + 2 * q) / 4), 9) AS judge_mean
+    FROM sc GROUP BY system""",
+)
+def generate_and_judge(spark, sf_dir):
+    """Context, answer, four judge replies, parsed scores, votes: the whole chain with stand-in models."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
+    context = (
+        runs(spark, sf_dir).where("rank <= 5").join(texts, "page")
+        .groupBy("system", "qid").agg(X.joined_by_rank(F.col("rank"), F.col("text"), "\n\n").alias("context"))
+    )
+    asked = questions(spark, sf_dir).select("qid", F.col("text").alias("target"), F.split("text", r"\.")[0].alias("question"))
+    answers = context.join(asked, "qid").withColumn("answer", first_sentence_generator(F.col("context")))
+    against = {"similarity": "target", "correctness": "target", "completeness": "question", "faithfulness": "question"}
+    replies = F.array(
+        *[F.struct(F.lit(m).alias("metric"), overlap_judge(F.col(c), F.col("answer")).alias("reply")) for m, c in against.items()]
+    )
+    scores = answers.select("system", "qid", F.explode(replies).alias("r")).select(
+        "system", "qid", "r.metric", extract_score(F.col("r.reply"), F.lit("")).alias("score")
+    )
+    mean = scores.groupBy("system").agg(F.round(F.avg("score"), 9).alias("judge_mean"))
+    cells = V.ox_cells(scores, cell=("system", "qid"))
+    return cells.groupBy("system").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("ox") == "O").alias("o")
+    ).join(mean, "system")

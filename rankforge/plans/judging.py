@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions.names import open_by_list
 from rankforge.operators import votes as V
-from rankforge.plans.common import OPEN_CANDIDATES, VOTES_SQL, documents, votes
+from rankforge.plans.common import CANDIDATES, JUDGES, OPEN_CANDIDATES, VOTES_SQL, _list_sql, documents, question_attributes, votes
 from rankforge.plans.registry import query
 
 CELL = ("qid", "domain", "context_type", "cand", "judge")
@@ -200,3 +200,56 @@ def empty_answer_votes(spark, sf_dir):
         .groupBy("cand")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total_score"))
     )
+
+
+@query(
+    "missing_judges",
+    f"""WITH {VOTES_SQL} SELECT cand, judge FROM (SELECT unnest({_list_sql(CANDIDATES)}) AS cand), (SELECT unnest({_list_sql(JUDGES)}) AS judge)
+    WHERE (cand, judge) NOT IN (SELECT (cand, judge) FROM acc)""",
+)
+def missing_judges(spark, sf_dir):
+    """Pairs of candidate and judge that no cell covers."""
+    return V.missing_pairs(cells(spark, sf_dir), CANDIDATES, JUDGES)
+
+
+# every 31st cell has no vote at all
+GAPPY_SQL = f"""{VOTES_SQL},
+kept AS (SELECT qid, cand, judge, metric, score FROM votes WHERE (ix + cand_ix) % 31 <> 0),
+grid AS (SELECT q.qid, cand, judge FROM (SELECT printf('q%04d', doc_id) AS qid FROM documents) q, (SELECT DISTINCT cand, judge FROM kept)),
+given AS (SELECT qid, cand, judge, count(*) FILTER (WHERE score >= 4) AS o, """ + ", ".join(
+    f"max(score) FILTER (WHERE metric = '{m}') AS m{i}" for i, m in enumerate(V.METRICS)
+) + """ FROM kept GROUP BY ALL),
+items AS (SELECT g.*, coalesce(o, 0) AS o_count, CASE WHEN coalesce(o, 0) >= 2 THEN 'O' ELSE 'X' END AS result, o IS NULL AS missing,
+  """ + " || ',' || ".join(f"'{m}=' || coalesce(m{i}, 0)" for i, m in enumerate(V.METRICS)) + """ AS votes
+  FROM grid g LEFT JOIN given USING (qid, cand, judge))"""
+
+
+def gappy_items(spark, sf_dir):
+    kept = votes(spark, sf_dir).where((F.col("ix") + F.col("cand_ix")) % 31 != 0)
+    return V.judged_items(kept, question_attributes(spark, sf_dir))
+
+
+@query("judged_items", f"WITH {GAPPY_SQL} SELECT qid, cand, judge, votes, o_count::INT AS o_count, result, missing FROM items")
+def judged_items(spark, sf_dir):
+    """Vote maps of all questions, gaps filled with zeros."""
+    shown = F.array_join(F.transform(F.map_entries("votes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return gappy_items(spark, sf_dir).withColumn("votes", shown)
+
+
+@query(
+    "judge_file_summary",
+    f"""WITH {GAPPY_SQL} SELECT cand, judge, count(*) AS total, count(*) FILTER (WHERE NOT missing) AS scored, count(*) FILTER (WHERE result = 'O') AS o_count,
+    count(*) FILTER (WHERE result = 'X') AS x_count, count(*) FILTER (WHERE result = 'O')::DOUBLE / count(*) AS accuracy FROM items GROUP BY cand, judge""",
+)
+def judge_file_summary(spark, sf_dir):
+    return V.judge_file_summary(gappy_items(spark, sf_dir))
+
+
+@query(
+    "judge_work_order",
+    """SELECT printf('q%04d', doc_id) AS qid, m AS metric FROM documents, (SELECT unnest(['similarity', 'correctness', 'completeness', 'faithfulness']) AS m)""",
+)
+def judge_work_order(spark, sf_dir):
+    """Judge calls laid out so that calls with the same prompt head follow each other."""
+    calls = question_attributes(spark, sf_dir).select("qid", F.explode(F.array(*[F.lit(m) for m in V.METRICS])).alias("metric"))
+    return V.work_order(calls, "qid", "metric")

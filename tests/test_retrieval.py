@@ -32,10 +32,10 @@ def brute_ranks(q, c):
     return [np.lexsort((ids, -row)) for row in sims]
 
 
-@pytest.mark.parametrize("resident", [10_000, 0])
+@pytest.mark.parametrize("resident", [100_000, 0])
 def test_dense_topk_both_ways(spark, resident):
     q, c, qs, cs = vector_frames(spark, 9, 60)
-    got = dense.dense_topk(qs, cs, 7, resident_rows=resident, tile_rows=16).collect()
+    got = dense.dense_topk(qs, cs, 7, resident_cells=resident, tile_rows=16).collect()
     by_q = {i: [r.doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.qid == i] for i in range(9)}
     for i, order in enumerate(brute_ranks(q, c)):
         assert by_q[i] == order[:7].tolist()
