@@ -14,7 +14,9 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     scale = 1 + z * z / n
     centre = p + z * z / (2 * n)
     half = F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) * z
-    return F.greatest((centre - half) / scale, F.lit(0.0)), F.least((centre + half) / scale, F.lit(1.0))
+    # greatest and least skip NULL, so the missing case is kept apart
+    known = lambda bound: F.when(n.isNotNull(), bound)
+    return known(F.greatest((centre - half) / scale, F.lit(0.0))), known(F.least((centre + half) / scale, F.lit(1.0)))
 
 
 def overlap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:

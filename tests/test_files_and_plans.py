@@ -1,13 +1,12 @@
 """Readers, loaders, streaming resume and the shape of physical plans."""
 
-import io
-import contextlib
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tests.conftest import plan_of
 from rankforge.session import table
 from rankforge.sources import loaders, readers, writers
 from rankforge.sources.html import html_text
@@ -75,19 +74,6 @@ def test_stream_takes_up_where_it_stopped(spark, sf, tmp_path):
     assert got == {(r.user_id, r.t) for r in want.collect()}
 
 
-def plan_of(df):
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        df.explain("formatted")
-    return out.getvalue()
-
-
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_cross_join(spark, sf, name):
-    plan = plan_of(entry.queries()[name](spark, sf))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 @pytest.mark.parametrize("name", ["bm25_topk", "dense_topk"])
 def test_top_k_is_cut_before_the_shuffle(spark, sf, name):
     assert plan_of(entry.queries()[name](spark, sf)).count("WindowGroupLimit") >= 2

@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 import __spark_entry__ as entry
 from check_oracles import TABLES, compare
+from tests.conftest import plan_of
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 ROWS_ONLY = {"bootstrap_gap", "chunk_recursive_300_50"}
@@ -31,6 +32,8 @@ def test_only_known_queries_lack_sql():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, duck, sf, name):
     df = QUERIES[name](spark, sf)
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     rel = duck.sql(ORACLE[name])
     assert compare(df.columns, [tuple(r) for r in df.collect()], rel.columns, rel.fetchall()) is None
 
