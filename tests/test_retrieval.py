@@ -54,10 +54,11 @@ def test_dense_topk_within_group(spark):
         assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.qid == i] == want
 
 
-def test_dense_ranks_count_every_place(spark):
+@pytest.mark.parametrize("resident", [100_000, 0])
+def test_dense_ranks_count_every_place(spark, resident):
     q, c, qs, cs = vector_frames(spark, 4, 50)
     pairs = qs.select("qid").join(cs.select("doc_id"))
-    got = {(r.qid, r.doc_id): r["rank"] for r in dense.dense_ranks(pairs, qs, cs, tile_rows=16).collect()}
+    got = {(r.qid, r.doc_id): r["rank"] for r in dense.dense_ranks(pairs, qs, cs, tile_rows=16, resident_cells=resident).collect()}
     for i, order in enumerate(brute_ranks(q, c)):
         assert all(got[i, d] == place for place, d in enumerate(order.tolist(), 1))
 
