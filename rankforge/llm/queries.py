@@ -16,3 +16,43 @@ def op2_near_dedup(spark, sf_dir):
     from rankforge.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_OP8_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+_OP8_SQL = f"""
+with d as (select row_number() over () r, doc_id, coalesce({_OP8_WORDS}, []) w from documents),
+b as (select item_id, {_OP8_WORDS} w from benchmark where item_id is not null and text is not null),
+bl as (select *, least(13, len(w)) l from b where len(w) > 0),
+win as (select distinct item_id, l, array_to_string(w[p:p + l - 1], ' ') g
+        from (select *, unnest(range(1, len(w) - l + 2)) p from bl)),
+sizes as (select distinct l from win),
+dw as (select r, l, p, array_to_string(w[p:p + l - 1], ' ') g
+       from (select r, w, l, unnest(range(1, len(w) - l + 2)) p from d, sizes where len(w) >= l)),
+hit as (select r, l, p, item_id from dw join win using (l, g)),
+words as (select r, count(*) n_hit from (select distinct r, unnest(range(p, p + l)) q from hit) group by r),
+items as (select r, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) ids
+          from hit group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+       sha256(coalesce(ids, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join words using (r) left join items using (r)
+"""
+
+
+@query("op8_decontaminate", _OP8_SQL)
+def op8_decontaminate(spark, sf_dir):
+    from rankforge.llm import decontaminate as dc
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = dc.scan(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        dc.contaminated(found).alias("contaminated"),
+    )
