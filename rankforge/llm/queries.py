@@ -56,3 +56,15 @@ def op8_decontaminate(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         dc.contaminated(found).alias("contaminated"),
     )
+
+
+@query("op1_pii")
+def op1_pii(spark, sf_dir):
+    from rankforge.llm import pii
+
+    spans = F.array_join(
+        F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans")
+    )
