@@ -68,3 +68,11 @@ def op1_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans")
     )
+
+
+@query("op9_quality")
+def op9_quality(spark, sf_dir):
+    from rankforge.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs).select("row.doc_id", "posterior", "score", "kept")

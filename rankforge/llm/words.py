@@ -57,14 +57,14 @@ def powers(step: int, n: int):
 class Block:
     """Words of some consecutive texts of a batch.
 
-    ``data`` holds the lower-cased bytes, ``bounds`` the texts' byte limits,
+    ``raw`` and ``data`` hold the bytes as they are and lower-cased, ``bounds`` the texts' byte limits,
     ``starts``/``ends`` each word's byte limits, ``first`` the number of words
     before each text (one more entry than texts) and ``first_row`` the batch
     row of the first text.
     """
 
     def __init__(self, data, bounds, separators, first_row):
-        self.data, self.bounds, self.first_row = LOWER[data], bounds, first_row
+        self.raw, self.data, self.bounds, self.first_row = data, LOWER[data], bounds, first_row
         inside = ~separators[data]
         # a text border inside a run of word bytes cuts the run
         edge = np.diff(inside.view(np.int8), prepend=0, append=0)
