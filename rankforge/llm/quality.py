@@ -34,7 +34,7 @@ DIMENSIONS = 1 << 12
 SAMPLE_DOCS = 8_000
 CUT = 0.5
 #: What is taken for granted of every labeller: so many of its bad votes are right.
-TRUST = 0.97
+TRUST = 0.95
 
 # byte classes: what a word's shape is made of
 _UPPER, _LOWER, _DIGIT, _STOP, _OTHER = range(5)
