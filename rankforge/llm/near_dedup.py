@@ -13,11 +13,12 @@ The work, all on Spark tables:
 2. in each band bucket, pair every class with one leader, estimate the
    similarity from the registers with the expected chance collisions taken off,
    and confirm the rest on the full sets; join the links to components;
-3. buckets that still hold several components choose other leaders, then pair
-   what lies in different components: small buckets by a join, larger ones in
-   tiles of registers compared as arrays. A group of copies, however large,
-   so costs one pair per member, and no member pair of different components in
-   a bucket goes unseen.
+3. buckets that still hold several components choose other leaders once, then
+   what lies in different components is compared in tiles: estimates from the
+   registers, then the full sets, all inside the task. Only links that join two
+   components leave a tile. A group of copies, however large, so costs a pair
+   per member and round, and no pair of different components in a bucket goes
+   unseen.
 
 Defined cases: null or word-less texts have an empty set and are linked with
 nothing. A row without ``doc_id`` is linked with nothing, its component is null
@@ -44,8 +45,7 @@ EMPTY = np.uint32(0xFFFFFFFF)
 #: A pair is dropped unread only when its estimate lies this far under the
 #: threshold: four standard deviations of an estimate from 128 registers.
 MARGIN = 0.155
-SMALL_BUCKET = 64
-TILE = 1024
+TILE_ROWS, TILE_SHINGLES = 1024, 500_000
 LEADER_ROUNDS = 2
 WORDS = 5
 
@@ -185,20 +185,58 @@ def _confirm_batches(batches, percent):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile_pairs(left, right, least, percent):
-    """Pairs of different components with a high estimate, within one tile."""
-    import pandas as pd
+def _read_rows(table):
+    """Columns of one role in a tile: classes, labels, registers, sets."""
+    sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table["hashes"]]
+    return np.asarray(table["c"]), np.asarray(table["label"]), _matrix(table["sketch"], np.uint32, BUCKETS), sets
 
-    out = []
-    if len(left) and len(right):
-        a, b = (np.frombuffer(b"".join(x["sketch"]), dtype=np.uint32).reshape(len(x), BUCKETS) for x in (left, right))
-        n, m = left["n"].to_numpy(), right["n"].to_numpy()
-        same, label, c = left["label"].to_numpy(), right["label"].to_numpy(), right["c"].to_numpy()
-        for i in range(len(left)):
-            at = np.flatnonzero((label != same[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])))
-            at = at[estimate(a[i], b[at], n[i], m[at]) >= least]
-            out += [(left["c"].iat[i], x) for x in c[at]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+def _tile_links(table, least, percent):
+    """Confirmed links that join different components within one tile.
+
+    Rows of the tile's most common component are compared with the others only.
+    Registers are compared first; sets are intersected through the tile's
+    postings. A link is kept if it joins two components not joined yet here.
+    """
+    import pyarrow.compute as pc
+
+    out, parent = [], {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    roles = [_read_rows(table.filter(pc.equal(table["side"], side))) for side in (0, 1)]
+    if all(len(r[0]) for r in roles):
+        names, counts = np.unique(np.concatenate([r[1] for r in roles]), return_counts=True)
+        common = names[counts.argmax()]
+        for (c, label, registers_, sets), (other_c, other_label, other_registers, other_sets), rest in (
+            (*roles, False), (*roles[::-1], True),
+        ):
+            sizes = np.array([len(s) for s in other_sets])
+            flat, owner = np.concatenate(other_sets), np.repeat(np.arange(len(other_sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            # the second turn only adds what the first left out: its rows against the common component
+            pool = other_label == common if rest else np.ones(len(other_c), dtype=bool)
+            for i in np.flatnonzero(label != common):
+                mine = sets[i]
+                at = pool & (other_label != label[i])
+                at &= 100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))
+                at = np.flatnonzero(at)
+                at = at[estimate(registers_[i], other_registers[at], len(mine), sizes[at]) >= least]
+                if not len(at):
+                    continue
+                low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                spans = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low)
+                both = np.bincount(owner[spans + np.arange(len(spans))], minlength=len(sizes))[at]
+                for j in at[100 * both >= percent * (len(mine) + sizes[at] - both)]:
+                    x, y = root(label[i]), root(other_label[j])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((min(c[i], other_c[j]), max(c[i], other_c[j])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 class NearDuplicates:
@@ -222,11 +260,12 @@ class NearDuplicates:
         held = bands.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1")
         self.members = tmp.write(bands.join(held, "k"), "members")
         tmp.drop("bands")
-        self.edges, self.tested, self.labels = None, None, None
+        self.tested, self.labels = None, None
         for step in range(LEADER_ROUNDS):
             if not self._link(self._leader_pairs(step), f"leaders-{step}"):
                 break
-        self._link(self._cross_pairs(), "cross")
+        self._join(self.tmp.write(self._cross_links(), "cross"), "cross")
+        self.tmp.drop("open-sets")
         return self._result()
 
     def _labelled(self) -> DataFrame:
@@ -250,29 +289,45 @@ class NearDuplicates:
             .select(F.least("c", "leader.c").alias("a"), F.greatest("c", "leader.c").alias("b"))
         )
 
-    def _cross_pairs(self) -> DataFrame:
-        rows = self.tmp.write(self._labelled(), "open")
-        few = rows.filter(F.col("size") <= SMALL_BUCKET)
-        x, y = few.alias("x"), few.alias("y")
-        pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.label") < F.col("y.label"))).select(
-            F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")
-        )
-        return pairs.union(self._tiles(rows.filter(F.col("size") > SMALL_BUCKET)))
+    def _cross_links(self) -> DataFrame:
+        """Links between components that still share a bucket, confirmed in tiles.
 
-    def _tiles(self, rows: DataFrame) -> DataFrame:
-        """Pairs inside larger buckets, tile by tile: tile (i, j) holds parts i and j of a bucket."""
+        Buckets with the same leader hold nearly the same classes and form one
+        group, so a class goes to few groups. A group is cut into parts of
+        bounded rows and shingles; tile (i, j) compares parts i and j.
+        """
+        tmp = self.tmp
+        rows = tmp.write(self._labelled().select("k", "c", "label"), "open")
+        leader = rows.groupBy("k").agg(F.min_by("c", F.xxhash64("c")).alias("group"))
+        rows = rows.join(leader, "k").select("group", "c", "label").distinct()
         rows = rows.join(self.classes.select("c", "n", "sketch"), "c")
-        parts = F.ceil(F.col("size") / TILE)
-        rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))
-        left = rows.withColumn("other", F.explode(F.expr("sequence(part, parts - 1)"))).withColumn("side", F.lit(0))
-        right = rows.select(*[F.explode(F.expr("sequence(0L, part)")).alias("part") if c == "part" else c for c in rows.columns], F.col("part").alias("other"), F.lit(1).alias("side"))
+        sets = tmp.write(self._sets(rows.select("c")), "open-sets").dropDuplicates(["c"])
+        sized = rows.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+        parts = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES))
+        rows = (
+            rows.join(sized.select("group", parts.alias("parts")), "group")
+            .join(sets, "c")
+            .withColumn("part", F.pmod(F.xxhash64("c", F.lit(1)), F.col("parts")))
+            .select("group", "part", "parts", "c", "label", "sketch", "hashes")
+        )
+        kept = ["c", "label", "sketch", "hashes"]
+        left = rows.select("group", "part", F.explode(F.expr("sequence(part, parts - 1)")).alias("other"), F.lit(0).alias("side"), *kept)
+        right = rows.select("group", F.explode(F.expr("sequence(0L, part)")).alias("part"), F.col("part").alias("other"), F.lit(1).alias("side"), *kept)
         least, percent = self.least, self.percent
-        found = (
+        return (
             left.unionByName(right)
-            .groupBy("k", "part", "other")
-            .applyInPandas(lambda x: _tile_pairs(x[x["side"] == 0], x[x["side"] == 1], least, percent), "a long, b long")
+            .groupBy("group", "part", "other")
+            .applyInArrow(lambda table: _tile_links(table, least, percent), "a long, b long")
+        )
+
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """(c, hashes) of the classes in ``wanted``, from a text of each class."""
+        size = self.size
+        wanted = wanted.distinct().join(self.classes.select("c", "doc_id"), "c")
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        return texts.join(wanted, "doc_id").select("c", "text").mapInArrow(
+            lambda batches: _set_batches(batches, size), "c long, hashes binary"
         )
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def _link(self, pairs: DataFrame, name: str) -> bool:
         """Test the pairs not tested yet, add the links, renew the labels."""
@@ -287,7 +342,7 @@ class NearDuplicates:
         sized = tmp.write(sized, f"{name}-pairs")
         self.tested = sized.select("a", "b") if self.tested is None else self.tested.union(sized.select("a", "b"))
         sketches = self.classes.select("c", "sketch")
-        least, percent, size = self.least, self.percent, self.size
+        least, percent = self.least, self.percent
         near = tmp.write(
             sized.join(sketches.toDF("a", "sa"), "a")
             .join(sketches.toDF("b", "sb"), "b")
@@ -295,15 +350,8 @@ class NearDuplicates:
             .mapInArrow(lambda batches: _estimate_batches(batches, least), "a long, b long"),
             f"{name}-near",
         )
-        wanted = near.select(F.col("a").alias("c")).union(near.select(F.col("b").alias("c"))).distinct()
-        wanted = wanted.join(self.classes.select("c", "doc_id"), "c")
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        sets = tmp.write(
-            texts.join(wanted, "doc_id").select("c", "text").mapInArrow(
-                lambda batches: _set_batches(batches, size), "c long, hashes binary"
-            ),
-            f"{name}-sets",
-        )
+        wanted = near.select(F.col("a").alias("c")).union(near.select(F.col("b").alias("c")))
+        sets = tmp.write(self._sets(wanted), f"{name}-sets")
         links = tmp.write(
             near.join(sets.toDF("a", "ha"), "a")
             .join(sets.toDF("b", "hb"), "b")
@@ -312,13 +360,16 @@ class NearDuplicates:
             f"{name}-links",
         )
         tmp.drop(f"{name}-sets")
+        return self._join(links, name)
+
+    def _join(self, links: DataFrame, name: str) -> bool:
+        """Renew the labels with new links; false when there are none."""
         if links.isEmpty():
             return False
-        self.edges = links if self.edges is None else self.edges.union(links)
-        start = self.edges if self.labels is None else links.union(
+        start = links if self.labels is None else links.union(
             self.labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         )
-        self.labels = components(start, tmp, f"{name}-stars")
+        self.labels = components(start, self.tmp, f"{name}-stars")
         return True
 
     def _result(self) -> DataFrame:
