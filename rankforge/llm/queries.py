@@ -131,3 +131,33 @@ def op4_chat_format(spark, sf_dir):
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op5_html_text")
+def op5_html_text(spark, sf_dir):
+    from rankforge.llm.html_text import extract
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select(
+        "row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
+    )
+
+
+_OP10_SQL = """
+with v as (select vec_id, [x::double for x in embedding] e from embeddings
+           where vec_id is not null and len(embedding) > 0
+             and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+             and len([x for x in embedding if x <> 0]) > 0),
+d as (select q.vec_id query_id, v.vec_id, sqrt(list_reduce([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(q.e, v.e)], lambda a, b: a + b)) score
+      from v q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score, vec_id) n from d)
+select query_id, n::integer as "rank", vec_id, score from r where n <= 10
+"""
+
+
+@query("op10_nearest", _OP10_SQL)
+def op10_nearest(spark, sf_dir):
+    from rankforge.llm.vectors import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
