@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,17 +56,13 @@ MARKS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NEVER_MARKED = frozenset(["html", "body", "main", "article"])
 
+_CLOSE = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s>=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _TOKEN = re.compile(r"[a-zA-Z]+")
 
 
-@lru_cache
-def _closer(name):
-    return re.compile("</" + name, re.I | re.A)
-
-
 class _Ends:
     """Where tags end, minding quoted attribute values; linear over a whole page."""
 
@@ -185,7 +180,7 @@ def blocks(page):
                 counts[stack.pop()[0]] -= 1
                 state = stack[-1]
         if name in RAW:
-            stop = _closer(name).search(page, at)
+            stop = _CLOSE[name].search(page, at)
             if not stop:
                 break
             after = page.find(">", stop.end())

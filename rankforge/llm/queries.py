@@ -161,3 +161,11 @@ def op10_nearest(spark, sf_dir):
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark, sf_dir):
+    from rankforge.llm.language_model import LanguageModel, fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id")) == 1)
+    return LanguageModel(docs.filter(~F.col("held_out"))).score(docs, ["doc_id", "held_out"])
