@@ -29,6 +29,10 @@ def _split(codes, gradient, hessian, rows, ridge):
     return best
 
 
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def fit(x, y, trees=40, depth=3, rate=0.2, ridge=1.0):
     """Model for a feature matrix and 0/1 labels: plain values, safe to broadcast."""
     cuts = [np.unique(np.quantile(column, np.linspace(0, 1, BINS)[1:-1])) for column in x.T]
@@ -36,7 +40,7 @@ def fit(x, y, trees=40, depth=3, rate=0.2, ridge=1.0):
     start = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     score, forest = np.full(len(y), start), []
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-score))
+        p = sigmoid(score)
         gradient, hessian = p - y, p * (1 - p)
         # a tree is a full binary heap of (feature, threshold), then its leaves
         nodes, leaves = [(-1, 0.0)] * (2**depth - 1), np.zeros(2**depth)
@@ -78,11 +82,12 @@ def calibrate(score, y, steps=60):
     up, down = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(a * score + b)))
-        g = np.array([((p - target) * score).sum(), (p - target).sum()])
+        p = sigmoid(a * score + b)
+        # a weak pull to the identity keeps separable classes finite
+        g = np.array([((p - target) * score).sum() + (a - 1), (p - target).sum() + b])
         w = p * (1 - p) + 1e-9
         hess = np.array([[(w * score * score).sum(), (w * score).sum()], [(w * score).sum(), w.sum()]])
-        step = np.linalg.solve(hess + 1e-6 * np.eye(2), g)
+        step = np.linalg.solve(hess + np.eye(2), g)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankforge.llm import words
 from rankforge.llm.store import Scratch
@@ -230,7 +231,8 @@ class LanguageModel:
         """``keep`` columns of ``docs`` with n_tokens, n_known, base_score and score."""
         shared = self.spark.sparkContext.broadcast((self.table, vars(self.automaton)))
         packed = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
-        schema = f"row {packed.schema['row'].dataType.simpleString()}, n_tokens long, known long, base double, walked double, rare array<long>"
+        more = T._parse_datatype_string("n_tokens long, known long, base double, walked double, rare array<long>")
+        schema = T.StructType([packed.schema["row"], *more.fields])
         walked = packed.mapInArrow(lambda batches: _score_batches(batches, *shared.value), schema)
         walked = self.tmp.write(walked.withColumn("id", F.monotonically_increasing_id()), "walked")
         seen = walked.select("id", F.explode("rare").alias("h")).join(self.counts, "h", "left")

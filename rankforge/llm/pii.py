@@ -181,7 +181,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
 
 def probability(model, x):
     a, b = model["sigmoid"]
-    return 1 / (1 + np.exp(-(a * boosting.decision(model, x) + b)))
+    return boosting.sigmoid(a * boosting.decision(model, x) + b)
 
 
 def _select(base, proposed, p, threshold):
