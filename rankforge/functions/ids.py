@@ -4,12 +4,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Id formats.
-QID = r"q\d{3}"
+QID = r"q\d{3,}"
 UNSAFE = r"[^a-zA-Z0-9_-]"
 SAFE_LENGTH = 64
-COLON_ID = r"^(.+)::(q\d{3})::([a-z]+)$"
+COLON_ID = r"^(.+)::(q\d{3,})::([a-z]+)$"
 UNDERSCORE_ID = r"(?s)^(.*)__(.*)__(.*)$"
-LAZY_ID = r"^(.+?)__q(\d{3})__(\w+)$"
+LAZY_ID = r"^(.+?)__q(\d{3,})__(\w+)$"
 
 
 def qid(index: Column, width: int = 4) -> Column:
@@ -17,7 +17,7 @@ def qid(index: Column, width: int = 4) -> Column:
 
 
 def normalize_qid(raw: Column, index: Column) -> Column:
-    """Three-digit id found in ``raw``, else made from the position."""
+    """Id of three digits or more found in ``raw``, else made from the position."""
     return F.coalesce(F.nullif(F.regexp_extract(raw, QID, 0), F.lit("")), qid(index, 3))
 
 

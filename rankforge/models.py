@@ -40,14 +40,3 @@ def overlap_scorer(query: Column, text: Column) -> Column:
     words = F.array_distinct(tokenize_words(query))
     shared = F.size(F.array_intersect(words, tokenize_words(text)))
     return F.coalesce(F.try_divide(shared, F.size(words)), F.lit(0.0))
-
-
-def first_sentence_generator(context: Column) -> Column:
-    """First sentence of the context; stands in for a generator."""
-    return F.regexp_extract(context, r"(?s)^\s*(.*?[.!?]|.*)", 1)
-
-
-def overlap_judge(reference: Column, answer: Column) -> Column:
-    """Reply naming 1 to 5 by word overlap; stands in for a judge model."""
-    score = 1 + F.floor(overlap_scorer(reference, answer) * 4)
-    return F.concat(F.lit("Score: "), score.cast("string"))

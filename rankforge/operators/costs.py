@@ -1,4 +1,4 @@
-"""Tokens, money, latency and memory budgets."""
+"""Tokens, money and latency."""
 
 from __future__ import annotations
 
@@ -9,12 +9,34 @@ from pyspark.sql import functions as F
 # tokens (input, output) and the price of an unlisted model.
 CHARS_PER_TOKEN = 3.2
 PRICES = {
-    "gpt-5.4": (2.5, 15.0),
-    "gpt-5.4-mini": (0.75, 4.5),
-    "gpt-5.4-nano": (0.2, 1.25),
-    "gemini-3.1-pro-preview": (2.0, 12.0),
-    "kimi-k2.5": (0.38, 1.72),
-    "mistral-small-2603": (0.15, 0.6),
+    "openai/gpt-5.4-pro": (30.0, 180.0),
+    "openai/gpt-5.4": (2.5, 15.0),
+    "openai/gpt-5.4-mini": (0.75, 4.5),
+    "openai/gpt-5.4-nano": (0.2, 1.25),
+    "openai/gpt-5.3-chat": (1.75, 14.0),
+    "anthropic/claude-opus-4.6": (5.0, 25.0),
+    "anthropic/claude-sonnet-4.6": (3.0, 15.0),
+    "google/gemini-3.1-pro-preview": (2.0, 12.0),
+    "google/gemini-3.1-flash-lite-preview": (0.25, 1.5),
+    "x-ai/grok-4.20": (2.0, 6.0),
+    "cohere/command-a": (2.0, 10.0),
+    "perplexity/sonar-reasoning-pro": (3.0, 15.0),
+    "qwen/qwen3.6-plus": (0.33, 1.95),
+    "qwen/qwen3.5-flash": (0.065, 0.26),
+    "qwen/qwen3-max-thinking": (0.78, 3.9),
+    "z-ai/glm-5.1": (0.95, 3.15),
+    "z-ai/glm-4.7": (0.39, 1.75),
+    "minimax/minimax-m2.7": (0.3, 1.2),
+    "moonshotai/kimi-k2.5": (0.38, 1.72),
+    "nex-agi/deepseek-v3.1-nex-n1": (0.14, 0.5),
+    "mistralai/mistral-small-2603": (0.15, 0.6),
+    "nvidia/nemotron-3-super-120b-a12b": (0.1, 0.5),
+    "upstage/solar-pro-3": (0.15, 0.6),
+    "LGAI-EXAONE/K-EXAONE-236B-A23B": (0.2, 0.8),
+    "Qwen/Qwen3-235B-A22B-Instruct-2507": (0.2, 0.8),
+    "deepseek-ai/DeepSeek-V3.2": (0.5, 1.5),
+    "meta-llama/Llama-3.3-70B-Instruct": (0.6, 0.6),
+    "meta-llama/Llama-3.1-8B-Instruct": (0.1, 0.1),
 }
 DEFAULT_PRICE = (1.0, 5.0)
 
@@ -62,26 +84,3 @@ def latency_stats(rows: DataFrame, ms: str, by) -> DataFrame:
         F.round(F.percentile(ms, F.lit(0.95)), 9).alias("p95_ms"),
         F.round(F.try_divide(F.count(F.lit(1)), F.sum(ms) / 1000), 6).alias("qps"),
     )
-
-
-def next_fit(models: DataFrame, budget: float, most: int = 12) -> DataFrame:
-    """``(name, size, batch)``: models by size, packed until the next does not fit.
-
-    The model list fits in one row: it names models, not data.
-    """
-    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("held"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-
-    def step(s, m):
-        room = (s["used"] + m["size"] <= budget) & (s["held"] < most)
-        fresh = ~room & (s["held"] > 0)
-        batch = s["batch"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(
-            F.when(room, s["used"] + m["size"]).otherwise(m["size"]).alias("used"),
-            F.when(room, s["held"] + 1).otherwise(1).alias("held"),
-            batch.alias("batch"),
-            F.concat(s["out"], F.array(batch)).alias("out"),
-        )
-
-    ordered = models.agg(F.array_sort(F.collect_list(F.struct(F.col("size").cast("double").alias("size"), "name"))).alias("m"))
-    packed = ordered.select("m", F.aggregate("m", start, step, lambda s: s["out"]).alias("batch"))
-    return packed.select(F.explode(F.arrays_zip("m", "batch")).alias("z")).select("z.m.name", "z.m.size", "z.batch")

@@ -1,20 +1,33 @@
-"""BM25 over an inverted join: query terms meet document terms on the term."""
+"""BM25: documents are scored in the task that holds them.
+
+The corpus is tokenised once into a table of term counts per document. Texts
+are taken in blocks of bounded size; a block's weighted terms are broadcast, the
+table streams past, and a task keeps the best ``n`` documents of each text, or
+only counts the documents ahead of given ones. No table of texts times
+documents is ever formed.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from rankforge.functions.text import tokenize_words
-from rankforge.session import has_at_most, materialize
+from rankforge.session import materialize
 
 # Okapi defaults.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-BROADCAST_TERMS = 200_000
+# bounds of what a task is sent or keeps: weighted terms, kept rows, score cells
+BLOCK_TERMS = 300_000
+BLOCK_ROWS = 2_000_000
+CELLS = 2_000_000
 
 
 def term_counts(tokens: Column) -> Column:
@@ -57,16 +70,6 @@ def document_terms(docs: DataFrame, tokenize=tokenize_words, id_col="doc_id", te
     )
 
 
-def vocabulary(docs: DataFrame, tokenize=tokenize_words, id_col="doc_id", text_col="text") -> DataFrame:
-    """``(term, df)``: the number of documents that hold each term."""
-    return (
-        docs.select(F.explode_outer(F.array_distinct(tokenize(F.col(text_col)))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .where("term IS NOT NULL")
-    )
-
-
 def query_terms(queries: DataFrame, tokenize=tokenize_words, keys=("qid",), text_col="text") -> DataFrame:
     """``(*keys, term, qtf)``; a repeated query word counts each time."""
     return (
@@ -76,117 +79,268 @@ def query_terms(queries: DataFrame, tokenize=tokenize_words, keys=("qid",), text
     )
 
 
-def bm25_scores(
-    docs: DataFrame,
-    queries: DataFrame,
-    *,
-    tokenize=tokenize_words,
-    keys=("qid",),
-    id_col="doc_id",
-    text_col="text",
-    query_text="text",
-    k1=K1,
-    b=B,
-    epsilon=EPSILON,
-    fill: int = 0,
-) -> DataFrame:
-    """``(*keys, id_col, score)`` for every pair that shares a term.
-
-    Pairs that share none score 0 and are left out, but for the ``fill``
-    smallest ids, which are enough to complete lists of that length. A
-    document's terms are counted and weighted in the task that reads it; only
-    one row per (query, document) is shuffled.
-    """
-    terms = query_terms(queries, tokenize, keys, query_text)
-    totals = (
-        docs.select(F.size(tokenize(F.col(text_col))).cast("bigint").alias("dl"))
-        .agg(
-            F.struct(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl")).alias("t")
-        )
-        .scalar()
-    )
-    raw_idf = F.log(totals["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    vocab = vocabulary(docs, tokenize, id_col, text_col)
-    # the weight depends on df alone, so the mean adds one value per distinct df
-    floor = (
-        vocab.groupBy("df")
-        .agg(F.count(F.lit(1)).alias("n_terms"))
-        .agg((F.sum(F.col("n_terms") * raw_idf) / F.sum("n_terms") * epsilon).alias("floor"))
-        .scalar()
-    )
-    raw = F.col("raw")
-    weighted = (
-        terms.join(vocab.withColumn("raw", raw_idf), "term")
-        .select(*keys, "term", (F.col("qtf") * F.when(raw < 0, floor).otherwise(raw)).alias("w"))
-    )
-    if has_at_most(terms, BROADCAST_TERMS):
-        weighted = F.broadcast(weighted)
-    gain = (
-        F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / totals["avgdl"]))
+class _Texts:
+    """Weighted terms of a block of texts: plain values, to be broadcast."""
+
+    def __init__(self, ids, lines):
+        """``lines``: (text number, term, weight) triples."""
+        self.ids = ids
+        lines = sorted(lines, key=lambda x: x[1])
+        self.terms, firsts = {}, []
+        for i, (_, term, _) in enumerate(lines):
+            if term not in self.terms:
+                self.terms[term] = len(firsts)
+                firsts.append(i)
+        self.first = np.array([*firsts, len(lines)], dtype=np.int64)
+        self.text = np.array([x[0] for x in lines], dtype=np.int64)
+        self.weight = np.array([x[2] for x in lines], dtype=np.float64)
+
+
+def _numbers(column):
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _expand(first, counts):
+    """``first``, ``first + 1``, ... of each slice, one after another."""
+    shift = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+    return shift + np.arange(int(counts.sum()))
+
+
+def _score_cells(batch, texts, avgdl, k1, b):
+    """``(ids, scores)`` of parts of a batch; ``scores`` is documents x texts."""
+    n_texts = len(texts["ids"])
+    step = max(1, CELLS // max(1, n_texts))
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        ids, dl = _numbers(part.column(0)), _numbers(part.column(1)).astype(np.float64)
+        sizes = _numbers(pa.compute.list_value_length(part.column(2)).fill_null(0))
+        words = part.column(2).flatten().dictionary_encode()
+        known = np.array([texts["terms"].get(w, -1) for w in words.dictionary.to_pylist()] or [-1], dtype=np.int64)
+        term = known[_numbers(words.indices)] if len(words) else np.zeros(0, dtype=np.int64)
+        doc = np.repeat(np.arange(part.num_rows), sizes)[term >= 0]
+        tf = _numbers(part.column(3).flatten()).astype(np.float64)[term >= 0]
+        term = term[term >= 0]
+        gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl)) if len(doc) else tf
+        counts = texts["first"][term + 1] - texts["first"][term]
+        line = _expand(texts["first"][term], counts)
+        cell = np.repeat(doc, counts) * n_texts + texts["text"][line]
+        scores = np.bincount(cell, np.repeat(gain, counts) * texts["weight"][line], part.num_rows * n_texts)
+        yield ids, np.round(scores, 9).reshape(part.num_rows, n_texts)
+
+
+def _first(scores, ids, n):
+    """Places of the ``n`` best scores; equal scores by the smaller id."""
+    if len(scores) <= n:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - n)[len(scores) - n]
+    above, equal = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+    return np.concatenate([above, equal[np.argsort(ids[equal], kind="stable")[: n - len(above)]]])
+
+
+def _top_batches(batches, texts, n, avgdl, k1, b):
+    kept = [([], []) for _ in texts["ids"]]
+    names, id_type = None, None
+
+    def cut(i):
+        scores, ids = (np.concatenate(x) for x in kept[i])
+        at = _first(scores, ids, n)
+        kept[i] = ([scores[at]], [ids[at]])
+
+    for batch in batches:
+        id_type = batch.schema.types[0]
+        for ids, scores in _score_cells(batch, texts, avgdl, k1, b):
+            for i in range(scores.shape[1]):
+                at = _first(scores[:, i], ids, n)
+                kept[i][0].append(scores[at, i])
+                kept[i][1].append(ids[at])
+                if len(kept[i][0]) > 8:
+                    cut(i)
+    if id_type is None:
+        return
+    for i, name in enumerate(texts["ids"]):
+        if kept[i][0]:
+            cut(i)
+            scores, ids = kept[i][0][0], kept[i][1][0]
+            names = pa.array([name] * len(ids), texts["type"])
+            yield pa.RecordBatch.from_arrays(
+                [names, pa.array(ids.tolist(), id_type), pa.array(scores)], names=["text", "id", "score"]
+            )
+
+
+def _pair_batches(batches, texts, avgdl, k1, b):
+    """Scores of the (document, text) pairs asked for: the batch's last column lists texts."""
+    number = {name: i for i, name in enumerate(texts["ids"])}
+    for batch in batches:
+        at = 0
+        for ids, scores in _score_cells(batch, texts, avgdl, k1, b):
+            wanted = batch.column(4).slice(at, len(ids)).to_pylist()
+            rows = [(t, d, number[t]) for d, ts in enumerate(wanted) for t in ts if t in number]
+            at += len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([t for t, _, _ in rows], texts["type"]),
+                    pa.array([ids[d] for _, d, _ in rows], batch.schema.types[0]),
+                    pa.array([scores[d, i] for _, d, i in rows], pa.float64()),
+                ],
+                names=["text", "id", "score"],
+            )
+
+
+def _ahead_batches(batches, texts, marks, avgdl, k1, b):
+    """How many documents fall between the marks of each text, which are sorted (-score, id) lists."""
+    gaps = [np.zeros(len(m[0]) + 1, dtype=np.int64) for m in marks]
+    for batch in batches:
+        for ids, scores in _score_cells(batch, texts, avgdl, k1, b):
+            for i, (mark, mark_id) in enumerate(marks):
+                mine = -scores[:, i]
+                start, end = np.searchsorted(mark, mine, "left"), np.searchsorted(mark, mine, "right")
+                place, tied = start.copy(), np.flatnonzero(start < end)
+                for low in np.unique(start[tied]):
+                    same = tied[start[tied] == low]
+                    place[same] = low + np.searchsorted(mark_id[low : end[same[0]]], ids[same], "right")
+                gaps[i] += np.bincount(place, minlength=len(gaps[i]))
+    rows = [(i, j, int(n)) for i, g in enumerate(gaps) for j, n in enumerate(g) if n]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], names=["text", "gap", "n"]
     )
-    parts = document_terms(docs, tokenize, id_col, text_col).join(weighted, "term").select(*keys, id_col, gain.alias("gain"))
-    if fill:
-        smallest = docs.select(id_col).orderBy(id_col).limit(fill).agg(F.collect_list(id_col)).scalar()
-        zeros = queries.select(*keys, F.explode(smallest).alias(id_col), F.lit(0.0).alias("gain"))
-        parts = parts.unionByName(zeros)
-    return parts.groupBy(*keys, id_col).agg(F.round(F.sum("gain"), 9).alias("score"))
 
 
-def top_k(scores: DataFrame, k: int, keys=("qid",), id_col="doc_id") -> DataFrame:
-    """Best ``k`` per key; ties go to the smaller id.
+class LexicalRanker:
+    """BM25 ranks of ``docs (doc_id, text)`` for ``texts (text_id, text)``.
 
-    Spark limits each group inside the map tasks before the shuffle, so a key
-    that owns most rows still sends only ``k`` rows per task.
+    All documents are ranked, by falling score, equal scores by the smaller
+    id; a document that shares no term with a text scores 0.
     """
-    w = W.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(id_col))
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
+    def __init__(self, texts: DataFrame, docs: DataFrame, tokenize=tokenize_words, k1=K1, b=B, epsilon=EPSILON):
+        self.spark, self.k1, self.b = docs.sparkSession, k1, b
+        counted = docs.select("doc_id", tokenize(F.col("text")).alias("tokens")).select(
+            "doc_id", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("p")
+        )
+        self.index = materialize(counted.select("doc_id", "dl", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs")))
+        totals = self.index.agg(F.count(F.lit(1)), F.sum(F.col("dl").cast("bigint"))).first()
+        self.n, self.avgdl = totals[0], (totals[1] or 0) / max(1, totals[0])
+        vocab = materialize(
+            self.index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        )
+        raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        # the weight depends on df alone, so the mean adds one value per distinct df
+        by_df = vocab.groupBy("df").agg(F.count(F.lit(1)).alias("terms")).withColumn("raw", raw)
+        mean = by_df.agg(F.sum(F.col("terms") * F.col("raw")) / F.sum("terms")).first()[0]
+        floor = (mean or 0.0) * epsilon
+        weight = F.col("qtf") * F.when(raw < 0, F.lit(floor)).otherwise(raw)
+        terms = query_terms(texts, tokenize, ("text_id",)).join(vocab, "term")
+        lists = terms.groupBy("text_id").agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("lines"))
+        self.weights = materialize(texts.select("text_id").distinct().join(lists, "text_id", "left"))
+        self.text_type, self.id_type = texts.schema["text_id"].dataType, docs.schema["doc_id"].dataType
+
+    def _blocks(self, per_text: int):
+        """Blocks of texts, each within ``BLOCK_TERMS`` terms and ``BLOCK_ROWS`` kept rows."""
+        from pyspark.sql.pandas.types import to_arrow_type
 
-def fill_with_unmatched(top: DataFrame, queries: DataFrame, docs: DataFrame, k: int, keys=("qid",), id_col="doc_id") -> DataFrame:
-    """Complete lists shorter than ``k`` with zero-score documents in id order.
+        kind = to_arrow_type(self.text_type)
 
-    A query with fewer than ``k`` matches has its missing documents among the
-    ``k`` smallest ids plus its own matches, so ``k`` ids are enough.
-    """
-    smallest = (
-        docs.select(id_col).orderBy(id_col).limit(k).agg(F.collect_list(id_col).alias("ids")).scalar()
-    )
-    have = top.groupBy(*keys).agg(F.collect_set(id_col).alias("have"))
-    short = (
-        queries.select(*keys)
-        .join(have, list(keys), "left")
-        .withColumn("have", F.coalesce("have", F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")))
-        .where(F.size("have") < k)
-        .select(*keys, F.explode(F.array_except(smallest, F.col("have"))).alias(id_col))
-        .withColumn("score", F.lit(0.0))
-    )
-    return top_k(top.select(*keys, id_col, "score").unionByName(short.select(*keys, id_col, "score")), k, keys, id_col)
+        def made(ids, lines):
+            block = vars(_Texts(ids, lines))
+            return ids, self.spark.sparkContext.broadcast({**block, "type": kind})
+
+        ids, lines = [], []
+        for row in self.weights.toLocalIterator():
+            mine = row["lines"] or []
+            if ids and (len(lines) + len(mine) > BLOCK_TERMS or (len(ids) + 1) * per_text > BLOCK_ROWS):
+                yield made(ids, lines)
+                ids, lines = [], []
+            lines += [(len(ids), x["term"], x["w"]) for x in mine]
+            ids.append(row["text_id"])
+        if ids:
+            yield made(ids, lines)
+
+    def _found(self, parts):
+        rows = None
+        for part in parts:
+            rows = part if rows is None else rows.unionByName(part)
+        return rows
+
+    def _schema(self):
+        fields = [("text_id", self.text_type), ("doc_id", self.id_type), ("score", T.DoubleType())]
+        return T.StructType([T.StructField(n, t) for n, t in fields])
+
+    def top(self, n: int) -> DataFrame:
+        """``(text_id, doc_id, score, rank)`` down to rank ``n``; tasks send ``n`` rows per text."""
+        schema, avgdl, k1, b = self._schema(), self.avgdl, self.k1, self.b
+
+        def part(block):
+            return self.index.mapInArrow(lambda x: _named(_top_batches(x, block.value, n, avgdl, k1, b), schema), schema)
+
+        rows = self._found([part(block) for _, block in self._blocks(n)])
+        if rows is None:
+            rows = self.spark.createDataFrame([], schema)
+        return top_k(rows, n, ("text_id",))
+
+    def scores(self, pairs: DataFrame) -> DataFrame:
+        """``(text_id, doc_id, score)`` of given ``(text_id, doc_id)`` pairs."""
+        schema, avgdl, k1, b = self._schema(), self.avgdl, self.k1, self.b
+        asked = pairs.groupBy("doc_id").agg(F.collect_set("text_id").alias("asked"))
+        wanted = materialize(self.index.join(asked, "doc_id").select("doc_id", "dl", "terms", "tfs", "asked"))
+
+        def part(block):
+            return wanted.mapInArrow(lambda x: _named(_pair_batches(x, block.value, avgdl, k1, b), schema), schema)
 
+        rows = self._found([part(block) for _, block in self._blocks(1)])
+        return self.spark.createDataFrame([], schema) if rows is None else rows
 
-def bm25_ranks(pairs: DataFrame, scores: DataFrame, docs: DataFrame, keys=("qid",), id_col="doc_id") -> DataFrame:
-    """Exact full-corpus rank of given ``(*keys, id_col)`` pairs.
+    def ranks(self, pairs: DataFrame) -> DataFrame:
+        """``(text_id, doc_id, rank)`` of given pairs in the ranking of all documents.
 
-    Matched documents are counted from ``scores``; the zero-score tail follows
-    in id order, so a tail document's place is its id's place among all
-    documents less the matched ones before it.
+        Their scores are fetched first; then one pass counts, per text, the
+        documents between neighbouring pairs.
+        """
+        avgdl, k1, b = self.avgdl, self.k1, self.b
+        on = W.partitionBy("text_id").orderBy(F.col("score").desc(), "doc_id")
+        marked = materialize(self.scores(pairs).withColumn("mark", F.row_number().over(on) - 1))
+        most = marked.groupBy("text_id").count().agg(F.max("count")).first()[0] or 1
+        counted = None
+        for ids, block in self._blocks(most):
+            numbers = {name: i for i, name in enumerate(ids)}
+            rows = marked.join(F.broadcast(self._names(ids)), "text_id").collect()
+            lists = [([], []) for _ in ids]
+            for r in sorted(rows, key=lambda r: r["mark"]):
+                scores, marks = lists[numbers[r["text_id"]]]
+                scores.append(-r["score"])
+                marks.append(r["doc_id"])
+            marks = self.spark.sparkContext.broadcast([(np.array(s, dtype=np.float64), np.array(d)) for s, d in lists])
+            gaps = self.index.mapInArrow(
+                lambda x, block=block, marks=marks: _ahead_batches(x, block.value, marks.value, avgdl, k1, b),
+                "text bigint, gap bigint, n bigint",
+            )
+            gaps = gaps.groupBy("text", "gap").agg(F.sum("n").alias("n"))
+            part = gaps.join(F.broadcast(self._names(ids)), "text").select("text_id", F.col("gap").alias("mark"), "n")
+            counted = part if counted is None else counted.unionByName(part)
+        if counted is None:
+            return marked.select("text_id", "doc_id", F.lit(1).cast("bigint").alias("rank"))
+        # gap j holds the documents after mark j - 1 and before mark j
+        lines = marked.select("text_id", F.col("mark").cast("bigint").alias("mark"), "doc_id").join(
+            counted, ["text_id", "mark"], "full"
+        )
+        before = W.partitionBy("text_id").orderBy("mark").rowsBetween(W.unboundedPreceding, 0)
+        place = F.sum(F.coalesce("n", F.lit(0))).over(before)
+        return lines.withColumn("rank", place + 1).where("doc_id IS NOT NULL").select("text_id", "doc_id", "rank")
+
+    def _names(self, ids):
+        fields = [T.StructField("text_id", self.text_type), T.StructField("text", T.LongType())]
+        return self.spark.createDataFrame([(name, i) for i, name in enumerate(ids)], T.StructType(fields))
+
+
+def _named(batches, schema):
+    for batch in batches:
+        yield batch.rename_columns(schema.names)
+
+
+def top_k(scores: DataFrame, k: int, keys=("qid",), id_col="doc_id") -> DataFrame:
+    """Best ``k`` per key; ties go to the smaller id.
+
+    Spark limits each group inside the map tasks before the shuffle, so a key
+    that owns most rows still sends only ``k`` rows per task.
     """
-    from rankforge.operators.positions import count_ahead, positions
-
-    on = [*keys, id_col]
-    scored = materialize(pairs.select(*on).join(scores, on, "left"))
-    ahead = count_ahead(
-        scores,
-        scored.withColumn("score", F.coalesce("score", F.lit(0.0))),
-        keys,
-        id_col,
-        -F.col("score"),
-    )
-    tail = scored.where(F.col("score").isNull()).select(*on)
-    if tail.isEmpty():
-        return ahead.select(*on, (F.col("ahead") + 1).alias("rank"))
-    before = count_ahead(scores, tail, keys, id_col, F.col(id_col)).withColumnRenamed("ahead", "matched_before")
-    places = positions(docs, id_col)
-    tail = tail.join(before, on).join(places, id_col).select(*on, (F.col("pos") - F.col("matched_before")).alias("tail_ahead"))
-    return ahead.join(tail, on, "left").select(
-        *on, (F.col("ahead") + F.coalesce("tail_ahead", F.lit(0)) + 1).alias("rank")
-    )
+    w = W.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(id_col))
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

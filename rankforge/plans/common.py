@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankforge.session import spread, table
+from rankforge.session import table
 
 # The dimension ranges searched as separate systems.
 SLICES = {"d01_16": (0, 16), "d17_32": (16, 32), "d33_48": (32, 48), "d49_64": (48, 64), "full": (0, 64)}
@@ -36,13 +36,9 @@ hits AS (
 )
 """
 
-# Word counts of the shortened query systems.
-QUERY_WORDS = {"bm25_q2": 2, "bm25_q3": 3, "bm25_q5": 5, "bm25_full": None}
-
-
 def documents(spark, sf_dir, *cols):
     docs = table(spark, sf_dir, "documents")
-    return spread(docs.select(*cols) if cols else docs)
+    return docs.select(*cols) if cols else docs
 
 
 def questions(spark, sf_dir):
@@ -105,8 +101,22 @@ JUDGES = [
     "gemma4_31b", "nemotron-3-super-120b", "qwen3.5_35b-a3b-q4_K_M",
     "gemini-3-flash-preview", "qwen3-next-80b", "gpt-5.4",
 ]
-OPEN_CANDIDATES = CANDIDATES[:9]
-OPEN_JUDGES = [JUDGES[i] for i in (0, 1, 2, 4)]
+# Candidates and judges with open weights.
+OPEN_SET = [
+    "deepseek-r1_70b_nothink", "exaone3.5_32b", "gpt-oss_20b", "gpt-oss_120b", "lfm2_24b", "mistral-small_24b", "phi4_14b",
+    "qwen3.5_9b-q4_K_M_nothink", "qwen3.5_9b-q8_0_nothink", "qwen3.5_27b-q8_0_nothink", "qwen3.5_122b-a10b-q4_K_M_nothink",
+    "qwen3.5_122b-a10b-q4_K_M_think", "deepseek_deepseek-v3.2", "deepseek_deepseek-v4-flash", "deepseek_deepseek-v4-pro",
+    "moonshotai_kimi-k2.5", "moonshotai_kimi-k2.6", "minimax_minimax-m2.5", "minimax_minimax-m2.7",
+    "mistralai_mistral-small-2603", "nvidia_nemotron-3-nano-30b-a3b", "xiaomi_mimo-v2.5", "xiaomi_mimo-v2.5-pro",
+    "z-ai_glm-4.7", "z-ai_glm-4.7-flash", "z-ai_glm-5", "z-ai_glm-5.1",
+]
+OPEN_JUDGE_SET = [
+    "gemma4_31b", "nemotron-3-super-120b", "qwen3-next-80b", "qwen3.5-27b-claude-distill", "qwen3.5_122b-a10b-q4_K_M",
+    "qwen3.5_35b-a3b-q4_K_M", "qwen3.6_35b-a3b-q4_K_M", "solar-open-100b", "supergemma4-26b",
+]
+# those of them in the vote table
+OPEN_CANDIDATES = [c for c in CANDIDATES if c in OPEN_SET]
+OPEN_JUDGES = [j for j in JUDGES if j in OPEN_JUDGE_SET]
 METRIC_NAMES = ["similarity", "correctness", "completeness", "faithfulness"]
 
 

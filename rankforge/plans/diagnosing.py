@@ -177,13 +177,13 @@ def jaccard_pairs(spark, sf_dir):
 
 @query(
     "jaccard_extremes",
-    f"""WITH {JACCARD_SQL} (SELECT 'high' AS side, system_a, system_b, jaccard FROM jac ORDER BY jaccard DESC, system_a, system_b LIMIT 3)
-    UNION ALL (SELECT 'low', system_a, system_b, jaccard FROM jac ORDER BY jaccard, system_a, system_b LIMIT 3)""",
+    f"""WITH {JACCARD_SQL} (SELECT 'high' AS side, system_a, system_b, jaccard FROM jac ORDER BY jaccard DESC, system_a, system_b LIMIT 10)
+    UNION ALL (SELECT 'low', system_a, system_b, jaccard FROM jac ORDER BY jaccard, system_a, system_b LIMIT 10)""",
 )
 def jaccard_extremes(spark, sf_dir):
     """Most and least similar pairs of systems."""
     pairs = D.jaccard(runs(spark, sf_dir)).select("system_a", "system_b", "jaccard")
-    side = lambda name, order: pairs.orderBy(order, "system_a", "system_b").limit(3).withColumn("side", F.lit(name))
+    side = lambda name, order: pairs.orderBy(order, "system_a", "system_b").limit(10).withColumn("side", F.lit(name))
     return side("high", F.col("jaccard").desc()).unionByName(side("low", F.col("jaccard").asc()))
 
 

@@ -4,20 +4,20 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import text as X
 from rankforge.functions.ids import qid as make_qid
-from rankforge.functions.scores import extract_score
-from rankforge.models import first_sentence_generator, overlap_judge, overlap_scorer
+from rankforge.models import overlap_scorer
 from rankforge.operators import fusion, grid, metrics, query_variants, rerank
-from rankforge.operators import votes as V
 from rankforge.plans.common import TOKENS, documents, questions, tokens_sql
 from rankforge.plans.lexical_search import LISTS_SQL, fused_sql, plan_of, rankers
 from rankforge.plans.registry import query
-from rankforge.plans.runs import GOLD_SQL, RUNS_SQL, gold, once, runs
-from rankforge.session import table
+from rankforge.plans.runs import GOLD_SQL, gold, once
+from rankforge.session import materialize
 
 BIG = "bigint"
 # Fixed value: strategies of the registered grid, one per shape of variant list.
 SHAPES = query_variants.GRID_STRATEGIES
-GRID_WEIGHTS = {r: fusion.HYBRID_WEIGHTS[r] for r in ("hybrid_7_3", "hybrid_5_5", "hybrid_3_7", "hybrid_ws_5_5")}
+GRID_WEIGHTS = fusion.HYBRID_WEIGHTS
+# retrievers with one list add negated ranks over the variants
+GRID_SINGLE = {"dense": {"dense": 1.0}, "bm25_bigrams": {"sparse": 1.0}}
 
 
 def generated(spark, sf_dir):
@@ -34,6 +34,8 @@ def generated(spark, sf_dir):
         F.struct(F.lit("hyde").alias("kind"), cut(half + 1, n - half).alias("output")),
         F.struct(F.lit("query2doc").alias("kind"), cut(F.lit(1), half).alias("output")),
         F.struct(F.lit("multiq_para").alias("kind"), listed("\n").alias("output")),
+        F.struct(F.lit("multiq_angle").alias("kind"), listed("\n\n").alias("output")),
+        F.struct(F.lit("stepback").alias("kind"), cut(third + 1, n - third).alias("output")),
         F.struct(F.lit("decompose").alias("kind"), F.concat(F.lit("* "), cut(F.lit(1), half)).alias("output")),
         F.struct(F.lit("expand").alias("kind"), F.regexp_replace(cut(F.lit(1), F.lit(8)), " ", ", ").alias("output")),
         F.struct(F.lit("rewrite").alias("kind"), F.concat(cut(F.lit(1), F.lit(4)), F.lit("\nnote")).alias("output")),
@@ -58,6 +60,9 @@ lists AS (SELECT qid, text, hyde, q2d, rw,
   CASE WHEN mq IS NULL THEN [text, text, text] ELSE list_filter(list_transform(mq, lambda x: trim(regexp_replace(x, '^[\-\*\d\.\)\s]+', ''))), lambda x: length(x) > 2) END AS mq,
   list_filter([trim(regexp_replace(dec, '^[\-\*\d\.\)\s]+', ''))], lambda x: length(x) > 2) AS dec,
   list_filter(list_transform(coalesce(ex, []), lambda x: trim(regexp_replace(x, '^[\-\*\d\.\)\s]+', ''))), lambda x: length(x) > 1 AND length(x) < 30)[1:5] AS ex FROM said),
+angles AS (SELECT qid, text, coalesce(nullif(array_to_string(w[th + 1 :], ' '), ''), text) AS back,
+  list_filter(list_transform([array_to_string(w[1 : th], ' '), array_to_string(w[th + 1 : 2 * th], ' '), array_to_string(w[2 * th + 1 :], ' ')],
+    lambda x: trim(regexp_replace(x, '^[\-\*\d\.\)\s]+', ''))), lambda x: length(x) > 2) AS ma FROM h),
 vr AS (
   SELECT 'baseline' AS prer, qid, 0 AS variant, text AS dense_q, text AS sparse_q FROM lists
   UNION ALL SELECT 'hyde', qid, 0, coalesce(hyde, text), text FROM lists
@@ -71,10 +76,15 @@ vr AS (
   UNION ALL SELECT 'query_rewrite', qid, 0, rw, rw FROM lists)"""
 
 
-@query("query_variants", f"WITH {VARIANTS_SQL} SELECT prer, qid, variant::INT AS variant, dense_q, sparse_q FROM vr")
+@query(
+    "query_variants",
+    f"""WITH {VARIANTS_SQL} SELECT prer, qid, variant::INT AS variant, dense_q, sparse_q FROM vr
+    UNION ALL SELECT 'multi_query_angle', qid, i::INT, CASE WHEN i = 0 THEN text ELSE coalesce(ma[i], text) END, CASE WHEN i = 0 THEN text ELSE coalesce(ma[i], text) END FROM angles, range(4) t(i)
+    UNION ALL SELECT 'step_back', qid, i::INT, CASE WHEN i = 0 THEN text ELSE back END, CASE WHEN i = 0 THEN text ELSE back END FROM angles, range(2) t(i)""",
+)
 def query_variants_query(spark, sf_dir):
     """Texts each rewriting strategy searches with."""
-    return query_variants.variants(questions(spark, sf_dir), generated(spark, sf_dir))
+    return query_variants.variants(questions(spark, sf_dir), generated(spark, sf_dir), list(query_variants.STRATEGIES))
 
 
 @query(
@@ -97,18 +107,24 @@ def grid_hits(spark, sf_dir):
         side = lambda c: v.select("prer", "qid", F.col(c).alias("text"), text_key(F.col(c)).alias("text_id"))
         dense_use, sparse_use = side("dense_q"), side("sparse_q")
         texts = dense_use.select("text_id", "text").union(sparse_use.select("text_id", "text")).distinct()
-        lines = None
-        for use, names in ((dense_use, ("dense",)), (sparse_use, ("sparse", "words"))):
-            weights = {r: {n: w for n, w in by.items() if n in names} for r, by in GRID_WEIGHTS.items()}
+
+        def lines(retrievers):
+            found = None
+            for use, names in ((dense_use, ("dense",)), (sparse_use, ("sparse", "words"))):
+                weights = {r: {n: w for n, w in by.items() if n in names} for r, by in retrievers.items()}
+                part = plan_of(use.select(F.struct("prer", "qid").alias("qid"), "text_id"), {r: by for r, by in weights.items() if by})
+                found = part if found is None else found.unionByName(part)
             # the same text used twice by one question counts twice
-            part = plan_of(use.select(F.struct("prer", "qid").alias("qid"), "text_id"), weights)
-            lines = part if lines is None else lines.unionByName(part)
-        plan = (
-            lines.select(F.concat_ws("__", "qid.prer", "config").alias("config"), F.col("qid.qid").alias("qid"), "ranker", "text_id", "weight")
-            .groupBy("config", "qid", "ranker", "text_id")
-            .agg(F.sum("weight").alias("weight"))
+            return (
+                found.select(F.concat_ws("__", "qid.prer", "config").alias("config"), F.col("qid.qid").alias("qid"), "ranker", "text_id", "weight")
+                .groupBy("config", "qid", "ranker", "text_id")
+                .agg(F.sum("weight").alias("weight"))
+            )
+
+        made = rankers(spark, sf_dir, materialize(texts), ("dense", "sparse", "words"))
+        hits = fusion.fuse_rrf(lines(GRID_WEIGHTS), made, rerank.TOP_N).unionByName(
+            fusion.fuse_borda(lines(GRID_SINGLE), made, rerank.TOP_N)
         )
-        hits = fusion.fuse_rrf(plan, rankers(spark, sf_dir, texts, ("dense", "sparse", "words")), rerank.TOP_N)
         return hits.select("config", "qid", "doc_id", "score", F.col("rank").cast(BIG).alias("rank"))
 
     return once(spark, sf_dir, "grid_hits", build)
@@ -117,12 +133,13 @@ def grid_hits(spark, sf_dir):
 GRID_SQL = f"""{VARIANTS_SQL},
 texts AS (SELECT DISTINCT md5(t) AS text_id, t AS text FROM (SELECT dense_q AS t FROM vr UNION ALL SELECT sparse_q FROM vr)),
 {LISTS_SQL},
-gw(r, ranker, weight) AS (VALUES {", ".join(f"('{r}', '{n}', {w}::DOUBLE)" for r, by in GRID_WEIGHTS.items() for n, w in by.items())}),
+gw(r, ranker, weight) AS (VALUES {", ".join(f"('{r}', '{n}', {w}::DOUBLE)" for r, by in {**GRID_WEIGHTS, **GRID_SINGLE}.items() for n, w in by.items())}),
 gl AS (SELECT 'dense' AS ranker, text_id, doc_id, rank FROM hranked UNION ALL SELECT 'sparse', text_id, doc_id, rank FROM branked
   UNION ALL SELECT 'words', text_id, doc_id, rank FROM wranked),
 gp AS (SELECT prer || '__' || r AS config, qid, ranker, text_id, sum(weight) AS weight FROM (
   SELECT prer, r, qid, ranker, weight, md5(CASE WHEN ranker = 'dense' THEN dense_q ELSE sparse_q END) AS text_id FROM vr, gw) GROUP BY ALL),
-gf AS (SELECT config, qid, doc_id, round(sum(weight / (60.0::DOUBLE + rank)), 12) AS score FROM gp JOIN gl USING (ranker, text_id) GROUP BY ALL),
+gf AS (SELECT config, qid, doc_id, CASE WHEN split_part(config, '__', 2) IN ('dense', 'bm25_bigrams') THEN -sum(weight * (rank - 1))
+    ELSE round(sum(weight / (60.0::DOUBLE + rank)), 12) END AS score FROM gp JOIN gl USING (ranker, text_id) GROUP BY ALL),
 ghits AS (SELECT config, qid, doc_id, score, row_number() OVER (PARTITION BY config, qid ORDER BY score DESC, doc_id) AS rank
   FROM gf QUALIFY rank <= 20)"""
 
@@ -241,38 +258,3 @@ def config_grid_384(spark, sf_dir):
 )
 def axis_sweep(spark, sf_dir):
     return grid.axis_sweep(jobs(spark, sf_dir)).select("qid", "config")
-
-
-@query(
-    "generate_and_judge",
-    rf"""WITH {RUNS_SQL},
-    ctx AS (SELECT system, qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS c FROM runs JOIN documents ON doc_id = page WHERE rank <= 5 GROUP BY ALL),
-    ans AS (SELECT system, qid, regexp_extract(c, '(?s)^\s*(.*?[.!?]|.*)', 1) AS a FROM ctx),
-    ov AS (SELECT system, qid, list_distinct({tokens_sql('b.text')}) AS tw, list_distinct({tokens_sql("split_part(b.text, '.', 1)")}) AS qw, list_distinct({tokens_sql('a')}) AS aw
-      FROM ans JOIN benchmark b ON item_id = qid),
-    sc AS (SELECT system, qid, 1 + floor(coalesce(len(list_intersect(tw, aw))::DOUBLE / nullif(len(tw), 0), 0) * 4) AS t,
-      1 + floor(coalesce(len(list_intersect(qw, aw))::DOUBLE / nullif(len(qw), 0), 0) * 4) AS q FROM ov)
-    SELECT system, count(*) AS total, count(*) FILTER (WHERE ((t >= 4)::INT + (q >= 4)::INT) * 2 >= 2) AS o, round(avg((2 * t + 2 * q) / 4), 9) AS judge_mean
-    FROM sc GROUP BY system""",
-)
-def generate_and_judge(spark, sf_dir):
-    """Context, answer, four judge replies, parsed scores, votes: the whole chain with stand-in models."""
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
-    context = (
-        runs(spark, sf_dir).where("rank <= 5").join(texts, "page")
-        .groupBy("system", "qid").agg(X.joined_by_rank(F.col("rank"), F.col("text"), "\n\n").alias("context"))
-    )
-    asked = questions(spark, sf_dir).select("qid", F.col("text").alias("target"), F.split("text", r"\.")[0].alias("question"))
-    answers = context.join(asked, "qid").withColumn("answer", first_sentence_generator(F.col("context")))
-    against = {"similarity": "target", "correctness": "target", "completeness": "question", "faithfulness": "question"}
-    replies = F.array(
-        *[F.struct(F.lit(m).alias("metric"), overlap_judge(F.col(c), F.col("answer")).alias("reply")) for m, c in against.items()]
-    )
-    scores = answers.select("system", "qid", F.explode(replies).alias("r")).select(
-        "system", "qid", "r.metric", extract_score(F.col("r.reply"), F.lit("")).alias("score")
-    )
-    mean = scores.groupBy("system").agg(F.round(F.avg("score"), 9).alias("judge_mean"))
-    cells = V.ox_cells(scores, cell=("system", "qid"))
-    return cells.groupBy("system").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("ox") == "O").alias("o")
-    ).join(mean, "system")

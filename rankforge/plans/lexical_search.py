@@ -76,8 +76,8 @@ def bm25_bigram_topk(spark, sf_dir):
 
 def _bm25(spark, sf_dir, tokenize):
     docs = documents(spark, sf_dir, "doc_id", "text")
-    scores = sparse.bm25_scores(docs, questions(spark, sf_dir), tokenize=tokenize, fill=10)
-    return sparse.top_k(scores, 10).select("qid", "doc_id", "score", F.col("rank").cast(BIG).alias("rank"))
+    found = sparse.LexicalRanker(passages(spark, sf_dir), docs, tokenize).top(10)
+    return found.select(F.col("text_id").alias("qid"), "doc_id", "score", F.col("rank").cast(BIG).alias("rank"))
 
 
 def corpus_vectors(spark, sf_dir):

@@ -218,13 +218,13 @@ def parse_keywords(spark, sf_dir):
 
 @query(
     "custom_id_roundtrip",
-    r"""WITH b AS (SELECT conv_id, turn, printf('q%03d', conv_id % 1000) AS qid,
+    r"""WITH b AS (SELECT conv_id, turn, printf('q%03d', conv_id * 37) AS qid,
         'org/model-' || (conv_id % 7) || '.5:' || role AS model, ['similarity', 'correctness'][turn % 2 + 1] AS metric FROM conversations),
     i AS (SELECT *, model || '__' || qid || '__' || metric AS rid FROM b)
     SELECT conv_id, turn, left(regexp_replace(rid, '[^a-zA-Z0-9_-]', '_', 'g'), 64) AS safe, model AS tail_model, qid AS tail_qid,
       metric AS tail_metric, model AS colon_model, qid AS colon_qid, metric AS colon_metric,
       substr(qid, 2) AS lazy_number, replace(model, ':', '_') AS restored,
-      coalesce(nullif(regexp_extract('item ' || CASE WHEN turn % 2 = 0 THEN qid ELSE 'none' END, 'q\d{3}', 0), ''), printf('q%03d', turn)) AS normal_qid,
+      coalesce(nullif(regexp_extract('item ' || CASE WHEN turn % 2 = 0 THEN qid ELSE 'none' END, 'q\d{3,}', 0), ''), printf('q%03d', turn)) AS normal_qid,
       model || '::' || qid AS key_rest
     FROM i""",
 )
@@ -233,7 +233,7 @@ def custom_id_roundtrip(spark, sf_dir):
     b = table(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
-        I.qid(F.col("conv_id") % 1000, 3).alias("qid"),
+        I.qid(F.col("conv_id") * 37, 3).alias("qid"),
         F.concat(F.lit("org/model-"), (F.col("conv_id") % 7).cast("string"), F.lit(".5:"), "role").alias("model"),
         F.when(F.col("turn") % 2 == 0, "similarity").otherwise("correctness").alias("metric"),
     )

@@ -137,7 +137,7 @@ def mostly_done(spark, sf_dir):
 @query(
     "all_stages_union",
     f"""WITH {VOTES_SQL}
-    SELECT 'retrieval' AS stage, source AS config, count(*)::BIGINT AS n, round(avg(n_chars), 9) AS mrr, NULL::DOUBLE AS accuracy, NULL::VARCHAR AS judge FROM documents GROUP BY source
+    SELECT 'retrieval' AS stage, source AS config, count(*)::BIGINT AS n, round(avg(n_chars), 9) AS mean_chars, NULL::DOUBLE AS accuracy, NULL::VARCHAR AS judge FROM documents GROUP BY source
     UNION ALL SELECT 'generation', cand, o, NULL, acc, NULL FROM cons
     UNION ALL SELECT 'judging', cand, o, NULL, acc_scored, judge FROM acc""",
 )
@@ -146,7 +146,7 @@ def all_stages_union(spark, sf_dir):
     from rankforge.plans.statistics import cand_accuracy
 
     retrieval = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("config")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 9).alias("mrr")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 9).alias("mean_chars")
     )
     generation = cand_accuracy(spark, sf_dir).select(F.col("cand").alias("config"), F.col("o").alias("n"), F.col("acc").alias("accuracy"))
     judging = judge_accuracy(spark, sf_dir).select(
@@ -164,7 +164,7 @@ def stage_counts(spark, sf_dir):
 # --- costs ------------------------------------------------------------------
 
 PRICE_SQL = "(VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in costs.PRICES.items()) + ") p(model, usd_in, usd_out)"
-MODELS = ["gpt-5.4", "gpt-5.4-mini", "gemini-3.1-pro-preview", "unlisted"]
+MODELS = ["openai/gpt-5.4", "openai/gpt-5.4-mini", "google/gemini-3.1-pro-preview", "unlisted"]
 
 
 def generations(spark, sf_dir):
@@ -221,24 +221,6 @@ def latency_stats(spark, sf_dir):
     return costs.latency_stats(table(spark, sf_dir, "events"), "value", ["event_type"])
 
 
-@query(
-    "vram_next_fit",
-    """WITH RECURSIVE m AS (SELECT source AS name, round(avg(n_chars) / 200, 3) AS size FROM documents GROUP BY source),
-    o AS (SELECT name, size, row_number() OVER (ORDER BY size, name) AS i FROM m),
-    f AS (SELECT i, name, size, size AS used, 1 AS held, 0 AS batch FROM o WHERE i = 1
-      UNION ALL SELECT o.i, o.name, o.size, CASE WHEN f.used + o.size <= 36 AND f.held < 12 THEN f.used + o.size ELSE o.size END,
-        CASE WHEN f.used + o.size <= 36 AND f.held < 12 THEN f.held + 1 ELSE 1 END,
-        f.batch + CASE WHEN f.used + o.size <= 36 AND f.held < 12 THEN 0 ELSE 1 END FROM f JOIN o ON o.i = f.i + 1)
-    SELECT name, size, batch FROM f""",
-)
-def vram_next_fit(spark, sf_dir):
-    """Sources as models, sized by their mean text, packed to a budget of 36."""
-    models = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(
-        F.round(F.avg("n_chars") / 200, 3).alias("size")
-    )
-    return costs.next_fit(models, 36.0)
-
-
 # --- wide tables ------------------------------------------------------------
 
 
@@ -248,27 +230,27 @@ def _column(name):
 
 @query(
     "wide_pivot",
-    f"""WITH {VOTES_SQL} SELECT qid, """
+    f"""WITH {VOTES_SQL} SELECT qid, judge, """
     + ", ".join(f"max(ox) FILTER (WHERE cand = '{c}') AS {_column(c)}_ox" for c in CANDIDATES)
-    + f" FROM cells WHERE judge = '{JUDGES[0]}' GROUP BY qid",
+    + " FROM cells GROUP BY qid, judge",
 )
 def wide_pivot(spark, sf_dir):
-    """One judge's cells as a row per question and a column per candidate."""
-    one = cells(spark, sf_dir).where(F.col("judge") == JUDGES[0])
-    wide = one.groupBy("qid").pivot("cand", CANDIDATES).agg(F.max("ox"))
-    return wide.select("qid", *[F.col(f"`{c}`").alias(f"{_column(c)}_ox") for c in CANDIDATES])
+    """Every judge's cells as a row per question and a column per candidate."""
+    wide = cells(spark, sf_dir).groupBy("qid", "judge").pivot("cand", CANDIDATES).agg(F.max("ox"))
+    return wide.select("qid", "judge", *[F.col(f"`{c}`").alias(f"{_column(c)}_ox") for c in CANDIDATES])
 
 
 @query(
     "wide_unpivot",
-    f"WITH {VOTES_SQL} SELECT qid, cand, coalesce(ox, '') AS ox FROM cells WHERE judge = '{JUDGES[0]}'",
+    f"""WITH {VOTES_SQL} SELECT qid, judge, cand, coalesce(ox, '') AS ox
+    FROM (SELECT DISTINCT qid, judge FROM cells) LEFT JOIN (SELECT unnest({_list_sql(CANDIDATES)}) AS cand) ON true LEFT JOIN cells USING (qid, judge, cand)""",
 )
 def wide_unpivot(spark, sf_dir):
     """The wide form turned back into cells, blank where unjudged."""
     wide = wide_pivot(spark, sf_dir).na.fill("")
     back = F.create_map(*[v for c in CANDIDATES for v in (F.lit(f"{_column(c)}_ox"), F.lit(c))])
-    long = wide.unpivot("qid", [f"{_column(c)}_ox" for c in CANDIDATES], "col", "ox")
-    return long.select("qid", back[F.col("col")].alias("cand"), "ox")
+    long = wide.unpivot(["qid", "judge"], [f"{_column(c)}_ox" for c in CANDIDATES], "col", "ox")
+    return long.select("qid", "judge", back[F.col("col")].alias("cand"), "ox")
 
 
 # --- names, prompts ---------------------------------------------------------

@@ -6,56 +6,59 @@ the gold document is the first one that holds the passage.
 
 from pyspark.sql import functions as F
 
-from rankforge.functions import text as X
-from rankforge.models import hash_embedder
-from rankforge.operators import dense, sparse
+from rankforge.operators import fusion
 from rankforge.operators.containment import containing
+from rankforge.plans.common import documents, questions
+from rankforge.plans.lexical_search import LISTS_SQL, PASSAGES_SQL, TOP_FUSED, fused_sql, passages, plan_of, rankers
 from rankforge.session import table
-from rankforge.plans.common import QUERY_WORDS, bm25_sql, documents, hash_dense_sql, questions, tokens_sql
 
+# five systems that differ by method, each over the whole passage
+LEXICAL = {"bm25_bigrams": "sparse", "bm25_words": "words"}
 DENSE = "dense_hash"
-SYSTEMS = sorted([*QUERY_WORDS, DENSE])
+FUSED = {name: fusion.HYBRID_WEIGHTS[name] for name in ("hybrid_5_5", "hybrid_ws_5_5")}
+SYSTEMS = sorted([*LEXICAL, DENSE, *FUSED])
 DEPTH = 10
 _kept = {}
 
 
+def _stamp(spark, sf_dir):
+    """Names, sizes and times of the input files: a changed table is another key."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def once(spark, sf_dir, name, build):
-    """Result tables of a session, cached like the result files they stand for.
+    """Result tables of a session, kept like the result files they stand for.
 
-    They hold at most systems x questions x depth rows, never corpus rows.
+    They hold at most systems x questions x depth rows, never corpus rows, and
+    are dropped by ``forget`` or when the input files change.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        _kept[key] = build().persist()
-    return _kept[key]
-
-
-def query_texts(spark, sf_dir):
-    """``(system, qid, text)``: each passage cut to its first words per system."""
-    words = X.tokenize_words(F.col("text"))
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("system"),
-                (F.col("text") if n is None else F.array_join(F.slice(words, 1, n), " ")).alias("q"),
-            )
-            for s, n in QUERY_WORDS.items()
-        ]
-    )
-    return questions(spark, sf_dir).select("qid", F.explode(lines).alias("l")).select("l.system", "qid", F.col("l.q").alias("text"))
+    stamp = _stamp(spark, sf_dir)
+    if key not in _kept or _kept[key][0] != stamp:
+        if key in _kept:
+            _kept[key][1].unpersist()
+        _kept[key] = (stamp, build().persist())
+    return _kept[key][1]
+
+
+def forget():
+    """Release every kept result table."""
+    while _kept:
+        _kept.popitem()[1][1].unpersist()
 
 
 def _runs(spark, sf_dir):
-    docs, texts = documents(spark, sf_dir, "doc_id", "text"), query_texts(spark, sf_dir)
-    keys = ("system", "qid")
-    lexical = sparse.top_k(sparse.bm25_scores(docs, texts, keys=keys, fill=DEPTH), DEPTH, keys)
-    near = dense.dense_topk(
-        questions(spark, sf_dir).select("qid", hash_embedder(F.col("text")).alias("vector")),
-        docs.select("doc_id", hash_embedder(F.col("text")).alias("vector")),
-        DEPTH,
-    ).withColumn("system", F.lit(DENSE))
-    cols = ["system", "qid", "doc_id", "score", "rank"]
-    hits = lexical.select(cols).unionByName(near.select(cols))
+    texts = passages(spark, sf_dir)
+    made = rankers(spark, sf_dir, texts, ("dense", "sparse", "words"))
+    plan = plan_of(texts.select(F.col("text_id").alias("qid"), "text_id"), FUSED)
+    hits = fusion.fuse_rrf(plan, made, DEPTH).select(F.col("config").alias("system"), "qid", "doc_id", "score", "rank")
+    single = {**{s: made[r] for s, r in LEXICAL.items()}, DENSE: made["dense"]}
+    for system, ranker in single.items():
+        top = ranker.top(DEPTH).select(F.lit(system).alias("system"), F.col("text_id").alias("qid"), "doc_id", "score", "rank")
+        hits = hits.unionByName(top)
     files = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"))
     return hits.join(files, "doc_id").select(
         "system", "qid", F.col("rank").cast("bigint").alias("rank"), "file", F.col("doc_id").alias("page"), "score"
@@ -101,12 +104,6 @@ def gold(spark, sf_dir):
     return once(spark, sf_dir, "gold", lambda: _gold(spark, sf_dir))
 
 
-_CUTS = " UNION ALL ".join(
-    f"SELECT '{s}' || '|' || item_id AS text_id, "
-    + ("text" if n is None else f"array_to_string({tokens_sql('text')}[1:{n}], ' ')")
-    + " AS text FROM benchmark"
-    for s, n in QUERY_WORDS.items()
-)
 GOLD_SQL = """
 qrels AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 gold AS (
@@ -116,13 +113,16 @@ gold AS (
       WHEN item_id % 4 = 1 THEN 'n/a' ELSE g.doc_id::VARCHAR END AS target_page_raw
   FROM benchmark LEFT JOIN (SELECT qid, min(doc_id) AS doc_id FROM qrels GROUP BY qid) g ON g.qid = item_id
   LEFT JOIN documents d ON d.doc_id = g.doc_id)"""
+_LISTED = " UNION ALL ".join(
+    f"SELECT '{s}' AS system, text_id AS qid, doc_id, score, rank FROM {t}"
+    for s, t in (("bm25_bigrams", "branked"), ("bm25_words", "wranked"), (DENSE, "hranked"))
+)
 RUNS_SQL = f"""
-texts AS ({_CUTS}), {bm25_sql()},
-htexts AS (SELECT item_id AS text_id, text FROM benchmark), {hash_dense_sql('htexts')},
+{PASSAGES_SQL}, {LISTS_SQL}, uses AS (SELECT text_id AS qid, text_id FROM texts), {fused_sql('uses', FUSED)},
 runs AS (
   SELECT system, qid, rank, source AS file, doc_id AS page, score FROM (
-    SELECT split_part(text_id, '|', 1) AS system, split_part(text_id, '|', 2)::BIGINT AS qid, rank, doc_id, score FROM ranked
-    UNION ALL SELECT '{DENSE}', text_id, rank, doc_id, score FROM hranked) r JOIN documents d USING (doc_id)
+    {_LISTED}
+    UNION ALL SELECT config, qid, doc_id, score, rank FROM ({TOP_FUSED.format(DEPTH)})) r JOIN documents d USING (doc_id)
   WHERE rank <= {DEPTH})"""
 JUDGED_SQL = f"""{GOLD_SQL}, {RUNS_SQL},
 judged AS (SELECT *, coalesce(file = target_file AND page = target_page, false) AS match,

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from rankforge.functions.text import strip
 
-PAGE_SCHEMA = "file string, page int, text string"
+PAGE_SCHEMA = "file string, page int, text string, error string"
 
 
 def load_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]], pattern: str = "*") -> DataFrame:
-    """``(file, page, text)`` of every file below ``path``; blank pages drop out.
+    """``(file, page, text, error)`` of every file below ``path``; blank pages drop out.
 
     ``extract`` gets a file's bytes and gives its page texts. A file it cannot
-    read yields no pages instead of failing the job.
+    read yields one row with the error, without page and text.
     """
     files = (
         spark.read.format("binaryFile")
@@ -33,10 +33,11 @@ def load_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[s
             for file, content in zip(batch["path"], batch["content"]):
                 try:
                     texts = extract(bytes(content))
-                except Exception:
-                    texts = []
-                rows += [(file, n, t.strip()) for n, t in enumerate(texts, 1) if t and t.strip()]
-            yield pd.DataFrame(rows, columns=["file", "page", "text"])
+                except Exception as error:  # whatever a plug-in raises is a row, not the job's end
+                    rows.append((file, None, None, f"{type(error).__name__}: {error}"))
+                    continue
+                rows += [(file, n, t.strip(), None) for n, t in enumerate(texts, 1) if t and t.strip()]
+            yield pd.DataFrame(rows, columns=["file", "page", "text", "error"]).astype({"page": "Int32"})
 
     return files.mapInPandas(pages, PAGE_SCHEMA)
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
+from py4j.protocol import Py4JJavaError
+
+from rankforge.functions.text import strip
 
 # File names that are never results, and the score cache format.
 SKIPPED_FILES = r"dryrun|damaged|before_rebuild|\.bak|_retry|registry"
@@ -20,7 +26,7 @@ def jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -
     """One record per line, blank lines skipped; ``tolerant`` also skips bad lines."""
     mode = "PERMISSIVE" if tolerant else "FAILFAST"
     bad = "_bad_line"
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
     record = F.from_json("value", f"{schema}, {bad} string", {"mode": mode, "columnNameOfCorruptRecord": bad})
     parsed = lines.select(record.alias("r")).select("r.*")
     return parsed.where(F.col(bad).isNull()).drop(bad) if tolerant else parsed.drop(bad)
@@ -32,9 +38,13 @@ def with_file_key(df: DataFrame, pattern: str = r"^(.*?)(\.[^.]*)?$", name: str
     return df.where(~file.rlike(SKIPPED_FILES)).withColumn(name, F.regexp_extract(file, pattern, 1))
 
 
-def json_directory(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All JSON array files of a folder, keyed by file name without suffix."""
-    return with_file_key(json_array(spark, path, schema))
+def json_directory(spark: SparkSession, path: str, schema: str, prefixes=None) -> DataFrame:
+    """All JSON array files of a folder, keyed by file name without suffix.
+
+    With ``prefixes`` only files whose name begins with one of them count.
+    """
+    found = with_file_key(json_array(spark, path, schema))
+    return found if prefixes is None else found.where(F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith("key", p)))
 
 
 def score_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -47,10 +57,11 @@ def score_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table, or ``None`` when it is missing or unreadable."""
+    """A table, or ``None`` with a warning when it is missing or its footer is unreadable."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except (AnalysisException, Py4JJavaError, PySparkException) as error:
+        warnings.warn(f"no table at {path}: {type(error).__name__}", stacklevel=2)
         return None
 
 

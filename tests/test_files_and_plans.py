@@ -34,13 +34,34 @@ def test_parquet_or_none(spark, tmp_path):
     assert readers.parquet_or_none(spark, str(tmp_path / "missing")) is None
 
 
+def test_corrupt_parquet_is_no_table(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 not a footer PAR1")
+    with pytest.warns(UserWarning):
+        assert readers.parquet_or_none(spark, str(tmp_path / "bad.parquet")) is None
+
+
+@pytest.mark.parametrize("tolerant", [True, False])
+def test_lines_of_white_space_are_no_records(spark, tmp_path, tolerant):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\t\n \r\n{"a": 2}\n')
+    got = readers.jsonl(spark, str(tmp_path / "a.jsonl"), "a int", tolerant=tolerant).collect()
+    assert sorted(r.a for r in got) == [1, 2]
+
+
+def test_json_directory_takes_allowed_prefixes(spark, tmp_path):
+    for name in ("run_a.json", "run_b.json", "other.json", "run_a_retry.json"):
+        (tmp_path / name).write_text('[{"a": 1}]')
+    got = readers.json_directory(spark, str(tmp_path), "a int", prefixes=["run_"]).collect()
+    assert sorted(r.key for r in got) == ["run_a", "run_b"]
+
+
 def test_load_pages_skips_bad_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.html").write_bytes(b"one\f \ftwo")
     (tmp_path / "sub" / "b.html").write_bytes(b"\xff\xfe")
     pages = loaders.load_pages(spark, str(tmp_path), lambda data: data.decode("utf-8").split("\f"), "*.html")
-    got = {(r.stem, r.page, r.text) for r in pages.withColumn("stem", loaders.file_stem(F.col("file"))).collect()}
-    assert got == {("a", 1, "one"), ("a", 3, "two")}
+    rows = pages.withColumn("stem", loaders.file_stem(F.col("file"))).collect()
+    assert {(r.stem, r.page, r.text) for r in rows if not r.error} == {("a", 1, "one"), ("a", 3, "two")}
+    assert [(r.stem, r.page) for r in rows if r.error] == [("b", None)]
 
 
 def test_html_text(spark):

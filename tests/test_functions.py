@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankforge.functions import ids, names, scores, stats, text
-from rankforge.operators import chunking, costs
+from rankforge.operators import chunking
 
 
 def column(spark, values, expr, kind="string"):
@@ -142,10 +142,13 @@ def test_sentence_overlap(spark):
     assert got[0] == f"{'a' * 39}. {'b' * 39}." and got[1].startswith("b" * 9 + ". " + "c" * 39)
 
 
-def test_next_fit(spark):
-    models = spark.createDataFrame([("a", 20.0), ("b", 10.0), ("c", 30.0), ("d", 8.0), ("e", 50.0)], "name string, size double")
-    got = {r.name: r.batch for r in costs.next_fit(models, 36.0).collect()}
-    assert got == {"d": 0, "b": 0, "a": 1, "c": 2, "e": 3}
+def test_question_ids_over_999(spark):
+    df = spark.createDataFrame([("item q1234 x",), ("none",)], "raw string")
+    assert [r[0] for r in df.select(ids.normalize_qid(F.col("raw"), F.lit(7))).collect()] == ["q1234", "q007"]
+    row = spark.range(1).select(
+        *ids.parsed(F.lit("m::q1234::correctness"), ids.COLON_ID, "m", "q", "k"), *ids.parsed(F.lit("m__q1234__x"), ids.LAZY_ID, "m2", "q2", "k2")
+    ).first()
+    assert (row.q, row.q2) == ("q1234", "1234")
 
 
 def test_render_keeps_braces_in_values(spark):

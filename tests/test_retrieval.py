@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankforge.operators import dense, fusion, sparse
 from rankforge.operators.containment import containing
-from rankforge.operators.positions import count_ahead, positions
+from tests.conftest import plan_of
 
 
 def vector_frames(spark, n_q, n_c, dim=6, seed=1):
@@ -123,7 +123,7 @@ def test_bm25_and_tail_ranks(spark):
 def test_bm25_fill_completes_short_lists(spark):
     docs = corpus()
     d, t = text_frames(spark, docs, QUERIES)
-    got = sparse.top_k(sparse.bm25_scores(d, t, keys=("text_id",), fill=10), 10, ("text_id",)).collect()
+    got = fusion.LexicalRanker(t, d).top(10).collect()
     for i, want in enumerate(lexical_order(docs)):
         assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.text_id == i] == want[:10].tolist()
 
@@ -173,19 +173,23 @@ def test_borda_deepens_until_sure(spark, mixed):
     check_fused(got, lines, rank, lambda w, r: -(r - 1.0), 4)
 
 
-def test_positions(spark):
-    ids = spark.range(0, 999, 7).withColumnRenamed("id", "doc_id").repartition(5)
-    got = {r.doc_id: r.pos for r in positions(ids, "doc_id").collect()}
-    assert got == {d: i for i, d in enumerate(range(0, 999, 7))}
+def test_bm25_in_blocks_of_texts(spark, monkeypatch):
+    docs = corpus()
+    d, t = text_frames(spark, docs, QUERIES)
+    whole = fusion.LexicalRanker(t, d)
+    pairs = t.select("text_id").join(d.select("doc_id"))
+    want = sorted(map(tuple, whole.ranks(pairs).collect())), sorted(map(tuple, whole.top(7).collect()))
+    monkeypatch.setattr(sparse, "BLOCK_TERMS", 3)
+    monkeypatch.setattr(sparse, "CELLS", 10)
+    assert (sorted(map(tuple, whole.ranks(pairs).collect())), sorted(map(tuple, whole.top(7).collect()))) == want
 
 
-def test_count_ahead_with_ties(spark):
-    rows = [(k, d, float(d % 4)) for k in range(3) for d in range(40)]
-    scored = spark.createDataFrame(rows, "k int, doc_id int, score double")
-    wanted = scored.where("doc_id % 5 = 0")
-    for r in count_ahead(scored, wanted, ["k"], "doc_id", -F.col("score")).collect():
-        mine = (-(r.doc_id % 4), r.doc_id)
-        assert r.ahead == sum((-(d % 4), d) < mine for d in range(40))
+def test_bm25_scans_the_text_once_and_ships_no_score_table(spark, sf):
+    """The ranking passes read the term table; no exchange carries texts x documents."""
+    d, t = text_frames(spark, corpus(), QUERIES)
+    ranker = fusion.LexicalRanker(t, d)
+    plan = plan_of(ranker.top(3))
+    assert plan.count("MapInArrow") and "Join" not in plan and plan.count("Scan parquet") == 2
 
 
 def test_term_counts(spark):
