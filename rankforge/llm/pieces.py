@@ -40,7 +40,7 @@ from rankforge.llm import words
 
 SAMPLES = 2
 RANK_SHIFT = 10.0
-BLOCK = 1 << 22
+BLOCK = 1 << 18
 #: Arcs whose own log probability lies this far under their path's value are
 #: not kept: their chance to come next is under e**-40.
 FLOOR = 40.0
@@ -85,8 +85,17 @@ class Vocabulary:
         weight = -np.log(np.arange(len(order)) + RANK_SHIFT)
         at = np.argsort(keys)
         self.keys, self.ids, self.weight = keys[at], np.array(order, dtype=np.int32)[at], weight[at]
-        self.filter = np.zeros(1 << 21, dtype=bool)
-        self.filter[self.keys >> _U(43)] = True
+        # first look: the only piece of a slot, -1 for an empty slot, -2 for one with several
+        slot = self.keys >> _U(43)
+        self.slots = np.full(1 << 21, -1, dtype=np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        many = np.flatnonzero(np.diff(slot) == 0)
+        self.slots[slot[many]] = -2
+        # beginnings of pieces: where a word goes on unlike any piece, longer ones need no look
+        self.begins = np.zeros(1 << 21, dtype=bool)
+        for x in names:
+            run = _running(x)
+            self.begins[_slice_hashes(run, np.zeros(len(x), dtype=np.int64), np.arange(1, len(x) + 1)) >> _U(43)] = True
         self.byte_weight = float(-np.log(len(order) + RANK_SHIFT)) - 2.0
         # characters met inside longer pieces; all others stand alone
         self.joined = np.zeros(LITERAL + 1, dtype=bool)
@@ -96,11 +105,11 @@ class Vocabulary:
 
     def find(self, hashes):
         """Place of each hash among the pieces, -1 where there is none."""
-        out = np.full(len(hashes), -1)
-        maybe = np.flatnonzero(self.filter[hashes >> _U(43)])
-        at = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
-        ok = self.keys[at] == hashes[maybe]
-        out[maybe[ok]] = at[ok]
+        out = self.slots[hashes >> _U(43)]
+        several = np.flatnonzero(out == -2)
+        if len(several):
+            out[several] = np.minimum(np.searchsorted(self.keys, hashes[several]), len(self.keys) - 1)
+        out[self.keys[out] != hashes] = -1
         return out
 
 
@@ -115,7 +124,7 @@ def _running(codes):
 
 
 def _slice_hashes(run, start, end):
-    return words.mix((run[end] - run[start]) * words.powers(_STEP_BACK, len(run))[start])
+    return (run[end] - run[start]) * words.powers(_STEP_BACK, len(run))[start]
 
 
 def _take(starts, counts):
@@ -157,13 +166,15 @@ class Lattice:
             at = at[rest[at] >= size]
             if not len(at):
                 break
-            found = v.find(_slice_hashes(run, at, at + size))
+            hashes = _slice_hashes(run, at, at + size)
+            found = v.find(hashes)
             ok = found >= 0
             if size == 1:
                 alone[at[ok]] = True
             node.append(at[ok])
             width.append(np.full(int(ok.sum()), size))
             piece.append(found[ok])
+            at = at[v.begins[hashes >> _U(43)]]
         lone = np.flatnonzero(~alone)
         raw = [chr(c).encode() if c != LITERAL else "▁".encode() for c in chars[lone].tolist()]
         count = np.array([len(b) for b in raw], dtype=np.int64)
@@ -174,34 +185,38 @@ class Lattice:
         pool = np.concatenate([v.ids[piece], v.bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)]])
         n_ids = np.concatenate([np.ones(len(piece), dtype=np.int64), count])
         pool_at = np.concatenate([[0], np.cumsum(n_ids)[:-1]]) if len(n_ids) else n_ids
-        order = np.argsort((rest[node] * len(chars) + node) * (v.longest + 1) + width)
+        # by node, long pieces first: they are the likely ones
+        order = np.argsort(node * (v.longest + 1) + v.longest - width)
         self.node, self.width, weight = node[order], width[order], weight[order]
         self.pool, self.pool_at, self.n_ids = pool, pool_at[order], n_ids[order]
+        self.arc_first = np.searchsorted(self.node, np.arange(len(chars) + 1))
         self._backward(weight, rest, len(chars))
 
     def _backward(self, weight, rest, n):
         """Arc log probabilities from the weights of all completions."""
         total = np.zeros(n + 1)
-        steps = rest[self.node]
-        limits = np.searchsorted(steps, np.arange(1, (steps[-1] if len(steps) else 0) + 2))
+        many = np.diff(self.arc_first)
+        nodes = np.argsort(rest.astype(np.uint16) if n and rest.max() < 1 << 16 else rest, kind="stable")
+        limits = np.searchsorted(rest[nodes], np.arange(1, (int(rest.max()) if n else 0) + 2))
+        # arcs of the nodes one step from their word's end, then two, and so on
+        order, arc_limits = _take(self.arc_first[nodes], many[nodes]), np.concatenate([[0], np.cumsum(many[nodes])])[limits]
+        to = self.node + self.width
+        to[to == self.stop[self.node]] = n
+        to, value = to[order], weight[order]
         for i in range(len(limits) - 1):
-            a, b = limits[i], limits[i + 1]
+            a, b = arc_limits[i], arc_limits[i + 1]
             if a == b:
                 continue
-            node = self.node[a:b]
-            to = node + self.width[a:b]
-            value = weight[a:b] + np.where(to == self.stop[node], 0.0, total[np.minimum(to, n)])
-            heads = np.flatnonzero(np.diff(node, prepend=-1))
-            high = np.maximum.reduceat(value, heads)
-            many = np.diff(np.append(heads, b - a))
-            total[node[heads]] = high + np.log(np.add.reduceat(np.exp(value - np.repeat(high, many)), heads))
-            weight[a:b] = value - np.repeat(total[node[heads]], many)
-        self.log_p = weight
-        # arcs by node, likely ones first, with the sum of the probabilities up to each
-        order = np.argsort(self.node + 0.999 * (1 - np.exp(self.log_p)))
-        for name in ("node", "width", "pool_at", "n_ids", "log_p"):
-            setattr(self, name, getattr(self, name)[order])
-        self.arc_first = np.searchsorted(self.node, np.arange(n + 1))
+            here = nodes[limits[i] : limits[i + 1]]
+            heads = np.concatenate([[0], np.cumsum(many[here])[:-1]])
+            value[a:b] += total[to[a:b]]
+            high = np.maximum.reduceat(value[a:b], heads)
+            sums = np.add.reduceat(np.exp(value[a:b] - np.repeat(high, many[here])), heads)
+            total[here] = high + np.log(sums)
+        self.log_p = np.empty(len(value))
+        self.log_p[order] = value
+        self.log_p -= total[self.node]
+        # the sum of the probabilities up to each arc of a node
         share = np.cumsum(np.exp(self.log_p))
         before = np.concatenate([[0.0], share])[self.arc_first[:-1]]
         self.upto = share - before[self.node]
@@ -243,41 +258,50 @@ def _row_seeds(keys, salt):
         return words.mix(words.mix(keys.astype(np.int64).view(np.uint64) + _U(0x632BE59BD9B4E019)) + _U(salt))
 
 
-def _uniform(seed, n):
-    with np.errstate(over="ignore"):
-        x = words.mix(_U(seed) + np.arange(1, n + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25))
-    return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
-
-
-def _siblings(lattice, arcs, chance_before, value, seed, heap, place, path, k):
-    """Push the arcs passed over along a path, each with its cut-off Gumbel value.
+def _siblings(lattice, paths, fixed, before, values, seeds, heaps, turn, k):
+    """Push the arcs passed over along new paths, each with its cut-off Gumbel value.
 
-    ``chance_before`` is the log probability before the first of ``arcs``,
-    ``place`` the index of that arc in the whole path, ``path`` the path's number.
-    Of many values only the highest can come up in k turns, the rest is left out.
+    For each path: ``fixed`` arcs are an older path's, ``before`` is the log
+    probability up to there, ``values`` its perturbed log probability. Of many
+    values only the highest can come up in k turns, the rest is left out.
     """
-    size, last = 128, 0
+    length = np.array([len(p) for p in paths]) - fixed
+    size = np.minimum(length, 256)
     while True:
-        reach = chance_before + np.cumsum(lattice.log_p[arcs[:size]])
-        last = 1 + int(np.searchsorted(-reach, FLOOR - value, side="right"))
-        if last <= size or size >= len(arcs):
+        arcs = np.concatenate([p[f : f + n] for p, f, n in zip(paths, fixed, size)])
+        first = np.concatenate([[0], np.cumsum(size)])
+        row = np.repeat(np.arange(len(paths)), size)
+        after = np.cumsum(lattice.log_p[arcs])
+        base = np.concatenate([[0.0], after])[first[:-1]]
+        after += (before - base)[row]
+        reach = np.concatenate([[0.0], after[:-1]])
+        reach[first[:-1][size > 0]] = before[size > 0]
+        ends = after[np.maximum(first[1:] - 1, 0)] if len(after) else before
+        more = (size < length) & (ends >= values - FLOOR)
+        if not more.any():
             break
-        size *= 4
-    arcs = arcs[:last]
+        size = np.where(more, length, size)
+    kept = reach >= values[row] - FLOOR
+    step = (np.arange(len(arcs)) - first[row] + np.asarray(fixed)[row])[kept]
+    arcs, reach, row = arcs[kept], reach[kept], row[kept]
     node = lattice.node[arcs]
-    first = lattice.arc_first[node]
-    count = lattice.arc_first[node + 1] - first
+    count = lattice.arc_first[node + 1] - lattice.arc_first[node] - 1
     # each node's arcs lie together; step over the chosen one
-    other = _take(first, count - 1)
-    step = np.repeat(np.arange(len(arcs)), count - 1)
-    if not len(other):
-        return
-    other += other >= arcs[step]
-    phi = lattice.log_p[other] + np.append(chance_before, reach)[step]
+    other = _take(lattice.arc_first[node], count)
+    at = np.repeat(np.arange(len(arcs)), count)
+    other += other >= arcs[at]
+    row, step = row[at], step[at]
+    phi = lattice.log_p[other] + reach[at]
+    limits = np.searchsorted(row, np.arange(len(paths) + 1))
     with np.errstate(over="ignore"):
-        g = phi - np.log(np.exp(np.minimum(phi - value, 700)) - np.log(_uniform(seed, len(other))))
-    for i in np.argpartition(-g, k)[: k + 1] if len(g) > k + 1 else range(len(g)):
-        heapq.heappush(heap, (-float(g[i]), path, place + int(step[i]), int(other[i]), float(phi[i])))
+        x = words.mix(seeds[row] + (np.arange(1, len(row) + 1) - limits[row]).astype(np.uint64) * _U(0x9FB21C651E98DF25))
+        u = ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+        g = phi - np.log(np.exp(np.minimum(phi - values[row], 700)) - np.log(u))
+    for i, heap in enumerate(heaps):
+        a, b = limits[i], limits[i + 1]
+        best = a + np.argpartition(-g[a:b], k)[: k + 1] if b - a > k + 1 else range(a, b)
+        for j in best:
+            heapq.heappush(heap, (-float(g[j]), turn, int(step[j]), int(other[j]), float(phi[j])))
 
 
 def sample_block(texts, keys, vocabulary, k):
@@ -304,11 +328,13 @@ def sample_block(texts, keys, vocabulary, k):
     alive = range(len(texts))
     heads = {}
     for turn in range(k):
-        salts = _row_seeds(keys, 100 + turn)
+        alive = np.asarray(alive)
         for i in alive:
-            path, fixed = paths[i], int(shared[i])
-            out[i].append((path, float(lattice.log_p[path].sum()), float(values[i])))
-            _siblings(lattice, path[fixed:], float(start[i]), float(values[i]), int(salts[i]), heaps[i], fixed, turn, k)
+            out[i].append((paths[i], float(lattice.log_p[paths[i]].sum()), float(values[i])))
+        _siblings(
+            lattice, [paths[i] for i in alive], shared[alive], start[alive], values[alive], _row_seeds(keys, 100 + turn)[alive],
+            [heaps[i] for i in alive], turn, k,
+        )
         if turn + 1 == k:
             break
         alive = [i for i in alive if heaps[i]]
