@@ -138,8 +138,8 @@ gl AS (SELECT 'dense' AS ranker, text_id, doc_id, rank FROM hranked UNION ALL SE
   UNION ALL SELECT 'words', text_id, doc_id, rank FROM wranked),
 gp AS (SELECT prer || '__' || r AS config, qid, ranker, text_id, sum(weight) AS weight FROM (
   SELECT prer, r, qid, ranker, weight, md5(CASE WHEN ranker = 'dense' THEN dense_q ELSE sparse_q END) AS text_id FROM vr, gw) GROUP BY ALL),
-gf AS (SELECT config, qid, doc_id, CASE WHEN split_part(config, '__', 2) IN ('dense', 'bm25_bigrams') THEN -sum(weight * (rank - 1))
-    ELSE round(sum(weight / (60.0::DOUBLE + rank)), 12) END AS score FROM gp JOIN gl USING (ranker, text_id) GROUP BY ALL),
+gf AS (SELECT config, qid, doc_id, round(sum(CASE WHEN split_part(config, '__', 2) IN ('dense', 'bm25_bigrams') THEN -weight * (rank - 1)
+    ELSE weight / (60.0::DOUBLE + rank) END), 12) AS score FROM gp JOIN gl USING (ranker, text_id) GROUP BY ALL),
 ghits AS (SELECT config, qid, doc_id, score, row_number() OVER (PARTITION BY config, qid ORDER BY score DESC, doc_id) AS rank
   FROM gf QUALIFY rank <= 20)"""
 
