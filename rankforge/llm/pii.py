@@ -164,7 +164,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
     share = min(1.0, sample_docs / max(1, docs.count()))
     text = F.col("text").cast("string")
     some = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    rows = some.limit(2 * sample_docs).mapInArrow(_sample_batches, "x array<double>, y long").limit(10 * sample_docs).toPandas()
+    rows = some.mapInArrow(_sample_batches, "x array<double>, y long").limit(10 * sample_docs).toPandas()
     if not len(rows):
         return None
     rows["key"] = [tuple(v) for v in rows["x"]]
