@@ -48,7 +48,7 @@ SPACE, LITERAL = 0x2581, 0x110000
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _STEP_BACK = pow(_STEP, -1, 1 << 64)
-_FIELDS = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
+_FIELDS = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double,round_trip:boolean>>"
 
 
 def _codes(text):
@@ -405,21 +405,32 @@ def _encode_batches(batches, vocabulary, k, block):
                 [
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
                     *[pa.array([s[j] for s in flat], pa.float64()) for j in (1, 2, 3)],
+                    pa.array(_same_text(v, ids, ends, [t for t, rows in zip(texts, found) for _ in rows]), pa.bool_()),
                 ],
-                names=["ids", "log_prob", "perturbed", "inclusion"],
+                names=["ids", "log_prob", "perturbed", "inclusion", "round_trip"],
             )
             limits = np.concatenate([[0], np.cumsum([len(rows) for rows in found])])
             lists = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), samples)
             yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["row", "samples"])
 
 
+def _bytes_of(text, text_at, ids, ends):
+    """Bytes of id lists laid end to end, and where each list's bytes end."""
+    length = (text_at[1:] - text_at[:-1])[ids]
+    return text[_take(text_at[:-1][ids], length)], np.concatenate([[0], np.cumsum(length)])[ends]
+
+
+def _same_text(v, ids, ends, texts):
+    """Whether each id list decodes to its text."""
+    raw, at = _bytes_of(v.text, v.text_at, ids, ends)
+    return [raw[a:b].tobytes() == t.encode() for a, b, t in zip(at[:-1], at[1:], texts)]
+
+
 def _decode_batches(batches, text, text_at):
     for batch in batches:
         ids = batch.column(1)
         flat, counts = np.asarray(ids.flatten()), np.asarray(pa.compute.list_value_length(ids).fill_null(0))
-        length = (text_at[1:] - text_at[:-1])[flat]
-        raw = text[_take(text_at[:-1][flat], length)]
-        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
+        raw, ends = _bytes_of(text, text_at, flat, np.concatenate([[0], np.cumsum(counts)]))
         texts = pa.Array.from_buffers(
             pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]
         ).cast(pa.large_string())
@@ -429,7 +440,8 @@ def _decode_batches(batches, text, text_at):
 def encode(docs: DataFrame, model_path: str, k: int = SAMPLES, block: int = BLOCK) -> DataFrame:
     """(row, samples): k sampled segmentations of each row's ``text``, seeded by ``doc_id``.
 
-    ``row`` holds the other columns; the text comes back from the ids.
+    ``row`` holds the other columns; the text comes back from the ids. Each
+    sample is decoded where it was made and compared with the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(model_path)))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
