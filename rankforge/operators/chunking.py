@@ -24,6 +24,20 @@ def exploded(df: DataFrame, chunks: Column, keep) -> DataFrame:
     return df.select(*keep, F.posexplode(chunks).alias("chunk_index", "text"))
 
 
+def numbered_by_file(pages: DataFrame, chunks: Column, file: str = "file", page: str = "page", keep=()) -> DataFrame:
+    """Chunks with an index that runs through all pages of a file.
+
+    Pages carry their chunk counts into the window, never their chunks twice:
+    a page's first index is the sum of the counts of the pages before it.
+    """
+    made = pages.select(file, page, *keep, chunks.alias("chunks"))
+    before = W.partitionBy(file).orderBy(page).rowsBetween(W.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(F.size("chunks")).over(before), F.lit(0)).alias("first")
+    return made.select("*", first).select(
+        file, page, *keep, F.posexplode("chunks").alias("at", "text"), "first"
+    ).select(file, page, *keep, (F.col("first") + F.col("at")).cast("bigint").alias("chunk_index"), "text")
+
+
 def _pieces(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern), strip), lambda x: x != "")
 

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.session import has_at_most
-
 GRAM = 3
-RESIDENT_PASSAGES = 50_000
+SHORT_BLOCK = 1000
 
 
 def _words(text):
@@ -19,34 +17,57 @@ def _gram(words, start):
     return F.xxhash64(*[F.get(words, start + i) for i in range(GRAM)])
 
 
+def _grams(words):
+    return F.transform(F.sequence(F.lit(0), F.size(words) - GRAM), lambda i: _gram(words, i))
+
+
 def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``(qid, doc_id)`` for ``docs (doc_id, text)`` and ``passages (qid, text)``.
 
     A passage's inner words are whole words of any document that holds it, so
-    one word triple finds all its documents by an equality join; the text
-    test then runs on the few rows that meet.
+    each of its inner word triples finds all its documents. The triple found in
+    the fewest documents is taken; documents meet it by an equality join, and
+    the text test runs on the few pairs that remain. Passages too short for a
+    triple are tested directly, in blocks, where a document is read.
     """
     p = passages.select("qid", F.col("text").alias("passage"), _words(F.col("text")).alias("pw"))
     # the first and the last word may be cut inside a document word
     long, short = p.where(F.size("pw") >= GRAM + 2), p.where(F.size("pw") < GRAM + 2)
-    anchors = long.select("qid", "passage", _gram(F.col("pw"), 1).alias("gram"))
-    words = docs.select("doc_id", "text", _words(F.col("text")).alias("w")).where(F.size("w") >= GRAM)
-    grams = F.explode(
-        F.transform(F.sequence(F.lit(0), F.size("w") - GRAM), lambda i: _gram(F.col("w"), i))
-    ).alias("gram")
-    if has_at_most(anchors, RESIDENT_PASSAGES):
-        pairs = words.select("doc_id", "text", grams).join(F.broadcast(anchors), "gram").where(F.contains("text", "passage"))
-        found = pairs.select("qid", "doc_id").distinct()
-    else:
-        pairs = words.select("doc_id", grams).distinct().join(anchors.select("qid", "gram"), "gram").select("qid", "doc_id")
-        found = (
-            pairs.distinct()
-            .join(docs.select("doc_id", "text"), "doc_id")
-            .join(anchors.select("qid", "passage"), "qid")
-            .where(F.contains("text", "passage"))
-            .select("qid", "doc_id")
-        )
-    if has_at_most(short, 0):
-        return found
-    direct = docs.join(short.select("qid", "passage"), F.contains("text", "passage")).select("qid", "doc_id")
-    return found.unionByName(direct)
+    inner = F.slice("pw", 2, F.size("pw") - 2)
+    offered = long.select("qid", inner.alias("iw")).select("qid", F.explode(F.array_distinct(_grams(F.col("iw")))).alias("gram"))
+    words = docs.select("doc_id", _words(F.col("text")).alias("w")).where(F.size("w") >= GRAM)
+    held = words.select("doc_id", F.explode(F.array_distinct(_grams(F.col("w")))).alias("gram"))
+    met = held.join(offered.select("gram").distinct(), "gram")
+    counts = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    anchor = (
+        offered.join(counts, "gram")
+        .groupBy("qid")
+        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    )
+    found = (
+        met.join(anchor, "gram")
+        .select("qid", "doc_id")
+        .join(docs.select("doc_id", "text"), "doc_id")
+        .join(long.select("qid", "passage"), "qid")
+        .where(F.contains("text", "passage"))
+        .select("qid", "doc_id")
+        .distinct()
+    )
+    for block in _blocks(short):
+        listed = F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(t).alias("passage")) for q, t in block])
+        hits = F.filter(listed, lambda x: F.contains(F.col("text"), x["passage"]))
+        direct = docs.select("doc_id", F.explode(hits).alias("hit")).select("hit.qid", "doc_id")
+        found = found.unionByName(direct.select(F.col("qid").cast(passages.schema["qid"].dataType), "doc_id"))
+    return found
+
+
+def _blocks(short):
+    """Short passages in lists of bounded length."""
+    block = []
+    for row in short.select("qid", "passage").toLocalIterator():
+        block.append((row["qid"], row["passage"]))
+        if len(block) == SHORT_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rankforge.functions.stats import wilson
+from rankforge.session import materialize
 
 # The judged metrics and the voting rule.
 METRICS = ("similarity", "correctness", "completeness", "faithfulness")
@@ -109,7 +110,8 @@ def leave_one_out(cells: DataFrame) -> DataFrame:
     )
     # the entry without a judge counts the question itself
     whole = F.array(F.struct(F.lit(None).cast("string").alias("judge"), F.lit(0).cast("bigint").alias("own")))
-    counts = (
+    # candidates x judges x totals rows, written once and read several times
+    counts = materialize(
         questions.select("cand", "o", F.explode(F.concat(whole, "votes")).alias("v"))
         .groupBy("cand", F.col("v.judge").alias("judge"), F.col("v.own").alias("own"), "o")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -90,6 +90,23 @@ def chunk_character(spark, sf_dir):
     return chunked(spark, sf_dir, lambda t: C.character_chunks(t, 500, 100))
 
 
+@query(
+    "chunk_file_numbering",
+    merge_sql(500, 100).replace(NUMBERED, """SELECT source || '-' || (doc_id // 20) AS file, doc_id AS page,
+      row_number() OVER (PARTITION BY source, doc_id // 20 ORDER BY doc_id, i) - 1 AS chunk_index, length(text) AS n_chars, md5(text) AS digest""")
+    .replace("FROM chunks WHERE", "FROM chunks JOIN documents d USING (doc_id) WHERE")
+    .replace("WHERE length(text) >= 30", "WHERE length(chunks.text) >= 30")
+    .replace("length(text) AS n_chars, md5(text)", "length(chunks.text) AS n_chars, md5(chunks.text)"),
+)
+def chunk_file_numbering(spark, sf_dir):
+    """Documents as pages of files: chunk numbers run on from page to page."""
+    pages = documents(spark, sf_dir, "doc_id", "source", "text").select(
+        F.concat_ws("-", "source", F.floor(F.col("doc_id") / 20).cast("string")).alias("file"), F.col("doc_id").alias("page"), "text"
+    )
+    chunks = C.numbered_by_file(pages, C.character_chunks(F.col("text"), 500, 100))
+    return chunks.select("file", "page", "chunk_index", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @query(
     "chunk_token_window",
     f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),

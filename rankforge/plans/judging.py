@@ -6,6 +6,7 @@ from rankforge.functions.names import open_by_list
 from rankforge.operators import votes as V
 from rankforge.plans.common import CANDIDATES, JUDGES, OPEN_CANDIDATES, VOTES_SQL, _list_sql, documents, question_attributes, votes
 from rankforge.plans.registry import query
+from rankforge.session import materialize
 
 CELL = ("qid", "domain", "context_type", "cand", "judge")
 
@@ -134,7 +135,8 @@ alls AS (SELECT count(DISTINCT judge) AS all_judges FROM kept)"""
 
 
 def kept_accuracy(spark, sf_dir):
-    acc = judge_accuracy(spark, sf_dir)
+    # a row per candidate and judge, written once: the boards read it several times
+    acc = materialize(judge_accuracy(spark, sf_dir))
     return acc.join(F.broadcast(V.broken_judges(acc).select("judge")), "judge", "left_anti")
 
 

@@ -205,3 +205,41 @@ def test_containing_equals_text_search(spark):
     p = spark.createDataFrame(list(enumerate(passages)), "qid int, text string")
     got = {(r.qid, r.doc_id) for r in containing(d, p).collect()}
     assert got == {(i, j) for i, a in enumerate(passages) for j, b in enumerate(docs) if a in b}
+
+
+def test_short_passages_need_no_nested_loop(spark):
+    d = spark.createDataFrame([(0, "a tiny b"), (1, "xtinyx"), (2, "none"), (3, None)], "doc_id int, text string")
+    p = spark.createDataFrame([(0, "tiny"), (1, "tiny b"), (2, "absent")], "qid int, text string")
+    found = containing(d, p)
+    plan = plan_of(found)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted(map(tuple, found.collect())) == [(0, 0), (0, 1), (1, 0)]
+
+
+def test_null_vectors_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.5, 0.5]), (4, [])]
+    c = spark.createDataFrame(rows, "doc_id int, vector array<double>")
+    q = c.withColumnRenamed("doc_id", "qid").orderBy(F.col("vector").isNotNull())
+    got = {(r.qid, r.doc_id) for r in dense.dense_topk(q, c, 5).collect()}
+    assert got == {(1, 1), (1, 3), (3, 1), (3, 3)} and dense.left_out(c) == 2
+
+
+def test_only_hot_groups_are_tiled(spark):
+    rows = [("hot", i) for i in range(400)] + [(f"g{i}", 1000 + i) for i in range(50)]
+    df = spark.createDataFrame([(g, i, [1.0, float(i)]) for g, i in rows], "g string, doc_id int, vector array<double>")
+    q = df.withColumnRenamed("doc_id", "qid")
+    tiles = {r.g: (r.nq, r.nc) for r in dense._group_tiles(q, df, "g", 100).collect()}
+    assert tiles["hot"] == (4, 4) and {v for g, v in tiles.items() if g != "hot"} == {(1, 1)}
+    got = dense.dense_topk(q, df, 3, within="g", tile_rows=100).collect()
+    assert len(got) == 3 * 400 + 50
+
+
+def test_exact_percentile(spark):
+    from rankforge.operators.costs import exact_percentile
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.lognormal(size=999)] + [("b", 7.0)] * 40 + [("c", float(i % 3)) for i in range(10)] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.percentile for r in exact_percentile(df, "v", ["g"], 0.95).collect()}
+    for g in "abc":
+        assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g], 0.95), abs=1e-12)
