@@ -10,9 +10,15 @@ STATUS = {"click": "submitted", "view": "running", "purchase": "completed", "err
 STATUS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()) + " END"
 
 
-def log(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return R.arriving(spark, sf_dir, schema, "events.parquet")
+FILES = 4
+
+
+def log(spark, sf_dir, path):
+    """``events`` arriving as several files, one a micro-batch; a later run finds the same files."""
+    events = table(spark, sf_dir, "events")
+    arrived = f"{path}/arrived"
+    events.repartitionByRange(FILES, "event_id").write.mode("ignore").parquet(arrived)
+    return R.arriving(spark, arrived, events.schema, files_per_batch=1)
 
 
 def status():
@@ -24,14 +30,14 @@ def status():
 
 @query(
     "stream_registry_latest",
-    f"""SELECT user_id, max_by({STATUS_SQL}, ts) AS status,
-    max_by({STATUS_SQL}, ts) IN ('completed', 'failed', 'expired') AS terminal FROM events GROUP BY user_id""",
+    f"""SELECT user_id, status, status IN ('completed', 'failed', 'expired') AS terminal FROM (
+      SELECT user_id, {STATUS_SQL} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""",
 )
 def stream_registry_latest(spark, sf_dir):
     """Latest status of every batch, kept by a streaming upsert."""
     path = scratch_path(spark, "registry-stream")
-    stream = log(spark, sf_dir).select("user_id", "ts", status().alias("status"))
-    R.upsert(R.latest_by_key(stream, "user_id", "ts", "status"), f"{path}/table", f"{path}/checkpoint")
+    stream = log(spark, sf_dir, path).select("user_id", "ts", "event_id", status().alias("status"))
+    R.upsert(R.latest_by_key(stream, "user_id", "ts", "status", tie="event_id"), f"{path}/table", f"{path}/checkpoint")
     now = R.current(spark, f"{path}/table", "user_id")
     return now.select("user_id", "status", R.is_terminal(F.col("status")).alias("terminal"))
 
@@ -45,7 +51,7 @@ def stream_leaderboard(spark, sf_dir):
     """A board recomputed after every batch."""
     path = scratch_path(spark, "board-stream")
     board = (
-        log(spark, sf_dir)
+        log(spark, sf_dir, path)
         .select((F.col("user_id") % 12).alias("cand"), (1 + (F.col("event_id") * 7) % 5).alias("score"))
         .groupBy("cand")
         .agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("score") >= 4) / F.count(F.lit(1))).alias("accuracy"))
@@ -59,6 +65,6 @@ def stream_append_log(spark, sf_dir):
     """Results appended once per item, failures as rows of their own; a second run adds nothing."""
     path = scratch_path(spark, "log-stream")
     for _ in range(2):
-        rows = log(spark, sf_dir).select("event_id", (F.col("event_type") == "error").alias("failed"))
+        rows = log(spark, sf_dir, path).select("event_id", (F.col("event_type") == "error").alias("failed"))
         R.append(rows, f"{path}/table", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/table")

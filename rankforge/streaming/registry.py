@@ -18,13 +18,15 @@ def is_terminal(status: Column) -> Column:
     return status.isin(*TERMINAL)
 
 
-def arriving(spark: SparkSession, path: str, schema, pattern: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
+def arriving(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def latest_by_key(log: DataFrame, key: str, at: str, *values: str) -> DataFrame:
-    """Streaming aggregate: the values of each key's newest row."""
-    return log.groupBy(key).agg(F.max_by(F.struct(at, *values), at).alias("r")).select(key, "r.*")
+def latest_by_key(log: DataFrame, key: str, at: str, *values: str, tie: str | None = None) -> DataFrame:
+    """Streaming aggregate: the values of each key's newest row, equal times by ``tie``."""
+    order = F.struct(at, tie) if tie else F.col(at)
+    return log.groupBy(key).agg(F.max_by(F.struct(at, *values), order).alias("r")).select(key, "r.*")
 
 
 def upsert(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
