@@ -162,13 +162,29 @@ ch AS (SELECT doc_id, chunk, string_agg(sentence, ' ' ORDER BY pos) AS text FROM
 )
 def chunk_semantic(spark, sf_dir):
     """Sentences with one neighbour each side, cut at the 95th percentile distance."""
+    return semantic(spark, sf_dir)
+
+
+DEVIATION_SQL = SEMANTIC_SQL.replace("round(quantile_cont(gap, 0.95), 9)", "round(avg(gap) + stddev_pop(gap) * 1.5::DOUBLE, 9)")
+
+
+@query(
+    "chunk_semantic_deviation",
+    f"WITH {DEVIATION_SQL} SELECT doc_id, chunk::BIGINT AS chunk_index, {OUT_SQL} FROM ch WHERE length({STRIP.format('text')}) >= 30",
+)
+def chunk_semantic_deviation(spark, sf_dir):
+    """The same, cut at the mean distance plus one and a half deviations."""
+    return semantic(spark, sf_dir, stdevs=1.5)
+
+
+def semantic(spark, sf_dir, **limit):
     pieces = F.filter(F.transform(F.split("text", C.SENTENCE_END), X.strip), lambda x: x != "")
     docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", pieces.alias("s"))
     around = lambda i: F.array_join(F.slice("s", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ")
     items = F.transform(F.col("s"), lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), around(i).alias("context")))
     sentences = docs.select("doc_id", F.explode(items).alias("i")).select("doc_id", "i.*")
-    chunks = C.semantic_chunks(sentences.select("doc_id", "pos", "sentence", hash_embedder(F.col("context")).alias("vector")))
-    return out(chunks.withColumnRenamed("chunk", "chunk_index"))
+    vectors = sentences.select("doc_id", "pos", "sentence", hash_embedder(F.col("context")).alias("vector"))
+    return out(C.semantic_chunks(vectors, **limit).withColumnRenamed("chunk", "chunk_index"))
 
 
 @query(
