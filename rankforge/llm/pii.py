@@ -9,8 +9,8 @@ probability reaches the threshold and it overlaps nothing more probable.
 
 The trees are trained here, on the candidates of at most ``SAMPLE_DOCS``
 documents chosen by a hash of their text. No labels exist, so rules label the
-candidates: a validated base span or a keyed secret with digits and letters
-mixed is positive; what has the shape but fails its check, and plain numbers
+candidates: a validated base span, a card or phone number written the usual way
+or a keyed secret with digits and letters mixed is positive; what has the shape but fails its check, and plain numbers
 and words, are negative. Everything but that fit covers all rows.
 
 Offsets are code points, ends exclusive. Defined cases: null texts have no
@@ -51,6 +51,9 @@ _DIGIT = re.compile("[0-9]")
 _SECRET = re.compile(
     r"(?i:\b(?:token|password|passwd|pwd|secret|api[_-]?key|key|auth)\b)[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9+/=_-]{6,200})"
 )
+# numbers written the usual way: they stand out where the base patterns run two into one
+_USUAL_PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])")
+_USUAL_CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
 _GROUPED = re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,6}){1,5}(?![0-9])")
 _CODE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,60}[0-9])[A-Za-z0-9]{16,200}(?![A-Za-z0-9])")
 _SPELLED = re.compile(r"\b[A-Za-z0-9._-]{2,40} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,40} ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,10}\b")
@@ -114,6 +117,8 @@ def candidates(text, base):
             v = m.group(1)
             mixed = any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
             out.append(("secret", m.start(1), m.end(1), int(mixed and len(v) >= 12) if mixed or len(v) < 12 else None))
+        out += [("card", m.start(), m.end(), int(luhn(_digits(text, *m.span())))) for m in _USUAL_CARD.finditer(text)]
+        out += [("phone", m.start(), m.end(), 1) for m in _USUAL_PHONE.finditer(text)]
         out += [("secret", m.start(), m.end(), None) for m in _CODE.finditer(text)]
         out += [("phone", m.start(), m.end(), None) for m in _GROUPED.finditer(text)]
     return out
@@ -202,7 +207,8 @@ def _report(texts, model, threshold):
     for value in texts:
         text = value.as_py() or ""
         base = base_matches(text)
-        more = [c for c in candidates(text, base) if c[3] != 1 or c[0] == "secret"]
+        good = {v[:3] for v in base if v[3]}
+        more = [c for c in candidates(text, base) if c[:3] not in good]
         rows += [features(text, kind, s, e) for kind, s, e, _ in more]
         bases.append(base)
         lists.append(more)
