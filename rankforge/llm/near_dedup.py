@@ -13,12 +13,11 @@ The work, all on Spark tables:
 2. in each band bucket, pair every class with one leader, estimate the
    similarity from the registers with the expected chance collisions taken off,
    and confirm the rest on the full sets; join the links to components;
-3. buckets that still hold several components choose other leaders once, then
-   what lies in different components is compared in tiles: estimates from the
-   registers, then the full sets, all inside the task. Only links that join two
-   components leave a tile. A group of copies, however large, so costs a pair
-   per member and round, and no pair of different components in a bucket goes
-   unseen.
+3. what still shares a bucket in different components is compared in tiles:
+   estimates from the registers, then the full sets, all inside the task. Only
+   links that join two components leave a tile. A group of copies, however
+   large, so costs a pair per member and leader, and no pair of different
+   components in a bucket goes unseen.
 
 Defined cases: null or word-less texts have an empty set and are linked with
 nothing. A row without ``doc_id`` is linked with nothing, its component is null
@@ -46,7 +45,7 @@ EMPTY = np.uint32(0xFFFFFFFF)
 #: threshold: four standard deviations of an estimate from 128 registers.
 MARGIN = 0.155
 TILE_ROWS, TILE_SHINGLES = 1024, 500_000
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 WORDS = 5
 
 

@@ -213,8 +213,8 @@ def _sample_batches(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([int(code[i]) for i in keep], pa.int64()),
-                    pa.array([shape[at[i] : at[i + 1]] for i in keep], pa.list_(pa.int64())),
-                    pa.array([value[at[i] : at[i + 1]] for i in keep], pa.list_(pa.float64())),
+                    pa.array([shape[at[i] : at[i + 1]].astype(np.int32) for i in keep], pa.list_(pa.int32())),
+                    pa.array([value[at[i] : at[i + 1]].astype(np.float32) for i in keep], pa.list_(pa.float32())),
                 ],
                 names=["pattern", "dims", "weights"],
             )
@@ -251,11 +251,13 @@ class QualityModel:
         self.labels = LabelModel(patterns, counts)
         share = min(1.0, sample_docs / sum(counts))
         some = text.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).dropDuplicates(["text"])
-        found = some.mapInArrow(_sample_batches, "pattern long, dims array<long>, weights array<double>").limit(2 * sample_docs)
-        found = sorted(found.collect(), key=lambda r: (r.pattern, r.dims, r.weights))
-        if found:
-            target = self.labels.posterior([r.pattern for r in found])
-            self.scorer = _fit_linear([np.array(r.dims) for r in found], [np.array(r.weights) for r in found], target)
+        found = some.mapInArrow(_sample_batches, "pattern long, dims array<int>, weights array<float>").limit(2 * sample_docs)
+        # as arrays, which take a tenth of the driver's memory that rows of numbers take
+        found = found.toPandas()
+        if len(found):
+            order = sorted(range(len(found)), key=lambda i: (found["pattern"][i], bytes(found["dims"][i]), bytes(found["weights"][i])))
+            dims, weights = ([found[c][i] for i in order] for c in ("dims", "weights"))
+            self.scorer = _fit_linear(dims, weights, self.labels.posterior([found["pattern"][i] for i in order]))
 
 
 def _report(texts, labels, scorer, cut):

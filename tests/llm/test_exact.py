@@ -93,8 +93,10 @@ def test_base_spans_follow_the_patterns(texts):
         assert [m[:3] for m in pii.base_matches(text) if m[3]] == plain_spans(text)
 
 
-def test_model_keeps_base_spans_and_adds_secrets(spark, sf, texts):
-    got = QUERIES["op1_pii"](spark, sf).collect()
+def test_model_keeps_base_spans_and_adds_secrets(spark, duck):
+    folder = "/root/testdata/sf0.01"
+    texts = dict(duck.sql(f"select doc_id, text from '{folder}/documents.parquet'").fetchall())
+    got = QUERIES["op1_pii"](spark, folder).collect()
     added = 0
     for r in got:
         base = [f"{k}:{s}:{e}" for k, s, e in plain_spans(texts[r.doc_id])]
