@@ -253,11 +253,13 @@ class QualityModel:
         some = text.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).dropDuplicates(["text"])
         found = some.mapInArrow(_sample_batches, "pattern long, dims array<int>, weights array<float>").limit(2 * sample_docs)
         # as arrays, which take a tenth of the driver's memory that rows of numbers take
-        found = found.toPandas()
-        if len(found):
-            order = sorted(range(len(found)), key=lambda i: (found["pattern"][i], bytes(found["dims"][i]), bytes(found["weights"][i])))
-            dims, weights = ([found[c][i] for i in order] for c in ("dims", "weights"))
-            self.scorer = _fit_linear(dims, weights, self.labels.posterior([found["pattern"][i] for i in order]))
+        found = found.toArrow()
+        if found.num_rows:
+            pattern = found["pattern"].to_numpy()
+            dims, weights = ([x.values.to_numpy() for x in found[c]] for c in ("dims", "weights"))
+            order = sorted(range(len(dims)), key=lambda i: (pattern[i], dims[i].tobytes(), weights[i].tobytes()))
+            target = self.labels.posterior(pattern[order])
+            self.scorer = _fit_linear([dims[i] for i in order], [weights[i] for i in order], target)
 
 
 def _report(texts, labels, scorer, cut):
