@@ -100,6 +100,26 @@ def _numbers(column):
     return column.to_numpy(zero_copy_only=False)
 
 
+def _count_batches(batches):
+    """Distinct terms and their counts per document, by codes of the batch's terms."""
+    for batch in batches:
+        ids, lists = batch.column(0), batch.column(1)
+        sizes = _numbers(pa.compute.list_value_length(lists)).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        n = max(1, len(words.dictionary))
+        code = _numbers(words.indices).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        cells, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + code, return_counts=True)
+        ends = pa.array(np.searchsorted(cells, np.arange(len(sizes) + 1) * n), pa.int32())
+        terms = words.dictionary.take(pa.array(cells % n)) if len(words) else pa.array([], pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids, pa.array(sizes.astype(np.int32)),
+                pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
+            ],
+            names=["doc_id", "dl", "terms", "tfs"],
+        )
+
+
 def _expand(first, counts):
     """``first``, ``first + 1``, ... of each slice, one after another."""
     shift = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
@@ -214,10 +234,9 @@ class LexicalRanker:
 
     def __init__(self, texts: DataFrame, docs: DataFrame, tokenize=tokenize_words, k1=K1, b=B, epsilon=EPSILON):
         self.spark, self.k1, self.b = docs.sparkSession, k1, b
-        counted = docs.select("doc_id", tokenize(F.col("text")).alias("tokens")).select(
-            "doc_id", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("p")
-        )
-        self.index = materialize(counted.select("doc_id", "dl", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs")))
+        tokens = docs.select("doc_id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+        schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("dl int, terms array<string>, tfs array<int>").fields])
+        self.index = materialize(tokens.mapInArrow(_count_batches, schema))
         totals = self.index.agg(F.count(F.lit(1)), F.sum(F.col("dl").cast("bigint"))).first()
         self.n, self.avgdl = totals[0], (totals[1] or 0) / max(1, totals[0])
         vocab = materialize(
