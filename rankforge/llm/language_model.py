@@ -1,22 +1,17 @@
-"""Log probability of texts under a smoothed n-gram model, as a backoff automaton.
+"""Log probability of texts under a smoothed n-gram model with backoff.
 
 Unigrams are counted over all training tokens and smoothed by adding a half.
-Bigrams and trigrams enter the model when they are at least ``NGRAM_SHARE`` of
-the training tokens, so each order has at most 1 / NGRAM_SHARE entries whatever
-the corpus size; their counts are exact, as an n-gram cannot be more frequent
-than its parts (only n-grams of kept parts are counted). Kept n-grams are
-discounted by ``DISCOUNT``; what that frees goes to the shorter history, with
-backoff weights that make every history's distribution sum to one.
-
-States are the histories with kept continuations. A state has an arc per kept
-continuation and one failure arc, weighted by its backoff, to its longest
-suffix; the root takes every token. One pass from left to right carries the
-state and adds up log10 weights.
-
-Words of at least ``WORD_SHARE`` of the tokens (at most 1 / WORD_SHARE of them)
-are broadcast and scored in the pass. Rarer ones always end at the root; they
-leave the pass as hashes and meet the whole count table by a join, so no task
-and no broadcast ever holds the vocabulary.
+Every bigram and trigram of the training texts is in the model with its exact
+count, however rare it is and however large the corpus. N-grams are discounted
+by ``DISCOUNT``; what that frees goes to the shorter history, with backoff
+weights that make every history's distribution sum to one.
+
+N-grams are keyed by 64-bit hashes and dealt into parts by key; the number of
+parts grows with the training bytes, so a part has a bounded number of keys.
+Between tasks a part travels as packed arrays, one row per block and part, and
+is counted, joined and summed by array operations. A block of texts asks the
+parts for its own distinct n-grams and adds up the answers, so no task, no
+broadcast and no driver ever holds the vocabulary or the model.
 
 Defined cases: a null text is empty and has one token, its end; a row without
 ``doc_id`` belongs to training; repeated rows count each; an empty training set
@@ -25,10 +20,9 @@ makes every token unknown.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,12 +30,21 @@ from pyspark.sql import types as T
 from rankforge.llm import words
 from rankforge.llm.store import Scratch
 
-WORD_SHARE = 2.0**-20
-NGRAM_SHARE = 2.0**-17
+#: Least share of the training tokens an n-gram needs: none, all n-grams count.
+NGRAM_SHARE = 0.0
 DISCOUNT = 0.5
+#: Training bytes per part and text bytes per block.
+PART = 1 << 22
+BLOCK = 1 << 22
 #: Hash of the end token; no word hash is reserved, so this is one more word.
 END = np.uint64(0xE17A1465B3C5D927)
 
+_GRAMS = "n int, part int, credit boolean, keys binary, left binary, right binary, vals binary, tokens double"
+_ASKS = "n int, part int, src long, keys binary"
+_ANSWERS = "n int, part int, src long, vals binary"
+# values of an n-gram in the tables that are asked
+_WIDTH = {1: 2, 2: 3, 3: 1}
+
 
 def _tokens(block):
     """(token hashes with an end after each text, first token of each text)."""
@@ -49,33 +52,32 @@ def _tokens(block):
     return hashes, block.first + np.arange(len(block.first))
 
 
-def _counted(keys, counts):
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "c"])
+def _pair(left, right):
+    return words.mix(left * np.uint64(0x9FB21C651E98DF25) + right)
 
 
-def _merge(parts):
-    """Sum of (keys, counts) parts."""
-    keys = np.concatenate([k for k, _ in parts])
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64)
+def _bytes(array):
+    return np.ascontiguousarray(array).tobytes()
 
 
-def _tally(batches, keys_of):
-    """Counts of the keys that ``keys_of`` finds in each block, summed before they leave the task."""
-    parts, held = [], 0
-    for batch in batches:
-        for block in words.blocks(batch.column(0), words.SPACE):
-            found = np.unique(keys_of(*_tokens(block)), return_counts=True)
-            parts.append(found)
-            held += len(found[0])
-            if held > 4_000_000:
-                parts = [_merge(parts)]
-                held = len(parts[0][0])
-                if held > 2_000_000:
-                    yield _counted(*parts.pop())
-                    held = 0
-    if parts:
-        yield _counted(*_merge(parts))
+def _array(value, dtype=np.uint64):
+    return np.frombuffer(value or b"", dtype=dtype)
+
+
+def _table(rows, fields):
+    fields = [f.split() for f in fields.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
+
+
+def _cut(keys, parts):
+    """(part, indices into ``keys``) of each part met."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    met, at = np.unique(part[order], return_index=True)
+    for p, lo, hi in zip(met.tolist(), at, [*at[1:], len(keys)]):
+        yield p, order[lo:hi]
 
 
 def _place(table, keys):
@@ -86,167 +88,240 @@ def _place(table, keys):
     return np.where(table[at] == keys, at, -1)
 
 
-def _bigram_keys(hashes, first, table):
-    at = _place(table, hashes)
-    ok = (at[:-1] >= 0) & (at[1:] >= 0)
-    ok[first[1:-1] - 1] = False
-    return (at[:-1] * len(table) + at[1:])[ok].astype(np.uint64)
-
-
-def _trigram_keys(hashes, first, table, pairs):
-    at = _place(table, hashes)
-    n = np.uint64(len(table))
-    pair = at[:-1].astype(np.uint64) * n + at[1:].astype(np.uint64)
-    place = _place(pairs, pair)
-    place[(at[:-1] < 0) | (at[1:] < 0)] = -1
-    place[first[1:-1] - 1] = -1
-    ok = (place[:-1] >= 0) & (place[1:] >= 0)
-    return (place[:-1].astype(np.uint64) * n + at[2:].astype(np.uint64))[ok]
-
-
-class Automaton:
-    """States, arcs and failure arcs as plain dictionaries and lists."""
-
-    def __init__(self, table, counts, total, kinds, pairs, pair_counts, triples, triple_counts):
-        """``table`` sorted hashes of the broadcast words; n-grams by index into it."""
-        n = len(table)
-        self.denominator = total + 0.5 * (kinds + 1)
-        one = (counts + 0.5) / self.denominator
-        self.one = np.log10(one)
-        left, right = pairs // n, pairs % n
-        two = (pair_counts - DISCOUNT) / counts[left]
-        history, last = triples // n, triples % n
-        three = (triple_counts - DISCOUNT) / pair_counts[history]
-        self.n, self.arcs, self.back, self.fail = n, {}, [0.0], [0]
-        one_state = {int(u): i + 1 for i, u in enumerate(np.unique(left))}
-        two_state = {int(p): i + 1 + len(one_state) for i, p in enumerate(np.unique(history))}
-        self.start = np.zeros(n, dtype=np.int64)
-        self.start[list(one_state)] = list(one_state.values())
-        # probability left for the shorter history, over what it gives to the rest
-        kept, lower = np.bincount(left, two, n), np.bincount(left, one[right], n)
-        for u in one_state:
-            self.back.append(math.log10(max(1 - kept[u], 1e-12) / max(1 - lower[u], 1e-12)))
-            self.fail.append(0)
-        by_pair = {int(p): i for i, p in enumerate(pairs)}
-        suffix = np.array([by_pair[int(right[h]) * n + int(w)] for h, w in zip(history, last)], dtype=np.int64)
-        kept3, lower3 = np.bincount(history, three, len(pairs)), np.bincount(history, two[suffix] if len(suffix) else [], len(pairs))
-        for p in two_state:
-            self.back.append(math.log10(max(1 - kept3[p], 1e-12) / max(1 - lower3[p], 1e-12)))
-            self.fail.append(one_state[int(right[p])])
-        for i, (u, w) in enumerate(zip(left.tolist(), right.tolist())):
-            self.arcs[one_state[u] * n + w] = (math.log10(two[i]), two_state.get(i, one_state.get(w, 0)))
-        for p, w, q, s in zip(history.tolist(), last.tolist(), three.tolist(), suffix.tolist()):
-            self.arcs[two_state[p] * n + w] = (math.log10(q), two_state.get(s, one_state.get(w, 0)))
-
-    def walk(self, tokens, one, start):
-        """log10 weights of a token list but for the tokens (-1) whose unigram is added later."""
-        arcs, back, fail, n = self.arcs, self.back, self.fail, self.n
-        total, state = 0.0, 0
-        for w in tokens:
-            if w < 0:
-                while state:
-                    total += back[state]
-                    state = fail[state]
-                continue
-            while state:
-                arc = arcs.get(state * n + w)
-                if arc:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += back[state]
-                state = fail[state]
-            else:
-                total += one[w]
-                state = start[w]
-        return total
-
-
-def _score_batches(batches, table, parts):
-    model = Automaton.__new__(Automaton)
-    model.__dict__.update(parts)
-    one, start = model.one.tolist(), model.start.tolist()
-    weights = np.append(model.one, 0.0)
+def _grams(hashes, first):
+    """(left, right, index of the first token) of the bigrams and of the trigrams inside the texts."""
+    inside = np.ones(max(len(hashes) - 1, 0), dtype=bool)
+    inside[first[1:-1] - 1] = False
+    two = np.flatnonzero(inside)
+    three = np.flatnonzero(inside[:-1] & inside[1:])
+    pairs = _pair(hashes[:-1], hashes[1:])
+    return (hashes[two], hashes[two + 1], two), (pairs[three], pairs[three + 1], three)
+
+
+def _merged(keys, left, right, counts):
+    """Distinct sorted keys with what they are made of and their summed counts."""
+    unique, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return unique, left[at], right[at], np.bincount(inverse, counts, len(unique))
+
+
+def _count_batches(batches, parts):
     for batch in batches:
-        for block in words.blocks(batch.column(1), words.SPACE):
+        for block in words.blocks(batch.column(0), words.SPACE, BLOCK):
+            hashes, first = _tokens(block)
+            (l2, r2, _), (l3, r3, _) = _grams(hashes, first)
+            for n, key, left, right in ((1, hashes, hashes, hashes), (2, _pair(l2, r2), l2, r2), (3, _pair(l3, r3), l3, r3)):
+                _, left, right, counts = _merged(key, left, right, np.ones(len(key)))
+                key = left if n == 1 else _pair(left, right)
+                rows = [
+                    (n, p, False, None, _bytes(left[i]), _bytes(right[i]) if n > 1 else None, _bytes(counts[i].astype(np.int64)), 0.0)
+                    for p, i in _cut(key, parts)
+                ]
+                yield from _table(rows, _GRAMS).to_batches()
+
+
+def _count_part(table):
+    n, part = table["n"][0].as_py(), table["part"][0].as_py()
+    left, counts = (np.concatenate([_array(v, d) for v in table[c].to_pylist()]) for c, d in (("left", np.uint64), ("vals", np.int64)))
+    right = np.concatenate([_array(v) for v in table["right"].to_pylist()]) if n > 1 else left
+    keys, left, right, counts = _merged(left if n == 1 else _pair(left, right), left, right, counts)
+    made = (_bytes(left), _bytes(right)) if n > 1 else (None, None)
+    return _table([(n, part, False, _bytes(keys), *made, _bytes(counts), counts.sum())], _GRAMS)
+
+
+def _wanted(n, left, right):
+    """Keys of the shorter n-grams that an n-gram's weight and its history's backoff need."""
+    return np.unique(np.concatenate([left, right]) if n == 2 else right)
+
+
+def _ask_batches(batches, parts):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            keys = _wanted(row["n"], _array(row["left"]), _array(row["right"]))
+            rows = [(row["n"] - 1, p, row["part"], _bytes(keys[i])) for p, i in _cut(keys, parts)]
+            yield from _table(rows, _ASKS).to_batches()
+
+
+def _answer(asks, table, width):
+    """Values of the asked keys in the order of asking, 0 for a missing key."""
+    known, values = np.zeros(0, np.uint64), None
+    if table.num_rows:
+        known = _array(table["keys"][0].as_py())
+        values = _array(table["vals"][0].as_py(), np.float64).reshape(-1, len(known))
+    rows = []
+    for n, part, src, asked in zip(*(asks[c].to_pylist() for c in ("n", "part", "src", "keys"))):
+        at = _place(known, _array(asked))
+        found = np.zeros((width.get(n) or 1, len(at)))
+        if values is not None:
+            found[:, at >= 0] = values[:, at[at >= 0]]
+        rows.append((n, part, src, _bytes(found)))
+    return _table(rows, _ANSWERS)
+
+
+def _gather(answers, n, keys, parts, width):
+    """Answers of order ``n`` for the sorted ``keys`` that were asked."""
+    out = np.zeros((width, len(keys)))
+    by_part = {p: v for m, p, v in answers if m == n}
+    for p, i in _cut(keys, parts):
+        out[:, i] = _array(by_part[p], np.float64).reshape(width, -1)
+    return out
+
+
+def _triples(answers):
+    return list(zip(*(answers[c].to_pylist() for c in ("n", "part", "vals"))))
+
+
+def _credit(answers, table, parts, denominator):
+    """Weights of a part's n-grams, and what they add to their histories' backoff."""
+    row = table.to_pylist()[0]
+    n, left, right = row["n"], _array(row["left"]), _array(row["right"])
+    keys, counts = _wanted(n, left, right), _array(row["vals"], np.float64)
+    width = 1 if n == 2 else 2
+    got = _gather(_triples(answers), n - 1, keys, parts, width)[0]
+    lower = got[np.searchsorted(keys, right)]
+    rows = []
+    if n == 2:
+        weight = (counts - DISCOUNT) / got[np.searchsorted(keys, left)]
+        lower = (lower + 0.5) / denominator
+        rows.append((2, row["part"], False, row["keys"], None, None, _bytes(np.stack([weight, counts])), 0.0))
+    history, inverse = np.unique(left, return_inverse=True)
+    sums = np.stack([np.bincount(inverse, minlength=len(history)).astype(float), np.bincount(inverse, lower, len(history))])
+    rows += [(n - 1, p, True, _bytes(history[i]), None, None, _bytes(sums[:, i]), 0.0) for p, i in _cut(history, parts)]
+    return _table(rows, _GRAMS)
+
+
+def _settle(table):
+    """A part with the log10 backoff weight of each n-gram as a history."""
+    rows = table.to_pylist()
+    base = next(r for r in rows if not r["credit"])
+    keys = _array(base["keys"])
+    values = _array(base["vals"], np.float64).reshape(-1, len(keys))
+    sums = np.zeros((2, len(keys)))
+    for row in rows:
+        if row["credit"]:
+            own = _array(row["keys"])
+            sums[:, np.searchsorted(keys, own)] += _array(row["vals"], np.float64).reshape(2, -1)
+    # probability left for the shorter history, over what that gives to the rest
+    kept, lower = DISCOUNT * sums[0] / values[-1], sums[1]
+    back = np.where(sums[0] > 0, np.log10(np.maximum(kept, 1e-12) / np.maximum(1 - lower, 1e-12)), 0.0)
+    vals = _bytes(np.concatenate([values, back[None]]))
+    return _table([(base["n"], base["part"], False, base["keys"], None, None, vals, 0.0)], _GRAMS)
+
+
+def _block_batches(batches):
+    """Texts of a block as token hashes beside their rows."""
+    src = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for block in words.blocks(batch.column(1), words.SPACE, BLOCK):
             hashes, first = _tokens(block)
-            at = _place(table, hashes)
-            known = np.concatenate([[0], np.cumsum(at >= 0)])
-            base = np.concatenate([[0.0], np.cumsum(weights[at])])
-            texts = range(len(block))
-            score = [model.walk(at[first[i] : first[i + 1]].tolist(), one, start) for i in texts]
-            rare = hashes.view(np.int64)[at < 0]
-            rare_at = first - known[first]
-            lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(rare))
             rows = batch.column(0).slice(block.first_row, len(block))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows,
-                    pa.array(np.diff(first)),
-                    pa.array(known[first[1:]] - known[first[:-1]]),
-                    pa.array([float(weights[at[first[i] : first[i + 1]]].sum()) for i in texts]),
-                    pa.array(score, pa.float64()),
-                    lists,
-                ],
-                names=["row", "n_tokens", "known", "base", "walked", "rare"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            columns = [pa.array([src]), lists, pa.array([_bytes(hashes)]), pa.array([_bytes(first.astype(np.int64))])]
+            yield pa.RecordBatch.from_arrays(columns, names=["src", "rows", "hashes", "first"])
+            src += 1
+
+
+def _block_grams(hashes, first):
+    """{n: (key of each n-gram, index of its first token)}."""
+    (l2, r2, two), (l3, r3, three) = _grams(hashes, first)
+    return {1: (hashes, np.arange(len(hashes))), 2: (_pair(l2, r2), two), 3: (_pair(l3, r3), three)}
+
+
+def _block_asks(batches, parts):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            for n, (keys, _) in _block_grams(_array(row["hashes"]), _array(row["first"], np.int64)).items():
+                keys = np.unique(keys)
+                rows = [(n, p, row["src"], _bytes(keys[i])) for p, i in _cut(keys, parts)]
+                yield from _table(rows, _ASKS).to_batches()
+
+
+def _score_block(answers, block, parts, denominator):
+    hashes, first = _array(block["hashes"][0].as_py()), _array(block["first"][0].as_py(), np.int64)
+    got, found = {}, _triples(answers)
+    for n, (keys, at) in _block_grams(hashes, first).items():
+        unique, inverse = np.unique(keys, return_inverse=True)
+        # each row of values by the index of the n-gram's first token
+        got[n] = np.zeros((_WIDTH[n], len(hashes)))
+        got[n][:, at] = _gather(found, n, unique, parts, _WIDTH[n])[:, inverse]
+        if n > 1:
+            (two, three) = (at, None) if n == 2 else (two, at)
+    (count, back1), (weight, history, back2), (triple,) = got[1], got[2], got[3]
+    base = np.log10((count + 0.5) / denominator)
+    score = base.copy()
+    score[two + 1] = np.where(
+        weight[two] > 0, np.log10(np.where(weight[two] > 0, weight[two], 1)), back1[two] + base[two + 1]
+    )
+    seen = triple[three] > 0
+    ratio = np.where(seen, (triple[three] - DISCOUNT) / np.where(seen, history[three], 1), 1)
+    score[three + 2] = np.where(seen, np.log10(ratio), back2[three] + score[three + 2])
+    starts = first[:-1]
+    rows = block["rows"].combine_chunks().flatten()
+    return pa.table(
+        {
+            "row": rows,
+            "n_tokens": pa.array(np.diff(first)),
+            "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
+            "base": pa.array(np.add.reduceat(base, starts)),
+            "score": pa.array(np.add.reduceat(score, starts)),
+        }
+    )
+
+
+def _asked(asks: DataFrame, table: DataFrame, width) -> DataFrame:
+    pairs = asks.groupBy("n", "part").cogroup(table.select("n", "part", "keys", "vals").groupBy("n", "part"))
+    return pairs.applyInArrow(lambda left, right: _answer(left, right, width), _ANSWERS)
 
 
 class LanguageModel:
-    """Counts, automaton and scores of one training table (needs ``text``)."""
+    """Counts, weights and scores of one training table (needs ``text``)."""
 
-    def __init__(self, train: DataFrame, word_share=WORD_SHARE, ngram_share=NGRAM_SHARE):
+    def __init__(self, train: DataFrame):
         self.spark = train.sparkSession
         self.tmp = Scratch(self.spark, "language-model")
-        self.train = train.select(F.col("text").cast("string").alias("text"))
-        self.counts = self.tmp.write(self._count(lambda hashes, first: hashes), "counts")
-        sums = self.counts.agg(F.sum("c"), F.count("*")).first()
-        self.total, self.kinds = sums[0] or 0, sums[1]
-        # a share bounds how many rows can reach it, so what is collected is bounded
-        self.table, counts = self._frequent(self.counts, word_share)
-        inner, _ = self._frequent(self.counts, ngram_share)
-        self.automaton = self._ngrams(inner, counts, ngram_share)
-
-    def _count(self, keys_of):
-        found = self.train.mapInArrow(lambda batches: _tally(batches, keys_of), "h long, c long")
-        return found.groupBy("h").agg(F.sum("c").alias("c"))
-
-    def _frequent(self, counted, share):
-        rows = counted.filter(F.col("c") >= max(1.0, share * self.total)).toPandas()
-        keys, counts = rows["h"].to_numpy(dtype=np.int64).view(np.uint64), rows["c"].to_numpy(dtype=np.int64)
-        order = np.argsort(keys)
-        return keys[order], counts[order]
-
-    def _ngrams(self, inner, counts, share):
-        pairs, pair_counts = self._frequent(self._count(lambda h, f: _bigram_keys(h, f, inner)), share)
-        triples, triple_counts = self._frequent(self._count(lambda h, f: _trigram_keys(h, f, inner, pairs)), share)
-        # from indices into the inner table to indices into the whole one
-        place, m, n = _place(self.table, inner), len(inner), len(self.table)
-        pairs, triples = pairs.astype(np.int64), triples.astype(np.int64)
-        renamed = place[pairs // m] * n + place[pairs % m] if m else pairs
-        moved = (triples // m) * n + place[triples % m] if m else triples
-        return Automaton(self.table, counts, self.total, self.kinds, renamed, pair_counts, moved, triple_counts)
+        train = train.select(F.col("text").cast("string").alias("text"))
+        size = train.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+        self.parts = parts = 1 + size // PART
+        found = train.mapInArrow(lambda batches: _count_batches(batches, parts), _GRAMS)
+        found = found.groupBy("n", "part").applyInArrow(_count_part, _GRAMS)
+        # values are doubles from here on: exact for counts below 2^53
+        counted = self.tmp.write(found, "counted")
+        sums = counted.filter("n = 1").agg(F.sum("tokens").alias("t"), F.sum(F.length("keys") / 8).alias("k")).first()
+        self.total, kinds = int(sums["t"] or 0), int(sums["k"] or 0)
+        self.denominator = self.total + 0.5 * (kinds + 1)
+        one, three = counted.filter("n = 1"), counted.filter("n = 3")
+        second = self.tmp.write(self._credits(counted.filter("n = 2"), one, {1: 1}), "second")
+        third = self._credits(three, second.filter("n = 2"), {2: 2})
+        settled = one.unionByName(second).unionByName(third).groupBy("n", "part").applyInArrow(_settle, _GRAMS)
+        self.model = self.tmp.write(settled, "settled").unionByName(three)
+
+    def _credits(self, grams, shorter, width):
+        parts, denominator = self.parts, self.denominator
+        asks = grams.select("n", "part", "left", "right").mapInArrow(lambda batches: _ask_batches(batches, parts), _ASKS)
+        answers = _asked(asks, shorter, width).withColumnRenamed("part", "of").withColumnRenamed("src", "at")
+        answers = answers.select(F.col("at").cast("int").alias("to"), "n", F.col("of").alias("part"), "vals")
+        pairs = answers.groupBy("to").cogroup(grams.withColumn("to", F.col("part")).groupBy("to"))
+        return pairs.applyInArrow(lambda left, right: _credit(left, right, parts, denominator), _GRAMS)
 
     def score(self, docs: DataFrame, keep: list) -> DataFrame:
         """``keep`` columns of ``docs`` with n_tokens, n_known, base_score and score."""
-        shared = self.spark.sparkContext.broadcast((self.table, vars(self.automaton)))
+        parts, denominator = self.parts, self.denominator
         packed = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
-        more = T._parse_datatype_string("n_tokens long, known long, base double, walked double, rare array<long>")
-        schema = T.StructType([packed.schema["row"], *more.fields])
-        walked = packed.mapInArrow(lambda batches: _score_batches(batches, *shared.value), schema)
-        walked = self.tmp.write(walked.withColumn("id", F.monotonically_increasing_id()), "walked")
-        seen = walked.select("id", F.explode("rare").alias("h")).join(self.counts, "h", "left")
-        weight = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(self.automaton.denominator)))
-        rest = seen.groupBy("id").agg(F.sum(weight).alias("rest"), F.count("c").alias("also"))
-        rest_of = F.coalesce("rest", F.lit(0.0))
-        return walked.join(rest, "id", "left").select(
-            "row.*",
-            "n_tokens",
-            (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-            F.lit(self.total).cast("long").alias("train_tokens"),
-            (F.col("base") + rest_of).alias("base_score"),
-            (F.col("walked") + rest_of).alias("score"),
+        row = packed.schema["row"]
+        more = T._parse_datatype_string("hashes binary, first binary").fields
+        schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("rows", T.ArrayType(row.dataType)), *more])
+        blocks = self.tmp.write(packed.mapInArrow(_block_batches, schema), "blocks")
+        asks = blocks.select("src", "hashes", "first").mapInArrow(lambda batches: _block_asks(batches, parts), _ASKS)
+        answers = _asked(asks, self.model, _WIDTH)
+        values = T._parse_datatype_string("n_tokens long, n_known long, base double, score double").fields
+        scored = answers.groupBy("src").cogroup(blocks.groupBy("src")).applyInArrow(
+            lambda left, right: _score_block(left, right, parts, denominator), T.StructType([row, *values])
         )
+        return scored.select(
+            "row.*", "n_tokens", "n_known", F.lit(self.total).cast("long").alias("train_tokens"),
+            F.col("base").alias("base_score"), "score",
+        )
 
 
 def fold(doc_id):
