@@ -14,8 +14,11 @@ as out. Headings look forward first.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by one space in page order. Defined cases: null html gives an
-empty text; unclosed and stray tags are tolerated; whole pages are read in
-linear time however long they are.
+empty text; unclosed and stray tags are tolerated, also those of elements whose
+content is skipped: only an unclosed script, style, textarea or title ends the
+page, as in a browser; whole pages are read in linear time however long they
+are. Inside an article only a whole class name or id marks an element, and
+figures keep their captions.
 """
 
 from __future__ import annotations
@@ -41,6 +44,9 @@ STOP_WORDS = frozenset(
 )
 # fixed values: elements by their role in a page
 RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+# everything up to their end tag is text, whatever it looks like
+TEXT_ONLY = frozenset("script style textarea title".split())
+SELF_CLOSING = frozenset("svg math object".split())
 OUT = frozenset("nav header footer aside form button dialog menu fieldset label option head figure".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -56,7 +62,8 @@ MARKS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NEVER_MARKED = frozenset(["html", "body", "main", "article"])
 
-_CLOSE = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
+_CLOSE = {name: re.compile("</" + name, re.I | re.A) for name in TEXT_ONLY}
+_RAW_TAG = re.compile(rf"<!--|<(/?)({'|'.join(sorted(RAW))})(?=[\s/>])", re.I | re.A)
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s>=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -97,7 +104,34 @@ class _Ends:
         return -1
 
 
-def _marked(name, attributes):
+def _raw_ends(page, ends):
+    """Where each closed raw element ends, by the place of its opening tag."""
+    found, opened, at = {}, {name: [] for name in RAW}, 0
+    while m := _RAW_TAG.search(page, at):
+        if not m.group(2):
+            at = ends.find("-->", m.end()) + 3
+            if at < 3:
+                break
+            continue
+        name, start = m.group(2).lower(), m.start()
+        at = ends.tag(start)
+        if at < 0:
+            at = m.end()
+        elif m.group(1):
+            if opened[name]:
+                found[opened[name].pop()] = at
+        elif name in TEXT_ONLY:
+            stop = _CLOSE[name].search(page, at)
+            if not stop:
+                break
+            after = page.find(">", stop.end())
+            at = found[start] = len(page) if after < 0 else after + 1
+        elif name not in SELF_CLOSING or page[at - 2] != "/":
+            opened[name].append(start)
+    return found
+
+
+def _marked(name, attributes, article):
     if name in NEVER_MARKED or name == "a":
         return False
     if _HIDDEN.search(attributes):
@@ -107,7 +141,7 @@ def _marked(name, attributes):
         if m.group(1).lower() == "role":
             if value.strip() in ROLES:
                 return True
-        elif any(t in MARKS for t in _TOKEN.findall(value)):
+        elif any(t in MARKS for t in (value.split() if article else _TOKEN.findall(value))):
             return True
     return False
 
@@ -115,6 +149,7 @@ def _marked(name, attributes):
 def blocks(page):
     """(text, link characters, out, article number or 0, heading) of each block in page order."""
     ends = _Ends(page)
+    raw_ends = None
     found, pieces, linked = [], [], 0
     # open elements as (name, out, article, link, heading) of what they hold
     stack, counts = [("", False, 0, False, False)], {}
@@ -176,15 +211,19 @@ def blocks(page):
             continue
         if name in BLOCK:
             close_block()
-            if name in ("p", "li") and state[0] == name:
+        if name in BLOCK or name == "option":
+            while state[0] == "option":
                 counts[stack.pop()[0]] -= 1
                 state = stack[-1]
+        if name in ("p", "li") and state[0] == name:
+            counts[stack.pop()[0]] -= 1
+            state = stack[-1]
         if name in RAW:
-            stop = _CLOSE[name].search(page, at)
-            if not stop:
+            raw_ends = _raw_ends(page, ends) if raw_ends is None else raw_ends
+            if start in raw_ends:
+                at = raw_ends[start]
+            elif name in TEXT_ONLY:
                 break
-            after = page.find(">", stop.end())
-            at = len(page) if after < 0 else after + 1
             continue
         if name in VOID or page[end - 2] == "/":
             continue
@@ -193,7 +232,8 @@ def blocks(page):
         if name in MAIN and not article:
             articles += 1
             article = articles
-        out = out or name in OUT or (bool(attributes) and _marked(name, attributes))
+        boilerplate = name in OUT and not (article and name == "figure")
+        out = out or boilerplate or (bool(attributes) and _marked(name, attributes, article))
         heading = heading or (len(name) == 2 and name[0] == "h" and name[1] in "123456")
         stack.append((name, out, article, link or name == "a", heading))
         counts[name] = counts.get(name, 0) + 1

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from rankforge.llm import language_model
+from rankforge.llm import html_text, language_model, pii
 
 # 3: language model
 
@@ -24,3 +24,32 @@ def test_rare_ngrams_of_a_large_corpus_count(spark, monkeypatch):
     assert got[1].score == pytest.approx(one(1) + 3 * half, abs=1e-9)
     # an unseen word, then y as after any word, then two seen bigrams and one seen trigram
     assert got[2].score == pytest.approx(one(0) + one(1) + 2 * half, abs=1e-9)
+
+
+# 5: main text
+
+
+@pytest.mark.parametrize(
+    "tag",
+    ["<svg viewBox='0 0 1 1'/>", "<math/>", "<object data='x'/>", "<object data=x>", "<select name=a>", "<template>", "<noscript>",
+     "<iframe src=x>", "<svg>", "<math>", "<select><option>One<option>Two", "<svg><!-- </svg> --><title>T</title></svg>"],
+)
+def test_text_after_a_raw_element_stays(tag):
+    rest = "".join(f"<{name}>gone</{name}>" for name in ("svg", "math", "object", "select", "template", "noscript", "iframe"))
+    page = f"<article><p>Before.</p>{tag}<p>After &amp; on.</p>{rest}<p>Late.</p></article>"
+    assert html_text.main_text(page) == "Before. After & on. Late."
+
+
+def test_text_only_elements_still_end_the_page():
+    for name in ("script", "style", "textarea", "title"):
+        assert html_text.main_text(f"<article><p>Before.</p><{name}>x<p>After.</p></article>") == "Before."
+        assert html_text.main_text(f"<article><p>Before.</p><{name}>x<svg></{name}><p>After.</p></article>") == "Before. After."
+
+
+def test_articles_keep_figures_and_partly_marked_elements():
+    page = "<article><figure><figcaption>Caption.</figcaption></figure><p class='social-history'>One.</p><p class='x share'>Two.</p></article>"
+    assert html_text.main_text(page) == "Caption. One."
+
+
+def test_many_unclosed_raw_elements_take_linear_time():
+    assert html_text.main_text("<article>" + "<object>a " * 200_000) == " ".join("a" * 200_000)
