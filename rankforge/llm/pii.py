@@ -7,8 +7,10 @@ codes. Boosted trees score each candidate from its format and its context; the
 score is calibrated on held-out rows, and a candidate is added when its
 probability reaches the threshold and it overlaps nothing more probable.
 
-The trees are trained here, on the candidates of at most ``SAMPLE_DOCS``
-documents chosen by a hash of their text. No labels exist, so rules label the
+The trees are trained here, on the candidates of about ``SAMPLE_DOCS``
+documents chosen by a hash of their text; equal candidates in equal context
+count once, and of more than ``SAMPLE_ROWS`` of them a share chosen by their
+hash is taken. Secrets and codes are proposed whole, however long. No labels exist, so rules label the
 candidates: a validated base span, a card or phone number written the usual way
 or a keyed secret with digits and letters mixed is positive; what has the shape but fails its check, and plain numbers
 and words, are negative. Everything but that fit covers all rows.
@@ -20,6 +22,7 @@ are treated alike.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 
 from rankforge.llm import boosting
 from rankforge.llm.rows import with_report
+from rankforge.llm.store import Scratch
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 SAMPLE_DOCS = 20_000
+SAMPLE_ROWS = 200_000
 THRESHOLD = 0.95
 FIELDS = (
     "n_email long, n_ip long, n_card long, n_phone long, base string,"
@@ -49,13 +54,13 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
 _SECRET = re.compile(
-    r"(?i:\b(?:token|password|passwd|pwd|secret|api[_-]?key|key|auth)\b)[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9+/=_-]{6,200})"
+    r"(?i:\b(?:token|password|passwd|pwd|secret|api[_-]?key|key|auth)\b)[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9+/=_-]{6,}+)"
 )
 # numbers written the usual way: they stand out where the base patterns run two into one
 _USUAL_PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])")
 _USUAL_CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
 _GROUPED = re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,6}){1,5}(?![0-9])")
-_CODE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,60}[0-9])[A-Za-z0-9]{16,200}(?![A-Za-z0-9])")
+_CODE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{16,}+")
 _SPELLED = re.compile(r"\b[A-Za-z0-9._-]{2,40} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,40} ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,10}\b")
 _WORDS_BEFORE = re.compile(r"(?i)(mail|tel|phone|call|fax|card|visa|account|ip|host|server|address|token|password|secret|key)")
 
@@ -112,11 +117,11 @@ def candidates(text, base):
     out = [(kind, s, e, int(ok)) for kind, s, e, ok in base]
     if "(at)" in text or "[at]" in text:
         out += [("email", m.start(), m.end(), None) for m in _SPELLED.finditer(text)]
+    for m in _SECRET.finditer(text):
+        v = m.group(1)
+        mixed = any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
+        out.append(("secret", m.start(1), m.end(1), int(mixed and len(v) >= 12) if mixed or len(v) < 12 else None))
     if _DIGIT.search(text):
-        for m in _SECRET.finditer(text):
-            v = m.group(1)
-            mixed = any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
-            out.append(("secret", m.start(1), m.end(1), int(mixed and len(v) >= 12) if mixed or len(v) < 12 else None))
         out += [("card", m.start(), m.end(), int(luhn(_digits(text, *m.span())))) for m in _USUAL_CARD.finditer(text)]
         out += [("phone", m.start(), m.end(), 1) for m in _USUAL_PHONE.finditer(text)]
         out += [("secret", m.start(), m.end(), None) for m in _CODE.finditer(text)]
@@ -152,28 +157,40 @@ def features(text, kind, start, end):
 
 def _sample_batches(batches):
     for batch in batches:
-        rows, labels = [], []
+        rows, labels, keys = [], [], []
         for text in batch.column(0).to_pylist():
             text = text or ""
             for kind, s, e, label in candidates(text, base_matches(text)):
                 if label is not None:
                     rows.append(features(text, kind, s, e))
                     labels.append(label)
+                    # all that the features and the label are made from
+                    seen = "\0".join((kind, text[max(0, s - 24) : s], text[s:e], text[e : e + 8]))
+                    keys.append(hashlib.blake2b(seen.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+        keys = np.frombuffer(b"".join(keys), dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int64())], names=["x", "y"]
+            [pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int64()), pa.array(keys)], names=["x", "y", "h"]
         )
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS):
-    """Trees and calibration from the weakly labelled candidates of a bounded sample; None without both classes."""
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(x, y, h): distinct labelled candidates of the sampled documents, about ``sample_rows`` by their hash at most."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     text = F.col("text").cast("string")
     some = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    rows = some.mapInArrow(_sample_batches, "x array<double>, y long").limit(10 * sample_docs).toPandas()
+    found = some.mapInArrow(_sample_batches, "x array<double>, y long, h long").dropDuplicates(["h"])
+    found = Scratch(docs.sparkSession, "pii").write(found, "candidates")
+    share = min(1.0, sample_rows / max(1, found.count()))
+    return found.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS):
+    """Trees and calibration from the weakly labelled candidates of a bounded sample; None without both classes."""
+    rows = sample(docs, sample_docs, sample_rows).select("x", "y").toPandas()
     if not len(rows):
         return None
     rows["key"] = [tuple(v) for v in rows["x"]]
-    rows = rows.sort_values("key", kind="stable")
+    rows = rows.sort_values(["key", "y"], kind="stable")
     x, y = np.array(rows["key"].tolist()), rows["y"].to_numpy(dtype=float)
     held = np.arange(len(y)) % 4 == 3
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 1:

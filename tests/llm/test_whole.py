@@ -1,6 +1,7 @@
 """Inputs on which an operator once did less than its whole job."""
 
 import math
+import random
 
 import pytest
 
@@ -53,3 +54,36 @@ def test_articles_keep_figures_and_partly_marked_elements():
 
 def test_many_unclosed_raw_elements_take_linear_time():
     assert html_text.main_text("<article>" + "<object>a " * 200_000) == " ".join("a" * 200_000)
+
+
+# 1: personal data
+
+
+def test_long_secrets_are_proposed_whole():
+    text = "number 7 api_key=" + "aB3x" * 100 + " end"
+    assert ("secret", 17, 417) in [c[:3] for c in pii.candidates(text, pii.base_matches(text))]
+    code = "x " + "q" * 80 + "7" * 300 + " y"
+    assert ("secret", 2, 382) in [c[:3] for c in pii.candidates(code, pii.base_matches(code))]
+
+
+def test_letters_only_secret_is_a_candidate():
+    text = "password: correcthorsebattery"
+    assert ("secret", 10, 29, None) in pii.candidates(text, pii.base_matches(text))
+
+
+def test_long_secret_is_redacted_whole(spark):
+    r = random.Random(5)
+    make = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(n))
+    rows = [(i, f"the api_key={make(r.choice([20, 40, 300]))} of entry {i}, id 4{i:05d} and key = word{i % 50}") for i in range(600)]
+    secret = make(400)
+    docs = spark.createDataFrame([*rows, (-1, f"note 1 token={secret} end")], "doc_id long, text string")
+    assert pii.redact(docs).filter("doc_id = -1").first().text == "note 1 token=[SECRET] end"
+
+
+def test_equal_candidates_count_once_in_training(spark):
+    texts = [("key = word1, card 4111 1111 1111 1111.",)] * 500 + [(f"token=abcdefgh{i}xyz",) for i in range(400)]
+    docs = spark.createDataFrame(texts, "text string")
+    every = pii.sample(docs).collect()
+    assert len({r.h for r in every}) == len(every) < 500
+    few = pii.sample(docs, sample_rows=100).collect()
+    assert 50 < len(few) < 150 and {r.h for r in few} <= {r.h for r in every}
