@@ -184,3 +184,13 @@ def op6_sentencepiece(spark, sf_dir, model_path=MODEL_PATH):
         "doc_id", (F.col("at") + 1).alias("sample"), F.size("s.ids").cast("long").alias("n_ids"),
         F.xxhash64("s.ids").alias("ids_hash"), "s.log_prob", "s.perturbed", "s.inclusion", "s.round_trip",
     )
+
+
+@query("op12_fingerprint")
+def op12_fingerprint(spark, sf_dir):
+    from rankforge.llm.order_minhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", *_OP12)
+
+
+_OP12 = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
