@@ -186,6 +186,9 @@ def op6_sentencepiece(spark, sf_dir, model_path=MODEL_PATH):
     )
 
 
+_OP12 = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
 @query("op12_fingerprint")
 def op12_fingerprint(spark, sf_dir):
     from rankforge.llm.order_minhash import fingerprints
@@ -193,4 +196,24 @@ def op12_fingerprint(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", *_OP12)
 
 
-_OP12 = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_OP13_SQL = f"""
+with d as (select row_number() over () r, doc_id, {_OP8_WORDS} w from documents),
+size as (select r, doc_id, len(w)::bigint n from d where len(w) > 0),
+s as (select count(*)::bigint docs, sum(n)::bigint words from size),
+tf as (select r, term, count(*)::bigint tf from (select r, unnest(w) term from d) group by all),
+b as (select row_number() over () i, item_id, {_OP8_WORDS} w from benchmark),
+q as (select i, item_id, term, count(*)::bigint reps from (select i, item_id, unnest(w) term from b) group by all),
+df as (select term, count(*)::bigint df from tf where term in (select term from q) group by term),
+g as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint w from df, s),
+scored as (select i, item_id, r, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint score
+           from q join g using (term) join tf using (term) join size using (r), s group by all),
+o as (select *, row_number() over (partition by i order by score desc, doc_id) k from scored join size using (r) where score > 0)
+select item_id, k::integer as "rank", doc_id, score from o where k <= 20
+"""
+
+
+@query("op13_ranked_search", _OP13_SQL)
+def op13_ranked_search(spark, sf_dir):
+    from rankforge.llm.ranked_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
