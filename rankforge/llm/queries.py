@@ -186,6 +186,72 @@ def op6_sentencepiece(spark, sf_dir, model_path=MODEL_PATH):
     )
 
 
+# states 0 to 3: nothing yet, after system, after user, after assistant
+_OP11_NEXT = (2, 2, 3, 2)
+_OP11_KEEP = ("case r when 's' then c1 when 'u' then c2 end", "case r when 'u' then c2 end", "case r when 'a' then c3 end", "case r when 'u' then c2 end")
+_OP11_EDITS = ", ".join(
+    f"4 + c{s} d{s}, case when f = 'x' then null else x + {_OP11_KEEP[s]} end k{s},"
+    f" case when f = 'x' then null else 3 + x + c{_OP11_NEXT[s]} end r{s}" for s in range(4)
+)
+_OP11_BEST = ", ".join(f"least(d{s}, k{s}, r{s}) b{s}" for s in range(4))
+_OP11_COSTS = "least(b0, 3 + b2, 6 + b3) v0, least(b1, 3 + b2, 6 + b3) v1, least(b2, 3 + b3) v2, least(b3, 3 + b2) v3"
+_OP11_LETTERS = ", ".join(
+    f"case when d{s} = v{s} then 'D' when 3 + v{_OP11_NEXT[s]} = v{s} then 'I' when k{s} = v{s} then 'K' else 'R' end l{s}" for s in range(4)
+)
+_OP11_SQL = f"""
+with recursive
+keyed as (select conv_id, turn, coalesce("role", ' ') "role", coalesce("text", ' ') "text",
+                 coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k from conversations),
+dealt as (select *, xor(list_reduce(list_prepend(4294967295::bigint, [ord(c)::bigint for c in string_split(k, '')]), lambda h, b:
+                 list_reduce(list_prepend(xor(h, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))),
+                 4294967295::bigint) % 20 m from keyed),
+damaged as (select conv_id, turn, case when m = 4 then 'user' else "role" end as ro,
+                   case when m = 1 then '' when m = 2 then regexp_replace("text", '[.!?]', '', 'g') else "text" end as te
+            from (select *, unnest(range(case m when 0 then 0 when 3 then 2 else 1 end)) from dealt)),
+ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, ro, te) i from damaged),
+judged as (select *, substr(ro, 1, 1) r, rtrim(te, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) said,
+                  row_number() over (partition by conv_id, ro, te order by i) nth,
+                  lag(substr(ro, 1, 1)) over (partition by conv_id order by i) || substr(ro, 1, 1) pair from ordered),
+t as (select *, case when said = '' then 'b' when nth > 1 then 'd' when right(said, 1) not in ('.', '!', '?') then 't' else 'o' end fault from judged),
+counts as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps,
+                  count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') dup, count(*) filter (fault = 't') trunc,
+                  count(*) filter (pair not in ('su', 'ua', 'au')) illegal from t group by conv_id),
+back as (select conv_id, n + 1 as i, 0::bigint c0, 6::bigint c1, 3::bigint c2, 0::bigint c3, 'S' l0, 'I' l1, 'I' l2, 'S' l3 from counts
+         union all
+         select conv_id, i, v0, v1, v2, v3, {", ".join(f"l{s}" for s in range(4))} from (select *, {_OP11_LETTERS} from (select *, {_OP11_COSTS} from
+           (select *, {_OP11_BEST} from (select conv_id, i, {_OP11_EDITS} from
+             (select t.conv_id, t.i, t.r, case when t.fault in ('b', 'd') then 'x' end f, case when t.fault = 't' then 3 else 0 end x, c0, c1, c2, c3
+              from back join t on t.conv_id is not distinct from back.conv_id and t.i = back.i - 1))))))
+,
+walk as (select conv_id, 1::bigint i, 0 s, '' audit, []::varchar[] said, false ended from counts
+         union all
+         select conv_id, case when l in ('I', 'S') then i else i + 1 end,
+                case l when 'D' then s when 'S' then s when 'K' then case r when 's' then 1 when 'u' then 2 else 3 end else case s when 2 then 3 else 2 end end,
+                case l when 'S' then audit else audit || l end,
+                case l when 'K' then list_append(said, ro || ':' || te) when 'I' then list_append(said, w || ':')
+                       when 'R' then list_append(said, w || ':' || te) else said end, l = 'S'
+         from (select walk.*, [l0, l1, l2, l3][s + 1] l, case s when 2 then 'assistant' else 'user' end w, t.ro, t.te, t.r
+               from walk join back on back.conv_id is not distinct from walk.conv_id and back.i = walk.i
+               left join t on t.conv_id is not distinct from walk.conv_id and t.i = walk.i where not ended)),
+done as (select walk.conv_id, c0, audit, array_to_string(said, chr(10)) said from walk
+         join back on back.conv_id is not distinct from walk.conv_id and back.i = 1 where ended)
+select a.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(dup, 0)::bigint duplicate,
+       coalesce(trunc, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal, coalesce(c0, 0)::bigint "cost",
+       coalesce(audit, '') audit, sha256(coalesce(said, '')) repaired_sha256
+from (select distinct conv_id from conversations) a
+left join counts on counts.conv_id is not distinct from a.conv_id
+left join done on done.conv_id is not distinct from a.conv_id
+"""
+
+
+@query("op11_turn_repair", _OP11_SQL)
+def op11_turn_repair(spark, sf_dir):
+    from rankforge.llm import turn_repair
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.report(turn_repair.damage(turns))
+
+
 _OP12 = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
