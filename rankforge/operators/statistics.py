@@ -6,14 +6,12 @@ windows may sit in one task; everything per question is aggregated before.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rankforge.functions.names import candidate_family, judge_family, parameter_billions
-from rankforge.functions.stats import overlap, wilson
+from rankforge.functions.stats import binomial_quantile, overlap, uniform, wilson
 
 # Resamples and seed.
 RESAMPLES = 10_000
@@ -231,22 +229,22 @@ def bootstrap_gap(gap: DataFrame, resamples=RESAMPLES, seed=SEED) -> DataFrame:
     """Paired bootstrap of the accuracy gap from win, tie and loss counts.
 
     Drawing ``n`` questions with replacement makes the three counts
-    multinomial, so a resample costs one draw whatever the number of questions.
+    multinomial: first how many draws are no tie, then how many of those are
+    wins, each a binomial quantile at a number hashed from (seed, resample,
+    draw). Any engine gets the same draws, and a resample costs steps like the
+    root of the number of questions.
     """
     spark = gap.sparkSession
-
-    def draw(batches):
-        for batch in batches:
-            rows = []
-            for b, wins, ties, losses in zip(batch["b"], batch["wins"], batch["ties"], batch["losses"]):
-                n = wins + ties + losses
-                got = np.random.default_rng([seed, b]).multinomial(n, [wins / n, ties / n, losses / n])
-                rows.append((got[0] - got[2]) / n)
-            yield pd.DataFrame({"diff": rows})
-
     counts = gap.agg(F.first(F.struct("wins", "ties", "losses"))).scalar()
     draws = spark.range(resamples).select(F.col("id").alias("b"), counts.alias("c")).select("b", "c.*")
-    d = draws.where("wins + ties + losses > 0").mapInPandas(draw, "diff double")
+    n, apart = F.col("wins") + F.col("ties") + F.col("losses"), F.col("wins") + F.col("losses")
+    draw = lambda i: uniform(F.lit(seed), F.col("b"), F.lit(i))
+    d = (
+        draws.where("wins + ties + losses > 0")
+        .withColumn("apart", binomial_quantile(draw(0), n, apart / n))
+        .withColumn("won", binomial_quantile(draw(1), F.col("apart"), F.coalesce(F.try_divide(F.col("wins"), apart), F.lit(0.0))))
+        .select(((2 * F.col("won") - F.col("apart")) / n).alias("diff"))
+    )
     one_side = lambda cond: (F.count_if(cond) + 1) / F.lit(resamples + 1.0)
     observed = gap.agg(F.first((F.col("wins") - F.col("losses")) / (F.col("wins") + F.col("ties") + F.col("losses")))).scalar()
     out = d.agg(

@@ -296,7 +296,32 @@ def judge_agreement(spark, sf_dir):
     return S.judge_agreement(cells(spark, sf_dir))
 
 
-@query("bootstrap_gap")
+# binomial tables by log gamma; a draw is the first count whose running sum exceeds its number
+BINOMIAL_SQL = """{name} AS (SELECT n, k, sum(term) OVER (PARTITION BY n ORDER BY k) AS total FROM (
+    SELECT n, k, CASE WHEN {p} >= 1 THEN (k = n)::INT::DOUBLE WHEN {p} <= 0 THEN (k = 0)::INT::DOUBLE
+      ELSE exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({p}) + (n - k) * ln(1 - {p})) END AS term
+    FROM (SELECT n, unnest(range(n + 1)) AS k FROM {sizes}), counts))"""
+DRAWN_SQL = "(('0x' || substr(md5({seed} || ':' || b || ':' || {i}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+BOOTSTRAP_SQL = f"""WITH {VOTES_SQL},
+top AS (SELECT "group", arg_min(cand, (-acc, cand)) AS cand FROM cons GROUP BY "group"),
+paired AS (SELECT qid, max((ox = 'O')::INT) FILTER (WHERE cand = (SELECT cand FROM top WHERE "group" = 'Open')) AS a,
+    max((ox = 'O')::INT) FILTER (WHERE cand = (SELECT cand FROM top WHERE "group" = 'Closed')) AS b FROM maj GROUP BY qid),
+counts AS (SELECT count(*) AS questions, count(*) FILTER (WHERE b > a) AS wins, count(*) FILTER (WHERE b < a) AS losses
+  FROM paired WHERE a IS NOT NULL AND b IS NOT NULL),
+draws AS (SELECT b, questions AS n, {DRAWN_SQL.format(seed=S.SEED, i=0)} AS u0, {DRAWN_SQL.format(seed=S.SEED, i=1)} AS u1
+  FROM range({S.RESAMPLES}) t(b), counts),
+{BINOMIAL_SQL.format(name="apart", p="((wins + losses)::DOUBLE / questions)", sizes="(SELECT questions AS n FROM counts)")},
+first AS (SELECT b, u1, min(k) AS n FROM draws JOIN apart USING (n) WHERE total > u0 GROUP BY b, u1),
+{BINOMIAL_SQL.format(name="won", p="(wins::DOUBLE / (wins + losses))", sizes="(SELECT DISTINCT n FROM first)")},
+diffs AS (SELECT b, (2 * min(k) - n) / questions::DOUBLE AS diff FROM first JOIN won USING (n), counts WHERE total > u1 GROUP BY b, n, questions),
+sides AS (SELECT quantile_cont(diff, 0.025) AS ci_low, quantile_cont(diff, 0.975) AS ci_high,
+    least(1.0::DOUBLE, 2 * least((count(*) FILTER (WHERE diff <= 0) + 1) / {S.RESAMPLES + 1.0}::DOUBLE,
+      (count(*) FILTER (WHERE diff >= 0) + 1) / {S.RESAMPLES + 1.0}::DOUBLE)) AS p_value FROM diffs)
+SELECT (wins - losses) / questions::DOUBLE AS gap, ci_low, ci_high, p_value,
+  p_value < 0.05::DOUBLE AND NOT (ci_low <= 0 AND ci_high >= 0) AS significant_95, {S.RESAMPLES}::BIGINT AS resamples FROM sides, counts"""
+
+
+@query("bootstrap_gap", BOOTSTRAP_SQL)
 def bootstrap_gap(spark, sf_dir):
     """Best closed against best open candidate, 10 000 paired resamples."""
     best = cand_accuracy(spark, sf_dir).groupBy("group").agg(
