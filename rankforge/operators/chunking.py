@@ -6,6 +6,8 @@ the partition they were read in. Sizes count code points.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,53 +160,65 @@ def character_chunks(text: Column, size: int, overlap: int, separator: str = "\n
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def recursive_split(text: str, size: int, overlap: int, separators=SEPARATORS) -> list[str]:
-    """Split at the coarsest separator present; too long pieces go one finer."""
-    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    sep, finer = separators[at], separators[at + 1 :]
-    if sep:
-        head, *rest = text.split(sep)
-        pieces = [p for p in [head, *(sep + r for r in rest)] if p]
-    else:
-        pieces = list(text)
-    out, run = [], []
-
-    def flush():
-        out.extend(_packed(run, size, overlap))
-        run.clear()
-
-    for piece in pieces:
-        if len(piece) < size:
-            run.append(piece)
-            continue
-        flush()
-        out.extend(recursive_split(piece, size, overlap, finer) if finer else [piece])
-    flush()
-    return out
-
-
-def _packed(pieces, size, overlap):
-    out, start, total = [], 0, 0
-    for end, piece in enumerate(pieces):
-        if start < end and total + len(piece) > size:
-            out.append("".join(pieces[start:end]).strip())
-            while start < end and (total > overlap or total + len(piece) > size):
-                total -= len(pieces[start])
-                start += 1
-        total += len(piece)
-    if pieces:
-        out.append("".join(pieces[start:]).strip())
-    return [c for c in out if c]
-
+def recursive_chunks(text: Column, size: int = 300, overlap: int = 50, min_len: int = SPLITTER_MIN, separators=SEPARATORS) -> Column:
+    """Pieces at the coarsest separator present, packed to ``size``; longer pieces go one separator finer.
 
-def recursive_chunks(text: Column, size: int = 300, overlap: int = 50, min_len: int = SPLITTER_MIN) -> Column:
-    """Recursive splitting, the one chunker whose depth depends on the text."""
-
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [c for c in recursive_split(t, size, overlap) if len(c) >= min_len])
+    Separator by separator all open spans of the text are cut at once. Pieces
+    under ``size`` are packed with whole pieces repeated up to ``overlap``, a
+    longer piece ends the pack and stays open for the next separator. Spans are
+    places in the text, so no text is copied before the last step.
+    """
+    return F.transform(F.array(text), lambda t: _recursive(t, size, overlap, min_len, separators))[0]
+
+
+def _span(start, length, open_):
+    return F.struct(start.alias("start"), length.alias("length"), F.lit(open_).alias("open"))
+
+
+def _recursive(text, size, overlap, min_len, separators):
+    def pack(lengths, begin, last):
+        """Spans of consecutive pieces: packs, and long pieces on their own."""
+        state = lambda out, cur, at: F.struct(out.alias("out"), cur.alias("cur"), at.alias("at"))
+        held = lambda s: s["at"] - s["cur"][0]
+        closed = lambda s: F.concat(s["out"], F.array(_span(s["cur"][0], held(s), False)))
+
+        def step(s, n):
+            after = s["at"] + n
+            flushed = F.when(F.size(s["cur"]) > 0, closed(s)).otherwise(s["out"])
+            long = state(F.concat(flushed, F.array(_span(s["at"], n, not last))), F.array().cast("array<int>"), after)
+            full = (F.size(s["cur"]) > 0) & (held(s) + n > size)
+            kept = F.filter(s["cur"], lambda c: (s["at"] - c <= overlap) & (s["at"] - c + n <= size))
+            repeated = state(closed(s), F.concat(kept, F.array(s["at"])), after)
+            more = state(s["out"], F.concat(s["cur"], F.array(s["at"])), after)
+            return F.when(n >= size, long).when(full, repeated).otherwise(more)
+
+        none = F.array().cast("array<struct<start:int,length:int,open:boolean>>")
+        return F.aggregate(
+            lengths, state(none, F.array().cast("array<int>"), begin), step,
+            lambda s: F.when(F.size(s["cur"]) > 0, closed(s)).otherwise(s["out"]),
+        )
+
+    def cutter(separator, last):
+        return lambda span: cut(span, separator, last)
+
+    def cut(span, separator, last):
+        part = F.substring(text, span["start"] + 1, span["length"])
+        if separator:
+            pieces = F.split(part, re.escape(separator), -1)
+            lengths = F.transform(pieces, lambda x, i: F.length(x) + F.when(i > 0, len(separator)).otherwise(0))
+            lengths = F.filter(lengths, lambda n: n > 0)
+        else:
+            lengths = F.array_repeat(F.lit(1), span["length"])
+        whole = ~span["open"] if last else ~span["open"] | ~F.contains(part, F.lit(separator))
+        return F.when(whole, F.array(span)).otherwise(pack(lengths, span["start"], last))
 
-    return split(text)
+    spans = F.array(_span(F.lit(0), F.length(text), True))
+    for i, separator in enumerate(separators):
+        last = separator == "" or i == len(separators) - 1
+        spans = F.flatten(F.transform(spans, cutter(separator, last)))
+        if last:
+            break
+    return long_enough(F.transform(spans, lambda s: F.substring(text, s["start"] + 1, s["length"])), min_len)
 
 
 def semantic_chunks(sentences: DataFrame, doc: str = "doc_id", percentile: float = 0.95, stdevs: float | None = None, min_len: int = SPLITTER_MIN) -> DataFrame:
@@ -238,3 +252,57 @@ def semantic_chunks(sentences: DataFrame, doc: str = "doc_id", percentile: float
     islands = gaps.withColumn("limit", F.round(limit, 9)).withColumn("cut", cut).withColumn("chunk", F.sum("cut").over(order))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ")
     return islands.groupBy(doc, "chunk").agg(joined.alias("text")).where(F.length(strip(F.col("text"))) >= min_len)
+
+
+def window_vectors(sentences: DataFrame, doc: str = "doc_id", buffer: int = 1) -> DataFrame:
+    """Each sentence's vector replaced by the sum over ``buffer`` neighbours on both sides."""
+    near = F.collect_list("vector").over(W.partitionBy(doc).orderBy("pos").rowsBetween(-buffer, buffer))
+    summed = lambda vs: F.aggregate(
+        F.slice(vs, 2, F.size(vs)), vs[0].cast("array<double>"), lambda a, v: F.zip_with(a, v, lambda x, y: x + y)
+    )
+    return sentences.withColumn("vector", near).withColumn("vector", summed(F.col("vector")))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def threshold_chunks(sentences: DataFrame, doc: str = "doc_id", threshold: float = 0.5, size: int = 500, min_len: int = SPLITTER_MIN) -> DataFrame:
+    """Sentences join the group while they are near its centroid and it stays within ``size``.
+
+    ``sentences`` has ``(doc, pos, sentence, vector)``. One fold per document
+    carries the sum of the group's vectors, whose direction is the centroid's;
+    a sentence whose cosine to it (9 places) is under ``threshold`` starts the
+    next group, as does one without a vector.
+    """
+
+    def step(s, x):
+        v = F.transform(x["vector"], lambda e: e.cast("double"))
+        cosine = F.try_divide(_dot(s["sum"], v), F.sqrt(_dot(s["sum"], s["sum"])) * F.sqrt(_dot(v, v)))
+        joins = (F.size(s["sum"]) > 0) & (F.round(F.coalesce(cosine, F.lit(0.0)), 9) >= threshold)
+        joins &= s["chars"] + 1 + F.length(x["sentence"]) <= size
+        joined = F.struct(
+            s["groups"].alias("groups"),
+            F.zip_with(s["sum"], v, lambda a, b: a + b).alias("sum"),
+            (s["chars"] + 1 + F.length(x["sentence"])).alias("chars"),
+            (s["at"] + 1).alias("at"),
+        )
+        fresh = F.struct(
+            F.concat(s["groups"], F.array(s["at"])).alias("groups"),
+            v.alias("sum"),
+            F.length(x["sentence"]).alias("chars"),
+            (s["at"] + 1).alias("at"),
+        )
+        return F.when(F.coalesce(joins, F.lit(False)), joined).otherwise(fresh)
+
+    start = F.struct(
+        F.array().cast("array<int>").alias("groups"),
+        F.array().cast("array<double>").alias("sum"),
+        F.lit(0).alias("chars"),
+        F.lit(0).alias("at"),
+    )
+    whole = sentences.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence", "vector"))).alias("s"))
+    cut = whole.select(doc, F.transform("s", lambda x: x["sentence"]).alias("s"), F.aggregate("s", start, step, lambda s: s["groups"]).alias("g"))
+    upto = lambda i: F.coalesce(F.get("g", i + 1), F.size("s"))
+    texts = F.transform("g", lambda at, i: F.array_join(F.slice("s", at + 1, upto(i) - at), " "))
+    return cut.select(doc, F.posexplode(texts).alias("chunk", "text")).where(F.length(strip(F.col("text"))) >= min_len)

@@ -36,3 +36,59 @@ def rerank(hits: DataFrame, scores: DataFrame, k: int = TOP_K, keys=("config", "
 
 def no_rerank(hits: DataFrame, k: int = TOP_K) -> DataFrame:
     return hits.where(F.col("rank") <= k)
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
+def mmr(hits: DataFrame, vectors: DataFrame, k: int = TOP_K, lam: float = 0.5, keys=("qid",)) -> DataFrame:
+    """``(*keys, doc_id, rank)``: maximal marginal relevance among the kept hits.
+
+    ``hits`` has ``(*keys, doc_id, rank, score)``, few per key; ``vectors`` has
+    ``(doc_id, vector)``. Each step takes the hit with the best
+    ``lam * score - (1 - lam) * nearness to those taken`` (9 places, equals by
+    prior rank). A key's hits are one array, so the choice is one fold in its
+    row; a hit without a vector is near to none.
+    """
+    with_vector = hits.join(vectors.select("doc_id", "vector"), "doc_id", "left")
+    hit = F.struct("rank", "doc_id", F.col("score").cast("double").alias("score"), "vector")
+    lists = with_vector.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("h"))
+
+    def pick(s, _):
+        value = lambda i: F.round(lam * F.get("h", i)["score"] - (1 - lam) * F.get(s["near"], i), 9)
+        left = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: ~F.array_contains(s["taken"], i))
+        best = F.array_min(F.transform(left, lambda i: F.struct((-value(i)).alias("v"), i.alias("i"))))["i"]
+        return F.transform(
+            F.array(best),
+            lambda b: F.struct(
+                F.concat(s["taken"], F.array(b)).alias("taken"),
+                F.transform(
+                    "h",
+                    lambda x, i: F.when(F.size(s["taken"]) == 0, _cosine(x["vector"], F.get("h", b)["vector"])).otherwise(
+                        F.greatest(F.get(s["near"], i), _cosine(x["vector"], F.get("h", b)["vector"]))
+                    ),
+                ).alias("near"),
+            ),
+        )[0]
+
+    start = F.struct(
+        F.array().cast("array<int>").alias("taken"), F.transform("h", lambda x: F.lit(0.0)).alias("near")
+    )
+    taken = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.size("h"))), start, pick, lambda s: s["taken"])
+    chosen = lists.select(*keys, F.transform(taken, lambda i: F.get("h", i)["doc_id"]).alias("t"))
+    return chosen.select(*keys, F.posexplode("t").alias("rank", "doc_id")).select(*keys, "doc_id", F.col("rank") + 1).toDF(
+        *keys, "doc_id", "rank"
+    )
+
+
+def fuse_rerankers(hits: DataFrame, scores: dict[str, DataFrame], k: int = TOP_K, c: int = 60, keys=("config", "qid")) -> DataFrame:
+    """Best ``k`` by reciprocal rank fusion of several rerankings of the same hits."""
+    lists = None
+    for name, table in scores.items():
+        ranked = rerank(hits, table, TOP_N, keys).select(*keys, "doc_id", "old_rank", "rank")
+        lists = ranked if lists is None else lists.unionByName(ranked)
+    fused = lists.groupBy(*keys, "doc_id", "old_rank").agg(F.round(F.sum(1 / (c + F.col("rank"))), 12).alias("score"))
+    w = W.partitionBy(*keys).orderBy(F.col("score").desc(), "old_rank")
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -28,6 +28,8 @@ EPSILON = 0.25
 BLOCK_TERMS = 300_000
 BLOCK_ROWS = 2_000_000
 CELLS = 2_000_000
+# documents of a block with score bounds of its own
+BLOCK_DOCS = 128
 
 
 def term_counts(tokens: Column) -> Column:
@@ -126,21 +128,26 @@ def _expand(first, counts):
     return shift + np.arange(int(counts.sum()))
 
 
+def _postings(part, texts, avgdl, k1, b):
+    """``(ids, document, term, gain)`` of the entries of a part whose term some text uses."""
+    ids, dl = _numbers(part.column(0)), _numbers(part.column(1)).astype(np.float64)
+    sizes = _numbers(pa.compute.list_value_length(part.column(2)).fill_null(0))
+    words = part.column(2).flatten().dictionary_encode()
+    known = np.array([texts["terms"].get(w, -1) for w in words.dictionary.to_pylist()] or [-1], dtype=np.int64)
+    term = known[_numbers(words.indices)] if len(words) else np.zeros(0, dtype=np.int64)
+    doc = np.repeat(np.arange(part.num_rows), sizes)[term >= 0]
+    tf = _numbers(part.column(3).flatten()).astype(np.float64)[term >= 0]
+    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl)) if len(doc) else tf
+    return ids, doc, term[term >= 0], gain
+
+
 def _score_cells(batch, texts, avgdl, k1, b):
     """``(ids, scores)`` of parts of a batch; ``scores`` is documents x texts."""
     n_texts = len(texts["ids"])
     step = max(1, CELLS // max(1, n_texts))
     for at in range(0, batch.num_rows, step):
         part = batch.slice(at, step)
-        ids, dl = _numbers(part.column(0)), _numbers(part.column(1)).astype(np.float64)
-        sizes = _numbers(pa.compute.list_value_length(part.column(2)).fill_null(0))
-        words = part.column(2).flatten().dictionary_encode()
-        known = np.array([texts["terms"].get(w, -1) for w in words.dictionary.to_pylist()] or [-1], dtype=np.int64)
-        term = known[_numbers(words.indices)] if len(words) else np.zeros(0, dtype=np.int64)
-        doc = np.repeat(np.arange(part.num_rows), sizes)[term >= 0]
-        tf = _numbers(part.column(3).flatten()).astype(np.float64)[term >= 0]
-        term = term[term >= 0]
-        gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl)) if len(doc) else tf
+        ids, doc, term, gain = _postings(part, texts, avgdl, k1, b)
         counts = texts["first"][term + 1] - texts["first"][term]
         line = _expand(texts["first"][term], counts)
         cell = np.repeat(doc, counts) * n_texts + texts["text"][line]
@@ -148,6 +155,58 @@ def _score_cells(batch, texts, avgdl, k1, b):
         yield ids, np.round(scores, 9).reshape(part.num_rows, n_texts)
 
 
+class _Bounded:
+    """Postings of a part by term, with the largest gain of each term in each block of documents."""
+
+    def __init__(self, ids, doc, term, gain, n_terms, width):
+        self.ids, self.width = ids, width
+        self.n_blocks = -(-len(ids) // width)
+        order = np.argsort(term, kind="stable")
+        self.doc, self.gain = doc[order], gain[order]
+        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
+        # within a term the documents ascend, so its blocks lie together too
+        cell = term[order] * self.n_blocks + self.doc // width
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.most = np.zeros((n_terms, self.n_blocks))
+        if len(first):
+            self.most.reshape(-1)[cell[first]] = np.maximum.reduceat(self.gain, first)
+
+    def best(self, terms, weights, n, least):
+        """``(scores, ids, blocks left out)``: what may be among the ``n`` best.
+
+        ``least`` is the n-th best score so far, None while fewer are known; while it
+        is 0, documents without any of the terms may still come in. A
+        block whose bound stays below it is not scored; neither is a document
+        all of whose terms together cannot lift it that far.
+        """
+        counts = self.start[terms + 1] - self.start[terms]
+        at = _expand(self.start[terms], counts)
+        docs, weight = self.doc[at], np.repeat(weights, counts)
+        if least is None or least <= 0:
+            scores = np.round(np.bincount(docs, weight * self.gain[at], len(self.ids)), 9)
+            first = _first(scores, self.ids, n)
+            return scores[first], self.ids[first], 0
+        # scores are rounded to nine places, so bounds get a little more
+        bounds = np.maximum(weights, 0)[:, None] * self.most[terms]
+        alive = bounds.sum(axis=0) + 1e-8 >= least
+        if not alive.any():
+            return np.zeros(0), self.ids[:0], self.n_blocks
+        highest = bounds.max(axis=1)
+        order = np.argsort(highest, kind="stable")
+        needed = np.empty(len(terms), dtype=bool)
+        needed[order] = np.cumsum(highest[order]) + 1e-8 >= least
+        reach = np.zeros(len(self.ids), dtype=bool)
+        reach[docs[np.repeat(needed, counts)]] = True
+        reach &= np.repeat(alive, self.width)[: len(self.ids)]
+        kept = reach[docs]
+        total = np.bincount(docs[kept], weight[kept] * self.gain[at][kept], len(self.ids))
+        left = np.flatnonzero(reach)
+        scores = np.round(total[left], 9)
+        left, scores = left[scores >= least], scores[scores >= least]
+        first = _first(scores, self.ids[left], n)
+        return scores[first], self.ids[left[first]], int((~alive).sum())
+
+
 def _first(scores, ids, n):
     """Places of the ``n`` best scores; equal scores by the smaller id."""
     if len(scores) <= n:
@@ -157,30 +216,36 @@ def _first(scores, ids, n):
     return np.concatenate([above, equal[np.argsort(ids[equal], kind="stable")[: n - len(above)]]])
 
 
-def _top_batches(batches, texts, n, avgdl, k1, b):
-    kept = [([], []) for _ in texts["ids"]]
-    names, id_type = None, None
-
-    def cut(i):
-        scores, ids = (np.concatenate(x) for x in kept[i])
-        at = _first(scores, ids, n)
-        kept[i] = ([scores[at]], [ids[at]])
+def _top_batches(batches, texts, n, avgdl, k1, b, seen=None):
+    """The task's ``n`` best documents per text, without scoring blocks that cannot hold one.
 
+    ``seen``, if given, gets ``(blocks, blocks left out)`` of each step.
+    """
+    n_texts, n_terms = len(texts["ids"]), len(texts["first"]) - 1
+    line = np.argsort(texts["text"], kind="stable")
+    term_of = np.repeat(np.arange(n_terms), np.diff(texts["first"]))[line]
+    weight_of, edge = texts["weight"][line], np.searchsorted(texts["text"][line], np.arange(n_texts + 1))
+    # blocks narrow enough for their bounds to differ, their table within CELLS
+    step = BLOCK_DOCS * max(1, min(64, CELLS // max(1, n_terms)))
+    kept, id_type = [(np.zeros(0), None)] * n_texts, None
     for batch in batches:
         id_type = batch.schema.types[0]
-        for ids, scores in _score_cells(batch, texts, avgdl, k1, b):
-            for i in range(scores.shape[1]):
-                at = _first(scores[:, i], ids, n)
-                kept[i][0].append(scores[at, i])
-                kept[i][1].append(ids[at])
-                if len(kept[i][0]) > 8:
-                    cut(i)
-    if id_type is None:
-        return
-    for i, name in enumerate(texts["ids"]):
-        if kept[i][0]:
-            cut(i)
-            scores, ids = kept[i][0][0], kept[i][1][0]
+        for at in range(0, batch.num_rows, step):
+            part = _Bounded(*_postings(batch.slice(at, step), texts, avgdl, k1, b), n_terms, BLOCK_DOCS)
+            for i in range(n_texts):
+                scores, ids = kept[i]
+                mine = slice(edge[i], edge[i + 1])
+                least = scores.min() if len(scores) >= n else None
+                more, more_ids, out = part.best(term_of[mine], weight_of[mine], n, least)
+                if seen is not None:
+                    seen.append((part.n_blocks, out))
+                if len(more):
+                    scores = np.concatenate([scores, more])
+                    ids = more_ids if ids is None else np.concatenate([ids, more_ids])
+                    first = _first(scores, ids, n)
+                    kept[i] = scores[first], ids[first]
+    for name, (scores, ids) in zip(texts["ids"], kept):
+        if len(scores):
             names = pa.array([name] * len(ids), texts["type"])
             yield pa.RecordBatch.from_arrays(
                 [names, pa.array(ids.tolist(), id_type), pa.array(scores)], names=["text", "id", "score"]

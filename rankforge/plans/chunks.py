@@ -7,7 +7,7 @@ from rankforge.models import hash_embedder
 from rankforge.operators import chunking as C
 from rankforge.plans.common import documents, tokens_sql
 from rankforge.plans.registry import query
-from rankforge.session import table
+from rankforge.session import spread, table
 from rankforge.sources.html import html_text
 from rankforge.sources.loaders import split_pages
 
@@ -56,17 +56,25 @@ def chunk_paragraph_pack(spark, sf_dir):
 SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
 
 
-@query(
-    "chunk_sentence_overlap",
-    f"""WITH RECURSIVE parts AS (SELECT doc_id, {SENTENCES} AS p FROM documents),
-    {FOLD_SQL.format(size=500, glue="' '", restart="CASE WHEN length(cur) > 100 THEN right(cur, 100) || ' ' || p[i + 1] ELSE p[i + 1] END")},
+def sentence_sql(size, overlap):
+    restart = f"CASE WHEN length(cur) > {overlap} THEN right(cur, {overlap}) || ' ' || p[i + 1] ELSE p[i + 1] END" if overlap else "p[i + 1]"
+    return f"""WITH RECURSIVE parts AS (SELECT doc_id, {SENTENCES} AS p FROM documents),
+    {FOLD_SQL.format(size=size, glue="' '", restart=restart)},
     chunks AS (SELECT doc_id, i, {STRIP.format('emitted')} AS text FROM fold WHERE emitted <> '')
-    {NUMBERED} FROM chunks WHERE length(text) >= 30""",
-)
+    {NUMBERED} FROM chunks WHERE length(text) >= 30"""
+
+
+@query("chunk_sentence_overlap", sentence_sql(500, 100))
 def chunk_sentence_overlap(spark, sf_dir):
     return chunked(spark, sf_dir, C.sentence_chunks)
 
 
+for size, overlap in [(300, 50), (800, 150), (1000, 200), (1500, 200), (500, 0)]:
+    query(f"chunk_sentence_{size}_{overlap}", sentence_sql(size, overlap))(
+        lambda spark, sf_dir, size=size, overlap=overlap: chunked(spark, sf_dir, lambda t: C.sentence_chunks(t, size, overlap))
+    )
+
+
 def merge_sql(size, overlap):
     """Packing with whole pieces repeated; the tail to keep is the longest that fits."""
     span = lambda l: f"length(array_to_string({l}, chr(10)))"
@@ -132,9 +140,41 @@ def chunk_md_header(spark, sf_dir):
     return chunked(spark, sf_dir, C.heading_chunks, F.regexp_replace("text", r"\n([^\n]*)\n", "\n## $1\n"))
 
 
-@query("chunk_recursive_300_50")
-def chunk_recursive(spark, sf_dir):
-    return chunked(spark, sf_dir, C.recursive_chunks)
+def recursive_sql(size, overlap):
+    """Level by level: pieces of open texts, runs of short ones, long ones to the next separator."""
+    steps, runs = [], []
+    for i, sep in enumerate(["chr(10) || chr(10)", "chr(10)", "' '", "''"]):
+        pieces = f"string_split(text, {sep})" if i < 3 else "string_split(text, '')"
+        has = f"contains(text, {sep})" if i < 3 else "true"
+        steps.append(f"""cut{i} AS (SELECT doc_id, path, k, CASE WHEN k = 1 OR {i} = 3 THEN x ELSE {sep} || x END AS x FROM (
+    SELECT doc_id, path, unnest({pieces}) AS x, generate_subscripts({pieces}, 1) AS k FROM open{i} WHERE {has})),
+  piece{i} AS (SELECT *, length(x) >= {size} AS long, sum((length(x) >= {size})::INT) OVER (PARTITION BY doc_id, path ORDER BY k) AS run
+    FROM cut{i} WHERE x <> ''),
+  open{i + 1} AS (SELECT doc_id, list_append(path, k) AS path, x AS text FROM piece{i} WHERE long
+    UNION ALL SELECT doc_id, path, text FROM open{i} WHERE NOT {has})""")
+        runs.append(f"SELECT doc_id, list_append(path, min(k)) AS path, list(x ORDER BY k) AS p FROM piece{i} WHERE NOT long GROUP BY doc_id, path, run")
+    total = lambda l: f"length(array_to_string({l}, ''))"
+    tail = f"""list_filter(list_transform(range(len(cur) + 1), lambda k: cur[k + 1 :]),
+        lambda t: len(t) = 0 OR ({total('t')} <= {overlap} AND {total('t')} + length(p[i + 1]) <= {size}))[1]"""
+    full = f"len(cur) > 0 AND {total('cur')} + length(p[i + 1]) > {size}"
+    return f"""WITH RECURSIVE open0 AS (SELECT doc_id, []::BIGINT[] AS path, text FROM documents), {", ".join(steps)},
+    runs AS ({" UNION ALL ".join(runs)} UNION ALL SELECT doc_id, path, [text] FROM open4),
+    fold AS (
+      SELECT doc_id, path, 0 AS i, []::VARCHAR[] AS cur, NULL::VARCHAR AS emitted, p FROM runs
+      UNION ALL
+      SELECT doc_id, path, i + 1, CASE WHEN i = len(p) THEN [] WHEN {full} THEN list_append({tail}, p[i + 1]) ELSE list_append(cur, p[i + 1]) END,
+        CASE WHEN (i = len(p) AND len(cur) > 0) OR (i < len(p) AND {full}) THEN array_to_string(cur, '') END, p
+      FROM fold WHERE i <= len(p)),
+    chunks AS (SELECT doc_id, path, i, {STRIP.format('emitted')} AS text FROM fold WHERE emitted IS NOT NULL)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path, i) - 1 AS chunk_index, {OUT_SQL} FROM chunks WHERE length(text) >= 30"""
+
+
+# Sizes and overlaps of the splitters.
+SIZES = [(300, 50), (500, 100), (800, 150), (1000, 200), (1500, 200)]
+for size, overlap in SIZES:
+    query(f"chunk_recursive_{size}_{overlap}", recursive_sql(size, overlap))(
+        lambda spark, sf_dir, size=size, overlap=overlap: chunked(spark, sf_dir, lambda t: C.recursive_chunks(t, size, overlap))
+    )
 
 
 SEMANTIC_SQL = f"""
@@ -177,14 +217,60 @@ def chunk_semantic_deviation(spark, sf_dir):
     return semantic(spark, sf_dir, stdevs=1.5)
 
 
-def semantic(spark, sf_dir, **limit):
+BUFFER_SQL = SEMANTIC_SQL.replace("1 PRECEDING AND 1 FOLLOWING", "2 PRECEDING AND 2 FOLLOWING")
+
+
+@query(
+    "chunk_semantic_buffer",
+    f"WITH {BUFFER_SQL} SELECT doc_id, chunk::BIGINT AS chunk_index, {OUT_SQL} FROM ch WHERE length({STRIP.format('text')}) >= 30",
+)
+def chunk_semantic_buffer(spark, sf_dir):
+    """Sentence vectors summed over two neighbours each side, cut at the 95th percentile distance."""
+    return out(C.semantic_chunks(C.window_vectors(sentence_vectors(spark, sf_dir), buffer=2)).withColumnRenamed("chunk", "chunk_index"))
+
+
+# the text of a word count by bucket as a vector, and the fold as recursion over the sentences
+COUNTED_SQL = f"list_transform({tokens_sql('x')}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64)"
+DOT_SQL = "list_sum([z[1] * z[2] for z in list_zip({a}, {b})])"
+NEAR_SQL = f"""round(coalesce({DOT_SQL.format(a="cur", b="v[i + 1]")}
+    / nullif(sqrt({DOT_SQL.format(a="cur", b="cur")}) * sqrt({DOT_SQL.format(a="v[i + 1]", b="v[i + 1]")}), 0), 0), 9) >= 0.5::DOUBLE
+  AND n + 1 + length(p[i + 1]) <= 500"""
+
+
+@query(
+    "chunk_semantic_threshold",
+    f"""WITH RECURSIVE st AS (SELECT doc_id, {SENTENCES} AS p FROM documents),
+    vs AS (SELECT doc_id, p, list_transform(list_transform(p, lambda x: {COUNTED_SQL}), lambda w: list_transform(range(64), lambda b: len(list_filter(w, lambda y: y = b))::DOUBLE)) AS v FROM st),
+    fold AS (
+      SELECT doc_id, 0 AS i, []::DOUBLE[] AS cur, 0 AS n, -1 AS chunk, p, v FROM vs
+      UNION ALL
+      SELECT doc_id, i + 1, CASE WHEN near THEN [z[1] + z[2] for z in list_zip(cur, v[i + 1])] ELSE v[i + 1] END,
+        CASE WHEN near THEN n + 1 ELSE 0 END + length(p[i + 1]), CASE WHEN near THEN chunk ELSE chunk + 1 END, p, v
+      FROM (SELECT *, i > 0 AND {NEAR_SQL} AS near FROM fold WHERE i < len(p))),
+    ch AS (SELECT doc_id, chunk, string_agg(p[i], ' ' ORDER BY i) AS text FROM fold WHERE i > 0 GROUP BY doc_id, chunk)
+    SELECT doc_id, chunk::BIGINT AS chunk_index, {OUT_SQL} FROM ch WHERE length({STRIP.format('text')}) >= 30""",
+)
+def chunk_semantic_threshold(spark, sf_dir):
+    """Groups of sentences near their centroid, up to 500 characters."""
+    return out(C.threshold_chunks(sentence_vectors(spark, sf_dir)).withColumnRenamed("chunk", "chunk_index"))
+
+
+def sentences(spark, sf_dir, context):
+    """(doc_id, pos, sentence, vector) with the vector of ``context(pos)``."""
     pieces = F.filter(F.transform(F.split("text", C.SENTENCE_END), X.strip), lambda x: x != "")
     docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", pieces.alias("s"))
-    around = lambda i: F.array_join(F.slice("s", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ")
-    items = F.transform(F.col("s"), lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), around(i).alias("context")))
-    sentences = docs.select("doc_id", F.explode(items).alias("i")).select("doc_id", "i.*")
-    vectors = sentences.select("doc_id", "pos", "sentence", hash_embedder(F.col("context")).alias("vector"))
-    return out(C.semantic_chunks(vectors, **limit).withColumnRenamed("chunk", "chunk_index"))
+    items = F.transform(F.col("s"), lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), context(x, i).alias("context")))
+    rows = docs.select("doc_id", F.explode(items).alias("i")).select("doc_id", "i.*")
+    return rows.select("doc_id", "pos", "sentence", hash_embedder(F.col("context")).alias("vector"))
+
+
+def sentence_vectors(spark, sf_dir):
+    return sentences(spark, sf_dir, lambda x, i: x)
+
+
+def semantic(spark, sf_dir, **limit):
+    around = lambda x, i: F.array_join(F.slice("s", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ")
+    return out(C.semantic_chunks(sentences(spark, sf_dir, around), **limit).withColumnRenamed("chunk", "chunk_index"))
 
 
 @query(
@@ -198,7 +284,7 @@ def semantic(spark, sf_dir, **limit):
 def html_to_text_pages(spark, sf_dir):
     text = html_text(F.col("html"))
     return (
-        table(spark, sf_dir, "pages")
+        spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
         .select("page_id", text.alias("text"))
         .where(F.col("text") != "")
         .select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankforge.session import table
+from rankforge.session import spread, table
 
 # The dimension ranges searched as separate systems.
 SLICES = {"d01_16": (0, 16), "d17_32": (16, 32), "d33_48": (32, 48), "d49_64": (48, 64), "full": (0, 64)}
@@ -38,7 +38,9 @@ hits AS (
 
 def documents(spark, sf_dir, *cols):
     docs = table(spark, sf_dir, "documents")
-    return docs.select(*cols) if cols else docs
+    docs = docs.select(*cols) if cols else docs
+    # texts are read to be tokenised, embedded or cut: not by one core
+    return spread(docs, "doc_id") if {"doc_id", "text"} <= set(cols) else docs
 
 
 def questions(spark, sf_dir):

@@ -21,7 +21,7 @@ GRID_SINGLE = {"dense": {"dense": 1.0}, "bm25_bigrams": {"sparse": 1.0}}
 
 
 def generated(spark, sf_dir):
-    """Stand-in generator replies cut from the passage; every seventh question lacks some."""
+    """Stand-in generator replies from all words of the passage or a half or third; every seventh question lacks some."""
     w = X.tokenize_words(F.col("text"))
     n = F.size("w")
     cut = lambda a, b: F.array_join(F.slice("w", a, F.greatest(b, F.lit(0))), " ")
@@ -30,6 +30,7 @@ def generated(spark, sf_dir):
         F.lit("1. "), cut(F.lit(1), third), F.lit(sep + "2) "), cut(third + 1, third), F.lit(sep + "- "), cut(2 * third + 1, n - 2 * third)
     )
     half = F.floor(n / 2).cast("int")
+    distinct = F.array_sort(F.array_distinct("w"))
     replies = F.array(
         F.struct(F.lit("hyde").alias("kind"), cut(half + 1, n - half).alias("output")),
         F.struct(F.lit("query2doc").alias("kind"), cut(F.lit(1), half).alias("output")),
@@ -37,8 +38,8 @@ def generated(spark, sf_dir):
         F.struct(F.lit("multiq_angle").alias("kind"), listed("\n\n").alias("output")),
         F.struct(F.lit("stepback").alias("kind"), cut(third + 1, n - third).alias("output")),
         F.struct(F.lit("decompose").alias("kind"), F.concat(F.lit("* "), cut(F.lit(1), half)).alias("output")),
-        F.struct(F.lit("expand").alias("kind"), F.regexp_replace(cut(F.lit(1), F.lit(8)), " ", ", ").alias("output")),
-        F.struct(F.lit("rewrite").alias("kind"), F.concat(cut(F.lit(1), F.lit(4)), F.lit("\nnote")).alias("output")),
+        F.struct(F.lit("expand").alias("kind"), F.array_join(distinct, ", ").alias("output")),
+        F.struct(F.lit("rewrite").alias("kind"), F.concat(F.array_join(distinct, " "), F.lit("\nnote")).alias("output")),
     )
     return (
         questions(spark, sf_dir)
@@ -55,7 +56,7 @@ h AS (SELECT *, len(w) // 2 AS hf, len(w) // 3 AS th, qid % 7 = 3 AS gone FROM w
 said AS (SELECT qid, text,
   CASE WHEN NOT gone THEN array_to_string(w[hf + 1 :], ' ') END AS hyde, array_to_string(w[1 : hf], ' ') AS q2d,
   CASE WHEN NOT gone THEN [array_to_string(w[1 : th], ' '), array_to_string(w[th + 1 : 2 * th], ' '), array_to_string(w[2 * th + 1 :], ' ')] END AS mq,
-  array_to_string(w[1 : hf], ' ') AS dec, CASE WHEN NOT gone THEN w[1:8] END AS ex, array_to_string(w[1:4], ' ') AS rw FROM h),
+  array_to_string(w[1 : hf], ' ') AS dec, CASE WHEN NOT gone THEN list_sort(list_distinct(w)) END AS ex, array_to_string(list_sort(list_distinct(w)), ' ') AS rw FROM h),
 lists AS (SELECT qid, text, hyde, q2d, rw,
   CASE WHEN mq IS NULL THEN [text, text, text] ELSE list_filter(list_transform(mq, lambda x: trim(regexp_replace(x, '^[\-\*\d\.\)\s]+', ''))), lambda x: length(x) > 2) END AS mq,
   list_filter([trim(regexp_replace(dec, '^[\-\*\d\.\)\s]+', ''))], lambda x: length(x) > 2) AS dec,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import text as X
 from rankforge.models import hash_embedder
-from rankforge.operators import fusion, sparse
+from rankforge.operators import fusion, rerank, sparse
 from rankforge.plans.common import bm25_sql, documents, hash_dense_sql, questions, tokens_sql
 from rankforge.plans.registry import query
 from rankforge.session import materialize
@@ -42,7 +42,7 @@ def bigrams_sql(col):
 def tokenize_bigram_vocab(spark, sf_dir):
     """Character pairs: the stand-in for a morphological analyser."""
     return (
-        documents(spark, sf_dir, "text")
+        documents(spark, sf_dir, "doc_id", "text")
         .select(F.explode(X.tokenize_bigrams(F.col("text"))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -207,3 +207,27 @@ def borda_fusion(spark, sf_dir):
     texts = halves(spark, sf_dir)
     plan = plan_of(texts.select("qid", "text_id"), {"dense": {"dense": 1.0}})
     return _hits(fusion.fuse_borda(plan, rankers(spark, sf_dir, texts.select("text_id", "text"), ("dense",)), 20))
+
+
+MMR_SQL = f"""{PASSAGES_SQL}, {hash_dense_sql()},
+cand AS (SELECT text_id AS qid, doc_id, score, rank FROM hranked WHERE rank <= 20),
+near AS (SELECT a.qid, a.doc_id AS x, b.doc_id AS y, coalesce(sum(p.c * q.c) / any_value(n.norm * m.norm), 0) AS sim
+  FROM cand a JOIN cand b USING (qid) LEFT JOIN hd p ON p.doc_id = a.doc_id LEFT JOIN hd q ON q.doc_id = b.doc_id AND q.b = p.b
+  LEFT JOIN hdn n ON n.doc_id = a.doc_id LEFT JOIN hdn m ON m.doc_id = b.doc_id GROUP BY ALL),
+pick AS (SELECT qid, 1 AS rank, [arg_min(doc_id, (-round(0.5::DOUBLE * score, 9), rank))] AS taken FROM cand GROUP BY qid
+  UNION ALL
+  SELECT qid, step, list_append(any_value(taken), arg_min(doc_id, (-v, place))) FROM (
+    SELECT p.qid, p.rank + 1 AS step, p.taken, c.doc_id, c.rank AS place,
+      round(0.5::DOUBLE * c.score - 0.5::DOUBLE * max(n.sim), 9) AS v
+    FROM pick p JOIN cand c USING (qid) JOIN near n ON n.qid = p.qid AND n.x = c.doc_id AND list_contains(p.taken, n.y)
+    WHERE p.rank < 5 AND NOT list_contains(p.taken, c.doc_id) GROUP BY p.qid, p.rank, p.taken, c.doc_id, c.rank, c.score)
+  GROUP BY qid, step)"""
+
+
+@query("mmr_top5", f"WITH RECURSIVE {MMR_SQL} SELECT qid, rank::BIGINT AS rank, taken[rank] AS doc_id FROM pick")
+def mmr_top5(spark, sf_dir):
+    """Five of the twenty nearest documents, each far from those before it."""
+    vectors = materialize(corpus_vectors(spark, sf_dir))
+    asked = text_vectors(passages(spark, sf_dir)).withColumnRenamed("text_id", "qid")
+    hits = fusion.dense.dense_topk(asked, vectors, rerank.TOP_N)
+    return rerank.mmr(hits, vectors).select("qid", F.col("rank").cast(BIG).alias("rank"), "doc_id")

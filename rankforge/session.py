@@ -74,3 +74,14 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that a single task would read, dealt to all cores by ``key``.
+
+    For a costly expression over one small file. A table of several splits is
+    returned as it is: its scan is spread already, and a shuffle would only add
+    to it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if cores > 1 and df.rdd.getNumPartitions() == 1 else df

@@ -47,10 +47,21 @@ def current(spark: SparkSession, path: str, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
 
 
-def append(stream: DataFrame, path: str, checkpoint: str):
-    """Append-only result log; the checkpoint remembers what is done."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    query.trigger(availableNow=True).start().awaitTermination()
+def append(stream: DataFrame, path: str, checkpoint: str, **conf):
+    """Append-only result log; the checkpoint remembers what is done.
+
+    ``conf`` holds for this query alone, which reads it when it starts.
+    """
+    spark = stream.sparkSession
+    before = {name: spark.conf.get(name, None) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        query.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def pending(registry: DataFrame, status: str = "status") -> DataFrame:
