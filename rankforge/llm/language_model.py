@@ -1,17 +1,31 @@
-"""Log probability of texts under a smoothed n-gram model with backoff.
+"""Log probability of texts under a smoothed n-gram model, as a weighted backoff automaton.
 
 Unigrams are counted over all training tokens and smoothed by adding a half.
 Every bigram and trigram of the training texts is in the model with its exact
-count, however rare it is and however large the corpus. N-grams are discounted
-by ``DISCOUNT``; what that frees goes to the shorter history, with backoff
-weights that make every history's distribution sum to one.
-
-N-grams are keyed by 64-bit hashes and dealt into parts by key; the number of
-parts grows with the training bytes, so a part has a bounded number of keys.
-Between tasks a part travels as packed arrays, one row per block and part, and
-is counted, joined and summed by array operations. A block of texts asks the
-parts for its own distinct n-grams and adds up the answers, so no task, no
-broadcast and no driver ever holds the vocabulary or the model.
+count, however rare it is and however large the corpus. A history's seen
+successors are discounted by ``DISCOUNT``; what that frees is shared out by the
+shorter history, so the weight of backing off needs nothing but the history's
+own successors and every distribution sums to one.
+
+Texts go in blocks of about ``BLOCK`` bytes. A block sends its distinct n-grams
+once, dealt by the hash of their history into parts whose number grows with the
+bytes: sorted keys as differences, in byte planes, with the block's training
+counts. A part adds up the counts of all blocks, finds each history's total and
+number of successors, and returns to each block what belongs to its own n-grams.
+The block turns that into its automaton: states are the histories known to the
+model, sorted arcs carry the log probability of a seen successor and lead to the
+longest known history, failure arcs carry the backoff weight and lead to the
+shorter history. All its texts step from left to right together, each carrying
+its state and its sum. Stretches of long texts step side by side; each starts in
+the state after the two tokens before it, which is all a state can know.
+
+No task, broadcast or driver holds the vocabulary or the model, and no table is
+written: blocks are read twice and n-grams shuffled once. ``again`` tells that
+the documents come in the same order when read again, as a scan of files does;
+otherwise they are written first.
+
+Words are told apart by 64-bit hashes, n-grams by 36 bits of their history's
+hash beside those that name its part, and 28 bits of the word's.
 
 Defined cases: a null text is empty and has one token, its end; a row without
 ``doc_id`` belongs to training; repeated rows count each; an empty training set
@@ -30,298 +44,361 @@ from pyspark.sql import types as T
 from rankforge.llm import words
 from rankforge.llm.store import Scratch
 
-#: Least share of the training tokens an n-gram needs: none, all n-grams count.
-NGRAM_SHARE = 0.0
 DISCOUNT = 0.5
-#: Training bytes per part and text bytes per block.
+#: Text bytes per part and per block, and tokens of a stretch.
 PART = 1 << 22
-BLOCK = 1 << 22
+BLOCK = 1 << 23
+STRETCH = 512
 #: Hash of the end token; no word hash is reserved, so this is one more word.
 END = np.uint64(0xE17A1465B3C5D927)
 
-_GRAMS = "n int, part int, credit boolean, keys binary, left binary, right binary, vals binary, tokens double"
-_ASKS = "n int, part int, src long, keys binary"
-_ANSWERS = "n int, part int, src long, vals binary"
-# values of an n-gram in the tables that are asked
-_WIDTH = {1: 2, 2: 3, 3: 1}
+_WORD_BITS, _MORE_BITS = 20, 8
+_ASKS = "n int, part int, src long, keys binary, more binary, counts binary, size int"
+_ANSWERS = "n int, part int, src long, counts binary, totals binary, kinds binary"
+_U = np.uint64
+
 
+def _tokens(data, bounds):
+    """(token hashes with an end after each text, first token of each text), hashed in small blocks."""
+    hashes, first, so_far = [], [np.zeros(1, np.int64)], 0
+    for row, end in words.spans(bounds):
+        lo, hi = bounds[row], bounds[end]
+        block = words.Block(data[lo:hi], bounds[row : end + 1] - lo, words.SPACE, row)
+        hashes.append(np.insert(block.hashes(), block.first[1:], END))
+        first.append(so_far + block.first[1:] + np.arange(1, len(block) + 1))
+        so_far = int(first[-1][-1])
+    return np.concatenate(hashes), np.concatenate(first)
 
-def _tokens(block):
-    """(token hashes with an end after each text, first token of each text)."""
-    hashes = np.insert(block.hashes(), block.first[1:], END)
-    return hashes, block.first + np.arange(len(block.first))
+
+def _blocks(texts):
+    """(first row, row after the last, bytes, byte limits) of a batch's blocks."""
+    data, offsets = words.columns(texts)
+    for row, end in words.spans(offsets, BLOCK):
+        lo, hi = offsets[row], offsets[end]
+        yield row, end, data[lo:hi], offsets[row : end + 1] - lo
 
 
 def _pair(left, right):
-    return words.mix(left * np.uint64(0x9FB21C651E98DF25) + right)
+    return words.mix(left * _U(0x9FB21C651E98DF25) + right)
 
 
-def _bytes(array):
-    return np.ascontiguousarray(array).tobytes()
+def _packed(values):
+    """Numbers as compressed byte planes: planes of leading zeros take no room."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _array(value, dtype=np.uint64):
-    return np.frombuffer(value or b"", dtype=dtype)
+def _unpacked(data, size):
+    planes = np.frombuffer(pa.decompress(data, 8 * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).reshape(-1).view("<u8")
 
 
 def _table(rows, fields):
     fields = [f.split() for f in fields.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     columns = zip(*rows) if rows else [[]] * len(fields)
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
 
 
-def _cut(keys, parts):
-    """(part, indices into ``keys``) of each part met."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    met, at = np.unique(part[order], return_index=True)
-    for p, lo, hi in zip(met.tolist(), at, [*at[1:], len(keys)]):
-        yield p, order[lo:hi]
-
-
-def _place(table, keys):
-    """Index of each key in a sorted table, -1 where it is missing."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
-def _grams(hashes, first):
-    """(left, right, index of the first token) of the bigrams and of the trigrams inside the texts."""
+class _Grams:
+    """Distinct n-grams of a block of order ``n`` in the order in which they are sent.
+
+    ``at`` is the place of one occurrence of each, ``of`` the number of the
+    n-gram that starts at each place of ``places``.
+    """
+
+    def __init__(self, n, history, word, places, parts):
+        whole = word if n == 1 else _pair(history, word)
+        _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
+        deal = word[first] if n == 1 else history[first]
+        part = (words.mix(deal ^ _U(0xA0761D6478BD642F)) % _U(parts)).astype(np.int64)
+        if n == 1:
+            key, more = word[first], np.zeros(len(first), np.uint64)
+        else:
+            short = words.mix(word[first])
+            key = (deal >> _U(64 - 36) << _U(_WORD_BITS)) | short >> _U(64 - _WORD_BITS)
+            more = short & _U((1 << _MORE_BITS) - 1)
+        order = np.lexsort((more, key, part))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.key, self.more, self.part = key[order], more[order], part[order]
+        self.at, self.of, self.places = places[first[order]], rank[inverse], places
+        met, starts = np.unique(self.part, return_index=True)
+        self.slices = [(int(p), lo, hi) for p, lo, hi in zip(met, starts, [*starts[1:], len(order)])]
+
+
+def _histories(key):
+    """Number of the history run of each sorted key of a part."""
+    return np.cumsum(np.diff(key >> _U(_WORD_BITS), prepend=key[:1] >> _U(_WORD_BITS)) != 0)
+
+
+def _block_grams(hashes, first, parts, orders=(1, 2, 3)):
+    """The n-grams inside the texts of a block, one order at a time."""
     inside = np.ones(max(len(hashes) - 1, 0), dtype=bool)
     inside[first[1:-1] - 1] = False
     two = np.flatnonzero(inside)
     three = np.flatnonzero(inside[:-1] & inside[1:])
-    pairs = _pair(hashes[:-1], hashes[1:])
-    return (hashes[two], hashes[two + 1], two), (pairs[three], pairs[three + 1], three)
+    for n in orders:
+        if n == 1:
+            yield n, _Grams(n, None, hashes, np.arange(len(hashes)), parts)
+        elif n == 2:
+            yield n, _Grams(n, hashes[two], hashes[two + 1], two, parts)
+        else:
+            yield n, _Grams(n, _pair(hashes[three], hashes[three + 1]), hashes[three + 2], three, parts)
 
 
-def _merged(keys, left, right, counts):
-    """Distinct sorted keys with what they are made of and their summed counts."""
-    unique, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return unique, left[at], right[at], np.bincount(inverse, counts, len(unique))
-
-
-def _count_batches(batches, parts):
+def _ask_batches(batches, parts, orders):
+    """The distinct n-grams of each block with its training counts."""
+    src = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for block in words.blocks(batch.column(0), words.SPACE, BLOCK):
-            hashes, first = _tokens(block)
-            (l2, r2, _), (l3, r3, _) = _grams(hashes, first)
-            for n, key, left, right in ((1, hashes, hashes, hashes), (2, _pair(l2, r2), l2, r2), (3, _pair(l3, r3), l3, r3)):
-                _, left, right, counts = _merged(key, left, right, np.ones(len(key)))
-                key = left if n == 1 else _pair(left, right)
+        trains = np.asarray(batch.column(2))
+        for row, end, data, bounds in _blocks(batch.column(1)):
+            hashes, first = _tokens(data, bounds)
+            train = np.repeat(trains[row:end], np.diff(first))
+            for n, g in _block_grams(hashes, first, parts, orders):
+                counts = np.bincount(g.of, train[g.places], len(g.at)).astype(np.uint64)
                 rows = [
-                    (n, p, False, None, _bytes(left[i]), _bytes(right[i]) if n > 1 else None, _bytes(counts[i].astype(np.int64)), 0.0)
-                    for p, i in _cut(key, parts)
-                ]
-                yield from _table(rows, _GRAMS).to_batches()
+                    (
+                        n, p, src, _packed(np.diff(g.key[lo:hi], prepend=_U(0))),
+                        pa.compress(g.more[lo:hi].astype(np.uint8).tobytes(), "zstd", asbytes=True),
+                        _packed(counts[lo:hi]), int(hi - lo),
+                    )
+                    for p, lo, hi in g.slices
+                ]
+                yield from _table(rows, _ASKS).to_batches()
+            src += 1
 
 
-def _count_part(table):
-    n, part = table["n"][0].as_py(), table["part"][0].as_py()
-    left, counts = (np.concatenate([_array(v, d) for v in table[c].to_pylist()]) for c, d in (("left", np.uint64), ("vals", np.int64)))
-    right = np.concatenate([_array(v) for v in table["right"].to_pylist()]) if n > 1 else left
-    keys, left, right, counts = _merged(left if n == 1 else _pair(left, right), left, right, counts)
-    made = (_bytes(left), _bytes(right)) if n > 1 else (None, None)
-    return _table([(n, part, False, _bytes(keys), *made, _bytes(counts), counts.sum())], _GRAMS)
+def _read_asks(table):
+    sizes = table["size"].to_pylist()
+    keys = [np.cumsum(_unpacked(k, s)) for k, s in zip(table["keys"].to_pylist(), sizes)]
+    more = [np.frombuffer(pa.decompress(m, s, "zstd", asbytes=True), np.uint8) for m, s in zip(table["more"].to_pylist(), sizes)]
+    counts = [_unpacked(c, s).astype(np.int64) for c, s in zip(table["counts"].to_pylist(), sizes)]
+    return sizes, keys, more, counts
 
 
-def _wanted(n, left, right):
-    """Keys of the shorter n-grams that an n-gram's weight and its history's backoff need."""
-    return np.unique(np.concatenate([left, right]) if n == 2 else right)
+def _merged(keys, more, counts):
+    """(place of each ask's key among the distinct ones, distinct keys, their counts)."""
+    keys, more, counts = np.concatenate(keys), np.concatenate(more), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    k, m = keys[order], more[order]
+    if np.any((k[1:] == k[:-1]) & (m[1:] != m[:-1])):
+        order = np.lexsort((more, keys))
+        k, m = keys[order], more[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, k[new], np.add.reduceat(counts[order], np.flatnonzero(new))
 
 
-def _ask_batches(batches, parts):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            keys = _wanted(row["n"], _array(row["left"]), _array(row["right"]))
-            rows = [(row["n"] - 1, p, row["part"], _bytes(keys[i])) for p, i in _cut(keys, parts)]
-            yield from _table(rows, _ASKS).to_batches()
-
-
-def _answer(asks, table, width):
-    """Values of the asked keys in the order of asking, 0 for a missing key."""
-    known, values = np.zeros(0, np.uint64), None
-    if table.num_rows:
-        known = _array(table["keys"][0].as_py())
-        values = _array(table["vals"][0].as_py(), np.float64).reshape(-1, len(known))
-    rows = []
-    for n, part, src, asked in zip(*(asks[c].to_pylist() for c in ("n", "part", "src", "keys"))):
-        at = _place(known, _array(asked))
-        found = np.zeros((width.get(n) or 1, len(at)))
-        if values is not None:
-            found[:, at >= 0] = values[:, at[at >= 0]]
-        rows.append((n, part, src, _bytes(found)))
+def _answer_part(table):
+    """Counts of each ask's n-grams, and total and number of successors of their histories."""
+    n, part = table["n"][0].as_py(), table["part"][0].as_py()
+    sizes, keys, more, counts = _read_asks(table)
+    place, distinct, total = _merged(keys, more, counts)
+    if n > 1:
+        run = _histories(distinct)
+        sums = np.bincount(run, total).astype(np.int64)
+        kinds = np.bincount(run, total > 0).astype(np.int64)
+    rows, at = [], 0
+    for src, size in zip(table["src"].to_pylist(), sizes):
+        own = place[at : at + size]
+        at += size
+        row = [n, part, src, _packed(total[own]), None, None]
+        if n > 1:
+            runs = run[own]
+            first = np.flatnonzero(np.diff(runs, prepend=-1))
+            row[4:] = _packed(sums[runs[first]]), _packed(kinds[runs[first]])
+        rows.append(tuple(row))
     return _table(rows, _ANSWERS)
 
 
-def _gather(answers, n, keys, parts, width):
-    """Answers of order ``n`` for the sorted ``keys`` that were asked."""
-    out = np.zeros((width, len(keys)))
-    by_part = {p: v for m, p, v in answers if m == n}
-    for p, i in _cut(keys, parts):
-        out[:, i] = _array(by_part[p], np.float64).reshape(width, -1)
-    return out
-
-
-def _triples(answers):
-    return list(zip(*(answers[c].to_pylist() for c in ("n", "part", "vals"))))
-
-
-def _credit(answers, table, parts, denominator):
-    """Weights of a part's n-grams, and what they add to their histories' backoff."""
-    row = table.to_pylist()[0]
-    n, left, right = row["n"], _array(row["left"]), _array(row["right"])
-    keys, counts = _wanted(n, left, right), _array(row["vals"], np.float64)
-    width = 1 if n == 2 else 2
-    got = _gather(_triples(answers), n - 1, keys, parts, width)[0]
-    lower = got[np.searchsorted(keys, right)]
-    rows = []
-    if n == 2:
-        weight = (counts - DISCOUNT) / got[np.searchsorted(keys, left)]
-        lower = (lower + 0.5) / denominator
-        rows.append((2, row["part"], False, row["keys"], None, None, _bytes(np.stack([weight, counts])), 0.0))
-    history, inverse = np.unique(left, return_inverse=True)
-    sums = np.stack([np.bincount(inverse, minlength=len(history)).astype(float), np.bincount(inverse, lower, len(history))])
-    rows += [(n - 1, p, True, _bytes(history[i]), None, None, _bytes(sums[:, i]), 0.0) for p, i in _cut(history, parts)]
-    return _table(rows, _GRAMS)
-
-
-def _settle(table):
-    """A part with the log10 backoff weight of each n-gram as a history."""
-    rows = table.to_pylist()
-    base = next(r for r in rows if not r["credit"])
-    keys = _array(base["keys"])
-    values = _array(base["vals"], np.float64).reshape(-1, len(keys))
-    sums = np.zeros((2, len(keys)))
-    for row in rows:
-        if row["credit"]:
-            own = _array(row["keys"])
-            sums[:, np.searchsorted(keys, own)] += _array(row["vals"], np.float64).reshape(2, -1)
-    # probability left for the shorter history, over what that gives to the rest
-    kept, lower = DISCOUNT * sums[0] / values[-1], sums[1]
-    back = np.where(sums[0] > 0, np.log10(np.maximum(kept, 1e-12) / np.maximum(1 - lower, 1e-12)), 0.0)
-    vals = _bytes(np.concatenate([values, back[None]]))
-    return _table([(base["n"], base["part"], False, base["keys"], None, None, vals, 0.0)], _GRAMS)
-
-
-def _block_batches(batches):
-    """Texts of a block as token hashes beside their rows."""
+def _totals_part(table):
+    """Tokens and distinct words of one part."""
+    _, _, total = _merged(*_read_asks(table)[1:])
+    return pa.table({"tokens": pa.array([int(total.sum())]), "kinds": pa.array([int((total > 0).sum())])})
+
+
+class Automaton:
+    """Backoff automaton of a block's n-grams.
+
+    State 0 is the empty history, state 1 + i the i-th word, the rest the
+    bigrams. ``arc_key`` is state * words + word, sorted; ``fail`` and ``back``
+    are each state's failure arc and its weight. Histories without successors
+    are no states: arcs that would lead there lead to the longest known suffix.
+    """
+
+    def __init__(self, grams, answers, hashes, denominator):
+        one, two, three = grams[1], grams[2], grams[3]
+        self.n_words = len(one.at)
+        word = one.of
+        uni = (answers[1][0] + 0.5) / denominator
+        (count2, total2, kinds2), (count3, total3, kinds3) = answers[2], answers[3]
+        v, w = word[two.at], word[two.at + 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # backoff weights by word and by bigram, from any n-gram that starts with them
+            share1, share2 = np.zeros(self.n_words), np.zeros(len(two.at))
+            share1[v] = np.where(total2 > 0, DISCOUNT * kinds2 / total2, 0)
+            bigram = np.full(len(hashes), -1)
+            bigram[two.places] = two.of
+            history = bigram[three.at]
+            share2[history] = np.where(total3 > 0, DISCOUNT * kinds3 / total3, 0)
+            lower = np.where(share1[v] > 0, share1[v], 1) * uni[w]
+            p2 = np.where(count2 > 0, (count2 - DISCOUNT) / total2 + lower, lower)
+            x, y = bigram[three.at + 1], word[three.at + 2]
+            p3 = np.where(count3 > 0, (count3 - DISCOUNT) / total3 + share2[history] * p2[x], 0)
+            self.back = np.log10(np.concatenate([[1.0], share1, share2]))
+        known_word, known_pair = share1 > 0, share2 > 0
+        of_word = np.where(known_word, 1 + np.arange(self.n_words), 0)
+        of_pair = np.where(known_pair, 1 + self.n_words + np.arange(len(two.at)), of_word[w])
+        self.fail = np.concatenate([[0], np.zeros(self.n_words, np.int64), of_word[w]])
+        seen2, seen3 = count2 > 0, count3 > 0
+        state = np.concatenate([1 + v[seen2], 1 + self.n_words + history[seen3]])
+        key = state * self.n_words + np.concatenate([w[seen2], y[seen3]])
+        order = np.argsort(key, kind="stable")
+        self.arc_key = key[order]
+        self.arc_weight = np.log10(np.concatenate([p2[seen2], p3[seen3]]))[order]
+        self.arc_to = np.concatenate([of_pair[seen2], of_pair[x[seen3]]])[order]
+        self.root_weight, self.root_to = np.log10(uni), of_word
+
+    def step(self, state, word):
+        """(weights, next states) after reading one word from each state."""
+        weight, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        open_ = np.arange(len(state))
+        while len(open_):
+            s, w = state[open_], word[open_]
+            if len(self.arc_key):
+                key = s * self.n_words + w
+                at = np.minimum(np.searchsorted(self.arc_key, key), len(self.arc_key) - 1)
+                found = (self.arc_key[at] == key) & (s > 0)
+                weight[open_[found]] += self.arc_weight[at[found]]
+                to[open_[found]] = self.arc_to[at[found]]
+            else:
+                found = np.zeros(len(s), bool)
+            root = ~found & (s == 0)
+            weight[open_[root]] += self.root_weight[w[root]]
+            to[open_[root]] = self.root_to[w[root]]
+            failing = ~found & (s > 0)
+            open_ = open_[failing]
+            weight[open_] += self.back[state[open_]]
+            state = state.copy()
+            state[open_] = self.fail[state[open_]]
+        return weight, to
+
+    def read(self, word, first, stretch=STRETCH):
+        """(log10 probability of each text, state after each token), all texts side by side."""
+        begin, text = [], []
+        lengths = np.diff(first)
+        pieces = -(-lengths // stretch)
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = first[:-1][text] + nth * stretch
+        end = np.minimum(begin + stretch, first[1:][text])
+        # two tokens before a later stretch lead to the state it starts in
+        state = np.zeros(len(text), np.int64)
+        later = np.flatnonzero(nth > 0)
+        for back in (2, 1):
+            _, state[later] = self.step(state[later], word[begin[later] - back])
+        order = np.argsort(begin - end, kind="stable")
+        begin, end, state, text = begin[order], end[order], state[order], text[order]
+        sums, states = np.zeros(len(text)), np.zeros(len(word), np.int64)
+        for t in range(int((end - begin).max()) if len(text) else 0):
+            live = int(np.searchsorted(begin - end, -t, side="left"))
+            weight, state[:live] = self.step(state[:live], word[begin[:live] + t])
+            sums[:live] += weight
+            states[begin[:live] + t] = state[:live]
+        return np.bincount(text, sums, len(lengths)), states
+
+
+def _text_batches(batches):
+    """Blocks as packed texts beside their rows."""
     src = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for block in words.blocks(batch.column(1), words.SPACE, BLOCK):
-            hashes, first = _tokens(block)
-            rows = batch.column(0).slice(block.first_row, len(block))
+        for row, end, data, bounds in _blocks(batch.column(1)):
+            rows = batch.column(0).slice(row, end - row)
             lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            columns = [pa.array([src]), lists, pa.array([_bytes(hashes)]), pa.array([_bytes(first.astype(np.int64))])]
-            yield pa.RecordBatch.from_arrays(columns, names=["src", "rows", "hashes", "first"])
+            text = pa.compress(data.tobytes(), "zstd", asbytes=True) if len(data) else b""
+            columns = [pa.array([src]), lists, pa.array([text], pa.binary()), pa.array([_packed(bounds)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["src", "rows", "text", "bounds"])
             src += 1
 
 
-def _block_grams(hashes, first):
-    """{n: (key of each n-gram, index of its first token)}."""
-    (l2, r2, two), (l3, r3, three) = _grams(hashes, first)
-    return {1: (hashes, np.arange(len(hashes))), 2: (_pair(l2, r2), two), 3: (_pair(l3, r3), three)}
-
-
-def _block_asks(batches, parts):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            for n, (keys, _) in _block_grams(_array(row["hashes"]), _array(row["first"], np.int64)).items():
-                keys = np.unique(keys)
-                rows = [(n, p, row["src"], _bytes(keys[i])) for p, i in _cut(keys, parts)]
-                yield from _table(rows, _ASKS).to_batches()
+def _read_tokens(text, bounds, n_rows):
+    bounds = _unpacked(bounds, n_rows + 1).astype(np.int64)
+    data = pa.decompress(text, int(bounds[-1]), "zstd", asbytes=True) if bounds[-1] else b""
+    return _tokens(np.frombuffer(data, np.uint8), bounds)
+
+
+def _gathered(answers, grams):
+    """{n: (count, total of the history, its successors)} by n-gram of the block."""
+    rows = {(n, p): i for i, (n, p) in enumerate(zip(answers["n"].to_pylist(), answers["part"].to_pylist()))}
+    columns = [answers[c] for c in ("counts", "totals", "kinds")]
+    out = {}
+    for n, g in grams.items():
+        made = np.zeros((3, len(g.at)), np.int64)
+        for p, lo, hi in g.slices:
+            counts, totals, kinds = (c[rows[n, p]].as_py() for c in columns)
+            made[0, lo:hi] = _unpacked(counts, hi - lo)
+            if n > 1:
+                run = _histories(g.key[lo:hi])
+                made[1, lo:hi] = _unpacked(totals, int(run[-1]) + 1)[run]
+                made[2, lo:hi] = _unpacked(kinds, int(run[-1]) + 1)[run]
+        out[n] = made
+    return out
 
 
 def _score_block(answers, block, parts, denominator):
-    hashes, first = _array(block["hashes"][0].as_py()), _array(block["first"][0].as_py(), np.int64)
-    got, found = {}, _triples(answers)
-    for n, (keys, at) in _block_grams(hashes, first).items():
-        unique, inverse = np.unique(keys, return_inverse=True)
-        # each row of values by the index of the n-gram's first token
-        got[n] = np.zeros((_WIDTH[n], len(hashes)))
-        got[n][:, at] = _gather(found, n, unique, parts, _WIDTH[n])[:, inverse]
-        if n > 1:
-            (two, three) = (at, None) if n == 2 else (two, at)
-    (count, back1), (weight, history, back2), (triple,) = got[1], got[2], got[3]
-    base = np.log10((count + 0.5) / denominator)
-    score = base.copy()
-    score[two + 1] = np.where(
-        weight[two] > 0, np.log10(np.where(weight[two] > 0, weight[two], 1)), back1[two] + base[two + 1]
-    )
-    seen = triple[three] > 0
-    ratio = np.where(seen, (triple[three] - DISCOUNT) / np.where(seen, history[three], 1), 1)
-    score[three + 2] = np.where(seen, np.log10(ratio), back2[three] + score[three + 2])
-    starts = first[:-1]
     rows = block["rows"].combine_chunks().flatten()
+    hashes, first = _read_tokens(block["text"][0].as_py(), block["bounds"][0].as_py(), len(rows))
+    grams = dict(_block_grams(hashes, first, parts))
+    found = _gathered(answers, grams)
+    automaton = Automaton(grams, found, hashes, denominator)
+    word, known = grams[1].of, found[1][0] > 0
+    score, _ = automaton.read(word, first)
     return pa.table(
         {
             "row": rows,
             "n_tokens": pa.array(np.diff(first)),
-            "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
-            "base": pa.array(np.add.reduceat(base, starts)),
-            "score": pa.array(np.add.reduceat(score, starts)),
+            "n_known": pa.array(np.add.reduceat(known[word].astype(np.int64), first[:-1])),
+            "base": pa.array(np.add.reduceat(automaton.root_weight[word], first[:-1])),
+            "score": pa.array(score),
         }
     )
 
 
-def _asked(asks: DataFrame, table: DataFrame, width) -> DataFrame:
-    pairs = asks.groupBy("n", "part").cogroup(table.select("n", "part", "keys", "vals").groupBy("n", "part"))
-    return pairs.applyInArrow(lambda left, right: _answer(left, right, width), _ANSWERS)
-
-
-class LanguageModel:
-    """Counts, weights and scores of one training table (needs ``text``)."""
-
-    def __init__(self, train: DataFrame):
-        self.spark = train.sparkSession
-        self.tmp = Scratch(self.spark, "language-model")
-        train = train.select(F.col("text").cast("string").alias("text"))
-        size = train.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
-        self.parts = parts = 1 + size // PART
-        found = train.mapInArrow(lambda batches: _count_batches(batches, parts), _GRAMS)
-        found = found.groupBy("n", "part").applyInArrow(_count_part, _GRAMS)
-        # values are doubles from here on: exact for counts below 2^53
-        counted = self.tmp.write(found, "counted")
-        sums = counted.filter("n = 1").agg(F.sum("tokens").alias("t"), F.sum(F.length("keys") / 8).alias("k")).first()
-        self.total, kinds = int(sums["t"] or 0), int(sums["k"] or 0)
-        self.denominator = self.total + 0.5 * (kinds + 1)
-        one, three = counted.filter("n = 1"), counted.filter("n = 3")
-        second = self.tmp.write(self._credits(counted.filter("n = 2"), one, {1: 1}), "second")
-        third = self._credits(three, second.filter("n = 2"), {2: 2})
-        settled = one.unionByName(second).unionByName(third).groupBy("n", "part").applyInArrow(_settle, _GRAMS)
-        self.model = self.tmp.write(settled, "settled").unionByName(three)
-
-    def _credits(self, grams, shorter, width):
-        parts, denominator = self.parts, self.denominator
-        asks = grams.select("n", "part", "left", "right").mapInArrow(lambda batches: _ask_batches(batches, parts), _ASKS)
-        answers = _asked(asks, shorter, width).withColumnRenamed("part", "of").withColumnRenamed("src", "at")
-        answers = answers.select(F.col("at").cast("int").alias("to"), "n", F.col("of").alias("part"), "vals")
-        pairs = answers.groupBy("to").cogroup(grams.withColumn("to", F.col("part")).groupBy("to"))
-        return pairs.applyInArrow(lambda left, right: _credit(left, right, parts, denominator), _GRAMS)
-
-    def score(self, docs: DataFrame, keep: list) -> DataFrame:
-        """``keep`` columns of ``docs`` with n_tokens, n_known, base_score and score."""
-        parts, denominator = self.parts, self.denominator
-        packed = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
-        row = packed.schema["row"]
-        more = T._parse_datatype_string("hashes binary, first binary").fields
-        schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("rows", T.ArrayType(row.dataType)), *more])
-        blocks = self.tmp.write(packed.mapInArrow(_block_batches, schema), "blocks")
-        asks = blocks.select("src", "hashes", "first").mapInArrow(lambda batches: _block_asks(batches, parts), _ASKS)
-        answers = _asked(asks, self.model, _WIDTH)
-        values = T._parse_datatype_string("n_tokens long, n_known long, base double, score double").fields
-        scored = answers.groupBy("src").cogroup(blocks.groupBy("src")).applyInArrow(
-            lambda left, right: _score_block(left, right, parts, denominator), T.StructType([row, *values])
-        )
-        return scored.select(
-            "row.*", "n_tokens", "n_known", F.lit(self.total).cast("long").alias("train_tokens"),
-            F.col("base").alias("base_score"), "score",
-        )
+def score(docs: DataFrame, train, keep: list, again: bool = False) -> DataFrame:
+    """``keep`` columns of ``docs`` with n_tokens, n_known, train_tokens, base_score and score.
+
+    ``train`` is a Boolean column: the rows the model learns from.
+    """
+    text, taught = F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train")
+    packed = docs.select(F.struct(*keep).alias("row"), text, taught)
+    if not again:
+        packed = Scratch(docs.sparkSession, "language-model").write(packed, "docs")
+    size = packed.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    parts = 1 + size // PART
+
+    # every step reads the same columns, so that blocks begin at the same rows
+    def asked(df, orders):
+        return df.mapInArrow(lambda b: _ask_batches(b, parts, orders), _ASKS).groupBy("n", "part")
+
+    sums = asked(packed.where("train"), (1,)).applyInArrow(_totals_part, "tokens long, kinds long")
+    sums = sums.agg(F.sum("tokens").alias("t"), F.sum("kinds").alias("k")).first()
+    total, kinds = sums["t"] or 0, sums["k"] or 0
+    denominator = total + 0.5 * (kinds + 1)
+    answers = asked(packed, (1, 2, 3)).applyInArrow(_answer_part, _ANSWERS)
+    row = packed.schema["row"]
+    more = T._parse_datatype_string("text binary, bounds binary").fields
+    schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("rows", T.ArrayType(row.dataType)), *more])
+    blocks = packed.mapInArrow(_text_batches, schema)
+    values = T._parse_datatype_string("n_tokens long, n_known long, base double, score double").fields
+    scored = answers.groupBy("src").cogroup(blocks.groupBy("src")).applyInArrow(
+        lambda left, right: _score_block(left, right, parts, denominator), T.StructType([row, *values])
+    )
+    return scored.select(
+        "row.*", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
+    )
 
 
 def fold(doc_id):

@@ -165,10 +165,10 @@ def op10_nearest(spark, sf_dir):
 
 @query("op3_lm_score")
 def op3_lm_score(spark, sf_dir):
-    from rankforge.llm.language_model import LanguageModel, fold
+    from rankforge.llm import language_model as lm
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id")) == 1)
-    return LanguageModel(docs.filter(~F.col("held_out"))).score(docs, ["doc_id", "held_out"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.fold(F.col("doc_id")) == 1)
+    return lm.score(docs, ~F.col("held_out"), ["doc_id", "held_out"], again=True)
 
 
 #: Where the public tokenizer's model file lies on the driver.

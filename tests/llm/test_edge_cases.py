@@ -52,12 +52,13 @@ def test_pii(docs, nothing):
 
 
 def test_language_model(docs, nothing):
-    model = language_model.LanguageModel(docs)
-    got = {r.doc_id: r for r in model.score(docs, ["doc_id"]).collect()}
-    assert got[1].n_tokens == got[2].n_tokens == got[6].n_tokens == 1
-    assert got[1].score == got[2].score < 0 and got[5].n_tokens == 60_001
-    assert language_model.LanguageModel(nothing).score(docs, ["doc_id"]).filter("n_known > 0").count() == 0
-    assert model.score(nothing, ["doc_id"]).count() == 0
+    learn = F.lit(True)
+    for again in (False, True):
+        got = {r.doc_id: r for r in language_model.score(docs, learn, ["doc_id", "row"], again).collect()}
+        assert got[1].n_tokens == got[2].n_tokens == got[6].n_tokens == 1
+        assert got[1].score == got[2].score < 0 and got[5].n_tokens == 60_001 and got[None].row == "x"
+    assert language_model.score(docs, F.lit(None).cast("boolean"), ["doc_id"]).filter("n_known > 0").count() == 0
+    assert language_model.score(nothing, learn, ["doc_id"]).count() == 0
 
 
 def test_chat(spark):

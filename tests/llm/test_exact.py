@@ -176,29 +176,25 @@ def test_scores_match_a_plain_backoff_model(spark, sf, texts):
     train = [tok[i] for i in tok if not held[i]]
     one = collections.Counter(w for t in train for w in t)
     n, v = sum(one.values()), len(one)
-    least = max(1, n * language_model.NGRAM_SHARE)
-    two = {p: c for p, c in collections.Counter(p for t in train for p in zip(t, t[1:])).items() if c >= least}
-    three = {p: c for p, c in collections.Counter(p for t in train for p in zip(t, t[1:], t[2:])).items() if c >= least}
+    two = collections.Counter(p for t in train for p in zip(t, t[1:]))
+    three = collections.Counter(p for t in train for p in zip(t, t[1:], t[2:]))
+    after, after2 = collections.defaultdict(list), collections.defaultdict(list)
+    for (u, _), c in two.items():
+        after[u].append(c)
+    for (u, w, _), c in three.items():
+        after2[u, w].append(c)
 
     def p1(w):
         return (one.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
 
-    after, after2 = collections.defaultdict(list), collections.defaultdict(list)
-    for u, w in two:
-        after[u].append(w)
-    for p in three:
-        after2[p[:2]].append(p[2])
-    back = {u: (1 - sum((two[u, w] - 0.5) / one[u] for w in ws)) / (1 - sum(map(p1, ws))) for u, ws in after.items()}
+    def shared(counts, count, lower):
+        return (max(count - 0.5, 0) + 0.5 * len(counts) * lower) / sum(counts)
 
     def p2(u, w):
-        return (two[u, w] - 0.5) / one[u] if (u, w) in two else back.get(u, 1) * p1(w)
-
-    back2 = {
-        p: (1 - sum((three[(*p, w)] - 0.5) / two[p] for w in ws)) / (1 - sum(p2(p[1], w) for w in ws)) for p, ws in after2.items()
-    }
+        return shared(after[u], two[u, w], p1(w)) if u in after else p1(w)
 
     def p3(u, v, w):
-        return (three[u, v, w] - 0.5) / two[u, v] if (u, v, w) in three else back2.get((u, v), 1) * p2(v, w)
+        return shared(after2[u, v], three[u, v, w], p2(v, w)) if (u, v) in after2 else p2(v, w)
 
     for p in list(after2)[:3]:
         assert sum(p3(*p, w) for w in one) + p3(*p, b"\0") == pytest.approx(1)
@@ -210,6 +206,41 @@ def test_scores_match_a_plain_backoff_model(spark, sf, texts):
         assert r.score == pytest.approx(sum(map(math.log10, steps)), abs=1e-6)
 
 
+def test_state_is_the_longest_known_history():
+    """One traversal, stretch by stretch: after each token the longest suffix the model goes on from."""
+    r = random.Random(6)
+    texts = [" ".join(r.choices("abcdefgh", k=r.randint(0, 60))) for _ in range(30)]
+    train = [r.random() < 0.4 for _ in texts]
+    data, bounds = words.columns(__import__("pyarrow").array(texts))
+    hashes, first = language_model._tokens(data, bounds - bounds[0])
+    grams = dict(language_model._block_grams(hashes, first, 3))
+    tok = [t.split() + [None] for t in texts]
+    follow = collections.defaultdict(collections.Counter)
+    for t, known in zip(tok, train):
+        for n in (1, 2):
+            for i in range(len(t) - n if known else 0):
+                follow[tuple(t[i : i + n])][t[i + n]] += 1
+    flat = [(t, i) for t in tok for i in range(len(t))]
+    answers = {1: np.zeros((3, len(grams[1].at)))}
+    seen = collections.Counter(w for t, known in zip(tok, train) if known for w in t)
+    answers[1][0] = [seen[t[i]] for t, i in (flat[a] for a in grams[1].at)]
+    for n in (2, 3):
+        rows = [(follow[tuple(t[i : i + n - 1])], t[i + n - 1]) for t, i in (flat[a] for a in grams[n].at)]
+        answers[n] = np.array([[c[w], sum(c.values()), len(c)] for c, w in rows]).T.reshape(3, -1)
+    automaton = language_model.Automaton(grams, answers, hashes, sum(seen.values()) + 0.5 * (len(seen) + 1))
+    for stretch in (3, 1000):
+        _, states = automaton.read(grams[1].of, first, stretch)
+        for at, (t, i) in enumerate(flat):
+            if t[i] is None:
+                continue
+            if i and follow.get((t[i - 1], t[i])):
+                assert states[at] == 1 + automaton.n_words + {p: g for p, g in zip(grams[2].places, grams[2].of)}[at - 1]
+            elif follow.get((t[i],)):
+                assert states[at] == 1 + grams[1].of[at]
+            else:
+                assert states[at] == 0
+
+
 # 5: main text
 
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankforge.llm import html_text, language_model, pii
 
@@ -13,18 +14,19 @@ from rankforge.llm import html_text, language_model, pii
 def test_rare_ngrams_of_a_large_corpus_count(spark, monkeypatch):
     """N-grams met once among 400,000 tokens are in the model, over many parts."""
     monkeypatch.setattr(language_model, "PART", 1 << 14)
-    train = spark.createDataFrame([("a b " * 200_000,), ("x y z",)], "text string")
-    docs = spark.createDataFrame([(1, "x y z"), (2, "q y z")], "doc_id long, text string")
-    model = language_model.LanguageModel(train)
-    assert model.parts > 40
-    got = {r.doc_id: r for r in model.score(docs, ["doc_id"]).collect()}
+    rows = [(0, "a b " * 200_000, True), (0, "x y z", True), (1, "x y z", False), (2, "q y z", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = {r.doc_id: r for r in language_model.score(docs, F.col("learn"), ["doc_id"]).where("doc_id > 0").collect()}
     total, kinds = 400_005, 6
-    one = lambda c: math.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-    half = math.log10(0.5)
+    one = lambda c: (c + 0.5) / (total + 0.5 * (kinds + 1))
+    # a history met once with one successor shares out a half
+    two = 0.5 + 0.5 * one(1)
+    end = 0.5 + 0.5 * one(2)
+    three = 0.5 + 0.5 * two, 0.5 + 0.5 * end
     assert got[1].train_tokens == total and got[1].n_known == 4
-    assert got[1].score == pytest.approx(one(1) + 3 * half, abs=1e-9)
-    # an unseen word, then y as after any word, then two seen bigrams and one seen trigram
-    assert got[2].score == pytest.approx(one(0) + one(1) + 2 * half, abs=1e-9)
+    assert got[1].score == pytest.approx(sum(map(math.log10, (one(1), two, *three))), abs=1e-9)
+    # an unseen word, then y as after any word, then a seen bigram and a seen trigram
+    assert got[2].score == pytest.approx(sum(map(math.log10, (one(0), one(1), two, three[1]))), abs=1e-9)
 
 
 # 5: main text
