@@ -4,7 +4,11 @@ A document is the set of its distinct 5-word shingles. One hash per shingle is
 dealt to one of 128 buckets; a bucket keeps its smallest value in compressed
 form, the count of leading zeros and the mantissa bits that follow. Four
 neighbouring registers form a band. At a similarity of 0.75 two documents miss
-each other in all 32 bands with a probability of 0.684**32, about 5e-6.
+each other in all 32 bands with a probability of 0.684**32, about 5e-6. Short
+sets use few registers, so sets of ``SHORT`` shingles and less are met without
+them: the least n - ceil(0.75 n) + 1 hashes of a set are buckets too, one of
+which any two such sets at 0.75 share, and their pairs go to the full sets
+unestimated.
 
 The work, all on Spark tables:
 
@@ -15,9 +19,10 @@ The work, all on Spark tables:
    and confirm the rest on the full sets; join the links to components;
 3. what still shares a bucket in different components is compared in tiles:
    estimates from the registers, then the full sets, all inside the task. Only
-   links that join two components leave a tile. A group of copies, however
-   large, so costs a pair per member and leader, and no pair of different
-   components in a bucket goes unseen.
+   links that join two components leave a tile. Members of a group's most common
+   component never meet each other: they are sent once for each part of the
+   others. A group of copies, however large, so costs a pair per member and
+   leader, and no pair of different components in a bucket goes unseen.
 
 Defined cases: null or word-less texts have an empty set and are linked with
 nothing. A row without ``doc_id`` is linked with nothing, its component is null
@@ -41,9 +46,11 @@ BUCKETS, ROWS, MANTISSA = 128, 4, 26
 BANDS = BUCKETS // ROWS
 VALUE_BITS = 64 - 7
 EMPTY = np.uint32(0xFFFFFFFF)
-#: A pair is dropped unread only when its estimate lies this far under the
-#: threshold: four standard deviations of an estimate from 128 registers.
-MARGIN = 0.155
+#: A pair is dropped unread only when its estimate lies this many standard
+#: deviations of an estimate from the registers in use under the threshold.
+DEVIATIONS = 4
+#: Sets up to this size meet by their least hashes, also with larger ones.
+SHORT = 32
 TILE_ROWS, TILE_SHINGLES = 1024, 500_000
 LEADER_ROUNDS = 1
 WORDS = 5
@@ -92,11 +99,28 @@ def chance(n, m):
 
 
 def estimate(a, b, n, m):
-    """Similarity from two register matrices, chance collisions taken off."""
+    """Similarity from two register matrices, chance collisions taken off, and registers in use."""
     used = (a != EMPTY) | (b != EMPTY)
-    share = ((a == b) & used).sum(axis=-1) / np.maximum(used.sum(axis=-1), 1)
+    in_use = np.maximum(used.sum(axis=-1), 1)
+    share = ((a == b) & used).sum(axis=-1) / in_use
     off = chance(n, m)
-    return np.clip((share - off) / (1 - off), 0, 1)
+    return np.clip((share - off) / (1 - off), 0, 1), in_use
+
+
+def may_link(a, b, n, m, percent):
+    """Pairs whose full sets are compared: short ones, and those not estimated far too low."""
+    similar, in_use = estimate(a, b, n, m)
+    least = percent / 100
+    low = similar < least - DEVIATIONS * np.sqrt(least * (1 - least) / in_use)
+    return ~low | (np.minimum(n, m) <= SHORT)
+
+
+def least_hashes(hashes, percent):
+    """The hashes of a short set of which a linked set has one among its own; none of a long set."""
+    n = len(hashes)
+    if n * percent > SHORT * 100:
+        return hashes[:0]
+    return hashes[: n - -(-n * percent // 100) + 1]
 
 
 def _binary(rows, width):
@@ -114,7 +138,7 @@ def _set_key(hashes):
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketch_batches(batches, size):
+def _sketch_batches(batches, size, percent):
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -122,21 +146,23 @@ def _sketch_batches(batches, size):
         key = np.zeros(batch.num_rows, dtype=np.int64)
         low = np.zeros((batch.num_rows, BUCKETS), dtype=np.uint64)
         full = np.zeros((batch.num_rows, BUCKETS), dtype=bool)
+        short = [b""] * batch.num_rows
         for block in words.blocks(batch.column(1), words.SPACE):
             for i, hashes in enumerate(words.shingle_sets(block, size), block.first_row):
                 if len(hashes):
                     n[i], key[i] = len(hashes), _set_key(hashes)
                     low[i], full[i] = registers(hashes)
+                    short[i] = least_hashes(hashes, percent).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(key), _binary(compress(low, full), 4 * BUCKETS)],
-            names=["doc_id", "n", "c", "sketch"],
+            [batch.column(0), pa.array(n), pa.array(key), _binary(compress(low, full), 4 * BUCKETS), pa.array(short, pa.binary())],
+            names=["doc_id", "n", "c", "sketch", "short"],
         )
 
 
-def sketch(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, n, c, sketch): set size, key of the set, registers."""
+def sketch(docs: DataFrame, size: int = WORDS, percent: int = 75) -> DataFrame:
+    """(doc_id, n, c, sketch, short): set size, key of the set, registers, least hashes of a short set."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: _sketch_batches(batches, size), "doc_id long, n long, c long, sketch binary"
+        lambda batches: _sketch_batches(batches, size, percent), "doc_id long, n long, c long, sketch binary, short binary"
     )
 
 
@@ -144,17 +170,21 @@ def _band_batches(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
+        classes = np.asarray(batch.column(0))
         keys, used = band_keys(_matrix(batch.column(1), np.uint32, BUCKETS))
-        c = np.repeat(np.asarray(batch.column(0)), used.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[used]), pa.array(c)], names=["k", "c"])
+        least = [np.frombuffer(v, np.uint64) for v in batch.column(2).to_pylist()]
+        c = np.concatenate([np.repeat(classes, used.sum(axis=1)), np.repeat(classes, [len(v) for v in least])])
+        # not the value that a band of the same number would have
+        short = words.mix(np.concatenate(least) ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[used], short])), pa.array(c)], names=["k", "c"])
 
 
-def _estimate_batches(batches, least):
+def _estimate_batches(batches, percent):
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b = (_matrix(batch.column(i), np.uint32, BUCKETS) for i in (4, 5))
-        keep = estimate(a, b, np.asarray(batch.column(2)), np.asarray(batch.column(3))) >= least
+        keep = may_link(a, b, np.asarray(batch.column(2)), np.asarray(batch.column(3)), percent)
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
@@ -190,7 +220,7 @@ def _read_rows(table):
     return np.asarray(table["c"]), np.asarray(table["label"]), _matrix(table["sketch"], np.uint32, BUCKETS), sets
 
 
-def _tile_links(table, least, percent):
+def _tile_links(table, percent):
     """Confirmed links that join different components within one tile.
 
     Rows of the tile's most common component are compared with the others only.
@@ -224,7 +254,7 @@ def _tile_links(table, least, percent):
                 at = pool & (other_label != label[i])
                 at &= 100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))
                 at = np.flatnonzero(at)
-                at = at[estimate(registers_[i], other_registers[at], len(mine), sizes[at]) >= least]
+                at = at[may_link(registers_[i], other_registers[at], len(mine), sizes[at], percent)]
                 if not len(at):
                     continue
                 low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
@@ -243,19 +273,18 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, percent: int = 75, size: int = WORDS):
         self.docs, self.percent, self.size = docs, percent, size
-        self.least = percent / 100 - MARGIN
         self.tmp = Scratch(docs.sparkSession, "near-dedup")
-        self.base = self.tmp.write(sketch(docs, size), "sketches")
+        self.base = self.tmp.write(sketch(docs, size, percent), "sketches")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept), one row per input row."""
         tmp = self.tmp
         linked = self.base.filter("n > 0 and doc_id is not null")
         self.classes = tmp.write(
-            linked.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+            linked.groupBy("c").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("n", "sketch", "short")]),
             "classes",
         )
-        bands = tmp.write(self.classes.select("c", "sketch").mapInArrow(_band_batches, "k long, c long"), "bands")
+        bands = tmp.write(self.classes.select("c", "sketch", "short").mapInArrow(_band_batches, "k long, c long"), "bands")
         held = bands.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1")
         self.members = tmp.write(bands.join(held, "k"), "members")
         tmp.drop("bands")
@@ -292,31 +321,55 @@ class NearDuplicates:
         """Links between components that still share a bucket, confirmed in tiles.
 
         Buckets with the same leader hold nearly the same classes and form one
-        group, so a class goes to few groups. A group is cut into parts of
-        bounded rows and shingles; tile (i, j) compares parts i and j.
+        group, so a class goes to few groups. A group's most common component
+        and the rest are cut into parts of bounded rows and shingles each; a
+        tile compares two parts of the rest, or a part of the rest with one of
+        the common component.
         """
         tmp = self.tmp
         rows = tmp.write(self._labelled().select("k", "c", "label"), "open")
-        leader = rows.groupBy("k").agg(F.min_by("c", F.xxhash64("c")).alias("group"))
+        leader = tmp.write(rows.groupBy("k").agg(F.min_by("c", F.xxhash64("c")).alias("group")), "groups")
         rows = rows.join(leader, "k").select("group", "c", "label").distinct()
-        rows = rows.join(self.classes.select("c", "n", "sketch"), "c")
+        rows = tmp.write(rows.join(self.classes.select("c", "n"), "c"), "rows")
         sets = tmp.write(self._sets(rows.select("c")), "open-sets").dropDuplicates(["c"])
-        sized = rows.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-        parts = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES))
-        rows = (
-            rows.join(sized.select("group", parts.alias("parts")), "group")
-            .join(sets, "c")
-            .withColumn("part", F.pmod(F.xxhash64("c", F.lit(1)), F.col("parts")))
-            .select("group", "part", "parts", "c", "label", "sketch", "hashes")
+        by_label = rows.groupBy("group", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+        most = F.max(F.struct("rows", "label", "shingles"))
+        parts = lambda rows, shingles: F.greatest(F.ceil(rows / TILE_ROWS), F.ceil(shingles / TILE_SHINGLES))
+        # a written table, so that the join may split the rows of a large group
+        sized = tmp.write(
+            by_label.groupBy("group")
+            .agg(most.alias("most"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+            .select(
+                "group",
+                F.col("most.label").alias("common"),
+                parts(F.col("most.rows"), F.col("most.shingles")).alias("common_parts"),
+                parts(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles")).alias("other_parts"),
+            ),
+            "sized",
+        )
+        common = F.col("label") == F.col("common")
+        part = F.pmod(F.xxhash64("c", F.lit(1)), F.when(common, F.col("common_parts")).otherwise(F.col("other_parts")))
+        # (of the rest, of the other side, whether that is the common component, this row's side)
+        tile = lambda x, y, c, side: F.struct(
+            x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(c).alias("common_side"), F.lit(side).alias("side")
         )
-        kept = ["c", "label", "sketch", "hashes"]
-        left = rows.select("group", "part", F.explode(F.expr("sequence(part, parts - 1)")).alias("other"), F.lit(0).alias("side"), *kept)
-        right = rows.select("group", F.explode(F.expr("sequence(0L, part)")).alias("part"), F.col("part").alias("other"), F.lit(1).alias("side"), *kept)
-        least, percent = self.least, self.percent
+        every = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+        of_common = every(F.col("other_parts"), lambda x: tile(x, F.col("part"), True, 1))
+        upwards = F.transform(F.sequence("part", F.col("other_parts") - 1), lambda y: tile(F.col("part"), y, False, 0))
+        downwards = F.transform(F.sequence(F.lit(0).cast("long"), "part"), lambda x: tile(x, F.col("part"), False, 1))
+        against = every(F.col("common_parts"), lambda y: tile(F.col("part"), y, True, 0))
+        dealt = (
+            rows.join(sized.filter("other_parts > 0"), "group")
+            .withColumn("part", part)
+            .select("group", "c", "label", F.explode(F.when(common, of_common).otherwise(F.concat(upwards, downwards, against))).alias("t"))
+            .select("group", "t.*", "c", "label")
+        )
+        percent = self.percent
         return (
-            left.unionByName(right)
-            .groupBy("group", "part", "other")
-            .applyInArrow(lambda table: _tile_links(table, least, percent), "a long, b long")
+            dealt.join(self.classes.select("c", "sketch"), "c")
+            .join(sets, "c")
+            .groupBy("group", "x", "y", "common_side")
+            .applyInArrow(lambda table: _tile_links(table, percent), "a long, b long")
         )
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
@@ -341,12 +394,12 @@ class NearDuplicates:
         sized = tmp.write(sized, f"{name}-pairs")
         self.tested = sized.select("a", "b") if self.tested is None else self.tested.union(sized.select("a", "b"))
         sketches = self.classes.select("c", "sketch")
-        least, percent = self.least, self.percent
+        percent = self.percent
         near = tmp.write(
             sized.join(sketches.toDF("a", "sa"), "a")
             .join(sketches.toDF("b", "sb"), "b")
             .select("a", "b", "na", "nb", "sa", "sb")
-            .mapInArrow(lambda batches: _estimate_batches(batches, least), "a long, b long"),
+            .mapInArrow(lambda batches: _estimate_batches(batches, percent), "a long, b long"),
             f"{name}-near",
         )
         wanted = near.select(F.col("a").alias("c")).union(near.select(F.col("b").alias("c")))

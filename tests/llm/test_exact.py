@@ -161,7 +161,7 @@ def test_estimate_is_close_and_corrected():
         sets = r.integers(0, 2**64, both + 2 * each, dtype=np.uint64)
         a, b = np.sort(sets[: both + each]), np.sort(np.concatenate([sets[:both], sets[both + each :]]))
         x, y = (near_dedup.compress(*near_dedup.registers(s))[None] for s in (a, b))
-        got = near_dedup.estimate(x, y, len(a), len(b))[0]
+        got = near_dedup.estimate(x, y, len(a), len(b))[0][0]
         assert abs(got - both / (both + 2 * each)) < 0.15
     assert 0 < near_dedup.chance(100, 100) < 1e-8
 
