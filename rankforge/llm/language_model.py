@@ -25,7 +25,7 @@ the documents come in the same order when read again, as a scan of files does;
 otherwise they are written first.
 
 Words are told apart by 64-bit hashes, n-grams by 36 bits of their history's
-hash beside those that name its part, and 28 bits of the word's.
+hash beside those that name its part, and 22 bits of the word's.
 
 Defined cases: a null text is empty and has one token, its end; a row without
 ``doc_id`` belongs to training; repeated rows count each; an empty training set
@@ -46,14 +46,15 @@ from rankforge.llm.store import Scratch
 
 DISCOUNT = 0.5
 #: Text bytes per part and per block, and tokens of a stretch.
-PART = 1 << 22
+PART = 1 << 24
 BLOCK = 1 << 23
-STRETCH = 512
+STRETCH = 128
 #: Hash of the end token; no word hash is reserved, so this is one more word.
 END = np.uint64(0xE17A1465B3C5D927)
 
-_WORD_BITS, _MORE_BITS = 20, 8
-_ASKS = "n int, part int, src long, keys binary, more binary, counts binary, size int"
+_HISTORY_BITS, _WORD_BITS = 36, 22
+_ASKS = "n int, part int, src long, keys binary, counts binary, size int"
+_WORDS = "part int, keys binary, size int, tokens long"
 _ANSWERS = "n int, part int, src long, counts binary, totals binary, kinds binary"
 _U = np.uint64
 
@@ -111,20 +112,21 @@ class _Grams:
         whole = word if n == 1 else _pair(history, word)
         _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
         deal = word[first] if n == 1 else history[first]
-        part = (words.mix(deal ^ _U(0xA0761D6478BD642F)) % _U(parts)).astype(np.int64)
-        if n == 1:
-            key, more = word[first], np.zeros(len(first), np.uint64)
-        else:
-            short = words.mix(word[first])
-            key = (deal >> _U(64 - 36) << _U(_WORD_BITS)) | short >> _U(64 - _WORD_BITS)
-            more = short & _U((1 << _MORE_BITS) - 1)
-        order = np.lexsort((more, key, part))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.key, self.more, self.part = key[order], more[order], part[order]
-        self.at, self.of, self.places = places[first[order]], rank[inverse], places
-        met, starts = np.unique(self.part, return_index=True)
-        self.slices = [(int(p), lo, hi) for p, lo, hi in zip(met, starts, [*starts[1:], len(order)])]
+        part = words.mix(deal ^ _U(0xA0761D6478BD642F)) % _U(parts)
+        # radix sort where the number of parts allows it
+        part = part.astype(np.uint16 if parts < 1 << 16 else np.int64)
+        key = deal
+        if n > 1:
+            short = words.mix(word[first]) >> _U(64 - _WORD_BITS)
+            key = (deal >> _U(64 - _HISTORY_BITS) << _U(_WORD_BITS)) | short
+        order = np.argsort(key, kind="stable")
+        order = order[np.argsort(part[order], kind="stable")]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.key, self.at = key[order], places[first[order]].astype(np.int32)
+        self.of, self.places = rank[inverse], places.astype(np.int32)
+        met, starts = np.unique(part[order], return_index=True)
+        self.slices = [(int(p), int(lo), int(hi)) for p, lo, hi in zip(met, starts, [*starts[1:], len(order)])]
 
 
 def _histories(key):
@@ -132,13 +134,13 @@ def _histories(key):
     return np.cumsum(np.diff(key >> _U(_WORD_BITS), prepend=key[:1] >> _U(_WORD_BITS)) != 0)
 
 
-def _block_grams(hashes, first, parts, orders=(1, 2, 3)):
+def _block_grams(hashes, first, parts):
     """The n-grams inside the texts of a block, one order at a time."""
     inside = np.ones(max(len(hashes) - 1, 0), dtype=bool)
     inside[first[1:-1] - 1] = False
     two = np.flatnonzero(inside)
     three = np.flatnonzero(inside[:-1] & inside[1:])
-    for n in orders:
+    for n in (1, 2, 3):
         if n == 1:
             yield n, _Grams(n, None, hashes, np.arange(len(hashes)), parts)
         elif n == 2:
@@ -147,7 +149,7 @@ def _block_grams(hashes, first, parts, orders=(1, 2, 3)):
             yield n, _Grams(n, _pair(hashes[three], hashes[three + 1]), hashes[three + 2], three, parts)
 
 
-def _ask_batches(batches, parts, orders):
+def _ask_batches(batches, parts):
     """The distinct n-grams of each block with its training counts."""
     src = TaskContext.get().partitionId() << 33
     for batch in batches:
@@ -155,16 +157,12 @@ def _ask_batches(batches, parts, orders):
         for row, end, data, bounds in _blocks(batch.column(1)):
             hashes, first = _tokens(data, bounds)
             train = np.repeat(trains[row:end], np.diff(first))
-            for n, g in _block_grams(hashes, first, parts, orders):
+            for n, g in _block_grams(hashes, first, parts):
                 counts = np.bincount(g.of, train[g.places], len(g.at)).astype(np.uint64)
                 rows = [
-                    (
-                        n, p, src, _packed(np.diff(g.key[lo:hi], prepend=_U(0))),
-                        pa.compress(g.more[lo:hi].astype(np.uint8).tobytes(), "zstd", asbytes=True),
-                        _packed(counts[lo:hi]), int(hi - lo),
-                    )
+                    (n, p, src, _packed(np.diff(g.key[lo:hi], prepend=_U(0))), _packed(counts[lo:hi]), hi - lo)
                     for p, lo, hi in g.slices
-                ]
+                ]
                 yield from _table(rows, _ASKS).to_batches()
             src += 1
 
@@ -172,31 +170,50 @@ def _ask_batches(batches, parts, orders):
 def _read_asks(table):
     sizes = table["size"].to_pylist()
     keys = [np.cumsum(_unpacked(k, s)) for k, s in zip(table["keys"].to_pylist(), sizes)]
-    more = [np.frombuffer(pa.decompress(m, s, "zstd", asbytes=True), np.uint8) for m, s in zip(table["more"].to_pylist(), sizes)]
     counts = [_unpacked(c, s).astype(np.int64) for c, s in zip(table["counts"].to_pylist(), sizes)]
-    return sizes, keys, more, counts
+    return sizes, np.concatenate(keys), np.concatenate(counts)
 
 
-def _merged(keys, more, counts):
+def _merged(keys, counts):
     """(place of each ask's key among the distinct ones, distinct keys, their counts)."""
-    keys, more, counts = np.concatenate(keys), np.concatenate(more), np.concatenate(counts)
     order = np.argsort(keys, kind="stable")
-    k, m = keys[order], more[order]
-    if np.any((k[1:] == k[:-1]) & (m[1:] != m[:-1])):
-        order = np.lexsort((more, keys))
-        k, m = keys[order], more[order]
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
-    place = np.empty(len(k), np.int64)
+    sorted_ = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    place = np.empty(len(keys), np.int64)
     place[order] = np.cumsum(new) - 1
-    return place, k[new], np.add.reduceat(counts[order], np.flatnonzero(new))
+    return place, sorted_[new], np.add.reduceat(counts[order], np.flatnonzero(new))
+
+
+def _word_batches(batches, parts):
+    """The distinct words of a task's training texts, and its tokens as the counts of part 0."""
+    seen, total = [np.array([], np.uint64)], 0
+    for batch in batches:
+        for _, _, data, bounds in _blocks(batch.column(0)):
+            hashes, _ = _tokens(data, bounds)
+            total += len(hashes)
+            seen.append(np.unique(hashes))
+            if sum(map(len, seen)) > 4 * BLOCK // 8:
+                yield from _word_rows(np.unique(np.concatenate(seen)), total, parts)
+                seen, total = seen[:1], 0
+    yield from _word_rows(np.unique(np.concatenate(seen)), total, parts)
+
+
+def _word_rows(hashes, total, parts):
+    part = (words.mix(hashes ^ _U(0xA0761D6478BD642F)) % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    starts = np.searchsorted(part[order], np.arange(parts + 1))
+    for p, lo, hi in zip(range(parts), starts[:-1].tolist(), starts[1:].tolist()):
+        if hi > lo or (p == 0 and total):
+            keys = _packed(np.diff(hashes[order[lo:hi]], prepend=_U(0)))
+            yield from _table([(p, keys, hi - lo, total if p == 0 else 0)], _WORDS).to_batches()
 
 
 def _answer_part(table):
     """Counts of each ask's n-grams, and total and number of successors of their histories."""
     n, part = table["n"][0].as_py(), table["part"][0].as_py()
-    sizes, keys, more, counts = _read_asks(table)
-    place, distinct, total = _merged(keys, more, counts)
+    sizes, keys, counts = _read_asks(table)
+    place, distinct, total = _merged(keys, counts)
     if n > 1:
         run = _histories(distinct)
         sums = np.bincount(run, total).astype(np.int64)
@@ -215,17 +232,18 @@ def _answer_part(table):
 
 
 def _totals_part(table):
-    """Tokens and distinct words of one part."""
-    _, _, total = _merged(*_read_asks(table)[1:])
-    return pa.table({"tokens": pa.array([int(total.sum())]), "kinds": pa.array([int((total > 0).sum())])})
+    """Distinct words of one part."""
+    keys = [np.cumsum(_unpacked(k, s)) for k, s in zip(table["keys"].to_pylist(), table["size"].to_pylist())]
+    return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())]), "kinds": pa.array([len(np.unique(np.concatenate(keys)))])})
 
 
 class Automaton:
     """Backoff automaton of a block's n-grams.
 
     State 0 is the empty history, state 1 + i the i-th word, the rest the
-    bigrams. ``arc_key`` is state * words + word, sorted; ``fail`` and ``back``
-    are each state's failure arc and its weight. Histories without successors
+    bigrams. A state's arcs lie together, sorted by word, from ``start`` on;
+    ``arc_key`` is state * words + word. ``fail`` and ``back`` are each state's
+    failure arc and its weight. Histories without successors
     are no states: arcs that would lead there lead to the longest known suffix.
     """
 
@@ -258,32 +276,44 @@ class Automaton:
         key = state * self.n_words + np.concatenate([w[seen2], y[seen3]])
         order = np.argsort(key, kind="stable")
         self.arc_key = key[order]
+        self.start = np.searchsorted(self.arc_key, np.arange(len(self.fail) + 1) * self.n_words)
         self.arc_weight = np.log10(np.concatenate([p2[seen2], p3[seen3]]))[order]
         self.arc_to = np.concatenate([of_pair[seen2], of_pair[x[seen3]]])[order]
         self.root_weight, self.root_to = np.log10(uni), of_word
 
+    def _arc(self, state, word):
+        """Place of the arc of each (state, word), -1 where there is none."""
+        at, end = self.start[state], self.start[state + 1]
+        key = state * self.n_words + word
+        place = np.full(len(state), -1)
+        some = np.flatnonzero(at < end)
+        hit = self.arc_key[at[some]] == key[some]
+        place[some[hit]] = at[some[hit]]
+        # most states have one arc; the others are searched
+        more = some[~hit]
+        more = more[end[more] - at[more] > 1]
+        found = np.minimum(np.searchsorted(self.arc_key, key[more]), len(self.arc_key) - 1)
+        hit = self.arc_key[found] == key[more] if len(more) else np.zeros(0, bool)
+        place[more[hit]] = found[hit]
+        return place
+
     def step(self, state, word):
         """(weights, next states) after reading one word from each state."""
         weight, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
-        open_ = np.arange(len(state))
+        open_, now = np.arange(len(state)), state
         while len(open_):
-            s, w = state[open_], word[open_]
-            if len(self.arc_key):
-                key = s * self.n_words + w
-                at = np.minimum(np.searchsorted(self.arc_key, key), len(self.arc_key) - 1)
-                found = (self.arc_key[at] == key) & (s > 0)
-                weight[open_[found]] += self.arc_weight[at[found]]
-                to[open_[found]] = self.arc_to[at[found]]
-            else:
-                found = np.zeros(len(s), bool)
-            root = ~found & (s == 0)
+            w = word[open_]
+            arc = self._arc(now, w)
+            found = arc >= 0
+            weight[open_[found]] += self.arc_weight[arc[found]]
+            to[open_[found]] = self.arc_to[arc[found]]
+            root = ~found & (now == 0)
             weight[open_[root]] += self.root_weight[w[root]]
             to[open_[root]] = self.root_to[w[root]]
-            failing = ~found & (s > 0)
-            open_ = open_[failing]
-            weight[open_] += self.back[state[open_]]
-            state = state.copy()
-            state[open_] = self.fail[state[open_]]
+            failing = ~found & (now > 0)
+            open_, now = open_[failing], now[failing]
+            weight[open_] += self.back[now]
+            now = self.fail[now]
         return weight, to
 
     def read(self, word, first, stretch=STRETCH):
@@ -330,31 +360,30 @@ def _read_tokens(text, bounds, n_rows):
     return _tokens(np.frombuffer(data, np.uint8), bounds)
 
 
-def _gathered(answers, grams):
-    """{n: (count, total of the history, its successors)} by n-gram of the block."""
-    rows = {(n, p): i for i, (n, p) in enumerate(zip(answers["n"].to_pylist(), answers["part"].to_pylist()))}
-    columns = [answers[c] for c in ("counts", "totals", "kinds")]
-    out = {}
-    for n, g in grams.items():
-        made = np.zeros((3, len(g.at)), np.int64)
-        for p, lo, hi in g.slices:
-            counts, totals, kinds = (c[rows[n, p]].as_py() for c in columns)
-            made[0, lo:hi] = _unpacked(counts, hi - lo)
-            if n > 1:
-                run = _histories(g.key[lo:hi])
-                made[1, lo:hi] = _unpacked(totals, int(run[-1]) + 1)[run]
-                made[2, lo:hi] = _unpacked(kinds, int(run[-1]) + 1)[run]
-        out[n] = made
-    return out
+def _gathered(n, gram, answers, rows):
+    """(count, total of the history, its successors) of each n-gram of the block."""
+    made = np.zeros((3, len(gram.at)), np.int64)
+    for p, lo, hi in gram.slices:
+        counts, totals, kinds = (answers[c][rows[n, p]].as_py() for c in ("counts", "totals", "kinds"))
+        made[0, lo:hi] = _unpacked(counts, hi - lo)
+        if n > 1:
+            run = _histories(gram.key[lo:hi])
+            made[1, lo:hi] = _unpacked(totals, int(run[-1]) + 1)[run]
+            made[2, lo:hi] = _unpacked(kinds, int(run[-1]) + 1)[run]
+    return made
 
 
 def _score_block(answers, block, parts, denominator):
     rows = block["rows"].combine_chunks().flatten()
     hashes, first = _read_tokens(block["text"][0].as_py(), block["bounds"][0].as_py(), len(rows))
-    grams = dict(_block_grams(hashes, first, parts))
-    found = _gathered(answers, grams)
-    automaton = Automaton(grams, found, hashes, denominator)
+    at = {(n, p): i for i, (n, p) in enumerate(zip(answers["n"].to_pylist(), answers["part"].to_pylist()))}
+    grams, found = {}, {}
+    for n, gram in _block_grams(hashes, first, parts):
+        grams[n], found[n] = gram, _gathered(n, gram, answers, at)
+        gram.key = None
     word, known = grams[1].of, found[1][0] > 0
+    automaton = Automaton(grams, found, hashes, denominator)
+    del grams, found
     score, _ = automaton.read(word, first)
     return pa.table(
         {
@@ -379,15 +408,14 @@ def score(docs: DataFrame, train, keep: list, again: bool = False) -> DataFrame:
     size = packed.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     parts = 1 + size // PART
 
-    # every step reads the same columns, so that blocks begin at the same rows
-    def asked(df, orders):
-        return df.mapInArrow(lambda b: _ask_batches(b, parts, orders), _ASKS).groupBy("n", "part")
-
-    sums = asked(packed.where("train"), (1,)).applyInArrow(_totals_part, "tokens long, kinds long")
+    found = packed.where("train").select("text").mapInArrow(lambda b: _word_batches(b, parts), _WORDS)
+    sums = found.groupBy("part").applyInArrow(_totals_part, "tokens long, kinds long")
     sums = sums.agg(F.sum("tokens").alias("t"), F.sum("kinds").alias("k")).first()
     total, kinds = sums["t"] or 0, sums["k"] or 0
     denominator = total + 0.5 * (kinds + 1)
-    answers = asked(packed, (1, 2, 3)).applyInArrow(_answer_part, _ANSWERS)
+    # asks and texts read the same columns, so that blocks begin at the same rows
+    asks = packed.mapInArrow(lambda b: _ask_batches(b, parts), _ASKS)
+    answers = asks.groupBy("n", "part").applyInArrow(_answer_part, _ANSWERS)
     row = packed.schema["row"]
     more = T._parse_datatype_string("text binary, bounds binary").fields
     schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("rows", T.ArrayType(row.dataType)), *more])

@@ -22,8 +22,10 @@ are treated alike.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -38,6 +40,7 @@ from rankforge.llm.store import Scratch
 KINDS = ["email", "ip", "card", "phone", "secret"]
 SAMPLE_DOCS = 20_000
 SAMPLE_ROWS = 200_000
+EXAMPLES = 4_000
 THRESHOLD = 0.95
 FIELDS = (
     "n_email long, n_ip long, n_card long, n_phone long, base string,"
@@ -59,9 +62,12 @@ _SECRET = re.compile(
 # numbers written the usual way: they stand out where the base patterns run two into one
 _USUAL_PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])")
 _USUAL_CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
+# a phone number has 15 digits at most, so six groups are enough
 _GROUPED = re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,6}){1,5}(?![0-9])")
 _CODE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{16,}+")
-_SPELLED = re.compile(r"\b[A-Za-z0-9._-]{2,40} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,40} ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,10}\b")
+_SPELLED = re.compile(
+    r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,}+ ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,}+"
+)
 _WORDS_BEFORE = re.compile(r"(?i)(mail|tel|phone|call|fax|card|visa|account|ip|host|server|address|token|password|secret|key)")
 
 
@@ -134,27 +140,82 @@ def _entropy(value):
     return -sum(k / n * math.log2(k / n) for k in (value.count(c) for c in set(value)))
 
 
+#: Lengths and counts above this are alike to the trees, so a span of any length keeps its kind.
+ALIKE = 48
+
+
 def features(text, kind, start, end):
-    value = text[start : min(end, start + 256)]
+    """Format and context of a whole span."""
+    value = text[start:end]
     before, after = text[max(0, start - 24) : start], text[end : end + 8]
     n = end - start
     digits = sum("0" <= c <= "9" for c in value)
     letters = sum(c.isalpha() for c in value)
+    upper = sum(c.isupper() for c in value)
     groups = re.findall("[0-9]+", value)
     words_before = _WORDS_BEFORE.findall(before)
+    alike = lambda k: float(min(k, ALIKE))
     return [
-        KINDS.index(kind), n, digits, letters, digits / n, letters / n,
-        sum(c in "@" for c in value), sum(c == "." for c in value), sum(c in " -" for c in value),
-        sum(c in "()" for c in value), float(value[0] == "+"), len(groups),
-        max((len(g) for g in groups), default=0), min((len(g) for g in groups), default=0),
-        max((int(g[:6]) for g in groups), default=0), float(13 <= digits <= 19 and luhn(_digits(value, 0, len(value)))),
-        _entropy(value), sum(c.isupper() for c in value), len(words_before),
+        KINDS.index(kind), alike(n), alike(digits), alike(letters), digits / n, letters / n,
+        alike(value.count("@")), alike(value.count(".")), alike(value.count(" ") + value.count("-")),
+        alike(value.count("(") + value.count(")")), float(value[0] == "+"), alike(len(groups)),
+        alike(max((len(g) for g in groups), default=0)), alike(min((len(g) for g in groups), default=0)),
+        max((int(g[:6]) for g in groups), default=0), float(13 <= digits <= 19 and luhn(_digits(value, 0, n))),
+        min(_entropy(value), 4.5), upper / n, len(words_before),
         float(bool(words_before)) and float(before.rstrip().lower().endswith(words_before[-1].lower())),
         float(before.rstrip(" \"'")[-1:] in ("=", ":") and before != ""), float(before[-1:].isalnum()),
         float(after[:1].isalnum()), float(after[:1] in ".,;" and after != ""), float(before[-1:] in "\"'" and before != ""),
     ]
 
 
+def examples(n: int, seed: int = 7):
+    """(text, weak label of its secret or number) of made-up lines, so that a small table fits as a large one does.
+
+    Keyed secrets of 12 to 2,000 characters against keyed words, numbers with
+    and without a check digit.
+    """
+    rng = random.Random(seed)
+    pick = lambda chars, k: "".join(rng.choices(chars, k=k))
+    low, high, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for i in range(n):
+        lead = " ".join(pick(low, rng.randint(1, 9)) for _ in range(rng.randint(0, 4))).capitalize()
+        name = rng.choice(["token", "password", "key", "api_key", "secret", "auth", "pwd", "Key", "TOKEN", "passwd"])
+        sign = rng.choice([": ", "=", " = ", ":"])
+        end = rng.choice([" " + pick(low, 5), ".", "", ", " + pick(low, 4)])
+        if i % 4 == 0:
+            size = int(math.exp(rng.uniform(math.log(12), math.log(2000))))
+            chars = rng.choice([low + high + digits, "abcdef" + digits, low + digits, low + high + digits + "+/_-"])
+            # one letter and one digit at any place make it a mixture
+            value = pick(chars, size - 2)
+            for one in pick(low, 1), pick(digits, 1):
+                at = rng.randint(0, len(value))
+                value = value[:at] + one + value[at:]
+            yield f"{lead} {name}{sign}{value}{end}", 1
+        elif i % 4 == 1:
+            value = pick(low, rng.randint(6, 18))
+            yield f"{lead} {name}{sign}{rng.choice([value, value.capitalize(), value + '-' + pick(low, 4)])}{end}", 0
+        elif i % 4 == 2:
+            body = pick(digits, 15)
+            check = next(d for d in digits if luhn(body + d))
+            number = body + (check if i % 8 == 2 else rng.choice([d for d in digits if d != check]))
+            grouped = " ".join(number[j : j + 4] for j in range(0, 16, 4))
+            yield f"{lead} {rng.choice([number, grouped, grouped.replace(' ', '-')])}{end}", int(i % 8 == 2)
+        else:
+            parts = f"+{rng.randint(1, 99)}", pick(digits, 3), pick(digits, 3), pick(digits, 4)
+            yield f"{lead} {rng.choice(['call', 'tel', 'phone', ''])} {rng.choice([' ', '-', '.']).join(parts)}{end}", 1
+
+
+def _example_rows(n: int):
+    x, y = [], []
+    for text, label in examples(n):
+        for kind, s, e, _ in candidates(text, base_matches(text)):
+            if kind in ("secret", "card", "phone") and e - s >= 6:
+                # of overlapping proposals only the whole value has the line's label
+                x.append(features(text, kind, s, e))
+                y.append(float(label and (kind != "card" or luhn(_digits(text, s, e)))))
+    return np.array(x).reshape(len(y), len(features("x", KINDS[0], 0, 1))), np.array(y)
+
+
 def _sample_batches(batches):
     for batch in batches:
         rows, labels, keys = [], [], []
@@ -173,25 +234,29 @@ def _sample_batches(batches):
         )
 
 
+def _at_most(rows: DataFrame, key: str, share: float) -> DataFrame:
+    """The rows whose hash falls into the first ``share`` of all hashes."""
+    place = F.shiftrightunsigned(F.xxhash64(key), 1)
+    return rows if share >= 1 else rows.filter(place < F.lit(int(share * (1 << 63))))
+
+
 def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(x, y, h): distinct labelled candidates of the sampled documents, about ``sample_rows`` by their hash at most."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    text = F.col("text").cast("string")
-    some = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    some = _at_most(docs.select(F.col("text").cast("string").alias("text")), "text", sample_docs / max(1, docs.count()))
     found = some.mapInArrow(_sample_batches, "x array<double>, y long, h long").dropDuplicates(["h"])
     found = Scratch(docs.sparkSession, "pii").write(found, "candidates")
-    share = min(1.0, sample_rows / max(1, found.count()))
-    return found.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-
-
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS):
-    """Trees and calibration from the weakly labelled candidates of a bounded sample; None without both classes."""
-    rows = sample(docs, sample_docs, sample_rows).select("x", "y").toPandas()
-    if not len(rows):
-        return None
-    rows["key"] = [tuple(v) for v in rows["x"]]
-    rows = rows.sort_values(["key", "y"], kind="stable")
-    x, y = np.array(rows["key"].tolist()), rows["y"].to_numpy(dtype=float)
+    return _at_most(found, "h", sample_rows / max(1, found.count()))
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS, made: int = EXAMPLES):
+    """Trees and calibration from the weakly labelled candidates of a bounded sample and of ``made`` example lines."""
+    rows = sample(docs, sample_docs, sample_rows).select("x", "y").toArrow()
+    y = rows["y"].to_numpy().astype(float)
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    more_x, more_y = _example_rows(made)
+    x, y = np.concatenate([x.reshape(len(y), more_x.shape[1]), more_x]), np.concatenate([y, more_y])
+    order = np.lexsort((y, *x.T[::-1]))
+    x, y = x[order], y[order]
     held = np.arange(len(y)) % 4 == 3
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 1:
         return None
@@ -209,13 +274,20 @@ def probability(model, x):
 def _select(base, proposed, p, threshold):
     """Valid base spans, and proposals from the most probable that overlap nothing chosen."""
     chosen = [(kind, s, e) for kind, s, e, ok in base if ok]
-    taken = sorted((s, e) for _, s, e in chosen)
+    # spans that do not overlap, sorted: base spans of different kinds may, and count as one here
+    taken = []
+    for s, e in sorted((s, e) for _, s, e in chosen):
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
     for q, (kind, s, e, _) in sorted(zip(p, proposed), key=lambda v: (-v[0], v[1][1], v[1][2])):
         if q < threshold:
             break
-        if not any(s < b and a < e for a, b in taken):
+        at = bisect.bisect_left(taken, (e,))
+        if not at or taken[at - 1][1] <= s:
             chosen.append((kind, s, e))
-            taken.append((s, e))
+            taken.insert(at, (s, e))
     return sorted(chosen, key=lambda v: (KINDS.index(v[0]), v[1]))
 
 

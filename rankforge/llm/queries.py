@@ -182,7 +182,7 @@ def op6_sentencepiece(spark, sf_dir, model_path=MODEL_PATH):
     made = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path)
     return made.select("row.doc_id", F.posexplode("samples").alias("at", "s")).select(
         "doc_id", (F.col("at") + 1).alias("sample"), F.size("s.ids").cast("long").alias("n_ids"),
-        F.xxhash64("s.ids").alias("ids_hash"), "s.log_prob", "s.perturbed", "s.inclusion", "s.round_trip",
+        F.xxhash64("s.ids").alias("ids_hash"), "s.ids", "s.log_prob", "s.perturbed", "s.inclusion", "s.round_trip",
     )
 
 

@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,38 @@ def test_equal_candidates_count_once_in_training(spark):
     assert len({r.h for r in every}) == len(every) < 500
     few = pii.sample(docs, sample_rows=100).collect()
     assert 50 < len(few) < 150 and {r.h for r in few} <= {r.h for r in every}
+
+
+@pytest.fixture(scope="module")
+def model(spark, sf):
+    return pii.train(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def _accepted(model, text):
+    base = pii.base_matches(text)
+    more = [c for c in pii.candidates(text, base) if c[:3] not in {b[:3] for b in base if b[3]}]
+    p = pii.probability(model, np.array([pii.features(text, *c[:3]) for c in more])) if more else []
+    return [text[s:e] for _, s, e in pii._select(base, more, p, pii.THRESHOLD)]
+
+
+def test_secrets_of_any_length_on_the_smallest_table(model):
+    """The model of the given table, not of rows made for the test: whole secrets of 20 to 2,000 characters."""
+    r = random.Random(99)
+    found = total = 0
+    for size in (20, 32, 40, 64, 128, 256, 400, 800, 2000):
+        for chars in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+            for i in range(10):
+                value = "".join(r.choices(chars, k=size))
+                total += 1
+                found += _accepted(model, f"note {i} token={value} end") == [value]
+    assert found >= 0.95 * total
+
+
+@pytest.mark.parametrize("text", ["the key: something else", "token: password", "monkey key=values here", "auth: required now", "the key = documentation"])
+def test_words_after_a_key_word_stay(model, text):
+    assert _accepted(model, text) == []
+
+
+def test_numbers_with_a_check_digit_are_taken(model):
+    for text in ("pay 4111 1111 1111 1111 now", "card 5500005555555559 ok", "visa 4012-8888-8888-1881."):
+        assert _accepted(model, text) == [re.search("[0-9][0-9 -]+[0-9]", text).group()]
