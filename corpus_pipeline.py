@@ -50,7 +50,7 @@ def sample_pieces(spark, docs, sf_dir):
     return made.select(
         "row.*",
         F.size("samples").alias("n_samples"),
-        F.col("samples")[0]["ids"].alias("ids"),
+        F.transform("samples", lambda s: s["ids"]).alias("ids"),
         F.transform("samples", lambda s: s["log_prob"]).alias("log_probs"),
         F.transform("samples", lambda s: s["inclusion"]).alias("inclusions"),
     )
