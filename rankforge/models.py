@@ -40,3 +40,21 @@ def overlap_scorer(query: Column, text: Column) -> Column:
     words = F.array_distinct(tokenize_words(query))
     shared = F.size(F.array_intersect(words, tokenize_words(text)))
     return F.coalesce(F.try_divide(shared, F.size(words)), F.lit(0.0))
+
+
+def word_overlap(fails=lambda query, text: False):
+    """A pair model for tests and queries: share of the query's distinct words in the text.
+
+    Raises for pairs that ``fails`` picks.
+    """
+
+    def make():
+        def score(queries, texts):
+            if any(map(fails, queries, texts)):
+                raise ValueError("pair refused")
+            sets = [(set(q.split()), set(t.split())) for q, t in zip(queries, texts)]
+            return [len(q & t) / len(q) if q else 0.0 for q, t in sets]
+
+        return score
+
+    return make

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 # Hits scored and hits kept.
@@ -38,6 +39,48 @@ def no_rerank(hits: DataFrame, k: int = TOP_K) -> DataFrame:
     return hits.where(F.col("rank") <= k)
 
 
+def scored_pairs(pairs: DataFrame, make_model: Callable[[], Callable[[list[str], list[str]], list[float]]], batch: int = 32) -> DataFrame:
+    """``(qid, doc_id, score, error)`` of ``(qid, doc_id, query, text)`` pairs by a model made once per task.
+
+    Pairs of a block go to the model in batches of like length, longest last,
+    so little is padded. A batch that fails is tried pair by pair; a pair that
+    fails is a row with its error and no score.
+    """
+    kinds = [pairs.schema[c] for c in ("qid", "doc_id")]
+    schema = T.StructType([*kinds, T.StructField("score", T.DoubleType()), T.StructField("error", T.StringType())])
+
+    def one(model, query, text):
+        try:
+            return float(model([query], [text])[0]), None
+        except Exception as error:  # whatever a model raises is a row, not the job's end
+            return None, f"{type(error).__name__}: {error}"
+
+    def run(blocks):
+        model = make_model()
+        for block in blocks:
+            block = block.iloc[block["text"].str.len().fillna(0).argsort(kind="stable")]
+            scored = []
+            for lo in range(0, len(block), batch):
+                queries, texts = (block[c].iloc[lo : lo + batch].fillna("").tolist() for c in ("query", "text"))
+                try:
+                    scored += [(float(v), None) for v in model(queries, texts)]
+                except Exception:
+                    scored += [one(model, q, t) for q, t in zip(queries, texts)]
+            out = block[["qid", "doc_id"]].assign(score=[v for v, _ in scored], error=[e for _, e in scored])
+            yield out.astype({"score": "float64"})
+
+    return pairs.select("qid", "doc_id", "query", "text").mapInPandas(run, schema)
+
+
+def rerank_or_keep(hits: DataFrame, scores: DataFrame, k: int = TOP_K, keys=("qid",)) -> DataFrame:
+    """Best ``k`` by new score; a question with a failed pair keeps its old order."""
+    joined = hits.select(*keys, "doc_id", F.col("rank").alias("old_rank")).join(scores, ["qid", "doc_id"], "left")
+    failed = F.max(F.col("score").isNull().cast("int")).over(W.partitionBy(*keys)) > 0
+    joined = joined.withColumn("kept", failed).withColumn("value", F.when(~F.col("kept"), F.round("score", 9)))
+    w = W.partitionBy(*keys).orderBy(F.col("value").desc_nulls_last(), "old_rank")
+    return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def _cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))

@@ -205,3 +205,21 @@ def work_order(jobs: DataFrame, *prefix: str) -> DataFrame:
     """
     parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return jobs.repartitionByRange(parts, *prefix, *[c for c in jobs.columns if c not in prefix]).sortWithinPartitions(*prefix)
+
+
+def placed(ordered: DataFrame) -> DataFrame:
+    """Adds each row's place in a range-partitioned, sorted table; only counts per part meet."""
+    part = F.spark_partition_id()
+    rows = materialize(ordered.withColumn("part", part).withColumn("nth", F.monotonically_increasing_id()))
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("least"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("part", (before - F.col("least") + 1).alias("offset"))
+    return rows.join(F.broadcast(offsets), "part").select(*ordered.columns, (F.col("nth") + F.col("offset")).alias("place"))
+
+
+def subset(scores: DataFrame, **chosen: list[str] | None) -> DataFrame:
+    """Rows of the chosen ``cands``, ``judges`` or ``metrics``; None keeps all."""
+    for name, values in chosen.items():
+        if values is not None:
+            scores = scores.where(F.col(name.removesuffix("s")).isin(*values))
+    return scores

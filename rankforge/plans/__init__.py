@@ -6,6 +6,7 @@ from rankforge.plans import (  # noqa: F401
     dense_search,
     diagnosing,
     experiments,
+    files,
     incremental,
     judging,
     lexical_search,

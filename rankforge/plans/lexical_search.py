@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rankforge.functions import text as X
-from rankforge.models import hash_embedder
+from rankforge.models import hash_embedder, word_overlap
 from rankforge.operators import fusion, rerank, sparse
 from rankforge.plans.common import bm25_sql, documents, hash_dense_sql, questions, tokens_sql
 from rankforge.plans.registry import query
@@ -231,3 +231,34 @@ def mmr_top5(spark, sf_dir):
     asked = text_vectors(passages(spark, sf_dir)).withColumnRenamed("text_id", "qid")
     hits = fusion.dense.dense_topk(asked, vectors, rerank.TOP_N)
     return rerank.mmr(hits, vectors).select("qid", F.col("rank").cast(BIG).alias("rank"), "doc_id")
+
+
+FALLBACK_SQL = f"""{PASSAGES_SQL}, {hash_dense_sql()},
+cand AS (SELECT text_id AS qid, doc_id, rank FROM hranked WHERE rank <= 20),
+pq AS (SELECT item_id AS qid, list_distinct({tokens_sql('text')}) AS qw FROM benchmark),
+pd AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS dw FROM documents),
+ps AS (SELECT qid, doc_id, rank, round(len(list_intersect(qw, dw))::DOUBLE / nullif(len(qw), 0), 9) AS s,
+    max((len(dw) % 50 = 7)::INT) OVER (PARTITION BY qid) AS failed FROM cand JOIN pq USING (qid) JOIN pd USING (doc_id)),
+rr AS (SELECT qid, doc_id, failed = 1 AS kept,
+    row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN failed = 0 THEN s END DESC NULLS LAST, rank) AS rank FROM ps)"""
+
+
+def _refused(query, text):
+    return len(set(text.split())) % 50 == 7
+
+
+@query("rerank_with_failures", f"WITH {FALLBACK_SQL} SELECT qid, doc_id, kept, rank FROM rr WHERE rank <= 5")
+def rerank_with_failures(spark, sf_dir):
+    """A pair model that refuses some texts: their questions keep the first order."""
+    texts, docs = passages(spark, sf_dir), documents(spark, sf_dir, "doc_id", "text")
+    asked = text_vectors(texts).withColumnRenamed("text_id", "qid")
+    hits = materialize(fusion.dense.dense_topk(asked, corpus_vectors(spark, sf_dir), rerank.TOP_N))
+    worded = lambda c: F.array_join(X.tokenize_words(F.col(c)), " ")
+    pairs = (
+        hits.select("qid", "doc_id")
+        .join(texts.select(F.col("text_id").alias("qid"), worded("text").alias("query")), "qid")
+        .join(docs.select("doc_id", worded("text").alias("text")), "doc_id")
+    )
+    scores = rerank.scored_pairs(pairs, word_overlap(_refused)).drop("error")
+    found = rerank.rerank_or_keep(hits, scores)
+    return found.select("qid", "doc_id", "kept", F.col("rank").cast(BIG).alias("rank"))

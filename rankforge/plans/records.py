@@ -346,17 +346,6 @@ def source_jsonl_tolerant(spark, sf_dir):
     return read.select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
-@query("source_json_directory", "SELECT role AS system, conv_id, turn FROM conversations WHERE role <> 'system'")
-def source_json_directory(spark, sf_dir):
-    """One folder of result files per system, keyed by name; system prompts stand for skipped files."""
-    path = scratch_path(spark, "results")
-    rows = table(spark, sf_dir, "conversations")
-    rows.select("role", "conv_id", "turn").write.partitionBy("role").json(path)
-    read = spark.read.schema("conv_id bigint, turn bigint, role string").json(path)
-    key = F.regexp_extract(F.col("_metadata.file_path"), r"role=([^/]+)/", 1)
-    return read.select(key.alias("system"), "conv_id", "turn").where("system <> 'system'")
-
-
 @query("source_json_array", "SELECT doc_id, quality FROM labels")
 def source_json_array(spark, sf_dir):
     """Labels as JSON array files and back."""

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
-from py4j.protocol import Py4JJavaError
 
 from rankforge.functions.text import strip
 
+# errors that say there is no readable table: no path, no files, no footer
+NO_TABLE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER"}
+
 # File names that are never results, and the score cache format.
 SKIPPED_FILES = r"dryrun|damaged|before_rebuild|\.bak|_retry|registry"
 SCORE_FILE = r"^(.*)_(q\d+)_([a-z]+)\.txt$"
@@ -43,8 +46,11 @@ def json_directory(spark: SparkSession, path: str, schema: str, prefixes=None) -
 
     With ``prefixes`` only files whose name begins with one of them count.
     """
-    found = with_file_key(json_array(spark, path, schema))
-    return found if prefixes is None else found.where(F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith("key", p)))
+    rows = json_array(spark, path, schema)
+    if prefixes is not None:
+        # a condition on the file name alone: Spark leaves such files out when it plans the scan
+        rows = rows.where(F.col("_metadata.file_name").rlike("^(" + "|".join(map(re.escape, prefixes)) + ")"))
+    return with_file_key(rows)
 
 
 def score_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -60,9 +66,17 @@ def parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """A table, or ``None`` with a warning when it is missing or its footer is unreadable."""
     try:
         return spark.read.parquet(path)
-    except (AnalysisException, Py4JJavaError, PySparkException) as error:
-        warnings.warn(f"no table at {path}: {type(error).__name__}", stacklevel=2)
-        return None
+    except PySparkException as error:
+        why = (error.getCondition() or "").split(".")[0]
+        if why not in NO_TABLE:
+            raise
+    except Py4JJavaError as error:
+        # the footer is read by a job, whose failure names the cause
+        why = "CANNOT_READ_FILE_FOOTER"
+        if why not in str(error):
+            raise
+    warnings.warn(f"no table at {path}: {why}", stacklevel=2)
+    return None
 
 
 def settings(spark: SparkSession, path: str) -> DataFrame:

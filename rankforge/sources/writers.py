@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankforge.operators.votes import placed
+from rankforge.session import materialize
+
 
 def replace_table(df: DataFrame, path: str) -> str:
     """Write a new version beside the old ones; readers follow the newest marker.
@@ -50,11 +54,72 @@ def write_requests(df: DataFrame, line: str, path: str, shard_rows: int = 5000)
     df.select(line).write.mode("overwrite").option("maxRecordsPerFile", shard_rows).text(path)
 
 
-def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A short report table; asks for one row more to refuse a long one."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a report table has at most {limit} rows")
-    show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(head + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows]) + "\n"
+def write_named(df: DataFrame, path: str) -> None:
+    """One text file per ``name`` from its ``value``; a name may hold folders.
+
+    Tasks write hidden part files; the driver gives them their names once all
+    are there, so an aborted job leaves no named file.
+    """
+    hidden = f"{path}/_parts-{uuid.uuid4().hex}"
+    df.select("name", "value").repartition("name").write.partitionBy("name").text(hidden)
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(hidden).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in files.listStatus(at(hidden)):
+        if folder.isDirectory():
+            name = unquote(folder.getPath().getName().removeprefix("name="))
+            part = next(f.getPath() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            target = at(f"{path}/{name}")
+            files.mkdirs(target.getParent())
+            files.rename(part, target)
+    files.delete(at(hidden), True)
+
+
+def write_shards(df: DataFrame, line: str, path: str, *order: str, size: int = 5000) -> None:
+    """Lines in the given order as numbered shards of ``size`` lines, and a manifest.
+
+    Shards are filled across tasks, so only the last may be short. They get
+    their names after all are written, the manifest after them: without it
+    there is no request, whatever an aborted job has left.
+    """
+    by = [F.col(c) for c in order]
+    rows = placed(df.repartitionByRange(*by).sortWithinPartitions(*by).select(F.col(line).alias("value")))
+    shard = F.floor((F.col("place") - 1) / size)
+    rows = materialize(rows.select(F.format_string("shard-%05d.jsonl", shard).alias("name"), "value"))
+    write_named(rows, path)
+    # rows of a shard that are in any order have the same sum
+    listed = rows.groupBy("name").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.crc32(F.encode("value", "UTF-8"))).alias("check"))
+    write_named(listed.select(F.lit("manifest.json").alias("name"), F.to_json(F.struct("name", "lines", "check")).alias("value")), path)
+
+
+def read_shards(spark, path: str) -> DataFrame:
+    """``(name, value)`` lines of the shards that the manifest lists; raises where one is not whole."""
+    listed = spark.read.schema("name string, lines bigint, check bigint").json(f"{path}/manifest.json")
+    lines = spark.read.option("pathGlobFilter", "shard-*.jsonl").text(path).select(F.col("_metadata.file_name").alias("name"), "value")
+    found = lines.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.crc32(F.encode("value", "UTF-8"))).alias("sum"))
+    bad = listed.join(found, "name", "left").where(~F.coalesce((F.col("n") == F.col("lines")) & (F.col("sum") == F.col("check")), F.lit(False)))
+    broken = [r["name"] for r in bad.select("name").limit(5).collect()]
+    if broken:
+        raise ValueError(f"shards that are not whole: {broken}")
+    return lines.join(F.broadcast(listed.select("name")), "name", "left_semi")
+
+
+def markdown_lines(df: DataFrame, *order: str) -> DataFrame:
+    """``(line, text)`` of a report table in the given order, of any length."""
+    kinds = dict(df.dtypes)
+    shown = [
+        F.coalesce(F.format_string("%.4f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
+        for c in df.columns
+    ]
+    bar = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+    head = [bar([F.lit(c) for c in df.columns]), bar([F.lit("---")] * len(df.columns))]
+    top = df.sparkSession.range(1).select(F.posexplode(F.array(*head)).alias("line", "text"))
+    first = top.select((F.col("line") + 1).cast("bigint").alias("line"), "text")
+    rows = placed(df.repartitionByRange(*order).sortWithinPartitions(*order).select(bar(shown).alias("text")))
+    return first.unionByName(rows.select((F.col("place") + 2).alias("line"), "text"))
+
+
+def markdown_table(df: DataFrame, *order: str) -> str:
+    """The report table as one text, read line by line."""
+    lines = markdown_lines(df, *(order or df.columns)).orderBy("line").select("text")
+    return "".join(row["text"] + "\n" for row in lines.toLocalIterator())

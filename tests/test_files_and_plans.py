@@ -74,8 +74,28 @@ def test_request_shards_and_markdown(spark, tmp_path):
     writers.write_requests(spark.range(25).select(F.col("id").cast("string").alias("v")).coalesce(1), "v", path, shard_rows=10)
     assert len(list((tmp_path / "req").glob("*.txt"))) == 3
     assert "| a |" in writers.markdown_table(spark.range(2).withColumnRenamed("id", "a"))
-    with pytest.raises(ValueError):
-        writers.markdown_table(spark.range(9), limit=3)
+    long = writers.markdown_table(spark.range(900).selectExpr("id", "cast(id as double) / 3 as x"), "id").splitlines()
+    assert len(long) == 902 and long[2] == "| 0 | 0.0000 |" and long[901] == "| 899 | 299.6667 |"
+
+
+def test_left_out_files_are_never_opened(spark, tmp_path):
+    """Names outside the prefixes and non-results are dropped when the scan is planned."""
+    for name in ("run_a.json", "run_b_retry.json", "other.json", "run_registry.json"):
+        (tmp_path / name).write_text('[{"a": 1}]')
+    found = readers.json_directory(spark, str(tmp_path), "a int", prefixes=["run_"])
+    assert [r.key for r in found.collect()] == ["run_a"]
+    scan = found._jdf.queryExecution().executedPlan()
+    while scan.children().size():
+        scan = scan.children().head()
+    assert scan.metrics().apply("numFiles").value() == 1
+
+
+def test_named_files(spark, tmp_path):
+    rows = [("x/a b.txt", "1"), ("x/a b.txt", "2"), ("c=d.txt", "é")]
+    writers.write_named(spark.createDataFrame(rows, "name string, value string"), str(tmp_path / "out"))
+    assert sorted((tmp_path / "out" / "x" / "a b.txt").read_text().split()) == ["1", "2"]
+    assert (tmp_path / "out" / "c=d.txt").read_text() == "é\n"
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name[0] != ".") == ["c=d.txt", "x"]
 
 
 def test_stream_takes_up_where_it_stopped(spark, sf, tmp_path):
@@ -112,3 +132,25 @@ def test_scan_reads_only_what_is_used(spark, sf):
     )
     plan = plan_of(entry.queries()["ox_votes"](spark, sf))
     assert "text" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_request_shards_need_their_manifest(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = spark.range(25).select("id", F.concat(F.lit("line "), F.col("id").cast("string")).alias("v")).repartition(5)
+    writers.write_shards(rows, "v", path, "id", size=10)
+    got = writers.read_shards(spark, path).groupBy("name").count().collect()
+    assert {tuple(r) for r in got} == {("shard-00000.jsonl", 10), ("shard-00001.jsonl", 10), ("shard-00002.jsonl", 5)}
+    (tmp_path / "shards" / "shard-00009.jsonl").write_text("not listed\n")
+    assert writers.read_shards(spark, path).count() == 25
+    (tmp_path / "shards" / "shard-00001.jsonl").write_text("cut\n")
+    (tmp_path / "shards" / ".shard-00001.jsonl.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="shard-00001"):
+        writers.read_shards(spark, path)
+
+
+def test_aborted_shards_leave_nothing_visible(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    bad = spark.range(40).select("id", F.when(F.col("id") == 33, F.raise_error(F.lit("lost"))).otherwise("x").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_shards(bad, "v", path, "id", size=10)
+    assert not [p for p in tmp_path.rglob("*") if not any(part.startswith("_") for part in p.parts) and p.is_file()]
