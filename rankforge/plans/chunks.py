@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rankforge.functions import text as X
 from rankforge.models import hash_embedder
 from rankforge.operators import chunking as C
+from rankforge.operators.tokens import token_window_chunks
 from rankforge.plans.common import documents, tokens_sql
 from rankforge.plans.registry import query
 from rankforge.session import spread, table
@@ -169,6 +170,17 @@ def recursive_sql(size, overlap):
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path, i) - 1 AS chunk_index, {OUT_SQL} FROM chunks WHERE length(text) >= 30"""
 
 
+#: Where the public rank table lies on the driver.
+RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("chunk_bpe_window")
+def chunk_bpe_window(spark, sf_dir, path=RANKS_PATH):
+    """Windows of 256 merged tokens, 50 shared with the one before."""
+    found = token_window_chunks(documents(spark, sf_dir, "doc_id", "text"), path)
+    return out(found.withColumnRenamed("chunk", "text"))
+
+
 # Sizes and overlaps of the splitters.
 SIZES = [(300, 50), (500, 100), (800, 150), (1000, 200), (1500, 200)]
 for size, overlap in SIZES:

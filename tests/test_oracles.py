@@ -13,7 +13,7 @@ from rankforge.plans import ORACLE, QUERIES
 from check_oracles import TABLES, compare
 from tests.conftest import plan_of
 
-ROWS_ONLY = {"chunk_recursive_300_50"}
+ROWS_ONLY = {"chunk_bpe_window"}
 
 
 @pytest.fixture(scope="module")
