@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rankforge.functions import text as X
 from rankforge.models import hash_embedder
 from rankforge.operators import chunking as C
+from rankforge.operators.table_functions import pack_sentences, register_chunker
 from rankforge.operators.tokens import token_window_chunks
 from rankforge.plans.common import documents, tokens_sql
 from rankforge.plans.registry import query
@@ -170,6 +171,33 @@ def recursive_sql(size, overlap):
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path, i) - 1 AS chunk_index, {OUT_SQL} FROM chunks WHERE length(text) >= 30"""
 
 
+def _refusing(text):
+    """Sentence packing that refuses some pages."""
+    if len(text) % 13 == 5:
+        raise ValueError("page refused")
+    return pack_sentences(500)(text)
+
+
+@query(
+    "chunk_table_function",
+    f"""WITH RECURSIVE parts AS (SELECT doc_id, {SENTENCES} AS p FROM documents WHERE length(text) % 13 <> 5),
+    {FOLD_SQL.format(size=500, glue="' '", restart="p[i + 1]")},
+    chunks AS (SELECT doc_id, i, {STRIP.format('emitted')} AS text FROM fold WHERE emitted <> ''
+      UNION ALL SELECT doc_id, 0, {STRIP.format('text')} FROM documents WHERE length(text) % 13 = 5)
+    SELECT d.source || '-' || (doc_id // 50) AS file, doc_id AS page,
+      row_number() OVER (PARTITION BY d.source, doc_id // 50 ORDER BY doc_id, i) - 1 AS chunk_index, length(c.text) AS n_chars, md5(c.text) AS digest
+    FROM chunks c JOIN documents d USING (doc_id) WHERE length(c.text) >= 30""",
+)
+def chunk_table_function(spark, sf_dir):
+    """Pages of files cut by a table function in SQL; pages whose splitter fails stay whole."""
+    register_chunker(spark, "chunk", _refusing)
+    documents(spark, sf_dir, "doc_id", "source", "text").select(
+        F.concat_ws("-", "source", F.floor(F.col("doc_id") / 50).cast("string")).alias("file"), F.col("doc_id").alias("page"), "text"
+    ).createOrReplaceTempView("pages_of_files")
+    found = spark.sql("SELECT * FROM chunk(TABLE(pages_of_files) PARTITION BY file ORDER BY page)")
+    return found.select("file", "page", "chunk_index", F.length("chunk").cast("bigint").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
 #: Where the public rank table lies on the driver.
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 

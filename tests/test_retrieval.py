@@ -243,3 +243,26 @@ def test_exact_percentile(spark):
     got = {r.g: r.percentile for r in exact_percentile(df, "v", ["g"], 0.95).collect()}
     for g in "abc":
         assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g], 0.95), abs=1e-12)
+
+
+def test_pruned_search_equals_all_pairs_with_ties(spark):
+    """Clustered vectors, many equal ones and zero vectors: the same rows, with tile pairs left out."""
+    from rankforge.operators import dense, pivots
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(24, 16))
+    rows = [(i, (centers[i % 24] + rng.normal(size=16) * 0.02).round(3).tolist()) for i in range(1_500)]
+    rows += [(2_000 + i, rows[i % 7][1]) for i in range(60)] + [(3_000 + i, [0.0] * 16) for i in range(3)]
+    corpus = spark.createDataFrame(rows, "doc_id long, vector array<double>").repartition(3)
+    queries = corpus.withColumnRenamed("doc_id", "qid")
+    met = []
+    schema = dense._schema(queries, corpus)
+    found = dense.top_k(pivots.pruned_topk(queries, corpus, 6, True, schema, 64, 40, met), 6, ("system", "qid"), "doc_id")
+    plain = dense.dense_topk(queries, corpus, 6, exclude_self=True)
+    as_rows = lambda df: sorted(tuple(r) for r in df.select("qid", "doc_id", "score", "rank").collect())
+    assert as_rows(found) == as_rows(plain)
+    pairs, every = met[0]
+    assert pairs < every / 3
+    # the way that a large query side takes
+    large = dense.dense_topk(queries, corpus, 6, exclude_self=True, tile_rows=64, resident_cells=10)
+    assert as_rows(large) == as_rows(plain)
