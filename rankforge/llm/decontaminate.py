@@ -6,9 +6,10 @@ of fewer words, but not none, is one window. Every document is read once, its
 windows are hashed by array operations, looked up in the broadcast set, and
 each hit is compared word by word before it counts.
 
-The set is broadcast in parts of at most ``PART_WORDS`` benchmark words, each
-part one narrow pass over the documents, so no broadcast exceeds that size
-however large the benchmark is; an item longer than a part is cut with an
+The set is broadcast in parts of at most ``PART_WORDS`` benchmark words. Each
+part is one narrow pass over the documents; the findings of a pass are written
+before the next part is built, so the driver and each task hold one part at a
+time however large the benchmark is. An item longer than a part is cut with an
 overlap of a window less one word.
 
 Defined cases: null texts and texts without words have no hits; an item without
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from rankforge.llm import words
 from rankforge.llm.rows import with_report
+from rankforge.llm.store import Scratch
 
 WINDOW = 13
 PART_WORDS = 1_000_000
@@ -115,15 +117,17 @@ def _lists(values, kind):
     return pa.array(values, type=pa.list_(kind))
 
 
-def _report(texts, sets):
+def _report(texts, windows, before=None):
+    """Findings of one part of the windows, added to those ``before`` (items, hits)."""
     n_words, n_hit, items, hits = [], [], [], []
     for block in words.blocks(texts, words.NOT_ALNUM):
-        hit, owners = np.zeros(len(block.starts), dtype=bool), [set() for _ in range(len(block))]
-        for s in sets:
-            more, whose = s.scan(block)
-            hit |= more
-            for have, add in zip(owners, whose):
-                have |= add
+        hit, owners = windows.scan(block) if windows else (np.zeros(len(block.starts), dtype=bool), [set() for _ in range(len(block))])
+        for i in range(len(block)) if before else ():
+            owners[i] |= set(before[0][block.first_row + i].as_py())
+            lo, hi = block.first[i], block.first[i + 1]
+            for h in before[1][block.first_row + i].as_py():
+                a, b = h["start"] + block.bounds[i], h["end"] + block.bounds[i]
+                hit[lo + np.searchsorted(block.starts[lo:hi], a) : lo + np.searchsorted(block.ends[lo:hi], b, side="right")] = True
         for i in range(len(block)):
             lo, hi = block.first[i], block.first[i + 1]
             inside = hit[lo:hi]
@@ -145,9 +149,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words
 
     ``hits`` are UTF-8 byte ranges of the text, ``items`` the ids found.
     """
-    context = docs.sparkSession.sparkContext
-    sets = [context.broadcast(vars(s)) for s in _parts(benchmark, window, part_words)]
-    return with_report(docs, "text", lambda texts: _report(texts, [WindowSet.of(s.value) for s in sets]), FIELDS)
+    context, tmp = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "decontaminate")
+    found = sent = None
+    for number, part in enumerate(_parts(benchmark, window, part_words)):
+        if found is not None:
+            found = tmp.write(found, f"part-{number}")
+            sent.unpersist()
+            tmp.drop(f"part-{number - 1}")
+        sent = context.broadcast(vars(part))
+        found = _first(docs, sent) if found is None else _next(found, sent)
+    return found if found is not None else with_report(docs, "text", lambda texts: _report(texts, None), FIELDS)
+
+
+def _first(docs, sent):
+    return with_report(docs, "text", lambda texts: _report(texts, WindowSet.of(sent.value)), FIELDS)
+
+
+def _next(found: DataFrame, sent) -> DataFrame:
+    """The findings so far with those of one more part."""
+    names = found.columns
+
+    def run(batches):
+        windows = WindowSet.of(sent.value)
+        for batch in batches:
+            if batch.num_rows:
+                more = _report(batch.column(1), windows, (batch.column(2), batch.column(3)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=names)
+
+    return found.select("row", F.col("row.text").cast("string").alias("text"), "items", "hits").mapInArrow(run, found.schema)
 
 
 def contaminated(found: DataFrame):

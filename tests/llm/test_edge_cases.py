@@ -115,6 +115,16 @@ def test_decontaminate(docs, nothing, benchmark):
     assert decontaminate.scan(nothing, benchmark).count() == 0
 
 
+def test_decontaminate_in_parts(spark, docs, sf):
+    """Small parts of the benchmark, one pass each: the same findings."""
+    some = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = lambda df: sorted((str(r.row.doc_id), r.n_words, r.n_hit, r["items"], r.hits) for r in df.collect())
+    whole = rows(decontaminate.scan(some, bench))
+    assert sum(r[2] > 0 for r in whole) >= 3
+    assert rows(decontaminate.scan(some, bench, part_words=300)) == whole
+
+
 def test_quality(docs, nothing):
     got = {r.row.doc_id: r for r in quality.classify(docs).collect()}
     assert len(got) == len(ROWS) - 1
