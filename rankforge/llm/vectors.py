@@ -10,8 +10,10 @@ rows per query and run of tiles.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do rows without id; vectors of different length
-never meet; rows that repeat a query's id are not its candidates; with fewer
-than k candidates all are returned.
+never meet; rows that repeat a query's id are not its candidates, and as queries
+each has rows of its own; with fewer than k candidates all are returned. Values
+whose squares would leave the range of doubles are scaled by a power of two, so
+distances within that range are right.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import Window as W
 from rankforge.llm.store import Scratch
 
 CANDIDATE_ROWS, QUERY_ROWS = 4096, 512
+#: Candidates that meet a query block under one join key, and query rows whose heaps a task holds.
+CHUNK_ROWS, HELD_ROWS = 1 << 18, 1 << 14
 _PACKED = "ids binary, width int, data binary"
 
 
@@ -75,6 +79,10 @@ def _exact(x, y):
 
 def _tile(heaps, q_ids, q, c_ids, c, k):
     """Merge one tile into the queries' heaps, lists of at most k (-score, -id)."""
+    most = max(float(np.abs(q).max()), float(np.abs(c).max()))
+    unit = 1.0 if 1e-100 < most < 1e100 else 2.0 ** np.frexp(most)[1]
+    if unit != 1:
+        q, c = q / unit, c / unit
     kind = np.float32 if q.shape[1] <= 1000 else np.float64  # products of codes stay exact
     q_codes, q_scale, q_error, q_near = _quantise(q)
     c_codes, c_scale, c_error, c_near = _quantise(c)
@@ -89,10 +97,10 @@ def _tile(heaps, q_ids, q, c_ids, c, k):
     lower = np.where(own, np.inf, square - slack)
     limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(q), np.inf)
     for i, heap in enumerate(heaps):
-        bound = min(limit[i], heap[0][0] ** 2 * (1 + 1e-9)) if len(heap) == k else limit[i]
+        bound = min(limit[i], (heap[0][0] / unit) ** 2 * (1 + 1e-9)) if len(heap) == k else limit[i]
         at = np.flatnonzero((lower[i] <= bound) & ~own[i])
         for score, key in zip(_exact(np.broadcast_to(q[i], (len(at), q.shape[1])), c[at]).tolist(), c_ids[at].tolist()):
-            entry = (-score, -key)
+            entry = (-score * unit, -key)
             if len(heap) < k:
                 heapq.heappush(heap, entry)
             elif entry > heap[0]:
@@ -103,24 +111,27 @@ def _join_batches(batches, dtype, k):
     def matrix(data, width):
         return np.frombuffer(data, dtype=dtype).reshape(-1, width).astype(np.float64)
 
-    def result(ids, heaps):
-        rows = [(int(i), -key, -score) for i, heap in zip(ids, heaps) for score, key in heap]
+    def result(block, ids, heaps):
+        rows = [(block * QUERY_ROWS + i, int(name), -key, -score) for i, (name, heap) in enumerate(zip(ids, heaps)) for score, key in heap]
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.float64()
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))],
-            names=["query_id", "vec_id", "score"],
+            [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=["asked", "query_id", "vec_id", "score"]
         )
 
-    now, ids, q, heaps = None, None, None, []
+    # blocks come in any order: their heaps are kept side by side, up to a bound
+    held: dict = {}
     for batch in batches:
         for row in batch.to_pylist():
-            if row["block"] != now:
-                if heaps:
-                    yield result(ids, heaps)
-                now, ids = row["block"], np.frombuffer(row["q_ids"], dtype=np.int64)
-                q, heaps = matrix(row["q_data"], row["width"]), [[] for _ in ids]
+            key = row["block"], row["width"]
+            if key not in held:
+                if sum(len(ids) for ids, _, _ in held.values()) >= HELD_ROWS:
+                    yield from (result(block, ids, heaps) for (block, _), (ids, _, heaps) in held.items())
+                    held = {}
+                ids = np.frombuffer(row["q_ids"], dtype=np.int64)
+                held[key] = ids, matrix(row["q_data"], row["width"]), [[] for _ in ids]
+            ids, q, heaps = held[key]
             _tile(heaps, ids, q, np.frombuffer(row["ids"], dtype=np.int64), matrix(row["data"], row["width"]), k)
-    if heaps:
-        yield result(ids, heaps)
+    yield from (result(block, ids, heaps) for (block, _), (ids, _, heaps) in held.items())
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -137,14 +148,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return pairs.mapInArrow(lambda batches: _pack_batches(batches, dtype, rows), _PACKED)
 
     # one row per query block: numbering them sorts rows / QUERY_ROWS small ids
-    asked = tmp.write(packed(queries, QUERY_ROWS), "queries").withColumn("mark", F.xxhash64("ids"))
-    order = asked.select("mark").distinct().withColumn("block", F.row_number().over(W.orderBy("mark")).cast("long") - 1)
+    asked = tmp.write(packed(queries, QUERY_ROWS).withColumn("mark", F.monotonically_increasing_id()), "queries")
+    order = asked.select("mark").withColumn("block", F.row_number().over(W.orderBy("mark")).cast("long") - 1)
     asked = tmp.write(asked.join(order, "mark").select("block", "width", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "asked")
     count = asked.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1
     if not count:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tiles = packed(vectors, CANDIDATE_ROWS).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>")))
-    tiles = tiles.join(asked, ["block", "width"]).select("block", "width", "ids", "data", "q_ids", "q_data")
-    found = tiles.mapInArrow(lambda batches: _join_batches(batches, dtype, k), "query_id long, vec_id long, score double")
-    first = W.partitionBy("query_id").orderBy("score", "vec_id")
+    # part of the key, so that one query block never has the whole table in one task
+    chunks = 1 + vectors.count() // CHUNK_ROWS
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    tiles = packed(vectors, CANDIDATE_ROWS).withColumn("chunk", F.pmod(F.xxhash64("ids"), F.lit(chunks))).withColumn("block", every(count))
+    tiles = tiles.join(asked.withColumn("chunk", every(chunks)), ["block", "width", "chunk"])
+    tiles = tiles.select("block", "width", "ids", "data", "q_ids", "q_data")
+    found = tiles.mapInArrow(lambda batches: _join_batches(batches, dtype, k), "asked long, query_id long, vec_id long, score double")
+    first = W.partitionBy("asked").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -143,3 +143,16 @@ def test_vectors(spark):
     assert [g[2] for g in got] == [1, 2, 0, 0] and got[0][3] == 0.0
     assert vectors.nearest(df, df.filter("vec_id = 200"), 10).count() == 0
     assert vectors.nearest(df.filter("false"), df.filter("false"), 10).count() == 0
+
+
+def test_vectors_repeated_queries_and_large_values(spark, monkeypatch):
+    """A repeated query row has rows of its own; squares that overflow leave the order right."""
+    rows = [(100, [0.0, 1.0])] * 3 + [(i, [0.0, 1.0 + i]) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for chunk in (3, 1 << 18):
+        monkeypatch.setattr(vectors, "CHUNK_ROWS", chunk)
+        got = [tuple(r) for r in vectors.nearest(df, df.filter("vec_id = 100"), 5).orderBy("rank", "vec_id").collect()]
+        assert got == [(100, r, r, float(r)) for r in range(1, 6) for _ in range(3)]
+    far = spark.createDataFrame([(0, [1e200, 0.0]), (1, [2e200, 0.0]), (2, [4e200, 0.0]), (3, [1e-200, 0.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vectors.nearest(far, far.filter("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert [g[2] for g in got] == [1, 3, 2] and [g[3] for g in got] == [1e200, 1e200, 3e200]
