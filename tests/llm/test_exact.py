@@ -352,3 +352,36 @@ def test_em_weighs_labellers_by_agreement():
     codes, counts = np.unique(quality._pattern(np.array(rows)), return_counts=True)
     model = quality.LabelModel(codes, counts)
     assert model.share == pytest.approx(0.8, abs=0.03)
+
+
+def test_label_model_against_plain_em():
+    """Pattern counts give what expectation and maximisation over single documents give."""
+    r = random.Random(12)
+    votes = [[r.choice((quality.ABSTAIN, quality.GOOD, quality.BAD)) if r.random() < 0.6 else quality.GOOD for _ in quality.LABELLERS] for _ in range(400)]
+    codes, counts = np.unique(quality._pattern(np.array(votes)), return_counts=True)
+    model = quality.LabelModel(codes, counts)
+    p = [0.1 if quality.BAD in v else 0.9 for v in votes]
+    for _ in range(100):
+        share = (sum(p) + 1) / (len(p) + 2)
+        of = []
+        for q in (p, [1 - x for x in p]):
+            of.append([[(sum(x for x, v in zip(q, votes) if v[j] == k) + 1) / (sum(q) + 3) for j in range(len(v))] for k, v in [(k, votes[0]) for k in range(3)]])
+        for j in range(len(votes[0])):
+            bad = sum(v[j] == quality.BAD for v in votes)
+            good_rate = min(of[0][quality.BAD][j], (1 - quality.TRUST) * bad / (share * len(p)) + 1e-9)
+            bad_rate = min(max((bad - good_rate * share * len(p)) / ((1 - share) * len(p)), 1e-9), 0.99)
+            for side, rate in ((0, good_rate), (1, bad_rate)):
+                rest = of[side][quality.ABSTAIN][j] + of[side][quality.GOOD][j]
+                for k in (quality.ABSTAIN, quality.GOOD):
+                    of[side][k][j] *= (1 - rate) / rest
+                of[side][quality.BAD][j] = rate
+        new = []
+        for v in votes:
+            odds = math.log(share / (1 - share)) + sum(math.log(of[0][k][j] / of[1][k][j]) for j, k in enumerate(v))
+            new.append(1 / (1 + math.exp(-max(-30, min(30, odds)))))
+        done = max(abs(a - b) for a, b in zip(new, p)) < 1e-9
+        if done:
+            break
+        p = new
+    got = model.posterior(quality._pattern(np.array(votes)))
+    assert np.allclose(got, new, atol=1e-6)

@@ -1,10 +1,14 @@
 """Pipeline stages and the whole run against their operators' rules."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankforge.llm import decontaminate, pii
+from rankforge.llm import decontaminate, pieces, pii, quality
+from rankforge.llm.queries import MODEL_PATH
+from tests.llm.test_exact import brute_components
 
 
 def test_stages_in_order():
@@ -41,3 +45,59 @@ def test_run(spark, sf):
     total = duckdb.sql(f"select count(*) from '{sf}/documents.parquet'").fetchall()[0][0]
     assert 0 < len(rows) < total and len({r.doc_id for r in rows}) == len(rows)
     assert all(r.n_samples >= 1 and len(r.ids) for r in rows)
+
+
+def test_stages_match_plain_versions(spark, sf):
+    """Every stage on what the stage before kept, against plain Python over the same rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    good = stages["quality"](spark, docs, sf)
+    scored = {r.row.doc_id: r for r in quality.classify(docs).collect()}
+    kept = rows(good)
+    assert set(kept) == {i for i, r in scored.items() if r.score is not None and r.score >= quality.CUT}
+    good = spark.createDataFrame(good.collect(), docs.schema)
+
+    # one document of each component of the links on full shingle sets
+    one = rows(stages["near_dedup"](spark, good, sf))
+    assert one == {i: kept[i] for i, (_, root) in brute_components(kept).items() if i == root}
+    left = spark.createDataFrame(good.filter(F.col("doc_id").isin(list(one))).collect(), docs.schema)
+
+    # windows of 13 words, or a whole shorter item
+    word = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: word.findall((t or "").translate(lower))
+    windows = {tuple(w[i : i + 13]) for t in bench if (w := words(t)) for i in range(max(1, len(w) - 12))}
+    clean = {}
+    for i, text in one.items():
+        w, hit = words(text), set()
+        for size in {len(x) for x in windows}:
+            for at in range(len(w) - size + 1):
+                hit |= set(range(at, at + size)) if tuple(w[at : at + size]) in windows else set()
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean[i] = text
+    assert rows(stages["decontaminate"](spark, left, sf)) == clean
+    left = spark.createDataFrame(left.filter(F.col("doc_id").isin(list(clean))).collect(), docs.schema)
+
+    # every span replaced by its kind, overlapping ones as one
+    spans = {r.row.doc_id: sorted((s.start, s.end, s.kind) for s in r.spans) for r in pii.find(left).collect()}
+    safe = {}
+    for i, text in clean.items():
+        out, at = "", 0
+        for start, end, kind in spans[i]:
+            if start >= at:
+                out += text[at:start] + f"[{kind.upper()}]"
+            at = max(at, end)
+        safe[i] = out + text[at:]
+    got = stages["pii"](spark, left, sf)
+    assert rows(got) == safe
+    got = spark.createDataFrame(got.collect(), docs.schema)
+
+    # every sampled segmentation reads back as the text, and they differ
+    made = stages["sentencepiece"](spark, got, sf)
+    flat = made.select("doc_id", F.posexplode("ids").alias("nth", "ids"))
+    for r in pieces.decode(flat, MODEL_PATH).collect():
+        assert r.decoded == safe[r.row.doc_id]
+    for r in made.collect():
+        assert len(r.ids) == r.n_samples == len({tuple(x) for x in r.ids})
