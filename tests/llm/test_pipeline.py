@@ -101,3 +101,24 @@ def test_stages_match_plain_versions(spark, sf):
         assert r.decoded == safe[r.row.doc_id]
     for r in made.collect():
         assert len(r.ids) == r.n_samples == len({tuple(x) for x in r.ids})
+
+
+def test_stages_on_nulls_and_empty_tables(spark, sf):
+    """Null texts and ids, empty and long texts, repeated rows and clashing columns pass every stage."""
+    long = " ".join(f"word{i % 977} and the other of it" for i in range(9_000))
+    rows = [(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (None, "no id here"), (None, None), (5, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.select("*", *[F.lit("x").alias(c) for c in ("row", "kept", "hits", "spans", "samples", "ids", "score", "count")])
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, sf)
+        if name != "sentencepiece":
+            assert made.columns == docs.columns, name
+            made.collect()
+        assert stage(spark, docs.filter("false"), sf).count() == 0, name
+    assert corpus_pipeline.keep_quality(spark, docs, sf).filter("text is null or text = ''").count() == 0
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, sf)
+    assert kept.filter("doc_id = 3").count() == 1 and kept.filter("doc_id is null").count() == 2
+    assert corpus_pipeline.keep_uncontaminated(spark, docs, sf).count() == len(rows)
+    assert corpus_pipeline.redact_personal_data(spark, docs, sf).filter("text is null").count() == 2
+    last = {r.doc_id: r for r in corpus_pipeline.sample_pieces(spark, docs.drop("ids"), sf).filter("doc_id is not null").collect()}
+    assert last[1].n_samples == 1 and list(last[1].ids) == [[]]
