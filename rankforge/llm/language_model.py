@@ -247,18 +247,18 @@ class Automaton:
     are no states: arcs that would lead there lead to the longest known suffix.
     """
 
-    def __init__(self, grams, answers, hashes, denominator):
+    def __init__(self, grams, answers, n_tokens, denominator):
         one, two, three = grams[1], grams[2], grams[3]
         self.n_words = len(one.at)
         word = one.of
-        uni = (answers[1][0] + 0.5) / denominator
-        (count2, total2, kinds2), (count3, total3, kinds3) = answers[2], answers[3]
+        uni = (answers.pop(1)[0] + 0.5) / denominator
+        (count2, total2, kinds2), (count3, total3, kinds3) = answers.pop(2), answers.pop(3)
         v, w = word[two.at], word[two.at + 1]
         with np.errstate(divide="ignore", invalid="ignore"):
             # backoff weights by word and by bigram, from any n-gram that starts with them
             share1, share2 = np.zeros(self.n_words), np.zeros(len(two.at))
             share1[v] = np.where(total2 > 0, DISCOUNT * kinds2 / total2, 0)
-            bigram = np.full(len(hashes), -1)
+            bigram = np.full(n_tokens, -1, np.int32)
             bigram[two.places] = two.of
             history = bigram[three.at]
             share2[history] = np.where(total3 > 0, DISCOUNT * kinds3 / total3, 0)
@@ -268,14 +268,18 @@ class Automaton:
             p3 = np.where(count3 > 0, (count3 - DISCOUNT) / total3 + share2[history] * p2[x], 0)
             self.back = np.log10(np.concatenate([[1.0], share1, share2]))
         known_word, known_pair = share1 > 0, share2 > 0
+        seen2, seen3 = count2 > 0, count3 > 0
+        # a block's tables are its task's memory: what is done with goes
+        del count2, total2, kinds2, count3, total3, kinds3, share1, share2, lower, bigram
         of_word = np.where(known_word, 1 + np.arange(self.n_words), 0)
         of_pair = np.where(known_pair, 1 + self.n_words + np.arange(len(two.at)), of_word[w])
         self.fail = np.concatenate([[0], np.zeros(self.n_words, np.int64), of_word[w]])
-        seen2, seen3 = count2 > 0, count3 > 0
-        state = np.concatenate([1 + v[seen2], 1 + self.n_words + history[seen3]])
+        state = np.concatenate([1 + v[seen2], 1 + self.n_words + history[seen3]]).astype(np.int64)
         key = state * self.n_words + np.concatenate([w[seen2], y[seen3]])
+        del state, v, y, history
         order = np.argsort(key, kind="stable")
         self.arc_key = key[order]
+        del key
         self.start = np.searchsorted(self.arc_key, np.arange(len(self.fail) + 1) * self.n_words)
         self.arc_weight = np.log10(np.concatenate([p2[seen2], p3[seen3]]))[order]
         self.arc_to = np.concatenate([of_pair[seen2], of_pair[x[seen3]]])[order]
@@ -348,7 +352,7 @@ def _text_batches(batches):
         for row, end, data, bounds in _blocks(batch.column(1)):
             rows = batch.column(0).slice(row, end - row)
             lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            text = pa.compress(data.tobytes(), "zstd", asbytes=True) if len(data) else b""
+            text = pa.Codec("zstd", compression_level=3).compress(data.tobytes(), asbytes=True) if len(data) else b""
             columns = [pa.array([src]), lists, pa.array([text], pa.binary()), pa.array([_packed(bounds)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["src", "rows", "text", "bounds"])
             src += 1
@@ -382,8 +386,9 @@ def _score_block(answers, block, parts, denominator):
         grams[n], found[n] = gram, _gathered(n, gram, answers, at)
         gram.key = None
     word, known = grams[1].of, found[1][0] > 0
-    automaton = Automaton(grams, found, hashes, denominator)
-    del grams, found
+    automaton = Automaton(grams, found, len(hashes), denominator)
+    del grams, found, hashes
+    pa.default_memory_pool().release_unused()
     score, _ = automaton.read(word, first)
     return pa.table(
         {

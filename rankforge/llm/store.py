@@ -1,7 +1,8 @@
 """Tables written to the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset,
-as in tests, one below Spark's warehouse is used and noted in the session.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
+and the master is local, as in tests, one below Spark's warehouse is used and
+noted in the session; a cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster has to name its shared folder in spark.checkpoint.dir")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base

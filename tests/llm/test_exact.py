@@ -227,7 +227,7 @@ def test_state_is_the_longest_known_history():
     for n in (2, 3):
         rows = [(follow[tuple(t[i : i + n - 1])], t[i + n - 1]) for t, i in (flat[a] for a in grams[n].at)]
         answers[n] = np.array([[c[w], sum(c.values()), len(c)] for c, w in rows]).T.reshape(3, -1)
-    automaton = language_model.Automaton(grams, answers, hashes, sum(seen.values()) + 0.5 * (len(seen) + 1))
+    automaton = language_model.Automaton(grams, answers, len(hashes), sum(seen.values()) + 0.5 * (len(seen) + 1))
     for stretch in (3, 1000):
         _, states = automaton.read(grams[1].of, first, stretch)
         for at, (t, i) in enumerate(flat):
