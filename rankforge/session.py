@@ -27,13 +27,15 @@ def build_session(app="rankforge", master=None, **conf):
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, a folder below
-    Spark's warehouse is used and noted in the session.
+    Only where ``spark.checkpoint.dir`` is unset and the master is local, as in
+    tests, a folder below Spark's warehouse is used and noted in the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster has to name its shared folder in spark.checkpoint.dir")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
