@@ -8,7 +8,9 @@ score for each query. By the triangle inequality two vectors of a query tile
 and a corpus tile are at an angle of at least that of the pivots less both
 radii; a pair of tiles whose best possible score stays below every query's
 k-th score is left out. Only the corpus tiles that are left are sent to a query
-tile, so no tile of queries gets a copy of the corpus.
+tile, so no tile of queries gets a copy of the corpus. Where so many are left
+that whole blocks of ``BLOCK_ROWS`` rows meet with fewer rows sent, blocks are
+searched instead, from the k-th scores already known.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from rankforge.operators import dense
 from rankforge.session import materialize
 
 PIVOTS = 256
+BLOCK_ROWS = 32_768
 #: Angles and scores are computed in doubles; bounds get this much more.
 SLACK = 1e-6
 
@@ -54,22 +57,32 @@ def _in_cells(df: DataFrame, key: str, pivots: np.ndarray, tile_rows: int, name:
     return materialize(rows.join(F.broadcast(parts), "cell").withColumn(name, F.col("cell").cast("long") * (1 << 31) + part).drop("parts"))
 
 
-def _search(pairs: DataFrame, q: DataFrame, c: DataFrame, k: int, exclude_self: bool, schema) -> DataFrame:
-    """The ``k`` best of each query in each pair of tiles."""
+def _search(q: DataFrame, c: DataFrame, keys: list[str], k: int, exclude_self: bool, schema) -> DataFrame:
+    """The ``k`` best of each query in each pair of tiles or blocks, from its ``least`` score on."""
 
     def tile(left, right):
         if left.empty or right.empty:
             return pd.DataFrame({"system": [], "qid": [], "doc_id": [], "score": []})
         q_ids, c_ids = left["qid"].to_numpy(), right["doc_id"].to_numpy()
-        found = dense._tile_top(q_ids, dense.unit_rows(left["vector"]), c_ids, dense.unit_rows(right["vector"]), k, exclude_self)
+        unit = dense.unit_rows(left["vector"]), dense.unit_rows(right["vector"])
+        found = dense._tile_top(q_ids, unit[0], c_ids, unit[1], k, exclude_self, left["least"].to_numpy())
         return dense._frame(q_ids, found, "all")
 
-    # both sides come from one table of pairs: fresh columns keep them apart
-    left, right = q.join(pairs, "qt"), c.join(pairs, "ct")
-    left, right = (df.toDF(*df.columns).groupBy("qt", "ct") for df in (left, right))
+    # both sides come from one table: fresh columns keep them apart
+    left, right = (df.toDF(*df.columns).groupBy(*keys) for df in (q.select(*keys, "qid", "vector", "least"), c.select(*keys, "doc_id", "vector")))
     return left.cogroup(right).applyInPandas(tile, schema)
 
 
+def _in_blocks(q: DataFrame, c: DataFrame, n_q: int, n_c: int) -> tuple[DataFrame, DataFrame]:
+    """Every block of queries beside every block of the corpus."""
+    n_q, n_c = (-(-n // BLOCK_ROWS) for n in (n_q, n_c))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return (
+        q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn("cb", every(n_c)),
+        c.withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(n_c)).cast("int")).withColumn("qb", every(n_q)),
+    )
+
+
 def pruned_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool, schema, tile_rows: int, most: int = PIVOTS, report: list | None = None) -> DataFrame:
     """``(system, qid, doc_id, score)`` candidates with each query's ``k`` nearest among them.
 
@@ -84,12 +97,12 @@ def pruned_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: boo
     tiles = lambda df, name: df.groupBy(name, "cell").agg(F.max("angle").alias("radius"))
     c_tiles = materialize(tiles(c, "ct"))
     own = tiles(q, "qt").select("qt", "cell").join(c_tiles.select("ct", "cell"), "cell").select("qt", "ct")
-    near = materialize(_search(own, q, c, k, exclude_self, schema))
+    lowest = F.lit(dense.scan.LOWEST).alias("least")
+    near = materialize(_search(q.join(own, "qt").select("*", lowest), c.join(own, "ct"), ["qt", "ct"], k, exclude_self, schema))
     last = dense.top_k(near, k, ("qid",)).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last"))
     # a query that found fewer than k has no bound yet
-    floor = q.join(last, "qid", "left").groupBy("qt", "cell").agg(
-        F.max("angle").alias("radius"), F.min(F.when(F.col("n") >= k, F.col("last")).otherwise(-2.0)).alias("floor")
-    )
+    q = materialize(q.join(last, "qid", "left").withColumn("least", F.when(F.col("n") >= k, F.col("last")).otherwise(dense.scan.LOWEST)).drop("n", "last"))
+    floor = q.groupBy("qt", "cell").agg(F.max("angle").alias("radius"), F.greatest(F.min("least"), F.lit(-2.0)).alias("floor"))
     # tiles of the corpus by pivot: as many as there are tiles, a few numbers each
     held = c_tiles.toPandas()
     apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
@@ -104,4 +117,8 @@ def pruned_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: boo
     pairs = materialize(floor.mapInPandas(partners, "qt long, ct long"))
     if report is not None:
         report.append((own.count() + pairs.count(), q.select("qt").distinct().count() * len(held)))
-    return near.unionByName(_search(pairs, q, c, k, exclude_self, schema))
+    q_met, c_met = q.join(pairs, "qt"), c.join(pairs, "ct")
+    n_q, n_c = q.count(), c.count()
+    if q_met.count() + c_met.count() > n_q * -(-n_c // BLOCK_ROWS) + n_c * -(-n_q // BLOCK_ROWS):
+        return _search(*_in_blocks(q, c, n_q, n_c), ["qb", "cb"], k, exclude_self, schema)
+    return near.unionByName(_search(q_met, c_met, ["qt", "ct"], k, exclude_self, schema))

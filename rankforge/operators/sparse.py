@@ -4,7 +4,9 @@ The corpus is tokenised once into a table of term counts per document. Texts
 are taken in blocks of bounded size; a block's weighted terms are broadcast, the
 table streams past, and a task keeps the best ``n`` documents of each text, or
 only counts the documents ahead of given ones. No table of texts times
-documents is ever formed.
+documents is ever formed. Short lists leave out blocks of documents by bounds;
+for longer ones a part's near scores are one matrix product, and what it cannot
+leave out is scored exactly. Parts are bounded in documents and in entries.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from rankforge.functions.text import tokenize_words
+from rankforge.operators import scan
+from rankforge.operators.scan import first_places as _first
 from rankforge.session import materialize
 
 # Okapi defaults.
@@ -24,10 +28,12 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-# bounds of what a task is sent or keeps: weighted terms, kept rows, score cells
+# bounds of what a task is sent or keeps: weighted terms, kept rows, weight cells, score cells, entries of a part
 BLOCK_TERMS = 300_000
-BLOCK_ROWS = 2_000_000
+BLOCK_ROWS = 4_000_000
+WEIGHT_CELLS = 16_000_000
 CELLS = 2_000_000
+ENTRIES = 400_000
 # documents of a block with score bounds of its own
 BLOCK_DOCS = 128
 
@@ -102,9 +108,20 @@ def _numbers(column):
     return column.to_numpy(zero_copy_only=False)
 
 
+def _parts(batch, lists, most):
+    """Slices of a batch with at most ``most`` rows and, but for single rows, ``ENTRIES`` entries of a list column."""
+    sizes = _numbers(pa.compute.list_value_length(batch.column(lists)).fill_null(0)).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        held = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENTRIES, "right"))
+        end = min(max(held, at + 1), at + most)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _count_batches(batches):
-    """Distinct terms and their counts per document, by codes of the batch's terms."""
-    for batch in batches:
+    """Distinct terms and their counts per document, by codes of the part's terms."""
+    for batch in (part for whole in batches for part in _parts(whole, 1, whole.num_rows)):
         ids, lists = batch.column(0), batch.column(1)
         sizes = _numbers(pa.compute.list_value_length(lists)).astype(np.int64)
         words = lists.flatten().dictionary_encode()
@@ -141,18 +158,38 @@ def _postings(part, texts, avgdl, k1, b):
     return ids, doc, term[term >= 0], gain
 
 
-def _score_cells(batch, texts, avgdl, k1, b):
-    """``(ids, scores)`` of parts of a batch; ``scores`` is documents x texts."""
-    n_texts = len(texts["ids"])
-    step = max(1, CELLS // max(1, n_texts))
-    for at in range(0, batch.num_rows, step):
-        part = batch.slice(at, step)
+def _scored(batches, texts, avgdl, k1, b):
+    """Parts for ``scan``: near scores by one product of gains and weights in single precision."""
+    n_texts, n_terms = len(texts["ids"]), len(texts["first"]) - 1
+    term_of, weight_of, edge = _by_text(texts)
+    weights = np.zeros((n_texts, max(1, n_terms)), dtype=np.float32)
+    weights[texts["text"], np.repeat(np.arange(n_terms), np.diff(texts["first"]))] = texts["weight"]
+    # a sum of j products is off by at most (j + 3) roundings of the sum of their sizes; gains stay below k1 + 1
+    size = np.add.reduceat(np.append(np.abs(weight_of), 0), edge[:-1]) * (np.diff(edge) > 0) * (k1 + 1)
+    slack = (np.diff(edge) + 4) * np.float64(1.2e-7) * size + 1e-8
+    most = max(1, CELLS // max(1, n_terms, n_texts))
+    for part in (p for batch in batches for p in _parts(batch, 2, most)):
         ids, doc, term, gain = _postings(part, texts, avgdl, k1, b)
-        counts = texts["first"][term + 1] - texts["first"][term]
-        line = _expand(texts["first"][term], counts)
-        cell = np.repeat(doc, counts) * n_texts + texts["text"][line]
-        scores = np.bincount(cell, np.repeat(gain, counts) * texts["weight"][line], part.num_rows * n_texts)
-        yield ids, np.round(scores, 9).reshape(part.num_rows, n_texts)
+        gains = np.zeros((len(ids), max(1, n_terms)))
+        gains[doc, term] = gain
+        near = weights @ gains.astype(np.float32).T
+
+        def exact(i, at, gains=gains):
+            mine = slice(edge[i], edge[i + 1])
+            if edge[i] == edge[i + 1]:
+                return np.zeros(len(at))
+            # one term after another, so equal texts score alike wherever they stand
+            products = gains[np.ix_(at, term_of[mine])] * weight_of[mine]
+            return np.round(np.cumsum(products, axis=1)[:, -1], 9)
+
+        yield ids, near, exact, slack
+
+
+def _by_text(texts):
+    """Terms and weights ordered by text, terms ascending, and where each text's begin."""
+    line = np.argsort(texts["text"], kind="stable")
+    term_of = np.repeat(np.arange(len(texts["first"]) - 1), np.diff(texts["first"]))[line]
+    return term_of, texts["weight"][line], np.searchsorted(texts["text"][line], np.arange(len(texts["ids"]) + 1))
 
 
 class _Bounded:
@@ -207,31 +244,20 @@ class _Bounded:
         return scores[first], self.ids[left[first]], int((~alive).sum())
 
 
-def _first(scores, ids, n):
-    """Places of the ``n`` best scores; equal scores by the smaller id."""
-    if len(scores) <= n:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - n)[len(scores) - n]
-    above, equal = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
-    return np.concatenate([above, equal[np.argsort(ids[equal], kind="stable")[: n - len(above)]]])
-
-
 def _top_batches(batches, texts, n, avgdl, k1, b, seen=None):
     """The task's ``n`` best documents per text, without scoring blocks that cannot hold one.
 
     ``seen``, if given, gets ``(blocks, blocks left out)`` of each step.
     """
     n_texts, n_terms = len(texts["ids"]), len(texts["first"]) - 1
-    line = np.argsort(texts["text"], kind="stable")
-    term_of = np.repeat(np.arange(n_terms), np.diff(texts["first"]))[line]
-    weight_of, edge = texts["weight"][line], np.searchsorted(texts["text"][line], np.arange(n_texts + 1))
+    term_of, weight_of, edge = _by_text(texts)
     # blocks narrow enough for their bounds to differ, their table within CELLS
     step = BLOCK_DOCS * max(1, min(64, CELLS // max(1, n_terms)))
     kept, id_type = [(np.zeros(0), None)] * n_texts, None
     for batch in batches:
         id_type = batch.schema.types[0]
-        for at in range(0, batch.num_rows, step):
-            part = _Bounded(*_postings(batch.slice(at, step), texts, avgdl, k1, b), n_terms, BLOCK_DOCS)
+        for rows in _parts(batch, 2, step):
+            part = _Bounded(*_postings(rows, texts, avgdl, k1, b), n_terms, BLOCK_DOCS)
             for i in range(n_texts):
                 scores, ids = kept[i]
                 mine = slice(edge[i], edge[i + 1])
@@ -252,38 +278,54 @@ def _top_batches(batches, texts, n, avgdl, k1, b, seen=None):
             )
 
 
+def _long_batches(batches, texts, n, avgdl, k1, b, bars):
+    """As ``_top_batches`` for lists longer than a block of documents."""
+    batches = iter(batches)
+    first = next(batches, None)
+    if first is not None:
+        kept = scan.best(_scored(_again(first, batches), texts, avgdl, k1, b), len(texts["ids"]), n, bars)
+        yield from scan.sent(kept, texts["ids"], texts["type"], first.schema.types[0])
+
+
+def _mark_batches(batches, texts, n, avgdl, k1, b):
+    batches = iter(batches)
+    first = next(batches, None)
+    if first is not None:
+        yield scan.marked(scan.best(_scored(_again(first, batches), texts, avgdl, k1, b), len(texts["ids"]), n), first.schema.types[0])
+
+
+def _again(first, rest):
+    yield first
+    yield from rest
+
+
 def _pair_batches(batches, texts, avgdl, k1, b):
     """Scores of the (document, text) pairs asked for: the batch's last column lists texts."""
     number = {name: i for i, name in enumerate(texts["ids"])}
-    for batch in batches:
-        at = 0
-        for ids, scores in _score_cells(batch, texts, avgdl, k1, b):
-            wanted = batch.column(4).slice(at, len(ids)).to_pylist()
-            rows = [(t, d, number[t]) for d, ts in enumerate(wanted) for t in ts if t in number]
-            at += len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([t for t, _, _ in rows], texts["type"]),
-                    pa.array([ids[d] for _, d, _ in rows], batch.schema.types[0]),
-                    pa.array([scores[d, i] for _, d, i in rows], pa.float64()),
-                ],
-                names=["text", "id", "score"],
-            )
+    term_of, weight_of, edge = _by_text(texts)
+    for part in (p for batch in batches for p in _parts(batch, 2, max(1, CELLS // max(1, len(texts["first"]))))):
+        ids, doc, term, gain = _postings(part, texts, avgdl, k1, b)
+        gains = np.zeros((len(ids), max(1, len(texts["first"]) - 1)))
+        gains[doc, term] = gain
+        rows = [(t, d, number[t]) for d, ts in enumerate(part.column(4).to_pylist()) for t in ts if t in number]
+        scores = []
+        for _, d, i in rows:
+            mine = slice(edge[i], edge[i + 1])
+            products = gains[d, term_of[mine]] * weight_of[mine]
+            scores.append(np.cumsum(products)[-1] if len(products) else 0.0)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([t for t, _, _ in rows], texts["type"]),
+                pa.array([ids[d] for _, d, _ in rows], part.schema.types[0]),
+                pa.array(np.round(np.array(scores, dtype=np.float64), 9), pa.float64()),
+            ],
+            names=["text", "id", "score"],
+        )
 
 
 def _ahead_batches(batches, texts, marks, avgdl, k1, b):
     """How many documents fall between the marks of each text, which are sorted (-score, id) lists."""
-    gaps = [np.zeros(len(m[0]) + 1, dtype=np.int64) for m in marks]
-    for batch in batches:
-        for ids, scores in _score_cells(batch, texts, avgdl, k1, b):
-            for i, (mark, mark_id) in enumerate(marks):
-                mine = -scores[:, i]
-                start, end = np.searchsorted(mark, mine, "left"), np.searchsorted(mark, mine, "right")
-                place, tied = start.copy(), np.flatnonzero(start < end)
-                for low in np.unique(start[tied]):
-                    same = tied[start[tied] == low]
-                    place[same] = low + np.searchsorted(mark_id[low : end[same[0]]], ids[same], "right")
-                gaps[i] += np.bincount(place, minlength=len(gaps[i]))
+    gaps = scan.ahead(_scored(batches, texts, avgdl, k1, b), marks)
     rows = [(i, j, int(n)) for i, g in enumerate(gaps) for j, n in enumerate(g) if n]
     yield pa.RecordBatch.from_arrays(
         [pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], names=["text", "gap", "n"]
@@ -328,14 +370,17 @@ class LexicalRanker:
             block = vars(_Texts(ids, lines))
             return ids, self.spark.sparkContext.broadcast({**block, "type": kind})
 
-        ids, lines = [], []
+        ids, lines, terms = [], [], set()
         for row in self.weights.toLocalIterator():
             mine = row["lines"] or []
-            if ids and (len(lines) + len(mine) > BLOCK_TERMS or (len(ids) + 1) * per_text > BLOCK_ROWS):
+            more = terms.union(x["term"] for x in mine)
+            cells = len(more) * (len(ids) + 1)
+            if ids and (len(lines) + len(mine) > BLOCK_TERMS or (len(ids) + 1) * per_text > BLOCK_ROWS or cells > WEIGHT_CELLS):
                 yield made(ids, lines)
-                ids, lines = [], []
+                ids, lines, more = [], [], {x["term"] for x in mine}
             lines += [(len(ids), x["term"], x["w"]) for x in mine]
             ids.append(row["text_id"])
+            terms = more
         if ids:
             yield made(ids, lines)
 
@@ -353,10 +398,15 @@ class LexicalRanker:
         """``(text_id, doc_id, score, rank)`` down to rank ``n``; tasks send ``n`` rows per text."""
         schema, avgdl, k1, b = self._schema(), self.avgdl, self.k1, self.b
 
-        def part(block):
-            return self.index.mapInArrow(lambda x: _named(_top_batches(x, block.value, n, avgdl, k1, b), schema), schema)
+        def part(ids, block):
+            if n < BLOCK_DOCS:
+                return self.index.mapInArrow(lambda x: _named(_top_batches(x, block.value, n, avgdl, k1, b), schema), schema)
+            marks = lambda x: _mark_batches(x, block.value, n, avgdl, k1, b)
+            bars = self.spark.sparkContext.broadcast(scan.bars(self.index, marks, self.id_type, len(ids), n))
+            found = lambda x: _named(_long_batches(x, block.value, n, avgdl, k1, b, bars.value), schema)
+            return self.index.mapInArrow(found, schema)
 
-        rows = self._found([part(block) for _, block in self._blocks(n)])
+        rows = self._found([part(ids, block) for ids, block in self._blocks(n)])
         if rows is None:
             rows = self.spark.createDataFrame([], schema)
         return top_k(rows, n, ("text_id",))
