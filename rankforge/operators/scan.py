@@ -9,6 +9,10 @@ For long lists a first pass sends marks: a task's documents at ranks that grow
 by a twentieth. Added up over the tasks they give each text a bar, the place
 at or before which ``n`` documents are known to be; the second pass sends what
 is not behind it, so what tasks send grows with ``n``, not with their number.
+
+Sums of ranks need no lists at all: documents are counted between ``edges`` of
+each text's scores, so every document's rank has bounds where it is scored, and
+only documents whose bounds allow them among the best of a sum are sent.
 """
 
 from __future__ import annotations
@@ -23,6 +27,13 @@ from pyspark.sql import Window as W
 # rows that tasks may send without a bar
 FREE_ROWS = 2_000_000
 STEP = 1.05
+# of rank sums: texts of a block, documents that set the edges, their growth and the steps above them, contenders a task may send per sum
+TEXTS = 2048
+SAMPLE = 2048
+EDGE_STEP = 1.02
+ABOVE = 64
+CONTENDERS = 1024
+SUM_SLACK = 1e-6
 # below every score that counts; a near score of minus infinity leaves a document out
 LOWEST = -3e38
 
@@ -89,12 +100,12 @@ def ahead(parts, marks):
     return gaps
 
 
-def _ranks(n):
-    """1, 2, 3, ... growing by a twentieth, up to ``n``."""
+def _ranks(n, step=STEP):
+    """1, 2, 3, ... growing by a twentieth (``step``), up to ``n``."""
     found, at = [], 1
     while at < n:
         found.append(at)
-        at = max(at + 1, int(at * STEP))
+        at = max(at + 1, int(at * step))
     return np.array([*found, n]) if n else np.zeros(0, int)
 
 
@@ -158,3 +169,127 @@ def bars(corpus: DataFrame, run, id_type, n_texts: int, n: int) -> list | None:
     for row in found:
         out[row["text"]] = row["bar"]["score"], row["bar"]["id"]
     return out
+
+
+def _edges(parts, highest):
+    """Ascending scores per text: a sample's at ranks growing by ``EDGE_STEP``, then even steps up to ``highest``."""
+    near = np.concatenate([part[1] for part in parts], axis=1).astype(np.float64)
+    near = -np.sort(-near, axis=1)
+    places = _ranks(near.shape[1], EDGE_STEP) - 1
+    steps = np.arange(1, ABOVE + 1) / ABOVE
+    above = near[:, :1] + np.maximum(highest[:, None] - near[:, :1], 0) * steps
+    return np.concatenate([near[:, places[::-1]], above], axis=1)
+
+
+def _histogram(parts, edges):
+    """Documents of the parts below the first edge of each text, between edges, and at or above the last."""
+    counts = np.zeros((len(edges), edges.shape[1] + 1), dtype=np.int64)
+    for _, near, _, _ in parts:
+        for i, row in enumerate(near):
+            counts[i] += np.bincount(np.searchsorted(edges[i], row, "right"), minlength=counts.shape[1])
+    return counts
+
+
+def _rank_bounds(near, slack, edges, at_least):
+    """Least and greatest 0-based ranks of each document in each text; ``at_least`` counts documents from an edge on.
+
+    Near scores further apart than twice their slack are in the order of the
+    true ones, so an edge that far off tells who is ahead and who is behind.
+    """
+    low, high = np.empty(near.shape), np.empty(near.shape)
+    for i, row in enumerate(near.astype(np.float64)):
+        low[i] = at_least[i][np.searchsorted(edges[i], row + 2 * slack[i], "right") + 1]
+        high[i] = at_least[i][np.searchsorted(edges[i], row - 2 * slack[i], "right")] - 1
+    return low, high
+
+
+def _contenders(parts, edges, at_least, text, weight, first, k):
+    """``(sums, ids, lows, highs, open sums)``: documents that may be among the ``k`` least sums of ranks.
+
+    Sum ``j`` adds up ``weight`` times the rank in ``text`` over the lines from
+    ``first[j]`` on. A sum with more than ``CONTENDERS`` of them here is left open.
+    """
+    n_sums = len(first)
+    best = np.full((n_sums, k), np.inf)
+    is_open = np.zeros(n_sums, dtype=bool)
+    held, rows = [], 0
+
+    def fitting(found):
+        number, ids, low, high = (np.concatenate(x) for x in zip(*found))
+        fits = (low <= best[number, k - 1] + SUM_SLACK) & ~is_open[number]
+        is_open[np.bincount(number[fits], minlength=n_sums) > CONTENDERS] = True
+        fits &= ~is_open[number]
+        return number[fits], ids[fits], low[fits], high[fits]
+
+    for ids, near, _, slack in parts:
+        bounds = _rank_bounds(near, slack, edges, at_least)
+        low, high = (np.add.reduceat(b[text] * weight[:, None], first, axis=0) for b in bounds)
+        best = np.sort(np.partition(np.concatenate([best, high], axis=1), k - 1, axis=1)[:, :k], axis=1)
+        number, at = np.nonzero((low <= best[:, k - 1 :] + SUM_SLACK) & ~is_open[:, None])
+        held.append((number, ids[at], low[number, at], high[number, at]))
+        rows += len(number)
+        if rows > FREE_ROWS:
+            held = [fitting(held)]
+            rows = len(held[0][0]) - n_sums * CONTENDERS
+    return (*fitting(held), np.flatnonzero(is_open)) if held else None
+
+
+def least_sums(corpus: DataFrame, parts, kind, highest, sums: list, k: int) -> DataFrame:
+    """``(sum, doc_id, low, high)``: a superset of the documents with the ``k`` least weighted sums of 0-based ranks.
+
+    ``corpus``, with ids of Arrow type ``kind``, is scored by ``parts``, ``highest`` bounds the scores of each text
+    and ``sums`` lists ``(text number, weight)`` pairs. A null ``doc_id`` marks a
+    sum that too many documents may lead, as among equal scores.
+    """
+    spark, n = corpus.sparkSession, corpus.count()
+    lines = [line for one in sums for line in one]
+    text, weight = np.array([x[0] for x in lines]), np.array([x[1] for x in lines], dtype=np.float64)
+    first = np.concatenate([[0], np.cumsum([len(one) for one in sums])[:-1]]).astype(np.int64)
+    # the sample only places the edges; all documents are counted between them
+    sample = corpus.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0).repartition(1)
+
+    def set_edges(batches):
+        made = list(parts(batches))
+        if made:
+            yield _lists(_edges(made, highest), pa.float64())
+
+    def count(batches):
+        yield _lists(_histogram(parts(batches), edges.value), pa.int64())
+
+    found = {r[0]: r[1] for r in sample.mapInArrow(set_edges, "text int, held array<double>").toLocalIterator()}
+    edges = np.array([found[i] for i in range(len(highest))]) if found else np.repeat(highest[:, None], 2, axis=1)
+    edges = spark.sparkContext.broadcast(edges)
+    counts = np.zeros((len(highest), edges.value.shape[1] + 2), dtype=np.int64)
+    each = corpus.mapInArrow(count, "text int, held array<bigint>")
+    for row in each.groupBy("text").applyInArrow(_added, "text int, held array<bigint>").toLocalIterator():
+        counts[row[0], :-1] = row[1]
+    at_least = spark.sparkContext.broadcast(np.cumsum(counts[:, ::-1], axis=1)[:, ::-1])
+
+    def bound(batches):
+        made = _contenders(parts(batches), edges.value, at_least.value, text, weight, first, k)
+        if made is not None:
+            number, ids, low, high, hard = made
+            none = [None] * len(hard)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([number, hard]), pa.int32()), pa.array(ids.tolist() + none, kind),
+                    pa.array(low.tolist() + none, pa.float64()), pa.array(high.tolist() + none, pa.float64()),
+                ],
+                names=["sum", "doc_id", "low", "high"],
+            )
+
+    kinds = [("sum", T.IntegerType()), ("doc_id", corpus.schema["doc_id"].dataType), ("low", T.DoubleType()), ("high", T.DoubleType())]
+    return corpus.mapInArrow(bound, T.StructType([T.StructField(*x) for x in kinds]))
+
+
+def _lists(rows, kind):
+    ends = pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32())
+    held = pa.ListArray.from_arrays(ends, pa.array(rows.reshape(-1), kind))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), held], names=["text", "held"])
+
+
+def _added(table):
+    """Counts of one text added up over the tasks."""
+    rows = table.column("held").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    held = pa.array([rows.sum(axis=0)], pa.list_(pa.int64()))
+    return pa.table({"text": table.column("text").slice(0, 1).combine_chunks(), "held": held})

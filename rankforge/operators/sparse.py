@@ -411,6 +411,28 @@ class LexicalRanker:
             rows = self.spark.createDataFrame([], schema)
         return top_k(rows, n, ("text_id",))
 
+    def names(self) -> DataFrame:
+        """``text_id`` of the texts that are ranked."""
+        return self.weights.select("text_id")
+
+    def at_once(self) -> int:
+        """How many texts to score together in ``scored``."""
+        words = self.weights.select(F.explode("lines.term").alias("term")).distinct().count()
+        return max(1, min(scan.TEXTS, WEIGHT_CELLS // max(1, words)))
+
+    def scored(self, ids: list):
+        """Index, how ``scan`` scores it for the texts named, its kind of ids, and their highest scores."""
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        mine = self.weights.join(F.broadcast(self._names(ids)), "text_id").select("text", "lines")
+        lines = [(r["text"], x["term"], x["w"]) for r in mine.toLocalIterator() for x in r["lines"] or []]
+        held = self.spark.sparkContext.broadcast(vars(_Texts(ids, lines)))
+        # gains stay below k1 + 1
+        highest = np.zeros(len(ids))
+        np.add.at(highest, held.value["text"], np.maximum(held.value["weight"], 0) * (self.k1 + 1))
+        avgdl, k1, b = self.avgdl, self.k1, self.b
+        return self.index, lambda batches: _scored(batches, held.value, avgdl, k1, b), to_arrow_type(self.id_type), highest
+
     def scores(self, pairs: DataFrame) -> DataFrame:
         """``(text_id, doc_id, score)`` of given ``(text_id, doc_id)`` pairs."""
         schema, avgdl, k1, b = self._schema(), self.avgdl, self.k1, self.b

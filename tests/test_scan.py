@@ -93,3 +93,48 @@ def test_borda_of_nothing_ends(spark, mixed):  # noqa: F811
     none.top = lambda n: rankers["dense"].top(n).where(F.lit(False))
     plan = spark.createDataFrame([("b", 1, "dense", 1, 1.0)], "config string, qid int, ranker string, text_id bigint, weight double")
     assert fusion.fuse_borda(plan, {"dense": none}, 4).count() == 0
+
+
+class NoLists:
+    """A ranker whose lists must not be asked for."""
+
+    def __init__(self, ranker):
+        self.ranker = ranker
+
+    def __getattr__(self, name):
+        assert name != "top", "a list was searched"
+        return getattr(self.ranker, name)
+
+
+@pytest.mark.parametrize("name", ["dense", "sparse"])
+@pytest.mark.parametrize("contenders", [1024, 5])
+def test_rank_sums_without_lists(spark, mixed, monkeypatch, name, contenders):  # noqa: F811
+    rankers, rank = mixed
+    monkeypatch.setattr(scan, "CONTENDERS", contenders)
+    monkeypatch.setattr(scan, "SAMPLE", 40)
+    monkeypatch.setattr(scan, "TEXTS", 4)
+    lines = [("b", q, name, (q + v) % 5, 1.0 + (v == 1)) for q in range(5) for v in range(3)] + [("one", 7, name, 2, 1.0)]
+    plan = spark.createDataFrame(lines, "config string, qid int, ranker string, text_id bigint, weight double")
+    # with few contenders a task some sums stay open and are searched in lists
+    ranker = NoLists(rankers[name]) if contenders > 300 else rankers[name]
+    got = fusion.fuse_borda(plan, {name: ranker}, 4, depth=8).collect()
+    for q in (*range(5), 7):
+        total = sum(w * (rank[name, t] - 1) for _, i, _, t, w in lines if i == q)
+        want = np.lexsort((np.arange(300), total))[:4]
+        mine = sorted((r for r in got if r.qid == q), key=lambda r: r["rank"])
+        assert [r.doc_id for r in mine] == want.tolist()
+        assert [-r.score for r in mine] == total[want].tolist()
+
+
+def test_rank_bounds_hold_the_rank():
+    rng = np.random.default_rng(3)
+    near = rng.integers(0, 40, (3, 500)).astype(np.float32) / 7
+    slack = np.array([1e-6, 0.1, 1.0])
+    parts = [(np.arange(0, 200), near[:, :200], None, slack), (np.arange(200, 500), near[:, 200:], None, slack)]
+    edges = scan._edges([(None, near[:, ::9], None, slack)], np.full(3, 6.0))
+    counts = np.pad(scan._histogram(parts, edges), ((0, 0), (0, 1)))
+    low, high = scan._rank_bounds(near, slack, edges, np.cumsum(counts[:, ::-1], axis=1)[:, ::-1])
+    true = near + rng.uniform(-1, 1, near.shape) * slack[:, None]
+    place = (-true).argsort(axis=1).argsort(axis=1)
+    assert (low <= place).all() and (place <= high).all()
+    assert (high - low)[0].max() < 150
