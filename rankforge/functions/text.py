@@ -39,6 +39,11 @@ def tokenize_bigrams(col: Column) -> Column:
     return F.flatten(F.transform(tokenize_words(col), pairs))
 
 
+def word_pairs(word: str) -> list[str]:
+    """The terms that ``tokenize_bigrams`` makes of one word."""
+    return [word[i : i + 2] for i in range(len(word) - 1)] or [word]
+
+
 def strip_think(col: Column) -> Column:
     return strip(F.regexp_replace(col, THINK_BLOCK, ""))
 

@@ -108,12 +108,12 @@ def _numbers(column):
     return column.to_numpy(zero_copy_only=False)
 
 
-def _parts(batch, lists, most):
-    """Slices of a batch with at most ``most`` rows and, but for single rows, ``ENTRIES`` entries of a list column."""
+def _parts(batch, lists, most, share=1):
+    """Slices of a batch with at most ``most`` rows and, but for single rows, ``ENTRIES // share`` entries of a list column."""
     sizes = _numbers(pa.compute.list_value_length(batch.column(lists)).fill_null(0)).astype(np.int64)
     ends, at = np.cumsum(sizes), 0
     while at < batch.num_rows:
-        held = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENTRIES, "right"))
+        held = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENTRIES // share, "right"))
         end = min(max(held, at + 1), at + most)
         yield batch.slice(at, end - at)
         at = end
@@ -139,6 +139,30 @@ def _count_batches(batches):
         )
 
 
+def _split_batches(batches, split):
+    """As ``_count_batches`` from counted words, each distinct word of a part split once."""
+    # a word makes several terms
+    for part in (p for batch in batches for p in _parts(batch, 2, batch.num_rows, 8)):
+        words = part.column(2).flatten().dictionary_encode()
+        made = [split(w) for w in words.dictionary.to_pylist()]
+        each = np.array([len(x) for x in made], dtype=np.int64)
+        terms = pa.array([x for one in made for x in one], pa.string()).dictionary_encode()
+        code, n = _numbers(terms.indices).astype(np.int64), max(1, len(terms.dictionary))
+        word = _numbers(words.indices).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        tf, counts = _numbers(part.column(3).flatten()).astype(np.int64), each[word]
+        doc = np.repeat(np.arange(part.num_rows), _numbers(pa.compute.list_value_length(part.column(2))))
+        at = _expand((np.cumsum(each) - each)[word], counts) if len(word) else word
+        cells, place = np.unique(np.repeat(doc, counts) * n + code[at], return_inverse=True)
+        sums = np.bincount(place, np.repeat(tf, counts), len(cells)).astype(np.int32)
+        sizes = np.bincount(doc, tf * counts, part.num_rows).astype(np.int32)
+        ends = pa.array(np.searchsorted(cells, np.arange(part.num_rows + 1) * n), pa.int32())
+        held = terms.dictionary.take(pa.array(cells % n)) if len(cells) else pa.array([], pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, held), pa.ListArray.from_arrays(ends, pa.array(sums))],
+            names=["doc_id", "dl", "terms", "tfs"],
+        )
+
+
 def _expand(first, counts):
     """``first``, ``first + 1``, ... of each slice, one after another."""
     shift = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
@@ -337,13 +361,25 @@ class LexicalRanker:
 
     All documents are ranked, by falling score, equal scores by the smaller
     id; a document that shares no term with a text scores 0.
+    Where ``tokenize`` takes terms out of words, ``split`` makes those of one
+    word, and ``words`` may be the index of a ranker by words of the same
+    documents: the documents then need not be tokenised for it.
     """
 
-    def __init__(self, texts: DataFrame, docs: DataFrame, tokenize=tokenize_words, k1=K1, b=B, epsilon=EPSILON):
+    def __init__(
+        self, texts: DataFrame, docs: DataFrame, tokenize=tokenize_words, k1=K1, b=B, epsilon=EPSILON, split=None, words: DataFrame | None = None
+    ):
         self.spark, self.k1, self.b = docs.sparkSession, k1, b
-        tokens = docs.select("doc_id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+        whole = tokenize if split is None else tokenize_words
+        tokens = docs.select("doc_id", F.coalesce(whole(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
         schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("dl int, terms array<string>, tfs array<int>").fields])
-        self.index = materialize(tokens.mapInArrow(_count_batches, schema))
+        if split is None:
+            index = tokens.mapInArrow(_count_batches, schema)
+        elif words is None:
+            index = tokens.mapInArrow(lambda batches: _split_batches(_count_batches(batches), split), schema)
+        else:
+            index = words.mapInArrow(lambda batches: _split_batches(batches, split), schema)
+        self.index = materialize(index)
         totals = self.index.agg(F.count(F.lit(1)), F.sum(F.col("dl").cast("bigint"))).first()
         self.n, self.avgdl = totals[0], (totals[1] or 0) / max(1, totals[0])
         vocab = materialize(

@@ -138,3 +138,20 @@ def test_rank_bounds_hold_the_rank():
     place = (-true).argsort(axis=1).argsort(axis=1)
     assert (low <= place).all() and (place <= high).all()
     assert (high - low)[0].max() < 150
+
+
+def test_pairs_from_counted_words(spark):
+    from rankforge.functions import text as X
+
+    docs = ["Anna bananas a, é\U0001d518x anna", None, "", "!?", "x", "naïve İstanbul ß 12 1234 bananas", "word " * 700]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    t = spark.createDataFrame([(0, "banana annals"), (1, "x"), (2, "")], "text_id bigint, text string")
+    words = sparse.LexicalRanker(t, d, X.tokenize_words).index
+    plain = sparse.LexicalRanker(t, d, X.tokenize_bigrams)
+    listed = lambda index: {r.doc_id: (r.dl, dict(zip(r.terms, r.tfs)), len(r.terms)) for r in index.collect()}
+    want, ranks = listed(plain.index), sorted(plain.top(7).collect())
+    assert len(want) == len(docs)
+    for given in (None, words):
+        # no pair is made by an expression over every character of every document
+        ranker = sparse.LexicalRanker(t, d, X.tokenize_bigrams, split=X.word_pairs, words=given)
+        assert listed(ranker.index) == want and sorted(ranker.top(7).collect()) == ranks
