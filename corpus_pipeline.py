@@ -8,18 +8,39 @@ removes a row: low quality, a near copy of a kept document, contamination.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from rankforge.llm import decontaminate, near_dedup, pieces, pii, quality
 from rankforge.llm.queries import MODEL_PATH
 from rankforge.llm.store import Scratch
 
+#: Rows of an Arrow batch: texts of 10,000 rows take up to 64 MB outside the heap and again in the worker.
+BATCH_ROWS = 2000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(stage):
+    """The stage in a session whose Arrow batches have at most ``BATCH_ROWS`` rows, which the session keeps."""
+
+    @functools.wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        rows = int(spark.conf.get(BATCH_CONF))
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set(BATCH_CONF, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@small_batches
 def keep_quality(spark, docs, sf_dir):
     """Documents that the quality scorer accepts."""
     return quality.classify(docs).filter("kept").select("row.*")
 
 
+@small_batches
 def keep_one_of_each_group(spark, docs, sf_dir):
     """The document of the smallest doc_id of each group of near duplicates.
 
@@ -33,17 +54,20 @@ def keep_one_of_each_group(spark, docs, sf_dir):
     return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
+@small_batches
 def keep_uncontaminated(spark, docs, sf_dir):
     """Documents without, or with less than a twentieth of, benchmark passages."""
     return decontaminate.drop_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@small_batches
 def redact_personal_data(spark, docs, sf_dir):
     """Texts with personal data replaced by its kind; n_chars counts the new text."""
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
+@small_batches
 def sample_pieces(spark, docs, sf_dir):
     """Sampled segmentations of each text, one row per document."""
     made = pieces.encode(docs, MODEL_PATH)

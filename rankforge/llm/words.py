@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _U = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,7 +45,8 @@ def powers(step: int, n: int):
     """step**0 .. step**(n-1) modulo 2**64, kept for the next block."""
     have = _powers.get(step)
     if have is None or len(have) < n:
-        size = max(n, 2 * BLOCK)
+        # of a usual block and no more: every worker keeps them
+        size = 1 << max(16, (n - 1).bit_length())
         have = np.full(size, step, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)

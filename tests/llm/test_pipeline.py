@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankforge.llm import decontaminate, pieces, pii, quality
+from rankforge.llm import decontaminate, pieces, pii, quality, words
 from rankforge.llm.queries import MODEL_PATH
 from tests.llm.test_exact import brute_components
 
@@ -122,3 +122,21 @@ def test_stages_on_nulls_and_empty_tables(spark, sf):
     assert corpus_pipeline.redact_personal_data(spark, docs, sf).filter("text is null").count() == 2
     last = {r.doc_id: r for r in corpus_pipeline.sample_pieces(spark, docs.drop("ids"), sf).filter("doc_id is not null").collect()}
     assert last[1].n_samples == 1 and list(last[1].ids) == [[]]
+
+
+def test_stages_bound_what_a_worker_holds(spark, sf, monkeypatch):
+    """Arrow batches of few rows, and tables of powers no longer than the block at hand."""
+    before = spark.conf.get(corpus_pipeline.BATCH_CONF)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(corpus_pipeline.BATCH_CONF, 10_000)
+            stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+            assert int(spark.conf.get(corpus_pipeline.BATCH_CONF)) == corpus_pipeline.BATCH_ROWS
+        spark.conf.set(corpus_pipeline.BATCH_CONF, 7)
+        corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        assert int(spark.conf.get(corpus_pipeline.BATCH_CONF)) == 7
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_CONF, before)
+    monkeypatch.setattr(words, "_powers", {})
+    assert len(words.powers(3, 1000)) == 1000 and len(words._powers[3]) == 1 << 16
+    assert int(words.powers(3, 100_000)[99_999]) == pow(3, 99_999, 1 << 64)
