@@ -105,7 +105,9 @@ def judge_means(spark, sf_dir):
             (F.count_if(F.col("score") >= 4) / F.count(F.lit(1))).alias("high_share"),
         )
     )
-    overall = per.groupBy("cand").agg(F.round(F.avg("mean_all"), 9).alias("overall_mean"))
+    # added as decimals: a mean half-way between two ninth places does not hang on the order of adding
+    mean = F.avg(F.col("mean_all").cast("decimal(20,9)"))
+    overall = per.groupBy("cand").agg(F.round(mean, 9).cast("double").alias("overall_mean"))
     return per.join(overall, "cand")
 
 
