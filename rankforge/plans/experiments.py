@@ -10,7 +10,7 @@ from rankforge.plans.common import TOKENS, documents, questions, tokens_sql
 from rankforge.plans.lexical_search import LISTS_SQL, fused_sql, plan_of, rankers
 from rankforge.plans.registry import query
 from rankforge.plans.runs import GOLD_SQL, gold, once
-from rankforge.session import materialize
+from rankforge.session import materialize, together
 
 BIG = "bigint"
 # Fixed value: strategies of the registered grid, one per shape of variant list.
@@ -104,7 +104,7 @@ def grid_hits(spark, sf_dir):
     """Top 20 of every rewriting x hybrid; each distinct text is ranked once."""
 
     def build():
-        v = query_variants.variants(questions(spark, sf_dir), generated(spark, sf_dir))
+        v = materialize(query_variants.variants(questions(spark, sf_dir), generated(spark, sf_dir)))
         side = lambda c: v.select("prer", "qid", F.col(c).alias("text"), text_key(F.col(c)).alias("text_id"))
         dense_use, sparse_use = side("dense_q"), side("sparse_q")
         texts = dense_use.select("text_id", "text").union(sparse_use.select("text_id", "text")).distinct()
@@ -123,10 +123,10 @@ def grid_hits(spark, sf_dir):
             )
 
         made = rankers(spark, sf_dir, materialize(texts), ("dense", "sparse", "words"))
-        hits = fusion.fuse_rrf(lines(GRID_WEIGHTS), made, rerank.TOP_N).unionByName(
-            fusion.fuse_borda(lines(GRID_SINGLE), made, rerank.TOP_N)
+        fused, summed = together(
+            lambda: fusion.fuse_rrf(lines(GRID_WEIGHTS), made, rerank.TOP_N), lambda: fusion.fuse_borda(lines(GRID_SINGLE), made, rerank.TOP_N)
         )
-        return hits.select("config", "qid", "doc_id", "score", F.col("rank").cast(BIG).alias("rank"))
+        return fused.unionByName(summed).select("config", "qid", "doc_id", "score", F.col("rank").cast(BIG).alias("rank"))
 
     return once(spark, sf_dir, "grid_hits", build)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*calls):
+    """Results of calls that start jobs of their own, run at the same time: one's small stages leave cores to the others."""
+    if len(calls) < 2:
+        return [call() for call in calls]
+    spark = SparkSession.getActiveSession()
+    inheriting = inheritable_thread_target(spark) if spark else inheritable_thread_target
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(inheriting(call)) for call in calls]]
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has no more than ``rows`` rows; reads at most one more."""
     return df.limit(rows + 1).count() <= rows
@@ -79,11 +91,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a table that a single task would read, dealt to all cores by ``key``.
+    """Rows of a table that few tasks would read, dealt to all cores by ``key``.
 
-    For a costly expression over one small file. A table of several splits is
-    returned as it is: its scan is spread already, and a shuffle would only add
-    to it.
+    For a costly expression over one small file. A file has more splits than
+    row groups, so rows are counted by task, without reading them. A table whose
+    tasks have at most twice an even share is returned as it is: its scan is
+    spread already, and a shuffle would only add to it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if cores > 1 and df.rdd.getNumPartitions() == 1 else df
+    if cores == 1:
+        return df
+    each = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    held = each.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    return df.repartition(cores, key) if (held["most"] or 0) * cores > 2 * (held["total"] or 0) else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.conftest import plan_of
+from rankforge import session
 from rankforge.session import table
 from rankforge.sources import loaders, readers, writers
 from rankforge.sources.html import html_text
@@ -154,3 +155,32 @@ def test_aborted_shards_leave_nothing_visible(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         writers.write_shards(bad, "v", path, "id", size=10)
     assert not [p for p in tmp_path.rglob("*") if not any(part.startswith("_") for part in p.parts) and p.is_file()]
+
+
+def test_spread_deals_a_file_of_one_row_group_in_several_splits(spark, tmp_path):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        docs = session.table(spark, str(tmp_path), "documents")
+        assert docs.rdd.getNumPartitions() > 1
+        dealt = session.spread(docs, "doc_id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(r["count"] for r in dealt) == 20_000
+    assert max(r["count"] for r in dealt) < 2 * 20_000 / spark.sparkContext.defaultParallelism
+
+
+def test_spread_leaves_a_table_of_even_splits(spark):
+    rows = spark.range(0, 8000, 1, 2 * spark.sparkContext.defaultParallelism).select(F.col("id").alias("doc_id"))
+    assert session.spread(rows, "doc_id") is rows
+    none = rows.where("doc_id < 0")
+    assert session.spread(none, "doc_id").count() == 0
+
+
+def test_together_keeps_order_and_raises(spark):
+    calls = [lambda n=n: spark.range(n).count() for n in (3, 1, 2)]
+    assert session.together(*calls) == [3, 1, 2] and session.together() == []
+    with pytest.raises(ZeroDivisionError):
+        session.together(lambda: 1, lambda: 1 // 0)
