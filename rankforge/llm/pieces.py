@@ -96,6 +96,13 @@ class Vocabulary:
         for x in names:
             run = _running(x)
             self.begins[_slice_hashes(run, np.zeros(len(x), dtype=np.int64), np.arange(1, len(x) + 1)) >> _U(43)] = True
+        # pieces of one character, -1 where there is none, and characters that begin any
+        self.single = np.full(LITERAL + 1, -1, dtype=np.int32)
+        self.length = np.array([len(x) for x in names])[at]
+        one = np.flatnonzero(self.length == 1)
+        self.single[[int(names[i][0]) for i in at[one]]] = one
+        self.first = np.zeros(LITERAL + 1, dtype=bool)
+        self.first[[int(x[0]) for x in names]] = True
         self.byte_weight = float(-np.log(len(order) + RANK_SHIFT)) - 2.0
         # characters met inside longer pieces; all others stand alone
         self.joined = np.zeros(LITERAL + 1, dtype=bool)
@@ -159,37 +166,42 @@ class Lattice:
         self.stop = np.repeat(self.first[1:], length)
         rest = self.stop - np.arange(len(chars))
         run = _running(chars)
-        node, width, piece = [], [], []
-        at = np.arange(len(chars))
-        alone = np.zeros(len(chars), dtype=bool)
-        for size in range(1, v.longest + 1):
+        piece = v.single[chars]
+        alone = piece < 0
+        found_at, found = [np.flatnonzero(~alone)], [piece[~alone]]
+        at = np.flatnonzero(v.first[chars])
+        for size in range(2, v.longest + 1):
             at = at[rest[at] >= size]
+            hashes = _slice_hashes(run, at, at + size)
+            # a whole piece is a beginning too, so what begins none is not looked up
+            begun = v.begins[hashes >> _U(43)]
+            at = at[begun]
             if not len(at):
                 break
-            hashes = _slice_hashes(run, at, at + size)
-            found = v.find(hashes)
-            ok = found >= 0
-            if size == 1:
-                alone[at[ok]] = True
-            node.append(at[ok])
-            width.append(np.full(int(ok.sum()), size))
-            piece.append(found[ok])
-            at = at[v.begins[hashes >> _U(43)]]
-        lone = np.flatnonzero(~alone)
+            piece = v.find(hashes[begun])
+            ok = piece >= 0
+            found_at.append(at[ok])
+            found.append(piece[ok])
+        lone = np.flatnonzero(alone)
         raw = [chr(c).encode() if c != LITERAL else "▁".encode() for c in chars[lone].tolist()]
         count = np.array([len(b) for b in raw], dtype=np.int64)
-        node, width = np.concatenate([*node, lone]), np.concatenate([*width, np.ones(len(lone), dtype=np.int64)])
-        piece = np.concatenate(piece) if piece else np.zeros(0, np.int64)
-        weight = np.concatenate([v.weight[piece], count * v.byte_weight])
-        # every arc's ids lie in one pool: a piece has one, a byte arc one per byte
-        pool = np.concatenate([v.ids[piece], v.bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)]])
-        n_ids = np.concatenate([np.ones(len(piece), dtype=np.int64), count])
-        pool_at = np.concatenate([[0], np.cumsum(n_ids)[:-1]]) if len(n_ids) else n_ids
-        # by node, long pieces first: they are the likely ones
-        order = np.argsort(node * (v.longest + 1) + v.longest - width)
-        self.node, self.width, weight = node[order], width[order], weight[order]
-        self.pool, self.pool_at, self.n_ids = pool, pool_at[order], n_ids[order]
-        self.arc_first = np.searchsorted(self.node, np.arange(len(chars) + 1))
+        # ids of an arc lie in one pool: a piece has one, a byte arc, numbered behind the pieces, one per byte
+        self.pool = np.concatenate([v.ids, v.bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)]])
+        self.pool_n = np.concatenate([np.ones(len(v.ids), dtype=np.int64), count])
+        self.pool_at = np.cumsum(self.pool_n) - self.pool_n
+        # by node, long pieces first: they are the likely ones; a node has one arc of a width
+        many = alone.astype(np.int64)
+        for at in found_at:
+            many[at] += 1
+        self.arc_first = np.concatenate([[0], np.cumsum(many)])
+        self.piece, free = np.empty(int(self.arc_first[-1]), dtype=np.int32), self.arc_first[:-1].copy()
+        for at, mine in zip(found_at[::-1], found[::-1]):
+            self.piece[free[at]] = mine
+            free[at] += 1
+        self.piece[free[lone]] = len(v.ids) + np.arange(len(lone))
+        self.node = np.repeat(np.arange(len(chars)), many)
+        self.width = np.concatenate([v.length, np.ones(len(lone), dtype=np.int64)])[self.piece]
+        weight = np.concatenate([v.weight, count * v.byte_weight])[self.piece]
         self._backward(weight, rest, len(chars))
 
     def _backward(self, weight, rest, n):
@@ -199,20 +211,22 @@ class Lattice:
         nodes = np.argsort(rest.astype(np.uint16) if n and rest.max() < 1 << 16 else rest, kind="stable")
         limits = np.searchsorted(rest[nodes], np.arange(1, (int(rest.max()) if n else 0) + 2))
         # arcs of the nodes one step from their word's end, then two, and so on
-        order, arc_limits = _take(self.arc_first[nodes], many[nodes]), np.concatenate([[0], np.cumsum(many[nodes])])[limits]
+        many = many[nodes]
+        order, heads = _take(self.arc_first[nodes], many), np.concatenate([[0], np.cumsum(many)])
+        arc_limits = heads[limits]
         to = self.node + self.width
-        to[to == self.stop[self.node]] = n
+        to[self.width == rest[self.node]] = n
         to, value = to[order], weight[order]
         for i in range(len(limits) - 1):
             a, b = arc_limits[i], arc_limits[i + 1]
             if a == b:
                 continue
-            here = nodes[limits[i] : limits[i + 1]]
-            heads = np.concatenate([[0], np.cumsum(many[here])[:-1]])
-            value[a:b] += total[to[a:b]]
-            high = np.maximum.reduceat(value[a:b], heads)
-            sums = np.add.reduceat(np.exp(value[a:b] - np.repeat(high, many[here])), heads)
-            total[here] = high + np.log(sums)
+            here = slice(limits[i], limits[i + 1])
+            first, mine = heads[here] - a, value[a:b]
+            mine += total[to[a:b]]
+            high = np.maximum.reduceat(mine, first)
+            sums = np.add.reduceat(np.exp(mine - np.repeat(high, many[here])), first)
+            total[nodes[here]] = high + np.log(sums)
         self.log_p = np.empty(len(value))
         self.log_p[order] = value
         self.log_p -= total[self.node]
@@ -227,13 +241,13 @@ class Lattice:
         """Sampled arcs from ``node`` to each word's end: (occurrence, arc), in order."""
         stop = self.first[self.word[occurrence] + 1]
         live = np.flatnonzero(node < stop)
-        owner, arcs, step = [], [], 0
+        lives, arcs, steps = [], [], np.zeros(len(occurrence), dtype=np.int64)
         node = node.copy()
         with np.errstate(over="ignore"):
             base = seed + occurrence.astype(np.uint64) * _U(0xBF58476D1CE4E5B9)
         while len(live):
             with np.errstate(over="ignore"):
-                u = words.mix(base[live] + _U((step * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF))
+                u = words.mix(base[live] + _U((len(arcs) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF))
             u = (u >> _U(11)).astype(np.float64) * 2.0**-53
             here = node[live]
             arc = self.arc_first[here]
@@ -241,16 +255,18 @@ class Lattice:
             while len(more):
                 arc[more] += 1
                 more = more[self.upto[arc[more]] <= u[more]]
-            owner.append(occurrence[live])
+            lives.append(live)
             arcs.append(arc)
-            node[live] = here + self.width[arc]
-            live = live[node[live] < stop[live]]
-            step += 1
-        if not owner:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        owner, arcs = np.concatenate(owner), np.concatenate(arcs)
-        order = np.argsort(owner, kind="stable")
-        return owner[order], arcs[order]
+            steps[live] += 1
+            here += self.width[arc]
+            node[live] = here
+            live = live[here < stop[live]]
+        # occurrences ascend, so each one's arcs go behind those of the ones before
+        first = np.cumsum(steps) - steps
+        out = np.empty(int(steps.sum()), dtype=np.int64)
+        for step, (live, arc) in enumerate(zip(lives, arcs)):
+            out[first[live] + step] = arc
+        return np.repeat(occurrence, steps), out
 
 
 def _row_seeds(keys, salt):
@@ -398,8 +414,9 @@ def _encode_batches(batches, vocabulary, k, block):
             lattice, found = sample_block(texts, keys, v, k)
             flat = [s for rows in found for s in rows]
             arcs = np.concatenate([s[0] for s in flat]) if flat else np.zeros(0, np.int64)
-            counts = lattice.n_ids[arcs]
-            ids = lattice.pool[_take(lattice.pool_at[arcs], counts)].astype(np.int32)
+            made = lattice.piece[arcs]
+            counts = lattice.pool_n[made]
+            ids = lattice.pool[_take(lattice.pool_at[made], counts)].astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])])]
             samples = pa.StructArray.from_arrays(
                 [

@@ -385,3 +385,26 @@ def test_label_model_against_plain_em():
         p = new
     got = model.posterior(quality._pattern(np.array(votes)))
     assert np.allclose(got, new, atol=1e-6)
+
+
+def test_pieces_are_looked_up_only_where_one_begins(monkeypatch):
+    v, asked = pieces.Vocabulary(MODEL_PATH), []
+    find = pieces.Vocabulary.find
+    monkeypatch.setattr(pieces.Vocabulary, "find", lambda self, hashes: (asked.append(hashes), find(self, hashes))[1])
+    text = "the cat sat\u2581 on \U0001f600 a xylophonist's mat \u4f60\u597d"
+    codes = pieces._codes(text)
+    codes = np.where(codes == pieces.SPACE, pieces.LITERAL, np.where(codes == 32, pieces.SPACE, codes))
+    lattice = pieces.Lattice(codes, np.array([0, len(codes)]), v)
+    assert asked and all(v.begins[h >> np.uint64(43)].all() for h in asked)
+    # the arcs are those of a plain search, long ones first, and byte arcs where no piece stands for a character
+    names = {v.text[v.text_at[i] : v.text_at[i + 1]].tobytes().decode(): i for i in v.ids.tolist()}
+    found, expected = {}, {}
+    for word, (a, b) in zip(lattice.word, zip(lattice.begin[:-1], lattice.begin[1:])):
+        plain = "".join(" " if c == pieces.SPACE else "\0" if c == pieces.LITERAL else chr(c) for c in codes[a:b])
+        for i in range(len(plain)):
+            node = lattice.first[word] + i
+            arcs = np.arange(lattice.arc_first[node], lattice.arc_first[node + 1])
+            found[a + i] = [(int(lattice.width[x]), int(lattice.piece[x]) < len(v.ids) and int(v.ids[lattice.piece[x]])) for x in arcs]
+            held = [(n, names[plain[i : i + n]]) for n in range(len(plain) - i, 0, -1) if plain[i : i + n] in names]
+            expected[a + i] = held if any(n == 1 for n, _ in held) else [*held, (1, False)]
+    assert found == expected
