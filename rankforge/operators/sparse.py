@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from rankforge.functions.text import tokenize_words
 from rankforge.operators import scan
 from rankforge.operators.scan import first_places as _first
-from rankforge.session import materialize
+from rankforge.session import bounded_batches, materialize
 
 # Okapi defaults.
 K1 = 1.5
@@ -370,6 +370,7 @@ class LexicalRanker:
         self, texts: DataFrame, docs: DataFrame, tokenize=tokenize_words, k1=K1, b=B, epsilon=EPSILON, split=None, words: DataFrame | None = None
     ):
         self.spark, self.k1, self.b = docs.sparkSession, k1, b
+        bounded_batches(self.spark)
         whole = tokenize if split is None else tokenize_words
         tokens = docs.select("doc_id", F.coalesce(whole(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
         schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("dl int, terms array<string>, tfs array<int>").fields])

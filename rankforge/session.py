@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_CONF, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def build_session(app="rankforge", master=None, **conf):
     builder = SparkSession.builder.appName(app)
     if master:
@@ -86,6 +89,17 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, rows) else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ARROW_ROWS`` rows, which the session keeps.
+
+    Lists of words make wide rows; without this a Python worker holds ever more of
+    them, up to 10,000, as a table's partitions grow.
+    """
+    rows = int(spark.conf.get(ARROW_CONF))
+    if rows <= 0 or rows > ARROW_ROWS:
+        spark.conf.set(ARROW_CONF, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,17 @@ def test_pruned_search_equals_all_pairs_with_ties(spark):
     # the way that a large query side takes
     large = dense.dense_topk(queries, corpus, 6, exclude_self=True, tile_rows=64, resident_cells=10)
     assert as_rows(large) == as_rows(plain)
+
+
+def test_a_ranker_bounds_the_rows_of_a_batch(spark):
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", 5000
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        docs = spark.range(0, rows, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word w"), F.col("id")).alias("text"))
+        texts = spark.createDataFrame([(1, "word")], "text_id int, text string")
+        ranker = fusion.LexicalRanker(texts, docs)
+        sizes = ranker.index.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+        assert sum(r["n"] for r in sizes) == rows and max(r["n"] for r in sizes) <= 2000
+    finally:
+        spark.conf.set(name, before)
