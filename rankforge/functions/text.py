@@ -1,5 +1,6 @@
 """Text functions as Column expressions."""
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +45,36 @@ def word_pairs(word: str) -> list[str]:
     return [word[i : i + 2] for i in range(len(word) - 1)] or [word]
 
 
+def _pairs_of_words(words: list[str]):
+    """``(terms of each word, their numbers, distinct terms)`` of ``word_pairs``, by array operations."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    # an empty word is its own term: nothing follows it, as nothing follows a single character
+    text = "".join([w or "\0" for w in words])
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size, empty = np.maximum(size, 1), size == 0
+    each = np.maximum(size - 1, 1)
+    starts = np.cumsum(size) - size
+    at = np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    left = chars[at].astype(np.int64) + 2
+    right = np.where(np.repeat(size == 1, each), 0, chars[np.minimum(at + 1, max(0, len(chars) - 1))].astype(np.int64) + 2)
+    left[np.repeat(empty, each)] = 1
+    used = np.zeros(0x110002, dtype=bool)
+    used[left], used[right] = True, True
+    number, found = np.cumsum(used) - 1, np.flatnonzero(used)
+    pair = number[left] * len(found) + number[right]
+    if len(found) ** 2 <= max(1 << 22, 8 * len(pair)):
+        held = np.zeros(len(found) ** 2, dtype=bool)
+        held[pair] = True
+        distinct, code = np.flatnonzero(held), (np.cumsum(held) - 1)[pair]
+    else:
+        distinct, code = np.unique(pair, return_inverse=True)
+    names = ["" if c < 2 else chr(c - 2) for c in found.tolist()]
+    return each, code, [names[i // len(found)] + names[i % len(found)] for i in distinct.tolist()]
+
+
+word_pairs.of_words = _pairs_of_words
+
+
 def strip_think(col: Column) -> Column:
     return strip(F.regexp_replace(col, THINK_BLOCK, ""))
 

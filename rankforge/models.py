@@ -8,8 +8,12 @@ about model quality.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +39,26 @@ def hash_embedder(text: Column, dim: int = HASH_DIM) -> Column:
     return count(hash_buckets(text, dim))
 
 
+def counted_embedder(terms: Column, counts: Column, dim: int = HASH_DIM) -> Column:
+    """The vector that ``hash_embedder`` makes of a text, from its distinct words and their counts; a word is hashed once a batch."""
+
+    @F.arrow_udf("array<float>")
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for terms, counts in batches:
+            words = terms.flatten().dictionary_encode()
+            names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+            digests = b"".join([hashlib.md5(w.encode()).digest() for w in names])
+            bucket = np.frombuffer(digests, ">u4")[::4].astype(np.int64) % dim
+            sizes = pa.compute.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False)
+            doc, code = np.repeat(np.arange(len(sizes)), sizes), words.indices.to_numpy(zero_copy_only=False)
+            cell = doc * dim + bucket[code.astype(np.int64)] if len(code) else doc
+            tfs = counts.flatten().to_numpy(zero_copy_only=False)
+            made = np.bincount(cell, tfs, len(sizes) * dim).astype(np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * dim, pa.int32()), pa.array(made))
+
+    return count(terms, counts)
+
+
 def overlap_scorer(query: Column, text: Column) -> Column:
     """Share of distinct query words in the text; stands in for a cross-encoder."""
     words = F.array_distinct(tokenize_words(query))

@@ -5,12 +5,16 @@ are taken in blocks of bounded size; a block's weighted terms are broadcast, the
 table streams past, and a task keeps the best ``n`` documents of each text, or
 only counts the documents ahead of given ones. No table of texts times
 documents is ever formed. Short lists leave out blocks of documents by bounds;
-for longer ones a part's near scores are one matrix product, and what it cannot
-leave out is scored exactly. Parts are bounded in documents and in entries.
+for longer ones a part's near scores are products of groups of texts and the
+terms they share, over a table of these terms only, and what they cannot leave
+out is scored exactly. Parts are bounded in documents and in entries.
 """
 
 from __future__ import annotations
 
+import functools
+import threading
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +25,7 @@ from pyspark.sql import Window as W
 from rankforge.functions.text import tokenize_words
 from rankforge.operators import scan
 from rankforge.operators.scan import first_places as _first
-from rankforge.session import bounded_batches, materialize
+from rankforge.session import bounded_batches, broadcast_if_small, materialize
 
 # Okapi defaults.
 K1 = 1.5
@@ -32,10 +36,12 @@ EPSILON = 0.25
 BLOCK_TERMS = 300_000
 BLOCK_ROWS = 4_000_000
 WEIGHT_CELLS = 16_000_000
-CELLS = 2_000_000
+CELLS = 4_000_000
 ENTRIES = 400_000
 # documents of a block with score bounds of its own
 BLOCK_DOCS = 128
+# what taking a term's gains to a group of texts costs, in products
+GATHER = 10
 
 
 def term_counts(tokens: Column) -> Column:
@@ -144,25 +150,65 @@ def _split_batches(batches, split):
     # a word makes several terms
     for part in (p for batch in batches for p in _parts(batch, 2, batch.num_rows, 8)):
         words = part.column(2).flatten().dictionary_encode()
-        made = [split(w) for w in words.dictionary.to_pylist()]
-        each = np.array([len(x) for x in made], dtype=np.int64)
-        terms = pa.array([x for one in made for x in one], pa.string()).dictionary_encode()
-        code, n = _numbers(terms.indices).astype(np.int64), max(1, len(terms.dictionary))
+        each, code, names = getattr(split, "of_words", functools.partial(_each_split, split))(_numbers(words.dictionary).tolist())
+        n = max(1, len(names))
         word = _numbers(words.indices).astype(np.int64) if len(words) else np.zeros(0, np.int64)
         tf, counts = _numbers(part.column(3).flatten()).astype(np.int64), each[word]
         doc = np.repeat(np.arange(part.num_rows), _numbers(pa.compute.list_value_length(part.column(2))))
         at = _expand((np.cumsum(each) - each)[word], counts) if len(word) else word
-        cells, place = np.unique(np.repeat(doc, counts) * n + code[at], return_inverse=True)
-        sums = np.bincount(place, np.repeat(tf, counts), len(cells)).astype(np.int32)
+        cells, sums = _sums(np.repeat(doc, counts) * n + code[at], np.repeat(tf, counts), part.num_rows * n)
         sizes = np.bincount(doc, tf * counts, part.num_rows).astype(np.int32)
         ends = pa.array(np.searchsorted(cells, np.arange(part.num_rows + 1) * n), pa.int32())
-        held = terms.dictionary.take(pa.array(cells % n)) if len(cells) else pa.array([], pa.string())
+        held = pa.array(names, pa.string()).take(pa.array(cells % n)) if len(cells) else pa.array([], pa.string())
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, held), pa.ListArray.from_arrays(ends, pa.array(sums))],
+            [part.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, held), pa.ListArray.from_arrays(ends, pa.array(sums.astype(np.int32)))],
             names=["doc_id", "dl", "terms", "tfs"],
         )
 
 
+def _each_split(split, words):
+    """``(terms of each word, their numbers, distinct terms)`` by a function of one word."""
+    made, numbers = [split(w) for w in words], {}
+    code = [numbers.setdefault(x, len(numbers)) for one in made for x in one]
+    return np.array([len(x) for x in made], dtype=np.int64), np.array(code, dtype=np.int64), list(numbers)
+
+
+def _sums(cells, values, n):
+    """Distinct cells, ascending, with the sums of their values; counted in a table where cells fill enough of it."""
+    if n <= 16 * len(cells):
+        table = np.bincount(cells, values, n)
+        # every value is at least 1
+        found = np.flatnonzero(table)
+        return found, table[found]
+    found, place = np.unique(cells, return_inverse=True)
+    return found, np.bincount(place, values, len(found))
+
+
+def _term_batches(batches):
+    """``(term, df)`` of the documents of each batch, whose terms are distinct."""
+    for batch in batches:
+        terms = batch.column(0).flatten().dictionary_encode()
+        if len(terms):
+            counts = np.bincount(_numbers(terms.indices), minlength=len(terms.dictionary))
+            yield pa.RecordBatch.from_arrays([terms.dictionary, pa.array(counts, pa.int64())], names=["term", "df"])
+
+
+def _entry_batches(batches, known):
+    """``(doc_id, dl, held)``: of each document the numbers and counts of the terms known, as pairs of whole numbers."""
+    for batch in batches:
+        terms = batch.column(2).flatten().dictionary_encode()
+        number = _numbers(pa.compute.index_in(terms.dictionary, value_set=known).fill_null(-1)).astype(np.int32)
+        code = number[_numbers(terms.indices)] if len(terms) else np.zeros(0, np.int32)
+        doc = np.repeat(np.arange(batch.num_rows), _numbers(pa.compute.list_value_length(batch.column(2)).fill_null(0)))
+        some = np.flatnonzero(code >= 0)
+        pairs = np.stack([code[some], _numbers(batch.column(3).flatten())[some].astype(np.int32)], axis=1)
+        ends = np.searchsorted(doc[some], np.arange(batch.num_rows + 1)) * 8
+        held = pa.Array.from_buffers(
+            pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(pairs))]
+        ).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["doc_id", "dl", "held"])
+
+
 def _expand(first, counts):
     """``first``, ``first + 1``, ... of each slice, one after another."""
     shift = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
@@ -174,7 +220,7 @@ def _postings(part, texts, avgdl, k1, b):
     ids, dl = _numbers(part.column(0)), _numbers(part.column(1)).astype(np.float64)
     sizes = _numbers(pa.compute.list_value_length(part.column(2)).fill_null(0))
     words = part.column(2).flatten().dictionary_encode()
-    known = np.array([texts["terms"].get(w, -1) for w in words.dictionary.to_pylist()] or [-1], dtype=np.int64)
+    known = np.array([texts["terms"].get(w, -1) for w in _numbers(words.dictionary)] or [-1], dtype=np.int64)
     term = known[_numbers(words.indices)] if len(words) else np.zeros(0, dtype=np.int64)
     doc = np.repeat(np.arange(part.num_rows), sizes)[term >= 0]
     tf = _numbers(part.column(3).flatten()).astype(np.float64)[term >= 0]
@@ -182,28 +228,75 @@ def _postings(part, texts, avgdl, k1, b):
     return ids, doc, term[term >= 0], gain
 
 
+def _entries(part, texts, avgdl, k1, b):
+    """``(ids, document, term, gain)`` as ``_postings``, of a part of the table of entries."""
+    ids, dl, held = _numbers(part.column(0)), _numbers(part.column(1)).astype(np.float64), part.column(2)
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1] // 8
+    pairs = np.frombuffer(held.buffers()[2] or b"", np.int32).reshape(-1, 2)[ends[0] : ends[-1]]
+    term = texts["local"][pairs[:, 0]]
+    some = np.flatnonzero(term >= 0)
+    doc, tf = np.repeat(np.arange(len(ids)), np.diff(ends))[some], pairs[some, 1].astype(np.float64)
+    return ids, doc, term[some], tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl)) if len(doc) else tf
+
+
+def _groups(texts):
+    """Texts in groups that share terms: ``(texts, terms, weights)`` of each, whose products leave out most terms.
+
+    The longest texts come first; each joins the group where it costs least, or
+    begins one.
+    """
+    term_of, weight_of, edge = _by_text(texts)
+    n_terms = max(1, len(texts["first"]) - 1)
+    has, members, sizes, n_groups = np.zeros((16, n_terms), dtype=bool), [], np.zeros((2, 16), dtype=np.int64), 0
+    for i in np.argsort(-np.diff(edge), kind="stable"):
+        mine = term_of[edge[i] : edge[i + 1]]
+        if not len(mine):
+            continue
+        more = len(mine) - has[:n_groups, mine].sum(axis=1)
+        # a group's products are its texts times its terms
+        cost = sizes[1, :n_groups] + more * (sizes[0, :n_groups] + 1 + GATHER)
+        at = int(np.argmin(cost)) if n_groups else 0
+        if not n_groups or cost[at] > len(mine) * (1 + GATHER):
+            at, n_groups = n_groups, n_groups + 1
+            members.append([])
+            if n_groups > len(has):
+                has, sizes = np.concatenate([has, np.zeros_like(has)]), np.concatenate([sizes, np.zeros_like(sizes)], axis=1)
+        has[at, mine] = True
+        members[at].append(i)
+        sizes[:, at] = len(members[at]), has[at].sum()
+    found = []
+    for at, some in enumerate(members):
+        terms = np.flatnonzero(has[at])
+        weights = np.zeros((len(some), len(terms)), dtype=np.float32)
+        for j, i in enumerate(some):
+            mine = slice(edge[i], edge[i + 1])
+            weights[j, np.searchsorted(terms, term_of[mine])] = weight_of[mine]
+        found.append((np.array(some), terms, weights))
+    return found
+
+
 def _scored(batches, texts, avgdl, k1, b):
-    """Parts for ``scan``: near scores by one product of gains and weights in single precision."""
+    """Parts for ``scan``: near scores by products of gains and weights in single precision, a group of texts at a time."""
     n_texts, n_terms = len(texts["ids"]), len(texts["first"]) - 1
     term_of, weight_of, edge = _by_text(texts)
-    weights = np.zeros((n_texts, max(1, n_terms)), dtype=np.float32)
-    weights[texts["text"], np.repeat(np.arange(n_terms), np.diff(texts["first"]))] = texts["weight"]
     # a sum of j products is off by at most (j + 3) roundings of the sum of their sizes; gains stay below k1 + 1
     size = np.add.reduceat(np.append(np.abs(weight_of), 0), edge[:-1]) * (np.diff(edge) > 0) * (k1 + 1)
     slack = (np.diff(edge) + 4) * np.float64(1.2e-7) * size + 1e-8
     most = max(1, CELLS // max(1, n_terms, n_texts))
-    for part in (p for batch in batches for p in _parts(batch, 2, most)):
-        ids, doc, term, gain = _postings(part, texts, avgdl, k1, b)
-        gains = np.zeros((len(ids), max(1, n_terms)))
-        gains[doc, term] = gain
-        near = weights @ gains.astype(np.float32).T
+    for part in (batch.slice(at, most) for batch in batches for at in range(0, batch.num_rows, most)):
+        ids, doc, term, gain = _entries(part, texts, avgdl, k1, b)
+        gains = np.zeros((max(1, n_terms), len(ids)))
+        gains[term, doc] = gain
+        single, near = gains.astype(np.float32), np.zeros((n_texts, len(ids)), dtype=np.float32)
+        for rows, terms, weights in texts["groups"]:
+            near[rows] = weights @ single[terms]
 
         def exact(i, at, gains=gains):
             mine = slice(edge[i], edge[i + 1])
             if edge[i] == edge[i + 1]:
                 return np.zeros(len(at))
             # one term after another, so equal texts score alike wherever they stand
-            products = gains[np.ix_(at, term_of[mine])] * weight_of[mine]
+            products = gains[np.ix_(term_of[mine], at)].T * weight_of[mine]
             return np.round(np.cumsum(products, axis=1)[:, -1], 9)
 
         yield ids, near, exact, slack
@@ -327,11 +420,12 @@ def _pair_batches(batches, texts, avgdl, k1, b):
     """Scores of the (document, text) pairs asked for: the batch's last column lists texts."""
     number = {name: i for i, name in enumerate(texts["ids"])}
     term_of, weight_of, edge = _by_text(texts)
-    for part in (p for batch in batches for p in _parts(batch, 2, max(1, CELLS // max(1, len(texts["first"]))))):
-        ids, doc, term, gain = _postings(part, texts, avgdl, k1, b)
+    most = max(1, CELLS // max(1, len(texts["first"])))
+    for part in (batch.slice(at, most) for batch in batches for at in range(0, batch.num_rows, most)):
+        ids, doc, term, gain = _entries(part, texts, avgdl, k1, b)
         gains = np.zeros((len(ids), max(1, len(texts["first"]) - 1)))
         gains[doc, term] = gain
-        rows = [(t, d, number[t]) for d, ts in enumerate(part.column(4).to_pylist()) for t in ts if t in number]
+        rows = [(t, d, number[t]) for d, ts in enumerate(part.column(3).to_pylist()) for t in ts if t in number]
         scores = []
         for _, d, i in rows:
             mine = slice(edge[i], edge[i + 1])
@@ -347,22 +441,13 @@ def _pair_batches(batches, texts, avgdl, k1, b):
         )
 
 
-def _ahead_batches(batches, texts, marks, avgdl, k1, b):
-    """How many documents fall between the marks of each text, which are sorted (-score, id) lists."""
-    gaps = scan.ahead(_scored(batches, texts, avgdl, k1, b), marks)
-    rows = [(i, j, int(n)) for i, g in enumerate(gaps) for j, n in enumerate(g) if n]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], names=["text", "gap", "n"]
-    )
-
-
 class LexicalRanker:
     """BM25 ranks of ``docs (doc_id, text)`` for ``texts (text_id, text)``.
 
     All documents are ranked, by falling score, equal scores by the smaller
     id; a document that shares no term with a text scores 0.
     Where ``tokenize`` takes terms out of words, ``split`` makes those of one
-    word, and ``words`` may be the index of a ranker by words of the same
+    word, its attribute ``of_words``, if it has one, those of many, and ``words`` may be the index of a ranker by words of the same
     documents: the documents then need not be tokenised for it.
     """
 
@@ -383,9 +468,9 @@ class LexicalRanker:
         self.index = materialize(index)
         totals = self.index.agg(F.count(F.lit(1)), F.sum(F.col("dl").cast("bigint"))).first()
         self.n, self.avgdl = totals[0], (totals[1] or 0) / max(1, totals[0])
-        vocab = materialize(
-            self.index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        )
+        # a document's terms are distinct: tasks count them before the shuffle
+        held = self.index.select("terms").mapInArrow(_term_batches, "term string, df bigint")
+        vocab = materialize(held.groupBy("term").agg(F.sum("df").alias("df")))
         raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         # the weight depends on df alone, so the mean adds one value per distinct df
         by_df = vocab.groupBy("df").agg(F.count(F.lit(1)).alias("terms")).withColumn("raw", raw)
@@ -396,19 +481,43 @@ class LexicalRanker:
         lists = terms.groupBy("text_id").agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("lines"))
         self.weights = materialize(texts.select("text_id").distinct().join(lists, "text_id", "left"))
         self.text_type, self.id_type = texts.schema["text_id"].dataType, docs.schema["doc_id"].dataType
+        self._lock, self._entries = threading.Lock(), None
+
+    def entries(self) -> tuple:
+        """``(table, number)``: of each document only the terms that some text has, and the number of each term.
 
-    def _blocks(self, per_text: int):
-        """Blocks of texts, each within ``BLOCK_TERMS`` terms and ``BLOCK_ROWS`` kept rows."""
+        The passes of long lists and ranks read this table instead of the index.
+        """
+        with self._lock:
+            if self._entries is None:
+                terms = sorted(r[0] for r in self.weights.select(F.explode("lines.term")).distinct().toLocalIterator())
+                known = self.spark.sparkContext.broadcast(pa.array(terms, pa.string()))
+                schema = T.StructType([T.StructField("doc_id", self.id_type), *T._parse_datatype_string("dl int, held binary").fields])
+                table = self.index.select("doc_id", "dl", "terms", "tfs").mapInArrow(lambda x: _entry_batches(x, known.value), schema)
+                self._entries = materialize(table), {term: i for i, term in enumerate(terms)}
+            return self._entries
+
+    def _held(self, ids, lines, **more):
+        """A block of texts to be broadcast, with its terms by their number in the entries."""
+        block = vars(_Texts(ids, lines))
+        local = np.full(len(self.entries()[1]) + 1, -1, dtype=np.int64)
+        local[[self.entries()[1][term] for term in block["terms"]]] = list(block["terms"].values())
+        return self.spark.sparkContext.broadcast({**block, "local": local, "groups": _groups(block), **more})
+
+    def _blocks(self, per_text: int, only: list | None = None, entries=True):
+        """Blocks of texts, each within ``BLOCK_TERMS`` terms and ``BLOCK_ROWS`` kept rows; of all texts or those named."""
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(self.text_type)
 
         def made(ids, lines):
-            block = vars(_Texts(ids, lines))
-            return ids, self.spark.sparkContext.broadcast({**block, "type": kind})
+            if entries:
+                return ids, self._held(ids, lines, type=kind)
+            return ids, self.spark.sparkContext.broadcast({**vars(_Texts(ids, lines)), "type": kind})
 
         ids, lines, terms = [], [], set()
-        for row in self.weights.toLocalIterator():
+        weights = self.weights if only is None else self.weights.join(F.broadcast(self._names(only)), "text_id", "left_semi")
+        for row in weights.toLocalIterator():
             mine = row["lines"] or []
             more = terms.union(x["term"] for x in mine)
             cells = len(more) * (len(ids) + 1)
@@ -438,12 +547,11 @@ class LexicalRanker:
         def part(ids, block):
             if n < BLOCK_DOCS:
                 return self.index.mapInArrow(lambda x: _named(_top_batches(x, block.value, n, avgdl, k1, b), schema), schema)
-            marks = lambda x: _mark_batches(x, block.value, n, avgdl, k1, b)
-            bars = self.spark.sparkContext.broadcast(scan.bars(self.index, marks, self.id_type, len(ids), n))
-            found = lambda x: _named(_long_batches(x, block.value, n, avgdl, k1, b, bars.value), schema)
-            return self.index.mapInArrow(found, schema)
+            marks = lambda most: lambda x: _mark_batches(x, block.value, most, avgdl, k1, b)
+            send = lambda bars: lambda x: _named(_long_batches(x, block.value, n, avgdl, k1, b, bars.value), schema)
+            return scan.long_lists(self.entries()[0], marks, send, schema, ["text_id"], ids, n)
 
-        rows = self._found([part(ids, block) for ids, block in self._blocks(n)])
+        rows = self._found([part(ids, block) for ids, block in self._blocks(n, entries=n >= BLOCK_DOCS)])
         if rows is None:
             rows = self.spark.createDataFrame([], schema)
         return top_k(rows, n, ("text_id",))
@@ -463,18 +571,18 @@ class LexicalRanker:
 
         mine = self.weights.join(F.broadcast(self._names(ids)), "text_id").select("text", "lines")
         lines = [(r["text"], x["term"], x["w"]) for r in mine.toLocalIterator() for x in r["lines"] or []]
-        held = self.spark.sparkContext.broadcast(vars(_Texts(ids, lines)))
+        held = self._held(ids, lines)
         # gains stay below k1 + 1
         highest = np.zeros(len(ids))
         np.add.at(highest, held.value["text"], np.maximum(held.value["weight"], 0) * (self.k1 + 1))
         avgdl, k1, b = self.avgdl, self.k1, self.b
-        return self.index, lambda batches: _scored(batches, held.value, avgdl, k1, b), to_arrow_type(self.id_type), highest
+        return self.entries()[0], lambda batches: _scored(batches, held.value, avgdl, k1, b), to_arrow_type(self.id_type), highest
 
     def scores(self, pairs: DataFrame) -> DataFrame:
         """``(text_id, doc_id, score)`` of given ``(text_id, doc_id)`` pairs."""
         schema, avgdl, k1, b = self._schema(), self.avgdl, self.k1, self.b
         asked = pairs.groupBy("doc_id").agg(F.collect_set("text_id").alias("asked"))
-        wanted = materialize(self.index.join(asked, "doc_id").select("doc_id", "dl", "terms", "tfs", "asked"))
+        wanted = materialize(self.entries()[0].join(broadcast_if_small(asked), "doc_id").select("doc_id", "dl", "held", "asked"))
 
         def part(block):
             return wanted.mapInArrow(lambda x: _named(_pair_batches(x, block.value, avgdl, k1, b), schema), schema)
@@ -489,35 +597,12 @@ class LexicalRanker:
         documents between neighbouring pairs.
         """
         avgdl, k1, b = self.avgdl, self.k1, self.b
-        on = W.partitionBy("text_id").orderBy(F.col("score").desc(), "doc_id")
-        marked = materialize(self.scores(pairs).withColumn("mark", F.row_number().over(on) - 1))
-        most = marked.groupBy("text_id").count().agg(F.max("count")).first()[0] or 1
-        counted = None
-        for ids, block in self._blocks(most):
-            numbers = {name: i for i, name in enumerate(ids)}
-            rows = marked.join(F.broadcast(self._names(ids)), "text_id").collect()
-            lists = [([], []) for _ in ids]
-            for r in sorted(rows, key=lambda r: r["mark"]):
-                scores, marks = lists[numbers[r["text_id"]]]
-                scores.append(-r["score"])
-                marks.append(r["doc_id"])
-            marks = self.spark.sparkContext.broadcast([(np.array(s, dtype=np.float64), np.array(d)) for s, d in lists])
-            gaps = self.index.mapInArrow(
-                lambda x, block=block, marks=marks: _ahead_batches(x, block.value, marks.value, avgdl, k1, b),
-                "text bigint, gap bigint, n bigint",
-            )
-            gaps = gaps.groupBy("text", "gap").agg(F.sum("n").alias("n"))
-            part = gaps.join(F.broadcast(self._names(ids)), "text").select("text_id", F.col("gap").alias("mark"), "n")
-            counted = part if counted is None else counted.unionByName(part)
-        if counted is None:
-            return marked.select("text_id", "doc_id", F.lit(1).cast("bigint").alias("rank"))
-        # gap j holds the documents after mark j - 1 and before mark j
-        lines = marked.select("text_id", F.col("mark").cast("bigint").alias("mark"), "doc_id").join(
-            counted, ["text_id", "mark"], "full"
-        )
-        before = W.partitionBy("text_id").orderBy("mark").rowsBetween(W.unboundedPreceding, 0)
-        place = F.sum(F.coalesce("n", F.lit(0))).over(before)
-        return lines.withColumn("rank", place + 1).where("doc_id IS NOT NULL").select("text_id", "doc_id", "rank")
+
+        def blocks(texts, longest):
+            for ids, block in self._blocks(longest, texts):
+                yield ids, self.entries()[0], lambda batches, block=block: _scored(batches, block.value, avgdl, k1, b)
+
+        return scan.ranks(self.scores(pairs), BLOCK_ROWS, blocks)
 
     def _names(self, ids):
         fields = [T.StructField("text_id", self.text_type), T.StructField("text", T.LongType())]
