@@ -9,21 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from rankforge.session import broadcast_if_small
+
 # Hits scored and hits kept.
 TOP_N = 20
 TOP_K = 5
+# ids of documents that a task is sent
+NAMED = 1_000_000
 
 
 def pair_table(hits: DataFrame, texts: DataFrame, docs: DataFrame, scorer: Callable[[Column, Column], Column]) -> DataFrame:
     """``(qid, doc_id, score)``, each distinct pair scored once.
 
     ``texts`` has ``(qid, query)``, ``docs`` has ``(doc_id, text)``; only
-    documents some hit names take part in the join.
+    documents some hit names take part in the join; where these are few, the
+    others are left out where they are read.
     """
     pairs = hits.select("qid", "doc_id").distinct()
+    named = broadcast_if_small(pairs.select("doc_id").distinct(), NAMED)
     return (
         pairs.join(texts.select("qid", "query"), "qid")
-        .join(docs.select("doc_id", "text"), "doc_id")
+        .join(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), "doc_id")
         .select("qid", "doc_id", F.round(scorer(F.col("query"), F.col("text")), 9).alias("score"))
     )
 
